@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_byte_bpe
+from .jaccard_join import op9_ngram_jaccard_join
 from .packing import op2_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
