@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_byte_bpe
 from .jaccard_join import op9_ngram_jaccard_join
+from .language_id import op6_language_id
 from .packing import op2_best_fit_packing
 from .substring_dedup import op5_substring_dedup
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_language_id": op6_language_id,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
