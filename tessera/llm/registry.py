@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_byte_bpe
+from .embedding_dedup import op4_embedding_near_dedup
 from .jaccard_join import op9_ngram_jaccard_join
 from .language_id import op6_language_id
 from .packing import op2_best_fit_packing
@@ -15,6 +16,7 @@ from .substring_dedup import op5_substring_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
