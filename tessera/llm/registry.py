@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_byte_bpe
 from .embedding_dedup import op4_embedding_near_dedup
+from .fingerprints import op7_document_fingerprints
 from .jaccard_join import op9_ngram_jaccard_join
 from .language_id import op6_language_id
+from .license_scan import op1_license_scan
 from .packing import op2_best_fit_packing
 from .substring_dedup import op5_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
