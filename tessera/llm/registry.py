@@ -14,6 +14,7 @@ from .language_id import op6_language_id
 from .license_scan import op1_license_scan
 from .packing import op2_best_fit_packing
 from .substring_dedup import op5_substring_dedup
+from .url_filter import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_language_id": op6_language_id,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_url_filter": op8_url_filter,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
