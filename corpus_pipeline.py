@@ -1,12 +1,54 @@
-"""A corpus pipeline of the operators in tessera.llm."""
+"""A corpus pipeline: language ID, near-duplicate removal, passage removal, packing.
+
+Every stage works on all documents that the one before it kept, and is written and read again between
+stages, so a lost executor costs one stage at most. Stages but the last return the columns of
+`documents`; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.jaccard_join import jaccard_join
+from tessera.llm.kernels import materialise, table
+from tessera.llm.language_id import held_out, keep_identified, learn
+from tessera.llm.packing import best_fit_packing
+from tessera.llm.substring_dedup import substring_dedup
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language stay; those without a letter go. Labels train the model, not the decision."""
+    return keep_identified(docs, learn(docs.where(~held_out())))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near copies stays; so do those without an id."""
+    gone = jaccard_join(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that earlier documents' passages cover go; every document stays, with n_chars of what is left."""
+    return substring_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing of all documents into sequences of 1024 tokens."""
+    return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language ID", language_id), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_passages), ("best-fit packing", packing)]
 
-STAGES: list = []
+#: SQL can't express trigram models, MinHash candidates and a tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs)
+    return docs

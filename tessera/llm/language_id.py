@@ -224,6 +224,30 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, "id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>").withColumnRenamed("id", id_col)
 
 
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """``docs``, all columns, without the rows that have no language: `und` of ``identify``.
+
+    Without a model the texts with a letter stay. Rows stay where they are: no shuffle.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            texts = batch.column(at)
+            keep = [_has_letter(x) for x in texts.to_pylist()]
+            if model:
+                spoken = np.zeros(len(keep), bool)
+                for row, _, _, path, _ in label(model, texts, penalty):
+                    spoken[row] = len(path) > 0
+                keep = (spoken & np.array(keep, bool)).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(~held_out()))

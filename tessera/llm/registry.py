@@ -14,6 +14,7 @@ from .language_id import op6_language_id
 from .license_scan import op1_license_scan
 from .packing import op2_best_fit_packing
 from .substring_dedup import op5_substring_dedup
+from .tool_calls import OP10_SQL, op10_tool_call_linking
 from .url_filter import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_url_filter": op8_url_filter,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_tool_call_linking": op10_tool_call_linking,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_tool_call_linking": OP10_SQL}
