@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,43 +21,55 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .bpe import byte_characters
 from .kernels import arrow_batches, materialise, table
 
-#: Pre-tokens remembered by a Python worker; then it starts anew, so its memory is bounded.
-CACHE_ENTRIES = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Tokens:
-    """Token ids as little-endian unsigned 32-bit words, with a memory of recent pre-tokens."""
+    """Token ids of a text as little-endian unsigned 32-bit words, as the tokenizers library gives them.
+
+    A byte-level BPE whose merges stand in the order of their tokens' ids is the same thing as its ids taken
+    as ranks, so tiktoken, which is several times as fast, encodes by the file's own vocabulary. Files of
+    any other kind are left to tokenizers itself.
+    """
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         import os
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._model = Tokenizer.from_file(path)
         self._model.encode_special_tokens = True
-        self._split = regex.compile(pattern).findall
-        self._known: dict[str, bytes] = {}
+        ranks = ranks_of(path)
+        self._ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
     def __call__(self, text: str) -> bytes:
-        pieces = self._split(text)
-        try:
-            return b"".join([self._known[x] for x in pieces])
-        except KeyError:
-            new = [x for x in set(pieces) if x not in self._known]
-            if len(self._known) + len(new) > CACHE_ENTRIES:
-                self._known, new = {}, list(set(pieces))
-            for x, e in zip(new, self._model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self._known[x] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([self._known[x] for x in pieces])
+        if self._ranked:
+            return self._ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self._model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizers file as ranks, or None if its ids aren't in the order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    if not plain or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    back, special = {c: b for b, c in enumerate(byte_characters())}, {x["content"] for x in spec.get("added_tokens", [])}
+    return {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
 
 
 @functools.lru_cache(maxsize=2)
