@@ -2,18 +2,21 @@
 
 A window of ``width`` consecutive words is a node of the graph, and consecutive windows of a text are its
 edges. Windows that share their minimiser (the k-mer of the smallest hash in the window, leftmost on
-ties) form a path that is compacted to one row, a block, before any shuffle: (anchor, content). The
+ties) form a path that is compacted to one entry, a block, before any shuffle: (anchor, content). The
 minimiser depends on the window's words alone, so equal windows always meet under one anchor.
 
-1. Anchors that occur once can't hold a repeated window; only the others go back to their documents.
-2. Blocks are grouped by anchor and content. An anchor with a single content is a nonbranching path: all
-   its windows repeat together, and its first occurrence settles them. Only where an anchor has several
-   contents, at the ends of repeats, are blocks opened into windows.
-3. Blocks join the source coordinates of their windows' first occurrences and mark the windows that also
-   start earlier; documents join their marks and lose the words that marked windows cover.
-
-Anchors, contents and windows have 64-bit hashes of independent words each; a window is found equal only
-if both its anchor's and its own hash are.
+1. Blocks are dealt by their anchor. Of blocks of equal content all but the first repeat as a whole. An
+   anchor with a single content is a nonbranching path: its first occurrence is settled too. Only where
+   an anchor has several contents, at the ends of repeats, are the first blocks of each content opened.
+2. Opened blocks go back to their documents, and their windows are dealt by their hashes; the source
+   coordinates of a window's first occurrence mark all others.
+3. Documents join their marks and lose the words that marked windows cover.
+
+Entries travel in binary arrays, a row for each batch of documents and bucket. A batch sends each content
+and each window once and marks its own repeats itself, so a passage that many documents share sends a
+row for each batch, not for each document; a very frequent anchor sends ``HOT`` blocks of a batch at most,
+the others are opened at once. Anchors, contents and windows have 64-bit hashes of independent kinds, and
+two blocks or windows are equal only if two of them are.
 """
 
 from __future__ import annotations
@@ -23,12 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import Runs, Words, arrow_batches, list_array, long_array, materialise, mix, table, text_slices, windows
+from .kernels import Runs, Words, arrow_batches, materialise, mix, table, text_slices, windows
 
 WIDTH, KMER = 20, 5
+#: Blocks of different content that a batch of documents sends under one anchor.
+HOT = 16
+#: Bytes of text whose entries meet in one bucket, about.
+BUCKET_BYTES = 16 << 20
 
 
 class Blocks:
@@ -36,21 +44,20 @@ class Blocks:
 
     def __init__(self, words: Words, width: int, kmer: int):
         n = len(words.hash)
-        self._runs, self._width = Runs(words.hash), width
+        self.runs, self._width = Runs(words.hash), width
         starts, per = windows(words.first, width)
-        self.start = self.count = self.anchor = self.offset = np.zeros(0, np.int64)
-        self.per_text = np.zeros(len(per), np.int64)
+        self.start = self.count = self.offset = self.text = np.zeros(0, np.int64)
+        self.anchor = np.zeros(0, np.uint64)
         if not len(starts):
             return
         keys = np.full(n, np.iinfo(np.uint64).max, np.uint64)
         at = np.arange(n - kmer + 1)
-        keys[: n - kmer + 1] = self._runs.of(at, at + kmer)
+        keys[: n - kmer + 1] = self.runs.of(at, at + kmer)
         low = self._leftmost(keys, width - kmer + 1)[starts]
         text = np.repeat(np.arange(len(per)), per)
         new = np.flatnonzero(np.concatenate([[True], (np.diff(low) != 0) | (np.diff(text) != 0)]))
         self.start, self.count = starts[new], np.diff(np.concatenate([new, [len(starts)]]))
-        self.anchor, self.offset = keys[low[new]], low[new] - starts[new]
-        self.per_text = np.bincount(text[new], minlength=len(per))
+        self.anchor, self.offset, self.text = keys[low[new]], low[new] - starts[new], text[new]
 
     @staticmethod
     def _leftmost(keys: np.ndarray, span: int) -> np.ndarray:
@@ -63,118 +70,209 @@ class Blocks:
             reach += step
         return best
 
-    def contents(self) -> np.ndarray:
+    def content(self) -> np.ndarray:
         """Hash of all words that the block's windows cover, and of where its anchor stands."""
-        return mix(self._runs.of(self.start, self.start + self.count + self._width - 1) ^ mix(self.offset + 1))
+        return mix(self.runs.of(self.start, self.start + self.count + self._width - 1) ^ mix(self.offset + 1))
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Sorted ids as the first and the steps."""
+    return (ids[:1].tobytes() or bytes(8)) + _narrow(np.diff(ids).astype(np.uint64))
+
+
+def _unpack_ids(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(raw, np.int64, 1), _wide(raw[8:])]))[:n]
+
+
+_PACKED = "bucket int, n int, first binary, second binary, ids binary, starts binary, counts binary"
+
+
+class Entries:
+    """Entries (first, second: hashes; id, start, count), sorted by hashes, then by id and start."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, start: np.ndarray, count: np.ndarray):
+        order = np.lexsort((start, ids, second, first))
+        self.first, self.second, self.ids, self.start, self.count = (x[order] for x in (first, second, ids, start, count))
+        n = len(order)
+        self.new_first = np.ones(n, bool)
+        self.new_first[1:] = self.first[1:] != self.first[:-1]
+        self.new = self.new_first.copy()
+        self.new[1:] |= self.second[1:] != self.second[:-1]
+        lead = np.maximum.accumulate(np.where(self.new, np.arange(n), 0))
+        #: entries that have an equal one earlier in the corpus; not those that stand in the same place
+        self.later = ~self.new & ((self.ids != self.ids[lead]) | (self.start != self.start[lead]))
+
+    def variants(self) -> np.ndarray:
+        """For each entry: how many different second hashes its first one has."""
+        group = np.cumsum(self.new_first) - 1
+        return np.bincount(group[self.new], minlength=group[-1] + 1 if len(group) else 0)[group]
+
+    def packed(self, chosen: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[tuple]:
+        """Rows of ``_PACKED`` of the chosen entries, dealt by the keys."""
+        at = np.flatnonzero(chosen)
+        bucket = (keys[at] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((self.ids[at], bucket))
+        at, bucket = at[order], bucket[order]
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(bucket)) + 1) if len(at) else ():
+            own = at[part]
+            yield int(bucket[part[0]]), len(own), self.first[own].tobytes(), self.second[own].tobytes(), _pack_ids(self.ids[own]), _narrow(self.start[own]), _narrow(self.count[own])
+
+    def settled(self, chosen: np.ndarray, bucket: int) -> tuple:
+        """A row of ``_PACKED`` without hashes: entries that are known to repeat as a whole."""
+        own = np.flatnonzero(chosen)
+        own = own[np.argsort(self.ids[own], kind="stable")]
+        return bucket, len(own), b"", b"", _pack_ids(self.ids[own]), _narrow(self.start[own]), _narrow(self.count[own])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+    columns = zip(*rows, strict=True) if rows else [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "n", "first", "second", "ids", "starts", "counts"])
+
+
+def _unpacked(group: pa.Table) -> tuple[Entries, np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of a bucket, and ids, starts and counts of those that were settled before."""
+    parts: tuple[list, list] = ([], [])
+    for row in group.to_pylist():
+        hashes = [np.frombuffer(row[c], np.uint64) for c in ("first", "second")]
+        parts[not row["first"]].append((*hashes, _unpack_ids(row["ids"], row["n"]), _wide(row["starts"]), _wide(row["counts"])))
+    empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+    found, settled = ([np.concatenate(x) for x in zip(empty, *p, strict=True)] for p in parts)
+    return Entries(*found), *settled[2:]
 
-    def window_hashes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows of the chosen blocks, and how many each has."""
-        counts = self.count[chosen]
-        base = np.repeat(self.start[chosen] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-        at = base + np.arange(counts.sum())
-        return mix(self._runs.of(at, at + self._width) ^ np.uint64(0x5851F42D4C957F2D)), counts
 
+_MARK = "id long, start int, count int, bits int"
 
-def _anchors(texts: DataFrame, width: int, kmer: int) -> DataFrame:
-    """(id, n_words, kept_sha256, anchors): the digest is that of the text if nothing is removed."""
+
+def _marks(*parts: tuple[np.ndarray, np.ndarray, np.ndarray, bool]) -> pa.Table:
+    """Rows (id, start, count, bits): all bits of blocks that repeat as a whole, none of blocks to be opened."""
+    ids, start, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    whole = np.concatenate([np.full(len(p[0]), p[3]) for p in parts])
+    return pa.table({"id": ids, "start": start.astype(np.int32), "count": count.astype(np.int32), "bits": np.where(whole, (1 << count) - 1, 0).astype(np.int32)})
+
+
+def _sent_blocks(texts: DataFrame, width: int, kmer: int, buckets: int) -> DataFrame:
+    """Blocks of (id, text), packed and dealt by their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, parts = batch.column(0).to_numpy(), []
             for i, j, data, offsets in text_slices(batch.column(1)):
                 words = Words(data, offsets)
-                blocks = Blocks(words, width, kmer)
-                raw = data.tobytes()
-                digests = [hashlib.sha256(b" ".join(raw[a:b].split())).hexdigest() for a, b in zip(offsets, offsets[1:], strict=False)]  # bytes.split() has the same white space
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(words.first)), pa.array(digests), list_array(pa.array(long_array(blocks.anchor)), blocks.per_text)], ["id", "n_words", "kept_sha256", "anchors"])
+                b = Blocks(words, width, kmer)
+                parts.append((b.anchor, b.content(), ids[i:j][b.text], b.start - words.first[b.text], b.count))
+            entries = Entries(*[np.concatenate(x) for x in zip(*parts, strict=True)]) if parts else None
+            if entries is None or not len(entries.ids):
+                continue
+            place = np.cumsum(entries.new)  # which content of its anchor in this batch
+            place = place - np.maximum.accumulate(np.where(entries.new_first, place, 0))
+            opened = entries.new & (place >= HOT)
+            rows = [*entries.packed(entries.new & ~opened, entries.first, buckets)]
+            k = rows[0][0]  # of any bucket: they only pass through
+            rows.append(entries.settled(entries.later, k))
+            if opened.any():
+                zero = entries.settled(opened, k)
+                rows.append((*zero[:2], b"", b"open", *zero[4:]))
+            yield _rows(rows)
+
+    return texts.mapInArrow(run, _PACKED)
+
+
+def _settled_blocks(group: pa.Table) -> pa.Table:
+    opened = group.filter(pa.array([x == b"open" for x in group["second"].to_pylist()]))
+    group = group.filter(pa.array([x != b"open" for x in group["second"].to_pylist()]))
+    entries, *settled = _unpacked(group)
+    branching = entries.new & (entries.variants() > 1)
+    again = [(_unpack_ids(r["ids"], r["n"]), _wide(r["starts"]), _wide(r["counts"]), False) for r in opened.to_pylist()]
+    return _marks((*settled, True), *[(entries.ids[m], entries.start[m], entries.count[m], whole) for m, whole in ((entries.later, True), (branching, False))], *again)
+
+
+def _sent_windows(asked: DataFrame, width: int, buckets: int) -> DataFrame:
+    """Windows of the opened blocks of (id, packed text, blocks), packed and dealt by their hashes."""
 
-    return texts.mapInArrow(run, "id long, n_words long, kept_sha256 string, anchors array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, blocks, parts = batch.column(0).to_numpy(), _unzipped(batch.column(1)), batch.column(2).to_pylist(), []
+            for i, j, data, offsets in text_slices(texts):
+                words = Words(data, offsets)
+                text = np.concatenate([np.full(sum(x["count"] for x in own), k) for k, own in enumerate(blocks[i:j])])
+                start = np.concatenate([np.arange(x["start"], x["start"] + x["count"]) for own in blocks[i:j] for x in own])
+                at = words.first[text] + start
+                parts.append((Runs(words.hash).of(at, at + width), Runs(mix(words.hash ^ np.uint64(0x5851F42D4C957F2D))).of(at, at + width), ids[i:j][text], start, np.ones(len(at), np.int64)))
+            if parts:
+                entries = Entries(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+                rows = [*entries.packed(entries.new, entries.first, buckets)]
+                yield _rows([*rows, entries.settled(entries.later, rows[0][0])])
 
+    return asked.mapInArrow(run, _PACKED)
 
-BLOCK = "id long, block int, anchor long, content long, start long, count int, windows array<long>"
 
+def _settled_windows(group: pa.Table) -> pa.Table:
+    entries, *settled = _unpacked(group)
+    m = entries.later
+    return _marks((*settled, True), (entries.ids[m], entries.start[m], entries.count[m], True))
 
-def _blocks(flagged: DataFrame, width: int, kmer: int) -> DataFrame:
-    """The chosen blocks of (id, text, chosen block numbers)."""
+
+def _zipped(docs: DataFrame, text_col: str) -> DataFrame:
+    """The texts compressed, one by one: they move between machines twice."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
         for batch in batches:
-            chosen = batch.column("chosen").to_pylist()
-            for i, j, data, offsets in text_slices(batch.column("text")):
-                words = Words(data, offsets)
-                blocks = Blocks(words, width, kmer)
-                base = np.concatenate([[0], np.cumsum(blocks.per_text)])
-                lists = [np.array(sorted(x), np.int64) for x in chosen[i:j]]
-                at = np.concatenate([x + b for x, b in zip(lists, base[:-1], strict=True)])
-                sizes = [len(x) for x in lists]
-                hashes, counts = blocks.window_hashes(at)
-                text = np.repeat(np.arange(j - i), sizes)
-                ids = batch.column("id").slice(i, j - i).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(lists).astype(np.int32)), pa.array(long_array(blocks.anchor[at])), pa.array(long_array(blocks.contents()[at])), pa.array(blocks.start[at] - words.first[text]), pa.array(blocks.count[at].astype(np.int32)), list_array(pa.array(long_array(hashes)), counts)], ["id", "block", "anchor", "content", "start", "count", "windows"])
+            yield batch.set_column(at, text_col, pa.array([None if x is None else compress(x.encode()) for x in batch.column(at).to_pylist()], pa.binary()))
 
-    return flagged.select("id", "text", "chosen").mapInArrow(run, BLOCK)
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {'binary' if c == text_col else t}" for c, t in docs.dtypes))
 
 
-def _cut(marked: DataFrame, width: int, with_text: bool) -> DataFrame:
-    """Remove from (id, text, marks) the words that marked windows cover."""
+def _unzipped(packed: pa.Array) -> pa.Array:
+    decompress = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if x is None else decompress(x).decode() for x in packed.to_pylist()], pa.large_string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = batch.column("marks").to_pylist()
-            for i, j, data, offsets in text_slices(batch.column("text")):
-                words, raw, rows = Words(data, offsets, hashed=False), data.tobytes(), []
-                for k in range(j - i):
-                    a, b = int(words.first[k]), int(words.first[k + 1])
-                    edge = np.zeros(b - a + 1, np.int64)
-                    for mark in marks[i + k]:
-                        at = mark["start"] + np.flatnonzero([mark["bits"] >> x & 1 for x in range(mark["bits"].bit_length())])
-                        edge[at] += 1
-                        edge[at + width] -= 1
-                    keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0) + a
-                    text = b" ".join([raw[s:e] for s, e in zip(words.starts[keep], words.ends[keep], strict=True)])
-                    rows.append((b - a - len(keep), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None))
-                removed, digests, texts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["id", "n_removed", "cut_sha256", "cut_text"])
-
-    return marked.select("id", "text", "marks").mapInArrow(run, "id long, n_removed long, cut_sha256 string, cut_text string")
-
-
-def _first_windows(blocks: DataFrame) -> DataFrame:
-    """(anchor, content, doc, start, firsts) of each distinct block.
-
-    (doc, start) is its first occurrence. ``firsts`` holds, where the anchor has other contents, the first
-    occurrence of each of its windows in any of them, else null.
-    """
-    distinct = materialise(blocks.groupBy("anchor", "content").agg(F.min(F.struct("id", "start")).alias("at"), F.first("windows").alias("windows")))
-    branching = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    opened = distinct.join(branching, "anchor").select("anchor", "content", F.col("at.id").alias("doc"), "at.start", F.posexplode("windows").alias("i", "window"))
-    firsts = opened.groupBy("anchor", "window").agg(F.min(F.struct("doc", (F.col("start") + F.col("i")).alias("start"))).alias("first"))
-    listed = opened.join(firsts, ["anchor", "window"]).groupBy("anchor", "content").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("firsts"))  # as many as a block has windows, width - kmer + 1 at most
-    return distinct.join(listed, ["anchor", "content"], "left").select("anchor", "content", F.col("at.id").alias("doc"), F.col("at.start").alias("first_start"), "firsts")
 
+def window_marks(texts: DataFrame, zipped: DataFrame, width: int, kmer: int) -> DataFrame:
+    """(id, marks): for documents with repeated windows an array of (start, bits); bit i is that of the window at start + i."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    first = materialise(_sent_blocks(texts, width, kmer, buckets).groupBy("bucket").applyInArrow(_settled_blocks, _MARK))
+    opened = first.where("bits = 0").groupBy("id").agg(F.collect_list(F.struct("start", "count")).alias("blocks"))
+    second = _sent_windows(zipped.select("id", "text").join(opened, "id"), width, buckets).groupBy("bucket").applyInArrow(_settled_windows, _MARK)
+    found = first.where("bits != 0").select("id", "start", "bits").unionByName(second.select("id", "start", "bits"))
+    return found.groupBy("id").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What is known of all texts, and where they have repeated windows.
 
-    The first result has (id, n_words, kept_sha256, anchors) for all rows, the second (id, text, marks) for
-    the rows with a marked window: an array of (start, bits), bit i set if the window at word start + i
-    also starts earlier. Rows are told apart by id alone: ids are taken to be unique.
-    """
+def _cut(data: np.ndarray, words: Words, marks: list[list[dict] | None], width: int) -> Iterator[tuple[int, int, bytes]]:
+    """For each text: its number of words, of removed ones, and the kept words joined by one space."""
+    raw = data.tobytes()
+    for k, own in enumerate(marks):
+        a, b = int(words.first[k]), int(words.first[k + 1])
+        keep = np.arange(a, b)
+        if own:
+            start, bits = np.array([m["start"] for m in own]), np.array([m["bits"] for m in own])
+            row, bit = np.nonzero(bits[:, None] >> np.arange(31) & 1)
+            edge = np.zeros(b - a + width + 1, np.int64)
+            np.add.at(edge, start[row] + bit, 1)
+            np.add.at(edge, start[row] + bit + width, -1)
+            keep = keep[np.cumsum(edge)[: b - a] == 0]
+        yield b - a, b - a - len(keep), b" ".join([raw[s:e] for s, e in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
+
+
+def _prepared(docs: DataFrame, width: int, kmer: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows with an id, after a check of the widths."""
     if not kmer <= width <= kmer + 30:
         raise ValueError("a block's windows must fit the bits of an int: kmer <= width <= kmer + 30")
     arrow_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = materialise(_anchors(texts, width, kmer))
-    anchored = own.where("id is not null").select("id", F.posexplode("anchors").alias("block", "anchor"))
-    repeated = anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    chosen = anchored.join(repeated, "anchor").groupBy("id").agg(F.collect_list("block").alias("chosen"))
-    flagged = materialise(texts.join(chosen, "id"))
-    blocks = materialise(_blocks(flagged, width, kmer))
-    earlier = F.when(F.col("firsts").isNull(), F.when(F.struct("doc", "first_start") < F.struct("id", "start"), F.call_function("shiftleft", F.lit(1), F.col("count")) - 1).otherwise(0)).otherwise(
-        F.aggregate("firsts", F.lit(0), lambda bits, x: bits + F.when(F.struct(x["first"]["doc"], x["first"]["start"]) < F.struct(F.col("id"), F.col("start") + x["i"]), F.call_function("shiftleft", F.lit(1), x["i"])).otherwise(0))
-    )
-    marks = blocks.select("id", "start", "count", "anchor", "content").join(_first_windows(blocks), ["anchor", "content"]).withColumn("bits", earlier).where("bits != 0")
-    marked = flagged.select("id", "text").join(marks.groupBy("id").agg(F.collect_list(F.struct("start", "bits")).alias("marks")), "id")
-    return own, marked
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def substring_dedup_digests(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,22 +281,46 @@ def substring_dedup_digests(docs: DataFrame, width: int = WIDTH, kmer: int = KME
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; earlier means a smaller id, or the same document and an
     earlier start. Returns id, n_words, n_removed and the digest of the kept words joined by one space. A
     null or empty text has no words; a text of fewer than ``width`` words loses none; a row without id is
-    left as it is; an empty table gives an empty result; other columns are ignored.
+    left as it is; rows that repeat an id are one document, whose equal places are no repeats of each
+    other; an empty table gives an empty result; other columns are ignored.
     """
-    own, marked = repeated_windows(docs, width, kmer, id_col, text_col)
-    return own.drop("anchors").join(_cut(marked, width, False).drop("cut_text"), "id", "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
+    texts = _prepared(docs, width, kmer, id_col, text_col)
+    zipped = _zipped(texts, "text")
+    marked = zipped.join(window_marks(texts.where("id is not null"), zipped, width, kmer), "id", "left").select("id", "text", "marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = batch.column(2).to_pylist()
+            for i, j, data, offsets in text_slices(_unzipped(batch.column(1))):
+                n, removed, kept = zip(*_cut(data, Words(data, offsets, hashed=False), marks[i:j], width), strict=True)
+                digests = [hashlib.sha256(x).hexdigest() for x in kept]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], ["id", "n_words", "n_removed", "kept_sha256"])
+
+    return marked.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages removed from its texts; texts that lose nothing stay as they are.
+    """``docs``, all columns, with repeated passages removed from its texts.
 
-    All columns of ``docs`` are kept. A text that loses words becomes its kept words joined by one space,
-    the empty text if none is kept.
+    A text that loses words becomes its kept words joined by one space, the empty text if none is kept; the
+    others stay as they are, and so do rows without id.
     """
-    _, marked = repeated_windows(docs, width, kmer, id_col, text_col)
-    cut = _cut(marked, width, True).select(F.col("id").alias("__cut_id"), F.col("cut_text").alias("__cut_text"))
-    names = docs.columns
-    return docs.join(cut, F.col(id_col).cast("long") == F.col("__cut_id"), "left").withColumn(text_col, F.coalesce("__cut_text", text_col)).select(*names)
+    texts = _prepared(docs, width, kmer, id_col, text_col)
+    marks = window_marks(texts.where("id is not null"), _zipped(texts, "text"), width, kmer).select(F.col("id").alias("__id"), F.col("marks").alias("__marks"))
+    names, at = docs.columns, docs.columns.index(text_col)
+    marked = _zipped(docs, text_col).join(marks, F.col(id_col).cast("long") == F.col("__id"), "left").select(*names, "__marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, texts = batch.column(len(names)).to_pylist(), _unzipped(batch.column(at))
+            out = texts.to_pylist()
+            touched = [k for k, m in enumerate(marks) if m]
+            for i, j, data, offsets in text_slices(texts.take(pa.array(touched, pa.int64()))):
+                for k, (_, _, kept) in zip(touched[i:j], _cut(data, Words(data, offsets, hashed=False), [marks[k] for k in touched[i:j]], width), strict=True):
+                    out[k] = kept.decode()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : len(names)]], names)
+
+    return marked.mapInArrow(run, docs.schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
