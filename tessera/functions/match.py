@@ -11,12 +11,16 @@ from .text import WILDCARD, content, template_tokens, tokens, wildcard_count
 def _pattern(template: Column, wildcard: str) -> Column:
     t = F.regexp_replace(content(template), "<.{1,5}>", WILDCARD)
     escaped = F.regexp_replace(t, "([^A-Za-z0-9])", r"\\$1")
-    spaced = F.regexp_replace(escaped, r"(\\ )+", r"\\s+")
-    return F.concat(F.lit("(?s)^"), F.replace(spaced, F.lit(r"\<\*\>"), F.lit(wildcard)), F.lit("$"))
+    spaced = F.regexp_replace(escaped, r"\\ +", r"\\s+")
+    return F.concat(F.lit("(?d)^"), F.replace(spaced, F.lit(r"\<\*\>"), F.lit(wildcard)), F.lit("$"))
 
 
 def pattern(template: Column) -> Column:
-    """The regular expression of a template; `<` and up to five characters and `>` is a wildcard too."""
+    """The regular expression of a template.
+
+    `<` and up to five characters and `>` is a wildcard too, and so, together, are two wildcards with a space
+    between. Every space stands for white space of any length. Only line feeds end a line.
+    """
     return _pattern(template, ".*?")
 
 
@@ -36,7 +40,7 @@ def end_tokens_fit(line_tokens: Column, parts: Column) -> Column:
         mine, other = F.try_element_at(parts, F.lit(k)), F.try_element_at(line_tokens, F.lit(k))
         return F.contains(mine, F.lit(WILDCARD)) | (mine == other)
 
-    return F.coalesce(fits(1) & fits(-1), F.lit(False))
+    return (F.size(line_tokens) > 0) & (F.size(parts) > 0) & F.coalesce(fits(1) & fits(-1), F.lit(False))
 
 
 def matches_guarded(line: Column, template: Column) -> Column:
@@ -56,7 +60,7 @@ def matches_with_constants(line: Column, template: Column) -> Column:
 def is_abstract(line: Column, template: Column) -> Column:
     """Whether the template, each wildcard one run of non-space characters, covers the line."""
     escaped = F.regexp_replace(content(template), "([^A-Za-z0-9])", r"\\$1")
-    spaced = F.regexp_replace(escaped, r"(\\ )+", r"\\s+")
+    spaced = F.regexp_replace(escaped, r"\\ +", r"\\s+")
     return F.rlike(content(line), F.concat(F.lit("^"), F.replace(spaced, F.lit(r"\<\*\>"), F.lit(r"(\S+?)")), F.lit("$")))
 
 
