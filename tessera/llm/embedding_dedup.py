@@ -23,7 +23,7 @@ from .components import connected_components
 from .jaccard_join import roots
 from .kernels import arrow_batches, materialise, table
 
-#: Vectors that a cell is meant to have, the most pivots (their size bounds what goes to all tasks), and
+#: Vectors of one label that a cell is meant to have, the most pivots (their size bounds what goes to all tasks), and
 #: the rows of a chunk that one block compares with another chunk.
 CELL, MAX_PIVOTS, CHUNK = 4096, 256, 2048
 
@@ -90,7 +90,7 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, id_col: st
     classes = materialise(rows.where("sound").groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding")))
     flat = classes.select(F.col("rep").alias("id"), "label", "weight", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: x / F.array_max(F.transform("embedding", F.abs))).alias("embedding"))  # of length about 1: squares neither overflow nor vanish
 
-    counted = {r.dim: r.n for r in flat.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = {r.dim: r.n for r in flat.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()}  # a cell is of one label
     pivots = {dim: _units(pa.array([r.embedding for r in flat.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(max(1, min(max_pivots, n // cell))).collect()], pa.list_(pa.float64())), dim) for dim, n in counted.items()}
     shared = spark.sparkContext.broadcast(pivots)
     radii = {dim: np.full(len(p), -1.0) for dim, p in pivots.items()}
