@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .kernels import Runs, Words, arrow_batches, materialise, mix, table, text_slices, windows
 
 WIDTH, KMER = 20, 5
-#: Blocks of different content that a batch of documents sends under one anchor.
+#: Blocks of different content that a batch of documents sends under one anchor; two at least, so that their
+#: bucket sees that the anchor branches.
 HOT = 16
 #: Bytes of text whose entries meet in one bucket, about.
 BUCKET_BYTES = 16 << 20
