@@ -12,9 +12,10 @@ from .fingerprints import op7_document_fingerprints
 from .jaccard_join import op9_ngram_jaccard_join
 from .language_id import op6_language_id
 from .license_scan import op1_license_scan
+from .oracles import ORACLE_SQL as ORACLE_SQL
 from .packing import op2_best_fit_packing
 from .substring_dedup import op5_substring_dedup
-from .tool_calls import OP10_SQL, op10_tool_call_linking
+from .tool_calls import op10_tool_call_linking
 from .url_filter import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,4 +30,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_tool_call_linking": op10_tool_call_linking,
 }
-ORACLE_SQL: dict[str, str] = {"op10_tool_call_linking": OP10_SQL}
