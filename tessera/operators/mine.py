@@ -32,24 +32,31 @@ def offline(sample: Column) -> Column:
     return aligned_template(F.transform(sample, lambda x: tokens(x)))
 
 
-def induced(samples: DataFrame, inducer: Inducer) -> DataFrame:
-    """(cid1, template): the answer, else the anchor normalised, else the anchor itself.
+def induced(samples: DataFrame, inducer: Inducer, query_patterns: tuple[str, ...] = ()) -> DataFrame:
+    """(cid1, template, sample, answer): the answer, else the anchor normalised, else the anchor itself.
 
     An answer counts if it is valid and covers the anchor, so each round labels a line at least.
+    ``query_patterns`` mask what the inducer sees, not the lines.
     """
-    anchor = F.col("anchor")
-    answers = samples.withColumn("answer", from_answer(inducer(F.col("sample")))).withColumn("own", from_answer(anchor))
+    anchor, asked = F.col("anchor"), F.transform(F.col("sample"), lambda x: mask(x, query_patterns))
+    answers = samples.withColumn("answer", from_answer(inducer(asked))).withColumn("own", from_answer(anchor))
 
     def good(t: Column) -> Column:
         return is_valid_template(t) & matches_guarded(anchor, t)
 
-    return answers.select("cid1", F.when(good(F.col("answer")), F.col("answer")).when(good(F.col("own")), F.col("own")).otherwise(anchor).alias("template"))
+    return answers.select("cid1", F.when(good(F.col("answer")), F.col("answer")).when(good(F.col("own")), F.col("own")).otherwise(anchor).alias("template"), "sample", "answer")
 
 
-def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None) -> DataFrame:
-    """Label each line of (line_id, content) with a template: (line_id, content, template, event_id).
+def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = ()) -> DataFrame:
+    """Label each line of (line_id, content) with a template; see ``mine_with_trace``."""
+    return mine_with_trace(lines, patterns, k, min_size, inducer, seed, query_patterns)[0]
 
-    ``patterns`` mask values first. A null line counts as empty; blank lines and lines of more than fifty
+
+def mine_with_trace(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Labelled lines (line_id, content, template, event_id), and a trace (iter, cid1, sample, answer, template) of each induction.
+
+    ``patterns`` mask values first, in the lines themselves; ``query_patterns`` only in what the inducer
+    sees. A null line counts as empty; blank lines and lines of more than fifty
     wildcards are templates of their own; equal lines have equal templates; an empty table gives an empty
     result.
     """
@@ -58,10 +65,12 @@ def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TO
     odd = (F.col("n_tokens") == 0) | (wildcard_count(F.col("content")) > 50)
     labelled = clustered.where(odd).select("content", "cid1", F.col("content").alias("template"))
     pending = clustered.where(~odd)
-    known, seq = None, 0
+    known, seq, steps = None, 0, []
     while pending.limit(1).count():
         picked = pending.join(largest_clusters(pending), ["cid1", "cid2"])
-        new = keep(induced(contrast_samples(picked, seed=seed), inducer))
+        asked = keep(induced(contrast_samples(picked, seed=seed), inducer, query_patterns).withColumn("iter", F.lit(seq)))
+        steps.append(asked)
+        new = asked.select("cid1", "template")
         final = new.select("cid1", "template", F.lit(None).cast("string").alias("old"), F.col("template").alias("merged"))
         if known is not None:
             near = most_similar(new, known).where(may_merge(F.col("template"), F.col("old"))).withColumn("merged", merge_templates(F.col("template"), F.col("old"))).where((F.size(template_tokens(F.col("template"))) > 1) & F.col("merged").isNotNull())
@@ -77,4 +86,7 @@ def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TO
         known = keep((rest.unionByName(added) if rest is not None else added).groupBy("cid1", "template").agg(F.min("seq").alias("seq")))
         pending = keep(pending.join(labelled.select("content", "cid1"), ["content", "cid1"], "left_anti"))
         seq += 1
-    return event_ids(masked.join(labelled.select("content", "template"), "content")).select("line_id", "content", "template", "event_id")
+    trace = lines.sparkSession.createDataFrame([], "iter int, cid1 int, sample array<string>, answer string, template string")
+    for step in steps:
+        trace = trace.unionByName(step.select("iter", "cid1", "sample", "answer", "template"))
+    return event_ids(masked.join(labelled.select("content", "template"), "content")).select("line_id", "content", "template", "event_id"), trace

@@ -282,7 +282,7 @@ def log_template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round: the template of each cluster, and the lines that it covers."""
     clustered = keep(_clustered(spark, sf_dir))
     found = mine.induced(sampling.contrast_samples(clustered), mine.offline)
-    return matching.match_templates(clustered, found.distinct(), ("cid1",)).groupBy("template").agg(F.sum("weight").alias("n_lines"))
+    return matching.match_templates(clustered, found.select("cid1", "template").distinct(), ("cid1",)).groupBy("template").agg(F.sum("weight").alias("n_lines"))
 
 
 QUERIES: dict[str, Query] = {

@@ -74,6 +74,14 @@ def test_mining_round_trip(spark):
     assert first.event_id == "E1"
 
 
+def test_mining_trace_and_masked_queries(spark):
+    lines = lines_of(spark, [f"node n{k} up" for k in range(30)] + ["static text here"] * 3)
+    labelled, trace = mine.mine_with_trace(lines, min_size=5, query_patterns=(r"n\d+",))
+    assert {r.template for r in labelled.collect()} == {"node <*> up", "static text here"}
+    steps = trace.orderBy("iter").collect()
+    assert steps[0].sample[0] == "node n10 up" and steps[0].template == "node <*> up" and [r.iter for r in steps] == sorted(r.iter for r in steps)
+
+
 def test_sampling(spark):
     texts = [f"job {k} of queue {k % 7} done by host{k}" for k in range(60)]
     clustered = cluster.cluster_lines(lines_of(spark, texts), 3, 5)
