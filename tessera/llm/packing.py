@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .bpe import byte_characters
 from .kernels import arrow_batches, materialise, table
 
+#: Pieces of one length, about, that one task ranks.
+BUCKET_ROWS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -127,7 +129,7 @@ def plan_slots(histogram: dict[int, int], max_len: int) -> list[tuple[int, int,
     return slots
 
 
-def ranked(pieces: DataFrame, buckets: int = 64) -> DataFrame:
+def ranked(pieces: DataFrame, buckets: int) -> DataFrame:
     """Add ``rank``, from 0 within each length, without gathering a length in one task.
 
     Pieces are ranked within hash buckets of a length; the buckets' counts, ``buckets`` rows for each
@@ -152,7 +154,7 @@ def best_fit_packing(docs: DataFrame, path: str, max_len: int = 1024, end_id: in
     pieces = materialise(token_pieces(docs, path, max_len, end_id, id_col, text_col))
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.createDataFrame(plan_slots(histogram, max_len), "length long, first_rank long, end_rank long, first_sequence long, offset long")
-    placed = ranked(pieces).alias("p").join(F.broadcast(plan.alias("s")), (F.col("p.length") == F.col("s.length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
+    placed = ranked(pieces, max(64, max(histogram.values(), default=0) // BUCKET_ROWS)).alias("p").join(F.broadcast(plan.alias("s")), (F.col("p.length") == F.col("s.length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
     return placed.select("doc_id", "piece", "start", "p.length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
 
 
