@@ -85,6 +85,33 @@ def _ranges(ids: DataFrame, parts: int) -> list[int]:
     return sorted(set(found or []))
 
 
+def _part_of(cuts: np.ndarray):
+    """(part, key): ranges in descending order of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = len(cuts) - np.searchsorted(cuts, batch.column(0).to_numpy(), "left")
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0)], ["part", "key"])
+
+    return run
+
+
+def _with_copies(cuts: np.ndarray, before: dict[int, int]):
+    """Rows (id, text, key) with their part; the first of each range once more, for the range before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            part = len(cuts) - np.searchsorted(cuts, key, "left")
+            first = [k for k, x in enumerate(key.tolist()) if x in before]
+            row = np.concatenate([np.arange(len(key)), np.array(first, np.int64)])
+            part = np.concatenate([part, [before[int(key[k])] for k in first]]).astype(np.int32)
+            kept = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.arange(len(row)) >= len(key)), *[kept.column(c) for c in ("key", "id", "text")]], ["part", "copy", "key", "id", "text"])
+
+    return run
+
+
 def edited_fingerprints(docs: DataFrame, n: int = WORDS, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprints of texts and of their edited texts.
 
@@ -103,17 +130,14 @@ def edited_fingerprints(docs: DataFrame, n: int = WORDS, size: int = SIZE, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     key = F.coalesce("id", F.lit(-(1 << 63)))
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = _ranges(rows.select(key.alias("id")), parts)
-    ranged = F.lit(len(cuts)) - F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < key))
-    placed = rows.withColumn("part", ranged)
-    heads = sorted((r.part, r.head) for r in placed.groupBy("part").agg(F.max(key).alias("head")).collect())
-    present = [p for p, _ in heads]
-    before = {head: present[k - 1] for k, (p, head) in enumerate(heads)}  # of the first range, the last
+    cuts = np.array(_ranges(rows.select(key.alias("id")), parts), np.int64)
+    heads = sorted((r.part, r.head) for r in rows.select(key.alias("key")).mapInArrow(_part_of(cuts), "part int, key long").groupBy("part").agg(F.max("key").alias("head")).collect())
     if not heads:
         return spark.createDataFrame([], f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    copies = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[key]
-    copied = placed.where(key.isin(list(before))).withColumn("part", copies).withColumn("copy", F.lit(True))
-    dealt = placed.withColumn("copy", F.lit(False)).unionByName(copied).repartition(len(present), "part").sortWithinPartitions("part", "copy", key.desc(), "text")
+    present = [p for p, _ in heads]
+    before = {head: present[k - 1] for k, (p, head) in enumerate(heads)}  # of the first range, the last
+    placed = rows.withColumn("key", key).mapInArrow(_with_copies(cuts, before), "part int, copy boolean, key long, id long, text string")
+    dealt = placed.repartition(len(present), "part").sortWithinPartitions("part", "copy", F.desc("key"), "text")
 
     def finish(held: list[tuple], follows: str) -> Iterator[pa.RecordBatch]:
         if not held:
