@@ -16,18 +16,19 @@ def _mark(edges: DataFrame) -> tuple[int, int | None]:
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root) for every node with an edge to another; root is the smallest node of its component.
 
-    Each step is a join of the edges with the smallest neighbour of their node; a step's edges are written
-    to the shared folder, so a lost executor costs one step. Loops, repeated edges and nulls are ignored.
-    A hot node is split by adaptive skew joins; the smallest neighbours are partially aggregated.
+    Each step is a join of the edges with the smallest neighbour of their node; edges and neighbours are
+    written to the shared folder, so a lost executor costs one step. Loops, repeated edges and nulls are
+    ignored. The neighbours are partially aggregated and stand by themselves in the join, so that adaptive
+    execution can split the edges of a hot node.
     """
     u, v = F.col(left).cast("long"), F.col(right).cast("long")
     now = materialise(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = materialise(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = materialise(small)
         mark, before = _mark(now), mark
