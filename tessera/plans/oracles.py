@@ -52,7 +52,7 @@ po as (select * from (select *, row_number() over (partition by cid2, sim order
 #: Lines with templates of as many tokens that cover them: table m.
 _MATCHED = rf"""
 with l as ({LOG_EVENTS}),
-t as (select template, {_tokens('template')} as tt, concat('^', replace(regexp_replace(regexp_replace(template, '([^A-Za-z0-9])', '\\\1', 'g'), '(\\ )+', '\\s+', 'g'), '\<\*\>', '(.*?)'), '$') as pat
+t as (select template, {_tokens('template')} as tt, concat('^', replace(regexp_replace(regexp_replace(regexp_replace(template, '<.{{1,5}}>', '<*>', 'g'), '([^A-Za-z0-9])', '\\\1', 'g'), '\\ +', '\\s+', 'g'), '\<\*\>', '(.*?)'), '$') as pat
       from (values {TEMPLATE_VALUES}) v(template)),
 ll as (select *, {_tokens('content')} as lt from l),
 m as (select line_id, content, template, pat, tt, lt from ll join t on len(lt) = len(tt)
@@ -119,6 +119,9 @@ def _common(x: str) -> str:
 
 _CUSTOMER = "select c_custkey, case c_custkey % 6 when 0 then c_name when 1 then concat('10.0.', cast(c_custkey % 300 as string), '.7') when 2 then concat(cast(c_custkey % 14 as string), ':05 PM') when 3 then concat('+4930', cast(c_custkey as string)) when 4 then concat('2024-', cast(10 + c_custkey % 5 as string), '-11') else concat('www.shop', cast(c_custkey as string), '.com/x 0x1F') end as s from customer"
 _LETTERS = "select a.n_name as x, b.n_name as y from nation a join nation b on a.n_regionkey = b.n_regionkey"
+#: What mining makes of the kinds of events, by construction of the lines: a value and what hangs on it is a wildcard.
+_MINED = """select event_id as line_id, case event_type when 'error' then 'Request from user <*> failed with value <*> props {"k": <*>' when 'click' then 'User <*> clicked item, payload={"k": <*>'
+  when 'view' then 'Rendered page for <*> in <*> ms' else concat('Handled ', event_type, ' event <*> ok') end as template from events"""
 _VARIABLE = "regexp_matches(replace(content, '<*>', ''), '[^ A-Za-z!]')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -177,4 +180,16 @@ ORACLE_SQL: dict[str, str] = {
     "group_errors": _ALL
     + ", x as (select parsed, count(*) as groups, bool_and(complete) as complete from (select *, n = sum(n) over (partition by gt) as complete from cells) group by 1) "
     + "select parsed, case when groups = 1 and complete then 'accurate' when groups = 1 then 'over' when complete then 'under' else 'mixed' end as kind from x",
+    "extract_params": _MATCHED
+    + """, x as (select *, (length(pat) - length(replace(pat, '(.*?)', ''))) // 5 as n from m)
+      select line_id, template, concat_ws(' | ', regexp_extract(content, pat, 1), case when n > 1 then regexp_extract(content, pat, 2) end, case when n > 2 then regexp_extract(content, pat, 3) end, case when n > 3 then regexp_extract(content, pat, 4) end) as params from x""",
+    "merge_pairs": """select * from (values ('open file /a/b1 now', 'open file /a/c2 now', 'open file /a/<*> now', true), ('open file x now', 'open file y now', null, true), ('read a1 from b2', 'read c3 to d4', null, false),
+      ('a b c d e f g h i j k1 l1', 'a b c d e f g h i j k2 l2', 'a b c d e f g h i j <*>', true), ('user root: in', 'user admin: in', null, true), ('call f() ok', 'call g() ok', null, true), ('ERR A now', 'ERR B now', 'ERR <*> now', true),
+      ('one two', 'one two three', null, true), ('same text', 'same text', 'same text', true), ('id=<*> ok', 'id=7 ok', 'id=<*> ok', true)) v(x, y, merged, by_distance)""",
+    "merge_gates": """select * from (values ('open file /a/b1 now', 'open file /a/c2 now', true, false), ('open file x now', 'open file y now', true, false), ('read a1 from b2', 'read c3 to d4', false, false),
+      ('a b c d e f g h i j k1 l1', 'a b c d e f g h i j k2 l2', true, true), ('user root: in', 'user admin: in', true, false), ('call f() ok', 'call g() ok', true, false), ('ERR A now', 'ERR B now', true, false),
+      ('one two', 'one two three', false, false), ('same text', 'same text', true, true), ('id=<*> ok', 'id=7 ok', true, false)) v(x, y, may_merge, by_share)""",
+    "log_template_counts": f"select template, count(*) as n_lines from ({_MINED}) group by 1",
+    "mine_templates": f"with m as ({_MINED}), e as (select template, concat('E', row_number() over (order by min(line_id))) as event_id from m group by 1) select line_id, template, event_id from m join e using (template)",
+    "mined_quality": "select 1.0::double as GA, 1.0::double as PGA, 1.0::double as RGA, 1.0::double as FGA",
 }
