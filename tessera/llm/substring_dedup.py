@@ -22,7 +22,7 @@ two blocks or windows are equal only if two of them are.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -241,13 +241,23 @@ def _unzipped(packed: pa.Array) -> pa.Array:
     return pa.array([None if x is None else decompress(x).decode() for x in packed.to_pylist()], pa.large_string())
 
 
+def _dealt(packed: DataFrame, buckets: int, settle: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Every bucket in a partition of its own, settled as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := list(batches):
+            yield from settle(pa.Table.from_batches(rows)).to_batches()
+
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _MARK)
+
+
 def window_marks(texts: DataFrame, zipped: DataFrame, width: int, kmer: int) -> DataFrame:
     """(id, marks): for documents with repeated windows an array of (start, bits); bit i is that of the window at start + i."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    first = materialise(_sent_blocks(texts, width, kmer, buckets).groupBy("bucket").applyInArrow(_settled_blocks, _MARK))
+    first = materialise(_dealt(_sent_blocks(texts, width, kmer, buckets), buckets, _settled_blocks))
     opened = first.where("bits = 0").groupBy("id").agg(F.collect_list(F.struct("start", "count")).alias("blocks"))
-    second = _sent_windows(zipped.select("id", "text").join(opened, "id"), width, buckets).groupBy("bucket").applyInArrow(_settled_windows, _MARK)
+    second = _dealt(_sent_windows(zipped.select("id", "text").join(opened, "id"), width, buckets), buckets, _settled_windows)
     found = first.where("bits != 0").select("id", "start", "bits").unionByName(second.select("id", "start", "bits"))
     return found.groupBy("id").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
 
