@@ -179,7 +179,7 @@ def _sent_blocks(texts: DataFrame, width: int, kmer: int, buckets: int) -> DataF
             place = place - np.maximum.accumulate(np.where(entries.new_first, place, 0))
             opened = entries.new & (place >= HOT)
             rows = [*entries.packed(entries.new & ~opened, entries.first, buckets)]
-            k = rows[0][0]  # of any bucket: they only pass through
+            k = rows[int(entries.ids[0]) % len(rows)][0]  # of any bucket: they only pass through
             rows.append(entries.settled(entries.later, k))
             if opened.any():
                 zero = entries.settled(opened, k)
@@ -213,7 +213,7 @@ def _sent_windows(asked: DataFrame, width: int, buckets: int) -> DataFrame:
             if parts:
                 entries = Entries(*[np.concatenate(x) for x in zip(*parts, strict=True)])
                 rows = [*entries.packed(entries.new, entries.first, buckets)]
-                yield _rows([*rows, entries.settled(entries.later, rows[0][0])])
+                yield _rows([*rows, entries.settled(entries.later, rows[int(entries.ids[0]) % len(rows)][0])])
 
     return asked.mapInArrow(run, _PACKED)
 
