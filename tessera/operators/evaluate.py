@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize
+from ..functions.similarity import token_similarity
+from ..functions.text import message_tokens
 
 
 def contingency(pairs: DataFrame) -> DataFrame:
@@ -89,3 +91,9 @@ def group_errors(table: DataFrame) -> DataFrame:
     cells = table.withColumn("complete", F.col("n") == gt_total)
     kinds = cells.groupBy("parsed").agg(F.count(F.lit(1)).alias("groups"), F.bool_and("complete").alias("complete"))
     return kinds.select("parsed", F.when((F.col("groups") == 1) & F.col("complete"), "accurate").when(F.col("groups") == 1, "over").when(F.col("complete"), "under").otherwise("mixed").alias("kind"))
+
+
+def similarity_accuracy(table: DataFrame) -> DataFrame:
+    """(SA): mean token similarity of labelled and parsed templates, over lines."""
+    sim = token_similarity(message_tokens(F.col("gt")), message_tokens(F.col("parsed")))
+    return table.agg(F.coalesce(F.sum(sim * F.col("n")) / F.sum("n"), F.lit(0.0)).alias("SA"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.match import constant_length, end_tokens_fit, matches, parameters, pattern
+from ..functions.normalize import normalize_legacy
 from ..functions.text import tokens
 
 
@@ -55,3 +56,45 @@ def event_ids(labelled: DataFrame) -> DataFrame:
 def template_table(labelled: DataFrame) -> DataFrame:
     """(event_id, template, occurrences), to be sorted by the number in event_id."""
     return labelled.groupBy("event_id", "template").agg(F.count(F.lit(1)).alias("occurrences")).orderBy(F.regexp_extract("event_id", r"(\d+)", 1).cast("int"))
+
+
+def sort_templates(templates: DataFrame) -> DataFrame:
+    """Longer templates first, then by name: the order in which the first that covers a line is a specific one."""
+    return templates.orderBy(F.char_length("template").desc(), "template")
+
+
+def _natural(event_id: Column) -> Column:
+    """Letters, then the number: E3 before E10."""
+    return F.struct(F.regexp_extract(event_id, r"^(\D*)", 1), F.coalesce(F.expr("try_cast(regexp_extract(event_id, '([0-9]+)', 1) as bigint)"), F.lit(-1)), event_id)
+
+
+def correct_templates(templates: DataFrame, user_strings: tuple[str, ...] = ()) -> DataFrame:
+    """(event_ids, template) of (event_id, template): the older rules, and the ids, in natural order, that they make one."""
+    corrected = templates.select("event_id", normalize_legacy(F.col("template"), user_strings).alias("template"), _natural(F.col("event_id")).alias("place"))
+    lists = corrected.groupBy("template").agg(F.array_sort(F.collect_list(F.struct("place", "event_id"))).alias("ids"))  # as many as there are templates
+    return lists.select(F.transform("ids", lambda x: x["event_id"]).alias("event_ids"), "template")
+
+
+def apply_corrections(labelled: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Lines with the corrected template and the first id of its group; lines of other ids stay as they are."""
+    by_id = corrections.select(F.explode("event_ids").alias("event_id"), F.get("event_ids", 0).alias("__id"), F.col("template").alias("__template"))
+    joined = labelled.join(by_id, "event_id", "left")
+    return joined.withColumn("event_id", F.coalesce("__id", "event_id")).withColumn("template", F.coalesce("__template", "template")).select(labelled.columns)
+
+
+def label_by_content(lines: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Lines with the template of the last labelled line of equal content, null without one."""
+    last = labelled.groupBy("content").agg(F.max_by("template", "line_id").alias("template"))
+    return lines.join(last, "content", "left")
+
+
+def similarity_matrix(lines: DataFrame) -> DataFrame:
+    """(a, b, sim) for the pairs of (line_id, content) that share a token; the others have similarity 0.
+
+    Distinct contents meet by their tokens, so only pairs with something in common are made. It is meant
+    for templates and samples: where all share a token, the pairs are all pairs.
+    """
+    own = lines.groupBy("content").agg(F.min("line_id").alias("line_id")).select("line_id", F.array_distinct(tokens(F.col("content"))).alias("words"))
+    each = own.select("line_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    pairs = each.alias("x").join(each.alias("y"), F.expr("x.word = y.word and x.line_id < y.line_id")).groupBy(F.col("x.line_id").alias("a"), F.col("y.line_id").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("common"))
+    return pairs.select("a", "b", (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("sim"))

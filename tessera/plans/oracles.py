@@ -26,6 +26,14 @@ def _jaccard(a: str, b: str) -> str:
     return f"(cast(len(list_intersect({_set(a)}, {_set(b)})) as double) / len(list_distinct(list_concat({a}, {b}))))"
 
 
+def _message_tokens(x: str) -> str:
+    """Pieces between and of delimiters, without other punctuation; a piece with a wildcard is one; no two in a row."""
+    inner = r" ,!;:=|\"''\[\](){}.\-+@#$%&"
+    bare = r"regexp_replace(trim(t), '[!-''*-/:;<>?@\[-`{}~]', '', 'g')"
+    parts = f"list_filter(list_transform(regexp_extract_all({x}, '[{inner}]|[^{inner}]+'), lambda t: case when t like '%<*>%' then '<*>' else {bare} end), lambda t: t <> '')"
+    return f"list_filter({parts}, lambda t, k: t <> '<*>' or k = 1 or ({parts})[k - 1] <> '<*>')"
+
+
 #: Distinct lines of log_events with their clusters: table c, and the anchors: table an.
 _CLUSTERED = f"""
 with l as ({LOG_EVENTS}),
@@ -192,4 +200,13 @@ ORACLE_SQL: dict[str, str] = {
     "log_template_counts": f"select template, count(*) as n_lines from ({_MINED}) group by 1",
     "mine_templates": f"with m as ({_MINED}), e as (select template, concat('E', row_number() over (order by min(line_id))) as event_id from m group by 1) select line_id, template, event_id from m join e using (template)",
     "mined_quality": "select 1.0::double as GA, 1.0::double as PGA, 1.0::double as RGA, 1.0::double as FGA",
+    "similarity_accuracy": rf"""with gp as ({GT_PARSED}), c as (select gt, parsed, count(*) as n from gp group by 1, 2),
+      w as (select n, {_message_tokens('gt')} as a, {_message_tokens('parsed')} as b from c), i as (select *, len(list_intersect(list_distinct(a), list_distinct(b))) as i from w)
+      select round(sum(n * (cast(i as double) / (len(a) + len(b) - i))) / sum(n), 6) as SA from i""",
+    "corrected_templates": "select * from (values ('E1,E2', 'path <*> ok'), ('E3,E10', 'user <*> in'), ('E4', 'count <*> of <*>')) v(event_ids, template)",
+    "corrected_lines": """select case k when 'E2' then 'E1' else k end as event_id, case k when 'E1' then 'path <*> ok' when 'E2' then 'path <*> ok' when 'E3' then 'user <*> in' when 'E4' then 'count <*> of <*>' else t end as template, count(*) as n_lines
+      from (select concat('E', event_id % 6 + 1) as k, event_type as t from events) group by 1, 2""",
+    "similarity_matrix": f"""with t as (select template, {_tokens('template')} as w from (values {TEMPLATE_VALUES}) v(template)), p as (select a.template as x, b.template as y, {_jaccard('a.w', 'b.w')} as sim from t a join t b on a.template < b.template)
+      select x, y, round(sim, 6) as sim from p where sim > 0""",
+    "labels_by_content": "with l as (select event_type as content, concat(event_type, ' ', max(event_id)) as template from events where event_type <> 'view' group by 1) select content, template, count(*) as n_lines from (select event_type as content from events) left join l using (content) group by 1, 2",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import answers, match, merge, normalize, similarity, text
@@ -20,6 +21,7 @@ ANSWERS = (
     (1, "LogTemplate[1]: `User {id} logged in`\nLogTemplate[2]: `User {id} logged out`"), (2, "Sure!\nLogTemplate: `Read {n} bytes`\nno template"), (3, "Log template[2]: Disk {d} full\nLog template: a=`1`"),
     (4, "nothing here"), (5, "LogTemplate[1]: `x y`\nLogTemplate[2]: `x y`\nLogTemplate[3]: `x z`"),
 )
+CORRECTABLE = (("E1", "path /a/b ok"), ("E2", "path /c/d ok"), ("E10", "user root in"), ("E3", "user admin in"), ("E4", "count 15 of 20"))
 PAIRS = (
     ("open file /a/b1 now", "open file /a/c2 now"), ("open file x now", "open file y now"), ("read a1 from b2", "read c3 to d4"), ("a b c d e f g h i j k1 l1", "a b c d e f g h i j k2 l2"),
     ("user root: in", "user admin: in"), ("call f() ok", "call g() ok"), ("ERR A now", "ERR B now"), ("one two", "one two three"), ("same text", "same text"), ("id=<*> ok", "id=7 ok"),
@@ -267,6 +269,36 @@ def group_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.group_errors(_table(spark, sf_dir))
 
 
+def similarity_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measures(evaluate.similarity_accuracy(_table(spark, sf_dir)), "SA")
+
+
+def corrected_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.correct_templates(spark.createDataFrame(CORRECTABLE, "event_id string, template string"))
+    return found.select(F.array_join("event_ids", ",").alias("event_ids"), "template")
+
+
+def corrected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of event types under ids of their own, corrected."""
+    kinds = view(spark, sf_dir, "events", "select event_id as line_id, concat('E', cast(event_id % 6 + 1 as string)) as event_id, event_type as template from events")
+    corrections = matching.correct_templates(spark.createDataFrame(CORRECTABLE, "event_id string, template string"))
+    return matching.apply_corrections(kinds, corrections).groupBy("event_id", "template").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = templates(spark).withColumn("line_id", F.row_number().over(W.orderBy("template")).cast("long"))
+    names = rows.select("line_id", "template")
+    found = matching.similarity_matrix(rows.withColumnRenamed("template", "content"))
+    named = found.join(names.select(F.col("line_id").alias("a"), F.col("template").alias("x")), "a").join(names.select(F.col("line_id").alias("b"), F.col("template").alias("y")), "b")
+    return named.select("x", "y", _rounded("sim").alias("sim"))
+
+
+def labels_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = view(spark, sf_dir, "events", "select event_id as line_id, event_type as content from events")
+    labelled = lines.where("content != 'view'").withColumn("template", F.concat("content", F.lit(" "), F.col("line_id").cast("string")))
+    return matching.label_by_content(lines, labelled).groupBy("content", "template").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def mine_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.mine_templates(log_events(spark, sf_dir)).select("line_id", "template", "event_id")
 
@@ -292,6 +324,7 @@ QUERIES: dict[str, Query] = {
         *(adaptive_sample_size, jaccard_to_anchor, candidate_pool, contrast_best_pair, shared_words_top, first_lines_padded, hamming_words, edit_distance_words, common_subsequence_words, template_similarities),
         *(normalize_tokens, normalize_chains, normalize_pairs, template_checks, template_match, unmatched_lines, constant_match, extract_params, best_template, majority_template, parse_answers),
         *(merge_gates, merge_pairs, assign_event_ids, template_table, eval_ga, eval_pa, eval_fta, eval_complexity_slices, eval_frequency_slices, metric_summary, group_errors),
+        *(similarity_accuracy, corrected_templates, corrected_lines, similarity_matrix, labels_by_content),
         *(mine_templates, mined_quality, log_template_counts),
     )
 }

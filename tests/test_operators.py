@@ -174,3 +174,30 @@ def test_matching_joins(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_has_rows(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1
+
+
+def test_corrections(spark):
+    found = {tuple(r.event_ids): r.template for r in matching.correct_templates(spark.createDataFrame([("E10", "user root in"), ("E2", "user admin in"), ("E1", "count 5"), ("E7", None)], "event_id string, template string")).collect()}
+    assert found == {("E2", "E10"): "user <*> in", ("E1",): "count <*>", ("E7",): ""}
+    corrections = matching.correct_templates(spark.createDataFrame([("E10", "user root in"), ("E2", "user admin in")], "event_id string, template string"))
+    lines = spark.createDataFrame([(1, "E10", "user root in"), (2, "E5", "x"), (3, None, "y")], "line_id long, event_id string, template string")
+    assert {r.line_id: (r.event_id, r.template) for r in matching.apply_corrections(lines, corrections).collect()} == {1: ("E2", "user <*> in"), 2: ("E5", "x"), 3: (None, "y")}
+
+
+def test_labels_by_content_and_order(spark):
+    lines = lines_of(spark, ["a", "b", "a", "c"])
+    labelled = spark.createDataFrame([(0, "a", "old"), (2, "a", "new"), (1, "b", "b")], "line_id long, content string, template string")
+    assert {r.line_id: r.template for r in matching.label_by_content(lines, labelled).collect()} == {0: "new", 1: "b", 2: "new", 3: None}
+    assert [r.template for r in matching.sort_templates(spark.createDataFrame([("ab",), ("abc",), ("aa",)], "template string")).collect()] == ["abc", "aa", "ab"]
+
+
+def test_similarity_matrix_against_sets(spark):
+    texts = ["a b c", "b c d", "x", "a a", "x", ""]
+    got = {(r.a, r.b): r.sim for r in matching.similarity_matrix(lines_of(spark, texts)).collect()}
+    sets = {texts.index(t): set(t.split()) for t in texts}
+    assert got == {(i, j): pytest.approx(len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in sets for j in sets if i < j and sets[i] & sets[j]}
+
+
+def test_similarity_accuracy(spark):
+    table = evaluate.contingency(spark.createDataFrame([(1, "a <*>", "a <*>"), (2, "a b", "c d"), (3, "a b", "a d")], "line_id long, gt string, parsed string"))
+    assert evaluate.similarity_accuracy(table).first().SA == pytest.approx((1 + 0 + 1 / 3) / 3)
