@@ -168,11 +168,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     classes = materialise(own.where("id is not null and bands is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")))
 
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead")
+    shared = materialise(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead"))  # by itself, so that a hot band's rows can be split
     ties = banded.join(shared, "band").where("rep != lead").select("rep", "lead").distinct()
     tied = materialise(connected_components(ties, "rep", "lead"))
 
-    sized = tied.join(tied.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
+    sized = tied.join(materialise(tied.groupBy("root").agg(F.count(F.lit(1)).alias("size"))), "root").withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
     packs = max(1, tied.count() // PACK)
     members = sized.join(classes.select(F.col("rep").alias("node"), "weight"), "node").withColumnRenamed("node", "id")
     sets = with_sets(texts.join(members, "id").select("id", "text", "root", "weight", "chunks"), n, n_bands * rows)
@@ -206,7 +206,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     found = materialise(placed.groupBy("pack", "i", "j").applyInArrow(compare, "id long, links long, low long, whole boolean").where("links > 0"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     lows = found.where("whole").select(F.col("id").alias("node"), F.col("low").alias("root")).unionByName(connected_components(found.where("not whole"), "id", "low"))
-    resolved = links.join(lows.withColumnRenamed("node", "id"), "id").select(F.col("id").alias("class_id"), "links", "root")
+    resolved = materialise(links.join(lows.withColumnRenamed("node", "id"), "id").select(F.col("id").alias("class_id"), "links", "root"))
     named = own.join(classes.select("k1", "k2", "rep", "weight", F.lit(True).alias("real")), ["k1", "k2"], "left").select("id", F.when(F.col("id").isNotNull() & F.col("bands").isNotNull(), F.col("rep")).otherwise(F.col("id")).alias("class_id"), F.when(F.col("id").isNotNull() & F.col("bands").isNotNull(), F.col("weight")).otherwise(1).alias("weight"))
     return named.join(resolved, "class_id", "left").select(
         F.col("id").alias(id_col), "class_id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "class_id").alias("component_id"),
