@@ -31,7 +31,7 @@ def levels(calls: DataFrame) -> DataFrame:
 
     A parent that is no call counts as none. Where rows repeat an identifier, its smallest parent counts.
     """
-    named = calls.where("call_id is not null").groupBy("call_id").agg(F.min("parent_id").alias("parent_id"))
+    named = materialise(calls.where("call_id is not null").groupBy("call_id").agg(F.min("parent_id").alias("parent_id")))
     known = named.select(F.col("call_id").alias("parent_id"), F.lit(True).alias("known"))
     now = materialise(named.join(known, "parent_id", "left").select("call_id", F.when(F.col("known"), F.col("parent_id")).alias("above"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level")))
     left = now.where("above is not null").count()
