@@ -129,7 +129,7 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, id_col: st
 
     found = materialise(asked.unionByName(asking).groupBy("label", "dim", "cell", "a", "b").applyInArrow(compare, "id long, links long, low long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    resolved = links.join(connected_components(found, "id", "low").withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("rep"), "links", "root")
+    resolved = materialise(links.join(connected_components(found, "id", "low").withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("rep"), "links", "root"))
     named = rows.join(classes.select("label", "k1", "k2", "rep", "weight", F.lit(True).alias("sound")), ["label", "k1", "k2", "sound"], "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"))
     component = F.coalesce("root", "rep")
     return named.join(resolved, "rep", "left").select(F.col("id").alias(id_col), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
