@@ -15,7 +15,7 @@ from .license_scan import op1_license_scan
 from .oracles import ORACLE_SQL as ORACLE_SQL
 from .packing import op2_best_fit_packing
 from .substring_dedup import op5_substring_dedup
-from .tool_calls import op10_tool_call_linking
+from .tool_calls import op10_tool_call_linking, op10_tool_call_linking_every_turn
 from .url_filter import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,4 +29,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_tool_call_linking": op10_tool_call_linking,
+    "op10_tool_call_linking_every_turn": op10_tool_call_linking_every_turn,
 }

@@ -44,19 +44,28 @@ def levels(calls: DataFrame) -> DataFrame:
     return now.select("call_id", F.when(F.col("above").isNull(), F.col("level")).alias("level"))
 
 
-def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def written(rows: DataFrame) -> DataFrame:
+    """The rows that `link_tool_calls` returns, of the same with canonical arguments, content and contents."""
+    number = F.coalesce(F.col("level").cast("string"), F.lit("null"))
+    several = F.when(F.col("n_results") > 1, F.concat(F.lit(',"results":['), F.array_join(F.transform("contents", lambda x: quoted(x["content"])), ","), F.lit("]"))).otherwise("")
+    json = F.concat(F.lit('{"arguments":'), F.col("canonical"), F.lit(',"call_id":'), quoted(F.col("call_id")), F.lit(',"level":'), number, F.lit(',"name":'), quoted(F.col("name")), F.lit(',"parent_id":'), quoted(F.col("parent_id")), F.lit(',"result":'), quoted(F.col("content")), several, F.lit("}"))
+    return rows.select("call_id", "parent_id", "name", "level", "linked", "n_results", "errors", json.alias("json"))
+
+
+def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, unnamed: bool = False) -> DataFrame:
     """Link calls (call_id, parent_id, name, arguments as JSON) with results (call_id, content).
 
     ``schemas`` has a row (name, argument, type, required) for each argument of a tool. Returns one row for
     each call: call_id, parent_id, name, level, linked, n_results, errors (sorted) and json, and one for each
     identifier that has results but no call, with name and level null. errors: `unknown tool`, `not an object`
     (also null and malformed arguments), `missing x`, `type x`, `unknown x`. Of several results of a call, the
-    smallest content counts; a null content is a result. Calls without identifier link with nothing and have
-    level 0; calls that repeat one share its results and level. Further columns of the inputs are ignored;
-    empty inputs give empty results.
+    smallest content is the json's `result`, and its `results` has all, sorted; a null content is a result.
+    Calls without identifier link with nothing and have level 0; calls that repeat one share its results and
+    level. Results without identifier are left out, or, with ``unnamed``, a row each. Further columns of the
+    inputs are ignored; empty inputs give empty results.
     """
     calls = calls.select("call_id", "parent_id", "name", "arguments")
-    found = results.where("call_id is not null").groupBy("call_id").agg(F.count(F.lit(1)).alias("n_results"), F.min("content").alias("content"))
+    found = results.where("call_id is not null").groupBy("call_id").agg(F.count(F.lit(1)).alias("n_results"), F.min("content").alias("content"), F.sort_array(F.collect_list(F.struct("content"))).alias("contents"))  # as many as a call has results
     tools = schemas.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("argument", "type", "required"))).alias("wanted"))  # as many as a tool has arguments
     linked = calls.join(levels(calls), "call_id", "left").join(found.hint("shuffle_hash"), "call_id", "left").join(tools, "name", "left")
 
@@ -73,34 +82,68 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     errors = F.when(F.col("wanted").isNull(), F.array(F.lit("unknown tool"))).when(F.col("given").isNull(), F.array(F.lit("not an object"))).otherwise(F.sort_array(F.concat(F.filter(F.transform("wanted", problem), lambda x: x.isNotNull()), extra)))
     rows = linked.withColumn("given", given).withColumn("errors", errors).withColumn("canonical", F.coalesce(F.to_json(value), F.lit("null"))).withColumn("linked", F.col("n_results").isNotNull())
     rows = rows.withColumn("level", F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level")))
-    orphans = found.join(calls.select("call_id").where("call_id is not null").distinct(), "call_id", "left_anti").select(
-        "call_id", F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("level"), F.lit(False).alias("linked"), "n_results", F.array(F.lit("no call")).alias("errors"), F.lit("null").alias("canonical"), "content",
+    lone = found.join(calls.select("call_id").where("call_id is not null").distinct(), "call_id", "left_anti")
+    if unnamed:
+        lone = lone.unionByName(results.where("call_id is null").select("call_id", F.lit(1).cast("long").alias("n_results"), "content", F.array(F.struct("content")).alias("contents")))
+    orphans = lone.select(
+        "call_id", F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("level"), F.lit(False).alias("linked"), "n_results", F.array(F.lit("no call")).alias("errors"), F.lit("null").alias("canonical"), "content", "contents",
     )
-    every = rows.select("call_id", "parent_id", "name", "level", "linked", F.coalesce("n_results", F.lit(0)).alias("n_results"), "errors", "canonical", "content").unionByName(orphans)
-    number = F.coalesce(F.col("level").cast("string"), F.lit("null"))
-    json = F.concat(F.lit('{"arguments":'), F.col("canonical"), F.lit(',"call_id":'), quoted(F.col("call_id")), F.lit(',"level":'), number, F.lit(',"name":'), quoted(F.col("name")), F.lit(',"parent_id":'), quoted(F.col("parent_id")), F.lit(',"result":'), quoted(F.col("content")), F.lit("}"))
-    return every.select("call_id", "parent_id", "name", "level", "linked", "n_results", "errors", json.alias("json"))
+    every = rows.select("call_id", "parent_id", "name", "level", "linked", F.coalesce("n_results", F.lit(0)).alias("n_results"), "errors", "canonical", "content", "contents").unionByName(orphans)
+    return written(every)
+
 
+def turn_id(turn: Column) -> Column:
+    return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
 
-def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def calls_and_results(conversations: DataFrame, first: str = "turn = 0") -> tuple[DataFrame, DataFrame]:
     """Turns as tool calls: a user's turn calls `ask`, an assistant's turn is the result of the call one turn before.
 
-    The identifier is conversation and turn. A call's parent is the call two turns before it.
+    The identifier is conversation and turn. A call's parent is the call two turns before it. Turns of other
+    roles are neither: see `messages`. ``first`` says which calls have the argument first.
     """
+    turn = F.col("turn")
+    arguments = F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"), F.expr(first).alias("first")))
+    calls = conversations.where("role = 'user'").select(turn_id(turn).alias("call_id"), turn_id(turn - 2).alias("parent_id"), F.lit("ask").alias("name"), arguments.alias("arguments"))
+    return calls, conversations.where("role = 'assistant'").select(turn_id(turn - 1).alias("call_id"), F.col("text").alias("content"))
 
-    def name(turn: Column) -> Column:
-        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
 
-    turn = F.col("turn")
-    arguments = F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"), (F.col("turn") == 0).alias("first")))
-    calls = conversations.where("role = 'user'").select(name(turn).alias("call_id"), name(turn - 2).alias("parent_id"), F.lit("ask").alias("name"), arguments.alias("arguments"))
-    return calls, conversations.where("role = 'assistant'").select(name(turn - 1).alias("call_id"), F.col("text").alias("content"))
+def messages(conversations: DataFrame) -> DataFrame:
+    """Turns that neither call nor answer (of system, unknown and null roles) as rows of `link_tool_calls`.
+
+    Their name is `message`, with role, text and turn as arguments; they have no level and link with nothing.
+    """
+    rows = conversations.where("role is null or role not in ('user', 'assistant')")
+    arguments = F.to_json(F.parse_json(F.to_json(F.struct("role", "text", "turn"))))
+    none = F.lit(None).cast("string")
+    return written(rows.select(
+        turn_id(F.col("turn")).alias("call_id"), none.alias("parent_id"), F.lit("message").alias("name"), F.lit(None).cast("long").alias("level"), F.lit(False).alias("linked"), F.lit(0).cast("long").alias("n_results"),
+        F.array().cast("array<string>").alias("errors"), arguments.alias("canonical"), none.alias("content"), F.array(F.struct(none.alias("content"))).alias("contents"),
+    ))
+
+
+def every_turn(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
+    """All turns: calls with their results, results without call or identifier, and messages.
+
+    The first call of a conversation is its first user turn, whatever stands before it.
+    """
+    opening = conversations.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("opening"))
+    calls, results = calls_and_results(conversations.join(opening, "conv_id", "left"), "coalesce(turn = opening, false)")
+    return link_tool_calls(calls, results, schemas, unnamed=True).unionByName(messages(conversations))
+
+
+def _schemas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SCHEMAS, "name string, argument string, type string, required boolean")
 
 
 def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = calls_and_results(table(spark, sf_dir, "conversations"))
-    schemas = spark.createDataFrame(SCHEMAS, "name string, argument string, type string, required boolean")
-    return link_tool_calls(calls, results, schemas).withColumn("errors", F.array_join("errors", ", "))
+    return link_tool_calls(calls, results, _schemas(spark)).withColumn("errors", F.array_join("errors", ", "))
+
+
+def op10_tool_call_linking_every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`op10_tool_call_linking` has the rows of its SQL, calls and results; this has those of all turns."""
+    return every_turn(table(spark, sf_dir, "conversations"), _schemas(spark)).withColumn("errors", F.array_join("errors", ", "))
 
 
 OP10_SQL = r"""

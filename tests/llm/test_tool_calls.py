@@ -68,3 +68,27 @@ def test_sql_gives_the_same_rows(spark):
 def test_only_dataframe_operations(spark):
     plan = tool_calls.op10_tool_call_linking(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_all_results_of_a_call_are_in_the_json(spark):
+    got = {r.call_id: r for r in link(spark, [("c", None, "add", "{}"), ("d", None, "add", "{}")], [("c", "r"), ("c", None), ("c", "q"), ("d", "x"), ("ghost", "b"), ("ghost", "a")])}
+    assert json.loads(got["c"].json)["results"] == [None, "q", "r"] and json.loads(got["ghost"].json)["results"] == ["a", "b"]
+    assert "results" not in json.loads(got["d"].json)
+
+
+def test_every_turn(spark):
+    turns = [(1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (1, 3, "user", "so"), (2, 0, "user", "a"), (2, 1, "tool", 'b"'), (2, 2, None, None), (None, 3, "assistant", "c"), (3, None, "assistant", "d"), (None, 0, "user", "e"), (None, 4, "system", "f")]
+    rows = tool_calls.every_turn(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), tool_calls._schemas(spark)).collect()
+    assert len(rows) == len(turns) - 1  # one result links
+    made = [json.loads(r.json) for r in rows]
+    assert sorted((m["call_id"] or "", m["arguments"].get("role", ""), m["arguments"].get("text", "")) for m in made if m["name"] == "message") == [("", "system", "f"), ("1:0", "system", "be brief"), ("2:1", "tool", 'b"'), ("2:2", "", "")]
+    assert {m["call_id"]: m["arguments"]["first"] for m in made if m["name"] == "ask"} == {"1:1": True, "1:3": False, "2:0": True, None: False}
+    assert sorted(m["result"] for m in made if m["name"] is None) == ["c", "d"] and [r.errors for r in rows if r.name is None] == [["no call"]] * 2
+    assert [(r.call_id, json.loads(r.json)["result"]) for r in rows if r.linked] == [("1:1", "yo")]
+
+
+def test_every_turn_of_the_table_is_in_the_query(spark):
+    got = tool_calls.op10_tool_call_linking_every_turn(spark, SF).toPandas()
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").toPandas()
+    assert (got.name == "message").sum() == (~turns.role.isin(["user", "assistant"])).sum() > 0
+    assert (got.name == "ask").sum() == (turns.role == "user").sum() and got.n_results.sum() == (turns.role == "assistant").sum()
