@@ -7,7 +7,9 @@ ceil(t m) words (length filter), and if the words of the template that come afte
 with those found before, are enough (positional filter); what is left is verified.
 
 Blocks are of two kinds: for phrases, windows of as many words as the phrase has, which must hold all of
-its words, and then in order; for notices, lines, which must hold ``threshold`` of the template's words.
+its words, and then in order; for notices, which must hold ``threshold`` of the template's words, lines of
+at most LINE_WORDS words and windows of as many in longer ones, and besides, wherever lines end, windows of
+the template's length over ``threshold``.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .kernels import PLAIN, Words, arrow_batches, table, text_slices
 
 #: Phrases whose words stand consecutively, and their labels. Fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices: a line that holds most of a notice's words has its label. Fixed values.
+#: Notices: a block that holds most of a notice's words has its label. Fixed values.
 NOTICES = {
     "licensed under the apache license version 2 0": "apache-notice",
     "licensed under the mit license": "mit-notice",
@@ -41,6 +43,8 @@ NOTICES = {
     "all rights reserved": "reserved-notice",
 }
 THRESHOLD = 0.9
+#: Words of one line that count as one block; what stands farther apart is no notice. Fixed value.
+LINE_WORDS = 40
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -58,10 +62,11 @@ class Template:
     ordered: bool
     rare: tuple[bytes, ...] = field(default=())
     needed: int = 0
+    reach: int = 0
 
     def prepared(self, frequency: dict[bytes, int], threshold: float) -> Template:
         rare = tuple(sorted(set(self.words), key=lambda w: (frequency.get(w, 0), w)))
-        return Template(self.label, self.words, self.ordered, rare, len(rare) if self.ordered else ceil(threshold * len(rare) - 1e-9))
+        return Template(self.label, self.words, self.ordered, rare, len(rare) if self.ordered else ceil(threshold * len(rare) - 1e-9), int(len(self.words) / max(threshold, 0.01) + 1e-9))
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -77,6 +82,21 @@ class Template:
         return common
 
 
+def densest(places: list[tuple[int, bytes]], size: int) -> tuple[int, int, int]:
+    """Most distinct words of (place, word) within ``size`` places, and the first and last place there; shortest, first."""
+    best, low, counts = (0, 0, 0), 0, {}
+    for place, word in places:
+        counts[word] = counts.get(word, 0) + 1
+        while place - places[low][0] >= size or counts[places[low][1]] > 1:
+            counts[places[low][1]] -= 1
+            if not counts[places[low][1]]:
+                del counts[places[low][1]]
+            low += 1
+        if len(counts) > best[0] or len(counts) == best[0] and place - places[low][0] < best[2] - best[1]:
+            best = len(counts), places[low][0], place
+    return best
+
+
 def templates(phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> list[Template]:
     return [Template(label, tuple(words_of(text)), ordered) for source, ordered in ((phrases, True), (notices, False)) for text, label in source.items()]
 
@@ -102,24 +122,50 @@ class Index:
 
     def __init__(self, prepared: list[Template]):
         self.by_word: dict[bytes, list[Template]] = {}
+        self.reach = max([LINE_WORDS, *(t.reach for t in prepared)])
         for t in prepared:
             for word in t.prefix:
                 self.by_word.setdefault(word, []).append(t)
         self.finder = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(sorted(map(re.escape, self.by_word), key=len, reverse=True)) + rb")(?![0-9a-z\x80-\xff])")
 
-    def scan(self, low: bytes) -> tuple[list[tuple[int, Template]], list[tuple[Template, float, int, int]]]:
-        """Phrases as (byte where they begin, template), and notices as (template, containment, byte range of the line)."""
+    def scan(self, low: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[tuple[int, Template]], list[tuple[Template, float, int, int]]]:
+        """Phrases as (byte where they begin, template), and notices as (template, containment, byte range of the block).
+
+        ``starts`` and ``ends`` are those of the text's words.
+        """
         phrases, notices, tried = [], {}, set()
         for hit in self.finder.finditer(low):
-            line = (low.rfind(b"\n", 0, hit.start()) + 1, low.find(b"\n", hit.end()))
+            near = None
             for t in self.by_word[hit.group()]:
                 if t.ordered:
                     phrases += self._windows(t, low, hit, tried)
-                elif (line, t) not in notices:
-                    block = _WORD.findall(low, line[0], line[1] if line[1] >= 0 else len(low))
-                    common = t.overlap(set(block)) if len(block) >= t.needed else 0
-                    notices[line, t] = common / len(t.rare) if common >= t.needed else 0.0
-        return phrases, [(t, share, *line) for (line, t), share in notices.items() if share]
+                    continue
+                near = near or self._near(low, starts, ends, hit)
+                if t.overlap(near[1]) >= t.needed:
+                    share, a, b = self._block(t, starts, ends, *near)
+                    if share:
+                        notices[a, b, t] = share
+        return phrases, [(t, share, a, b) for (a, b, t), share in notices.items()]
+
+    def _near(self, low: bytes, starts: np.ndarray, ends: np.ndarray, hit: re.Match) -> tuple:
+        """(place, word) of the words in reach of a hit, these words, and the hit's line: its bytes and its words."""
+        end = low.find(b"\n", hit.end())
+        line = low.rfind(b"\n", 0, hit.start()) + 1, end if end >= 0 else len(low)
+        at, first, last = np.searchsorted(starts, (hit.start(), *line)).tolist()
+        i = max(0, at - self.reach + 1)
+        words = [low[a:b] for a, b in zip(starts[i : at + self.reach].tolist(), ends[i : at + self.reach].tolist(), strict=True)]
+        return list(enumerate(words, i)), set(words), line, first, last
+
+    @staticmethod
+    def _block(t: Template, starts: np.ndarray, ends: np.ndarray, near: list[tuple[int, bytes]], words: set[bytes], line: tuple[int, int], first: int, last: int) -> tuple[float, int, int]:
+        """The largest containment of a template in a block in reach, and the block's bytes; 0 if it is too small."""
+        own = words.intersection(t.rare)
+        places = [p for p in near if p[1] in own]
+        found = [(*densest(places, t.reach), False), (*densest([p for p in places if first <= p[0] < last], LINE_WORDS), last - first <= LINE_WORDS)]
+        common, a, b, whole = max(found, key=lambda x: (x[0], x[3]))
+        if common < t.needed:
+            return 0.0, 0, 0
+        return common / len(t.rare), *(line if whole else (int(starts[a]), int(ends[b])))
 
     @staticmethod
     def _windows(t: Template, low: bytes, hit: re.Match, tried: set) -> Iterator[tuple[int, Template]]:
@@ -159,7 +205,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: di
     Returns the id, n_words, n_base (places of phrases), first_word and last_word (the smallest and largest
     word where one starts, else null), base_labels and labels (distinct, sorted, comma-joined; the latter
     with those of notices), score (the largest containment found, 0 if none, 1 for a phrase) and notices,
-    an array of (label, containment, line's first and end byte). A null text counts as empty; empty texts
+    an array of (label, containment, block's first and end byte; of a short line, the line's). A null text counts as empty; empty texts
     and tables have no places; other columns are ignored; repeated rows give repeated results. No shuffle
     but that of the templates' word counts.
     """
@@ -176,11 +222,13 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: di
                 low, rows = data.tobytes().lower(), []
                 for k in range(j - i):
                     own = low[offsets[k] : offsets[k + 1]]
-                    places, lines = index.scan(own)
-                    at = np.searchsorted(words.starts[words.first[k] : words.first[k + 1]], sorted(b + offsets[k] for b, _ in places))
+                    mine = slice(words.first[k], words.first[k + 1])
+                    starts = words.starts[mine] - offsets[k]
+                    places, lines = index.scan(own, starts, words.ends[mine] - offsets[k])
+                    at = np.searchsorted(starts, sorted(b for b, _ in places))
                     base = {t.label for _, t in places}
                     score = 1.0 if places else max((s for _, s, _, _ in lines), default=0.0)
-                    rows.append((len(places), int(at[0]) if places else None, int(at[-1]) if places else None, ",".join(sorted(base)), ",".join(sorted(base | {t.label for t, *_ in lines})), score, [{"label": t.label, "containment": s, "start": a, "end": b if b >= 0 else len(own)} for t, s, a, b in sorted(lines, key=lambda x: (x[2], x[0].label))]))
+                    rows.append((len(places), int(at[0]) if places else None, int(at[-1]) if places else None, ",".join(sorted(base)), ",".join(sorted(base | {t.label for t, *_ in lines})), score, [{"label": t.label, "containment": s, "start": a, "end": b} for t, s, a, b in sorted(lines, key=lambda x: (x[2], x[0].label))]))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), kind), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(words.first)), *columns], ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices"])
 

@@ -41,6 +41,26 @@ def test_license_scan(documents, frame):
     assert license_scan.license_scan(frame([])).count() == 0
 
 
+def test_license_notices_do_not_depend_on_line_breaks(frame):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    filler = " ".join(f"w{k}" for k in range(100))
+    scattered = f"all {filler} rights {filler} reserved {filler} licensed under cc by {filler} sa 4 0"
+    texts = [mit, bsd, scattered, f"{filler} All Rights Reserved {filler}", f"{filler} licensed under the terms of the Apache License, Version 2.0 {filler}", "All rights are reserved.", f"all rights\n{filler}\nreserved"]
+    got = [r for r in sorted(license_scan.license_scan(frame(enumerate(texts))).collect(), key=lambda r: r.doc_id)]
+    assert [r.labels for r in got] == ["mit-notice", "bsd-notice", "cc-by", "reserved-notice", "apache,apache-notice", "reserved-notice", ""]
+    assert [(n.containment, mit[n.start : n.end]) for n in got[0].notices] == [(1.0, mit[: mit.index(" and associated")])]
+    assert [texts[5][n.start : n.end] for n in got[5].notices] == [texts[5]]
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.sampled_from([b"a", b"b", b"c"])), max_size=12, unique_by=lambda x: x[0]), st.integers(1, 8))
+def test_densest_window_is_the_best(places, size):
+    places = sorted(places)
+    best, first, last = license_scan.densest(places, size)
+    inside = [len({w for p, w in places if a <= p < a + size}) for a, _ in places]
+    assert best == max(inside, default=0) and (not places or last - first < size and len({w for p, w in places if first <= p <= last}) == best)
+
+
 def test_license_prefix_filter_is_exact():
     index_words = license_scan.templates()
     prepared = [t.prepared({}, 0.6) for t in index_words]
