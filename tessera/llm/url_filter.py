@@ -6,6 +6,10 @@ models have not seen. The models are smoothed by escape (Witten-Bell): after a c
 the mass of new characters goes to the context of k - 1, and at last to a uniform distribution over bytes.
 Below their longest contexts both fall back to one model of all labelled URLs, so what neither has seen
 speaks for neither, though one of them has learned from many more URLs.
+
+Counts are exact: the longest context with its byte is six bytes, a number of its own, and a model has an
+entry for each that occurs. So a model grows with the number of distinct strings of six bytes in the labelled
+URLs; it is gathered on the driver and sent to the tasks.
 """
 
 from __future__ import annotations
@@ -15,20 +19,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import Powers, arrow_batches, mix, table
+from .kernels import arrow_batches, table
 
 #: Rules (verdict, host, path). A rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Longest context in bytes, and bits of the tables that contexts are hashed to: the size of a model.
-ORDER, TABLE_BITS = 5, 16
+#: Longest context in bytes; with its byte it fits in a long.
+ORDER = 5
 #: Shortest context at which the models of accepted and rejected URLs differ from the common one.
 OWN_ORDER = 4
 #: Share of the labelled URLs that calibrate the threshold, and the steps in which it is searched.
 CALIBRATION_SHARE, STEPS = 0.2, 0.01
-_POWERS = Powers(0xC2B2AE3D27D4EB4F)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -50,31 +54,64 @@ def rule_and_verdict(host: Column, path: Column, rules: tuple[tuple[str, str, st
     return best["rule"], best["verdict"]
 
 
-def contexts(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order, the slots of every byte's context and of the context with the byte; an end byte is added."""
-    data = np.frombuffer(b"\x02" * ORDER + text + b"\x03", np.uint8).astype(np.uint64) + np.uint64(1)
-    p = _POWERS.grow(len(data) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(data * p.up[: len(data)], dtype=np.uint64)])
-    at, shift = np.arange(ORDER, len(data)), np.uint64(64 - TABLE_BITS)
+def grams(text: bytes) -> np.ndarray:
+    """For every byte, it and the ORDER bytes before it as one number, the byte lowest; an end byte is added."""
+    data = np.frombuffer(b"\x02" * ORDER + text + b"\x03", np.uint8).astype(np.int64)
+    out = np.zeros(len(text) + 1, np.int64)
+    for k in range(ORDER + 1):
+        out = out << 8 | data[k : k + len(out)]
+    return out
+
+
+def orders(found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the context and the context with the byte, as numbers."""
     for k in range(ORDER + 1):
-        salt = mix(np.array([k + 1], np.uint64))
-        yield (mix((sums[at] - sums[at - k]) * p.down[at - k] + salt) >> shift).astype(np.int64), (mix((sums[at + 1] - sums[at - k]) * p.down[at - k] + ~salt) >> shift).astype(np.int64)
+        full = found & ((1 << 8 * (k + 1)) - 1)
+        yield full >> 8, full
+
+
+def contexts(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, every byte's context and the context with the byte, as numbers; an end byte is added."""
+    return orders(grams(text))
+
+
+def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of ``n`` of each."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _found(keys: np.ndarray, values: tuple[np.ndarray, ...], wanted: np.ndarray) -> list[np.ndarray]:
+    """The values of the wanted keys, 0 where there is none."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return [np.where(keys[at] == wanted, v[at], 0) for v in values]
 
 
 @dataclass(frozen=True)
 class Markov:
-    """[order, slot] counts of contexts, of contexts with a byte, and of the different bytes after a context."""
+    """For each order, sorted contexts with a byte and their counts, and sorted contexts, their counts and their different bytes."""
 
-    context: np.ndarray
-    full: np.ndarray
-    kinds: np.ndarray
+    full: list[tuple[np.ndarray, np.ndarray]]
+    context: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, found: np.ndarray, n: np.ndarray) -> Markov:
+        """From the counts of `grams`."""
+        full = [_totals(keys, n) for _, keys in orders(found)]
+        return cls(full, [(*_totals(keys >> 8, count), _totals(keys >> 8, np.ones_like(count))[1]) for keys, count in full])
 
     def probabilities(self, slots: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray | float, shortest: int = 0) -> np.ndarray:
         """Of every byte, from the contexts of ``shortest`` bytes on, with ``p`` below these."""
         for k in range(shortest, ORDER + 1):
             context, full = slots[k]
-            n, kinds = self.context[k][context], self.kinds[k][context]
-            p = np.where(n > 0, (np.minimum(self.full[k][full], n) + kinds * p) / np.maximum(n + kinds, 1), p)
+            keys, *values = self.context[k]
+            n, kinds = _found(keys, tuple(values), context)
+            (times,) = _found(self.full[k][0], (self.full[k][1],), full)
+            p = np.where(n > 0, (times + kinds * p) / np.maximum(n + kinds, 1), p)
         return p
 
 
@@ -85,44 +122,44 @@ class UrlModel:
     common: Markov
     threshold: float = 0.0
 
+    def ratios(self, found: np.ndarray) -> np.ndarray:
+        """Logarithms of how much likelier the last byte of each of `grams` is in accepted URLs."""
+        slots = list(orders(found))
+        below = self.common.probabilities(slots, 1 / 256)
+        return np.log(self.allow.probabilities(slots, below, OWN_ORDER) / self.block.probabilities(slots, below, OWN_ORDER))
+
     def score(self, url: str) -> float:
         """Difference of the log-likelihoods per character, accepted less rejected."""
-        slots = list(contexts(url.encode()))
-        below = self.common.probabilities(slots, 1 / 256)
-        ratio = self.allow.probabilities(slots, below, OWN_ORDER) / self.block.probabilities(slots, below, OWN_ORDER)
-        return float(np.log(ratio).mean())
+        return self.scores([url])[0]
+
+    def scores(self, urls: list[str]) -> list[float]:
+        """The scores of several URLs; what they have in common is looked up once."""
+        own = [grams(url.encode()) for url in urls]
+        if not own:
+            return []
+        distinct, where = np.unique(np.concatenate(own), return_inverse=True)
+        parts = np.split(self.ratios(distinct)[where], np.cumsum([len(x) for x in own])[:-1])
+        return [float(x.mean()) for x in parts]
 
 
 def _models(labelled: DataFrame) -> dict[str, Markov]:
-    """A model of each verdict in (url, verdict), and one of all: counts over all rows, in tables of a fixed size."""
+    """A model of each verdict in (url, verdict), and one of all: exact counts over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             verdicts = np.array(batch.column(1).to_pylist(), object)
             urls = batch.column(0).to_pylist()
-            for verdict in {*verdicts, "all"} if urls else ():
-                slots: list[list] = [[] for _ in range(ORDER + 1)]
-                for url in (u for u, v in zip(urls, verdicts, strict=True) if verdict in (v, "all")):
-                    for k, (context, full) in enumerate(contexts(url.encode())):
-                        slots[k].append(context << TABLE_BITS | full)
-                for k in range(ORDER + 1):
-                    both, n = np.unique(np.concatenate(slots[k]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([verdict] * len(both)), pa.array(np.full(len(both), k, np.int32)), pa.array(both), pa.array(n)], ["verdict", "k", "slots", "n"])
-
-    counted = labelled.mapInArrow(run, "verdict string, k int, slots long, n long").groupBy("verdict", "k", "slots").agg(F.sum("n").alias("n"))
-    tables = {}
-    for name, slot in (("context", F.shiftright("slots", TABLE_BITS)), ("full", F.col("slots").bitwiseAND((1 << TABLE_BITS) - 1))):
-        rows = counted.groupBy("verdict", "k", slot.alias("slot")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).toArrow()  # as many as a table has slots at most
-        tables[name] = (np.array(rows["verdict"].to_pylist(), object), *(rows[c].to_numpy() for c in ("k", "slot", "n", "kinds")))
+            for verdict in set(verdicts):
+                found, n = np.unique(np.concatenate([grams(u.encode()) for u, v in zip(urls, verdicts, strict=True) if v == verdict]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([verdict] * len(found)), pa.array(found), pa.array(n)], ["verdict", "gram", "n"])
+
+    rows = labelled.mapInArrow(run, "verdict string, gram long, n long").groupBy("verdict", "gram").agg(F.sum("n").alias("n")).toArrow()  # as many as there are distinct strings of six bytes
+    verdicts, found, n = rows["verdict"].combine_chunks(), rows["gram"].to_numpy(), rows["n"].to_numpy()
     out = {}
-    for verdict in set(tables["context"][0]):
-        made = {}
-        for name, column, value in (("context", "context", 3), ("kinds", "context", 4), ("full", "full", 3)):
-            mine = tables[column][0] == verdict
-            made[name] = np.zeros((ORDER + 1, 1 << TABLE_BITS))
-            made[name][tables[column][1][mine], tables[column][2][mine]] = tables[column][value][mine]
-        out[verdict] = Markov(**made)
-    return out
+    for verdict in pc.unique(verdicts).to_pylist():
+        mine = pc.equal(verdicts, verdict).to_numpy(zero_copy_only=False)
+        out[verdict] = Markov.of(found[mine], n[mine])
+    return out | {"all": Markov.of(*_totals(found, n))} if out else out
 
 
 def _scored(urls: DataFrame, model: UrlModel) -> DataFrame:
@@ -131,7 +168,7 @@ def _scored(urls: DataFrame, model: UrlModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(x or "") for x in batch.column("url").to_pylist()]
+            scores = shared.value.scores([x or "" for x in batch.column("url").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     return urls.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in urls.dtypes) + ", score double")

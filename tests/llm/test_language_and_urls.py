@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -134,6 +135,29 @@ def test_models_tell_urls_apart(spark):
     assert uf.learn(labelled.where("verdict = 'allow'")) is None
 
 
+def test_counts_are_exact_at_any_size(spark):
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789é") for _ in range(60)), rng.choice(["allow", "block"])) for _ in range(3000)]
+    models = uf._models(spark.createDataFrame(rows, "url string, verdict string"))
+    counts = {v: [Counter() for _ in range(uf.ORDER + 1)] for v in ("allow", "block", "all")}
+    for url, verdict in rows:
+        data = b"\x02" * uf.ORDER + url.encode() + b"\x03"
+        for at in range(uf.ORDER, len(data)):
+            for k in range(uf.ORDER + 1):
+                counts[verdict][k][data[at - k : at + 1]] += 1
+                counts["all"][k][data[at - k : at + 1]] += 1
+    assert len(counts["all"][5]) > 2 * 65536
+    for verdict, want in counts.items():
+        for k, (full, context) in enumerate(zip(models[verdict].full, models[verdict].context, strict=True)):
+            assert dict(zip(*map(list, full), strict=True)) == {int.from_bytes(g): n for g, n in want[k].items()}
+            kinds, total = Counter(g[:-1] for g in want[k]), Counter()
+            for g, n in want[k].items():
+                total[g[:-1]] += n
+            assert {c: (n, m) for c, n, m in zip(*map(list, context), strict=True)} == {int.from_bytes(c): (total[c], m) for c, m in kinds.items()}
+    model = uf.UrlModel(models["allow"], models["block"], models["all"])
+    assert model.scores([rows[0][0], "", rows[1][0]]) == pytest.approx([model.score(rows[0][0]), model.score(""), model.score(rows[1][0])]) and model.scores([]) == []
+
+
 def test_query_keeps_every_page(spark):
     got = uf.op8_url_filter(spark, SF).collect()
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
