@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.match import constant_length, end_tokens_fit, matches, parameters, pattern
 from ..functions.normalize import normalize_legacy
-from ..functions.text import tokens
+from ..functions.text import is_valid_template, tokens
 
 
 def match_templates(lines: DataFrame, templates: DataFrame, keys: tuple[str, ...] = ("n_tokens",), line_col: str = "content") -> DataFrame:
@@ -88,6 +88,20 @@ def label_by_content(lines: DataFrame, labelled: DataFrame) -> DataFrame:
     return lines.join(last, "content", "left")
 
 
+def majority_templates(answers: DataFrame, key: str = "gt", share: float = 0.8, most_wildcards: int = 50) -> DataFrame:
+    """(key, majority, first, diverse) of (line_id, key, parsed), one answer a row: `functions/answers.py` over all answers.
+
+    The majority is the most frequent valid template, of equally frequent ones the first; empty if none is
+    valid. Diverse are several answers of which at least ``share`` are different.
+    """
+    counts = answers.groupBy(key, "parsed").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("at"))
+    rank = F.when(is_valid_template(F.col("parsed"), most_wildcards), F.struct("n", -F.col("at")))
+    return counts.groupBy(key).agg(
+        F.coalesce(F.max_by("parsed", rank), F.lit("")).alias("majority"), F.coalesce(F.min_by("parsed", "at"), F.lit("")).alias("first"),
+        ((F.sum("n") > 1) & (F.count(F.lit(1)) / F.sum("n") >= share)).alias("diverse"),
+    )
+
+
 def similarity_matrix(lines: DataFrame) -> DataFrame:
     """(a, b, sim) for the pairs of (line_id, content) that share a token; the others have similarity 0.
 

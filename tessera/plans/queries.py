@@ -189,9 +189,7 @@ def best_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def majority_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = gt_parsed(spark, sf_dir).groupBy("gt", "parsed").agg(F.count(F.lit(1)).alias("n"), F.min("line_id").alias("first"))
-    lists = rows.groupBy("gt").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "parsed", F.ceil(F.col("n") / 100).cast("int").alias("n")))), lambda x: F.array_repeat(x["parsed"], x["n"]))).alias("answers"))
-    return lists.select("gt", answers.majority(F.col("answers")).alias("majority"), answers.first_template(F.col("answers")).alias("first"), answers.is_diverse(F.col("answers")).alias("diverse"))
+    return matching.majority_templates(gt_parsed(spark, sf_dir))
 
 
 def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

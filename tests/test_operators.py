@@ -202,3 +202,13 @@ def test_similarity_matrix_against_sets(spark):
 def test_similarity_accuracy(spark):
     table = evaluate.contingency(spark.createDataFrame([(1, "a <*>", "a <*>"), (2, "a b", "c d"), (3, "a b", "a d")], "line_id long, gt string, parsed string"))
     assert evaluate.similarity_accuracy(table).first().SA == pytest.approx((1 + 0 + 1 / 3) / 3)
+
+
+def test_majority_counts_every_answer(spark):
+    def votes(gt, *answers):
+        return [(gt, a) for a, n in answers for _ in range(n)]
+
+    rows = votes("hundreds", ("a <*>", 101), ("b <*>", 199)) + votes("tens", ("a <*>", 93), ("b <*>", 95)) + votes("tie", ("b", 2), ("a", 2)) + votes("all", ("a", 1), ("b", 1)) + votes("one", ("a", 1)) + votes("invalid", ("<*> " * 51, 3), ("a", 1)) + votes("none", ("<*> " * 51, 2))
+    df = spark.createDataFrame([(k, g, a) for k, (g, a) in enumerate(rows)], "line_id long, gt string, parsed string")
+    got = {r.gt: (r.majority, r.first, r.diverse) for r in matching.majority_templates(df).collect()}
+    assert got == {"hundreds": ("b <*>", "a <*>", False), "tens": ("b <*>", "a <*>", False), "tie": ("b", "b", False), "all": ("a", "a", True), "one": ("a", "a", False), "invalid": ("a", "<*> " * 51, False), "none": ("", "<*> " * 51, False)}
