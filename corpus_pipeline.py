@@ -24,9 +24,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies stays; so do those without an id."""
-    gone = jaccard_join(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies stays, the one of the smallest id, also where rows repeat an id or have none."""
+    keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    found = jaccard_join(keyed, id_col="__row").where("n_links > 0").select("__row", "component_id")
+    copies = materialise(found.join(keyed.select("__row", "doc_id"), "__row"))
+    stay = copies.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("__row"))
+    gone = copies.join(stay, "__row", "left_anti").select("__row")
+    return keyed.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,15 @@ def test_stages(spark):
 def test_run(spark):
     packed = corpus_pipeline.run(spark, SF).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 1024 and len(packed) > 100
+
+
+def test_repeated_and_missing_ids(spark):
+    def text(k):
+        return " ".join(f"w{k}x{i}" for i in range(60))
+
+    rows = [(5, text(0)), (5, text(0)), (None, text(0)), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(3)), (3, text(3) + " end"), (None, text(4)), (9, text(5)), (8, text(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(5, text(0)), (None, text(1)), (7, text(2)), (3, text(3) + " end"), (None, text(4)), (8, text(5))]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
