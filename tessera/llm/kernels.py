@@ -1,19 +1,20 @@
 """Vectorised text kernels that run inside Spark tasks, and the small helpers every operator shares.
 
 All kernels work on Arrow batches in slices of a few megabytes, so their memory does not depend on the
-size of a partition. Hashes are 64-bit polynomial prefix-sum hashes with a final mix; they are the same
-in every task and on every machine.
+size of a partition; longer texts are worked on in pieces that end where a word ends. Hashes are 64-bit
+polynomial prefix-sum hashes with a final mix; they are the same in every task and on every machine.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import keep as materialise  # noqa: F401: the operators' one way to write what several steps read
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE_BYTE, _BASE_WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SLICE_BYTES = 1 << 20
@@ -81,29 +82,53 @@ def text_slices(texts: pa.Array, limit: int = _SLICE_BYTES) -> Iterator[tuple[in
         i = j
 
 
+def pieces(data: np.ndarray, table: np.ndarray, limit: int = _SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(begin, end) of consecutive pieces of about ``limit`` bytes; a piece ends after a byte outside of words.
+
+    A word of more than ``limit`` bytes is in one piece with what stands before it.
+    """
+    a, n = 0, len(data)
+    while n - a > limit:
+        b = a + limit
+        while b < n:
+            found = np.flatnonzero(~table[data[b : b + limit]])
+            if len(found):
+                b += int(found[0]) + 1
+                break
+            b = min(n, b + limit)
+        yield a, b
+        a = b
+    yield a, n
+
+
 class Words:
     """Words of a run of texts: where each begins and ends, which text has which, and a 64-bit hash of each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, values: np.ndarray = _BYTE_VALUE, hashed: bool = True):
+        found = [self._piece(data, a, b, offsets, table, values, hashed) for a, b in pieces(data, table)]
+        self.starts, self.ends = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        #: words of text i: from first[i] to first[i + 1]
+        self.first = np.searchsorted(self.starts, offsets)
+        self.hash = np.concatenate([f[2] for f in found]) if hashed else None
+
+    @staticmethod
+    def _piece(data: np.ndarray, a: int, b: int, offsets: np.ndarray, table: np.ndarray, values: np.ndarray, hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        data = data[a:b]
         n = len(data)
         inside = np.zeros(n + 2, bool)
         inside[1:-1] = table[data]
         begins = inside[1:-1] & ~inside[:-2]
         ends = inside[1:-1] & ~inside[2:]
-        edges = offsets[1:-1]
-        edges = edges[(edges > 0) & (edges < n)]
+        edges = offsets[(offsets > a) & (offsets < b)] - a
         begins[edges] = inside[edges + 1]
         ends[edges - 1] = inside[edges]
-        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        #: words of text i: from first[i] to first[i + 1]
-        self.first = np.searchsorted(self.starts, offsets)
-        self.hash = self._hash(data, values) if hashed else None
-
-    def _hash(self, data: np.ndarray, values: np.ndarray) -> np.ndarray:
-        powers = _BYTES.grow(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * powers.up[: len(data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * powers.down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        if not hashed:
+            return starts + a, ends + a, None
+        powers = _BYTES.grow(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[data] * powers.up[:n], out=sums[1:])
+        return starts + a, ends + a, mix((sums[ends] - sums[starts]) * powers.down[starts] + (ends - starts).astype(np.uint64))
 
 
 class Runs:
@@ -138,31 +163,12 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Keep batches to Python small: texts can be long, and a batch is counted in rows by default."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        import tempfile
+    """Keep batches to Python small: texts can be long, and a batch is counted in rows by default.
 
-        named = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a result that several later steps read into the shared folder, and read it back.
-
-    This cuts the lineage without a copy that a lost executor could take along.
+    The settings are read when a plan runs, which is after an operator returns, so they stay on the session.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

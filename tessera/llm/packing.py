@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ from .kernels import arrow_batches, materialise, table
 
 #: Pieces of one length, about, that one task ranks.
 BUCKET_ROWS = 100_000
+#: White space of a length from which a text goes to the tokenizers library.
+LONG_RUN = re.compile(r"\s{50000}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,8 +41,10 @@ class Tokens:
     """Token ids of a text as little-endian unsigned 32-bit words, as the tokenizers library gives them.
 
     A byte-level BPE whose merges stand in the order of their tokens' ids is the same thing as its ids taken
-    as ranks, so tiktoken, which is several times as fast, encodes by the file's own vocabulary. Files of
-    any other kind are left to tokenizers itself.
+    as ranks, so tiktoken, which is several times as fast, encodes by the file's own vocabulary; the file's
+    added tokens are special tokens to it, which are sought in the text first and have their own ids. Files
+    of any other kind are left to tokenizers itself, and so are texts that hold ``LONG_RUN`` white spaces in a
+    row or more: tiktoken's pattern fails on very long ones.
     """
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
@@ -49,29 +54,33 @@ class Tokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._model = Tokenizer.from_file(path)
-        self._model.encode_special_tokens = True
-        ranks = ranks_of(path)
-        self._ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        ranks, added = ranks_of(path) or (None, {})
+        self._added = set(added)
+        self._ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added) if ranks else None
 
     def __call__(self, text: str) -> bytes:
-        if self._ranked:
-            return self._ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        if self._ranked and not LONG_RUN.search(text):
+            return self._ranked.encode_to_numpy(text, allowed_special=self._added, disallowed_special=()).astype("<u4").tobytes()
         return np.array(self._model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def ranks_of(path: str) -> dict[bytes, int] | None:
-    """The vocabulary of a tokenizers file as ranks, or None if its ids aren't in the order of its merges."""
+def ranks_of(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """The vocabulary of a tokenizers file as ranks, and its added tokens; None if it isn't a plain byte-level BPE.
+
+    Plain are files whose ids stand in the order of the merges and whose added tokens are taken as they are,
+    wherever they stand.
+    """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
     plain = model.get("type") == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
     if not plain or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
         return None
-    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+    merges, added = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]], spec.get("added_tokens") or []
+    if any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(merges)) or any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip")):
         return None
-    back, special = {c: b for b, c in enumerate(byte_characters())}, {x["content"] for x in spec.get("added_tokens", [])}
-    return {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    back, special = {c: b for b, c in enumerate(byte_characters())}, {x["content"]: x["id"] for x in added}
+    return {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in special}, special
 
 
 @functools.lru_cache(maxsize=2)
@@ -104,28 +113,27 @@ def plan_slots(histogram: dict[int, int], max_len: int) -> list[tuple[int, int,
     """Best-fit decreasing over counts: rows (length, first rank, end rank, first sequence, offset).
 
     The piece of a length with a rank in [first, end) goes to sequence ``first sequence + rank - first``.
-    Open sequences are kept as runs (first sequence, how many) by their free space; the pieces of a
-    length fill the smallest free space that takes them, and new sequences when there is none.
+    Open sequences are kept as runs (first sequence, how many) by their free space. The pieces of a length
+    fill the smallest free space that takes them, and new sequences when there is none; each sequence takes
+    as many as it can before the next one is touched, as best fit piece by piece would.
     """
     free: dict[int, list[tuple[int, int]]] = defaultdict(list)
     slots, opened = [], 0
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
-            room = next((r for r in range(length, max_len + 1) if free.get(r)), None)
-            if room is None:
-                per = max_len // length  # new sequences, as full of this length as they get
-                sequences = -(-left // per)
-                first, many, room = opened, sequences, max_len
-                opened += sequences
-            else:
-                first, many = free[room].pop()
-            take = min(many, left)
-            slots.append((length, rank, rank + take, first, max_len - room))
-            free[room - length].append((first, take))
+            room = next((r for r in range(length, max_len + 1) if free.get(r)), max_len)
+            first, many = free[room].pop() if free.get(room) else (opened, left)
+            per = min(room // length, left)
+            take = min(many, left // per)
+            if first == opened:
+                opened, many = opened + take, take
+            for k in range(per):
+                slots.append((length, rank + k * take, rank + (k + 1) * take, first, max_len - room + k * length))
+            free[room - per * length].append((first, take))
             if take < many:
                 free[room].append((first + take, many - take))
-            rank, left = rank + take, left - take
+            rank, left = rank + per * take, left - per * take
     return slots
 
 

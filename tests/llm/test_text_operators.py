@@ -75,14 +75,15 @@ def test_license_prefix_filter_is_exact():
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(BYTE_JSON)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
 def test_tokens_are_the_librarys(tokenizer):
     encode, rng = packing.tokens(BYTE_JSON), random.Random(2)
-    texts = ["", "  \n\n x", "don't 12345  　x", "a" * 3000, "<|endoftext|> a", "a \x1c b", "\x00"] + ["".join(rng.choice("ab 'sdmtl\n\té日1２!?　_-  ") for _ in range(30)) for _ in range(2000)]
-    ranks = packing.ranks_of(BYTE_JSON)
+    texts = ["", "  \n\n x", "don't 12345  　x", "a" * 3000, "<|endoftext|> a", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x <|endoftext", "a \x1c b", "\x00"] + ["".join(rng.choice("ab 'sdmtl\n\té日1２!?　_-  ") for _ in range(30)) for _ in range(2000)]
+    texts += [x * 2_000_000 for x in (" ", "\n", "a")] + ["\n" * 1_500_000 + "a", "<|endoftext|>" + " " * 49_999 + "x"]
+    ranks, added = packing.ranks_of(BYTE_JSON)
+    assert added == {"<|endoftext|>": 50256}
     for token in ranks:
         try:
             texts.append(token.decode())
@@ -93,7 +94,7 @@ def test_tokens_are_the_librarys(tokenizer):
 
 
 def test_packing(spark, documents, frame, tokenizer):
-    rows = documents + [(30_000, "again"), (30_000, "again")]
+    rows = documents + [(30_000, "again"), (30_000, "again"), (30_001, "a <|endoftext|> b"), (30_002, " " * 1_200_000)]
     got = packing.best_fit_packing(frame(rows), BYTE_JSON, 256).toPandas()
     want = Counter()
     for i, t in rows:
@@ -132,7 +133,7 @@ def test_plan(histogram):
             free.append(32 - length)
         else:
             free[free.index(room)] -= length
-    assert len(used) <= len(free)
+    assert len(used) == len(free)
 
 
 def test_byte_bpe(spark, documents, frame):
