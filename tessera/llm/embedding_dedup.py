@@ -6,16 +6,19 @@ inequality a vector within r of a cell's member is at most 2 r farther from that
 its own, and at most r beyond the cell's radius. It is copied to the cells for which both hold (and the
 bisecting plane is within r), so each cell finds all links of its own vectors by itself.
 
-Equal vectors of a label are one class. Large cells are compared in blocks of chunk against chunk;
-blocks return links counted per vector and a spanning forest, never the pairs.
+Vectors are scaled to unit length once, where they are read. Equal ones of a label are one class. Large
+cells are compared in blocks of chunk against chunk, a row once for each chunk of its cell; blocks return
+links counted per vector and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,32 +26,69 @@ from .components import connected_components
 from .jaccard_join import roots
 from .kernels import arrow_batches, materialise, table
 
-#: Vectors of one label that a cell is meant to have, the most pivots (their size bounds what goes to all tasks), and
-#: the rows of a chunk that one block compares with another chunk.
-CELL, MAX_PIVOTS, CHUNK = 4096, 256, 2048
+#: Vectors of one label that a cell is meant to have, the bytes of all pivots of a dimension at most (they go to all
+#: tasks), the rows of a chunk that one block compares with another chunk, and the distances worked on at a time.
+CELL, PIVOT_BYTES, CHUNK, STRIP = 4096, 32 << 20, 4096, 1 << 21
 
 
-def _units(lists: pa.Array, dim: int) -> np.ndarray:
-    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, label, k1, k2, dim, embedding) of (id, label, embedding): unit vectors and keys of their equality.
+
+    Keys, dim and embedding are null for what links with nothing: null, empty and zero vectors, null or
+    non-finite components, null ids and labels.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            named = pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(1))).to_numpy(zero_copy_only=False)
+            dims = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            out: list = [None] * len(dims)
+            for dim in np.unique(dims[named & (dims > 0)]):
+                rows = np.flatnonzero(named & (dims == dim))
+                x = pc.fill_null(lists.take(pa.array(rows)).flatten(), np.nan).to_numpy(zero_copy_only=False).reshape(-1, dim)
+                most = np.abs(x).max(1)
+                sound = np.isfinite(x).all(1) & (most > 0)
+                x = x[sound] / most[sound][:, None]  # of length about 1: squares neither overflow nor vanish
+                for row, v in zip(rows[sound].tolist(), x / np.sqrt((x * x).sum(1, keepdims=True)) + 0.0, strict=True):
+                    out[row] = v
+            keys = [None if v is None else np.frombuffer(hashlib.blake2b(v.tobytes(), digest_size=16).digest(), np.int64).tolist() for v in out]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.array([k and k[n] for k in keys], pa.int64()) for n in (0, 1)], pa.array([None if v is None else len(v) for v in out], pa.int32()), pa.array(out, pa.list_(pa.float64()))],
+                ["id", "label", "k1", "k2", "dim", "embedding"],
+            )
+
+    return vectors.mapInArrow(run, "id long, label string, k1 long, k2 long, dim int, embedding array<double>")
+
+
+def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.T)))
 
 
+def _strips(batch: pa.RecordBatch, shared: dict) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of one dimension each, so many that their distances from the pivots are ``STRIP`` at most."""
+    for dim in np.unique(dims := batch.column("dim").to_numpy()):
+        part = batch.filter(pa.array(dims == dim))
+        step = max(1, STRIP // len(shared[int(dim)][0]))
+        for k in range(0, part.num_rows, step):
+            yield int(dim), part.slice(k, step)
+
+
 def _cells(rows: DataFrame, shared, radius: float) -> DataFrame:
     """One row for each cell that a vector belongs to or is copied to: (label, dim, cell, home, id, weight, embedding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim in np.unique(dims := batch.column("dim").to_numpy()):
-                part = batch.filter(pa.array(dims == dim))
-                pivots, radii = shared.value[int(dim)]
-                away = _distances(_units(part.column("embedding"), dim), pivots)
+            for dim, part in _strips(batch, shared.value):
+                pivots, radii = shared.value[dim]
+                away = _distances(_matrix(part.column("embedding"), dim), pivots)
                 home = away.argmin(1)
                 own = away[np.arange(len(home)), home][:, None]
-                apart = np.sqrt(np.maximum(0.0, 2 - 2 * (pivots @ pivots.T)))[home]
+                apart = _distances(pivots[home], pivots)
                 slack = 1e-9
                 near = (away <= own + 2 * radius + slack) & (away <= radii + radius + slack) & (away**2 - own**2 <= 2 * radius * apart + slack)
                 near[np.arange(len(home)), home] = True
@@ -65,14 +105,14 @@ def _radii(rows: DataFrame, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for dim in np.unique(dims := batch.column("dim").to_numpy()):
-                away = _distances(_units(batch.column("embedding").filter(pa.array(dims == dim)), dim), shared.value[int(dim)])
+            for dim, part in _strips(batch, shared.value):
+                away = _distances(_matrix(part.column("embedding"), dim), shared.value[dim][0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(away), dim, np.int32)), pa.array(away.argmin(1).astype(np.int32)), pa.array(away.min(1))], ["dim", "cell", "away"])
 
     return rows.select("dim", "embedding").mapInArrow(run, "dim int, cell int, away double").groupBy("dim", "cell").agg(F.max("away").alias("radius"))
 
 
-def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", label_col: str | None = "label", vector_col: str = "embedding", cell: int = CELL, max_pivots: int = MAX_PIVOTS, chunk: int = CHUNK) -> DataFrame:
+def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", label_col: str | None = "label", vector_col: str = "embedding", cell: int = CELL, pivot_bytes: int = PIVOT_BYTES, chunk: int = CHUNK) -> DataFrame:
     """Link vectors of equal label and dimension whose cosine is at least ``threshold``, in double precision.
 
     Returns for each row: the id, n_links (other vectors linked directly, equal ones included),
@@ -80,57 +120,60 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.93, id_col: st
     Vectors that are null, empty, zero or hold null or non-finite components, rows with a null label and
     rows without id link with nothing. With ``label_col`` None all rows count as of one label. Rows that
     repeat an id count as copies; other columns are ignored; an empty table gives an empty result.
+
+    There are as many pivots as the largest label has cells of ``cell`` vectors, up to ``pivot_bytes``; beyond
+    that cells grow, and their chunks are compared in more blocks.
     """
     spark = vectors.sparkSession
     arrow_batches(spark)
     label = F.lit("") if label_col is None else F.col(label_col).cast("string")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = materialise(rows.withColumn("sound", sound).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(2), "embedding", F.lit(2))))
-    classes = materialise(rows.where("sound").groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding")))
-    flat = classes.select(F.col("rep").alias("id"), "label", "weight", F.size("embedding").alias("dim"), F.transform("embedding", lambda x: x / F.array_max(F.transform("embedding", F.abs))).alias("embedding"))  # of length about 1: squares neither overflow nor vanish
+    rows = materialise(unit_vectors(vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))))
+    keys = ["label", "dim", "k1", "k2"]
+    classes = materialise(rows.where("dim is not null").groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding")))
+    flat = classes.select(F.col("rep").alias("id"), "label", "weight", "dim", "embedding")
 
     counted = {r.dim: r.n for r in flat.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()}  # a cell is of one label
-    pivots = {dim: _units(pa.array([r.embedding for r in flat.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(max(1, min(max_pivots, n // cell))).collect()], pa.list_(pa.float64())), dim) for dim, n in counted.items()}
-    shared = spark.sparkContext.broadcast(pivots)
+    wanted = {dim: max(1, min(pivot_bytes // (8 * dim), n // cell)) for dim, n in counted.items()}
+    pivots = {dim: np.array([r.embedding for r in flat.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(n).select("embedding").collect()]) for dim, n in wanted.items()}
     radii = {dim: np.full(len(p), -1.0) for dim, p in pivots.items()}
-    for r in _radii(flat, shared).collect() if counted else ():
+    for r in _radii(flat, spark.sparkContext.broadcast({dim: (p,) for dim, p in pivots.items()})).collect() if counted else ():
         radii[r.dim][r.cell] = r.radius
     radius = float(np.sqrt(2 - 2 * threshold)) + 1e-9
     placed = materialise(_cells(flat, spark.sparkContext.broadcast({dim: (p, radii[dim]) for dim, p in pivots.items()}), radius))
 
     sizes = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     chunked = placed.join(sizes, ["label", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    asked = chunked.where("home").withColumn("other", every).select("label", "dim", "cell", F.col("own").alias("a"), F.col("other").alias("b"), F.lit(True).alias("asks"), "id", "weight", "embedding")
-    asking = chunked.withColumn("other", every).select("label", "dim", "cell", F.col("other").alias("a"), F.col("own").alias("b"), F.lit(False).alias("asks"), "id", "weight", "embedding")
+    blocks = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
 
     def compare(group: pa.Table) -> pa.Table:
-        asks = group["asks"].to_numpy()
-        ids, weight, x = group["id"].to_numpy(), group["weight"].to_numpy(), _units(group["embedding"].combine_chunks(), group["dim"][0].as_py())
-        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        order = np.argsort(ids[right], kind="stable")
-        right = right[order]
-        links, own = np.zeros(len(left), np.int64), np.unique(ids)
-        low, at_left, at_right = own.copy(), np.searchsorted(own, ids[left]), np.searchsorted(own, ids[right])
+        """Every pair of two chunks, or within one, is seen once; a link counts for its home vectors."""
+        order = np.argsort(group["id"].to_numpy(), kind="stable")
+        ids, weight, home, own = (group[c].to_numpy()[order] for c in ("id", "weight", "home", "own"))
+        x = _matrix(group["embedding"].combine_chunks(), group["dim"][0].as_py())[order]
+        one = group["a"][0].as_py() == group["b"][0].as_py()
+        left = np.arange(len(ids)) if one else np.flatnonzero(own == group["a"][0].as_py())
+        right = np.arange(len(ids)) if one else np.flatnonzero(own == group["b"][0].as_py())
+        links, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for k in range(0, len(left), 256):  # a strip at a time: memory in proportion to one chunk
             part = left[k : k + 256]
-            near = (x[part] @ x[right].T >= threshold) & (ids[part][:, None] != ids[right][None, :])
-            links[k : k + 256] = near @ weight[right]
+            near = x[part] @ x[right].T >= threshold
+            if one:
+                near[np.arange(len(part)), part] = False
+            else:
+                links[right] += weight[part] @ near
+            links[part] += near @ weight[right]
             i, j = np.nonzero(near)
-            if len(i):
-                seen = np.searchsorted(own, low)
-                root = roots(len(own), np.concatenate([np.arange(len(own)), at_left[k + i]]), np.concatenate([seen, at_right[j]]))
-                low = own[root]
-        total = np.zeros(len(own), np.int64)
-        np.add.at(total, at_left, links)
-        kept = (total > 0) | (low != own)
-        return pa.table({"id": own[kept], "links": total[kept], "low": low[kept]})
-
-    found = materialise(asked.unionByName(asking).groupBy("label", "dim", "cell", "a", "b").applyInArrow(compare, "id long, links long, low long"))
+            use = home[part[i]] | home[right[j]]
+            if use.any():
+                low = roots(len(ids), np.concatenate([np.arange(len(ids)), part[i[use]]]), np.concatenate([low, right[j[use]]]))
+        links[~home] = 0
+        kept = (links > 0) | (low != np.arange(len(ids)))
+        return pa.table({"id": ids[kept], "links": links[kept], "low": ids[low[kept]]})
+
+    found = materialise(blocks.groupBy("label", "dim", "cell", "a", "b").applyInArrow(compare, "id long, links long, low long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     resolved = materialise(links.join(connected_components(found, "id", "low").withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("rep"), "links", "root"))
-    named = rows.join(classes.select("label", "k1", "k2", "rep", "weight", F.lit(True).alias("sound")), ["label", "k1", "k2", "sound"], "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    named = rows.join(classes.select(*keys, "rep", "weight"), keys, "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("weight", F.lit(1)).alias("weight"))
     component = F.coalesce("root", "rep")
     return named.join(resolved, "rep", "left").select(F.col("id").alias(id_col), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 

@@ -64,6 +64,20 @@ def test_embeddings(spark, cell, chunk):
     assert embedding_dedup.embedding_near_dedup(empty).count() == 0
 
 
+def test_embeddings_of_one_large_label(spark):
+    """50,000 vectors of one label: several pivots and chunks, links known by construction."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(25_000, 24))
+    both = np.concatenate([base, base + rng.normal(size=base.shape) * 0.01]).astype(np.float32)
+    rows = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(both)], "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.embedding_near_dedup(rows).toPandas().set_index("vec_id")
+    x = both.astype(np.float64)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    for k in range(0, 50_000, 997):
+        assert got.n_links[k] == (x @ x[k] >= 0.93).sum() - 1 >= 1
+        assert got.component_id[k] <= k % 25_000
+
+
 def removed(rows, width):
     """(words, covered) of each document, windows judged on the input."""
     first, out = {}, {}
