@@ -1,43 +1,49 @@
 """Operator 5: removal of repeated passages by a compacted de Bruijn graph of word windows.
 
-A window of ``width`` consecutive words is a node of the graph, and consecutive windows of a text are its
-edges. Windows that share their minimiser (the k-mer of the smallest hash in the window, leftmost on
-ties) form a path that is compacted to one entry, a block, before any shuffle: (anchor, content). The
-minimiser depends on the window's words alone, so equal windows always meet under one anchor.
-
-1. Blocks are dealt by their anchor. Of blocks of equal content all but the first repeat as a whole. An
-   anchor with a single content is a nonbranching path: its first occurrence is settled too. Only where
-   an anchor has several contents, at the ends of repeats, are the first blocks of each content opened.
-2. Opened blocks go back to their documents, and their windows are dealt by their hashes; the source
-   coordinates of a window's first occurrence mark all others.
-3. Documents join their marks and lose the words that marked windows cover.
-
-Entries travel in binary arrays, a row for each batch of documents and bucket. A batch sends each content
-and each window once and marks its own repeats itself, so a passage that many documents share sends a
-row for each batch, not for each document; a very frequent anchor sends ``HOT`` blocks of a batch at most,
-the others are opened at once. Anchors, contents and windows have 64-bit hashes of independent kinds, and
-two blocks or windows are equal only if two of them are.
+A window of ``width`` consecutive words is an edge of the graph, from the node of its first ``width - 1``
+words to that of its last. Consecutive windows that share their minimiser (the k-mer of the smallest hash in
+the window, leftmost on ties) are one edge, a block: (anchor, content). The minimiser depends on the
+window's words alone, so equal windows always meet under one anchor.
+
+1. Edges. Blocks are dealt by their anchor, and only those that occur again go on. An anchor of several
+   contents, at the ends of repeats, has its blocks opened: their windows are edges one by one, dealt by
+   their hashes.
+2. Compaction. Edges join the edges that follow them in their documents; where one is followed by the other
+   at every occurrence of either (out-degree and in-degree one), both are of one path. A path's
+   occurrences are long repeated spans, named by the path's first edge.
+3. Verification. Spans join their documents, and the words that stand at their source coordinates give a
+   128-bit digest (BLAKE2b). Spans of one path and one digest are repeats; the first by id and start stays.
+   Where a path's digests differ, its edges are verified one by one.
+4. Documents join the spans that go, compare the words with the digest once more, and lose them.
+
+Texts are dealt by id once, into a bucketed table that all joins by id read where it lies. Blocks travel in
+binary arrays, a row for each batch of documents and bucket. A batch sends each content and each window
+once and passes its own repeats through, so a passage that many documents share sends a row for each
+batch, not for each document. An anchor of more than ``HOT`` contents in a batch sends two, which tell its
+bucket that it branches; the others are opened at once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.storage import run_dir
 from .kernels import Runs, Words, arrow_batches, materialise, mix, table, text_slices, windows
 
-WIDTH, KMER = 20, 5
-#: Blocks of different content that a batch of documents sends under one anchor; two at least, so that their
-#: bucket sees that the anchor branches.
+WIDTH, KMER = 20, 10
+#: Blocks of different content that a batch of documents sends under one anchor; if it has more, it sends two.
 HOT = 16
-#: Bytes of text whose entries meet in one bucket, about.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text whose entries meet in one bucket, and bytes of text in a bucket of the table of texts, about.
+BUCKET_BYTES, TEXT_BYTES = 16 << 20, 64 << 20
 
 
 class Blocks:
@@ -95,7 +101,10 @@ def _unpack_ids(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(raw, np.int64, 1), _wide(raw[8:])]))[:n]
 
 
-_PACKED = "bucket int, n int, first binary, second binary, ids binary, starts binary, counts binary"
+#: Blocks that were sent, in-batch repeats of sent ones, and blocks to be opened; ``counts`` of the first hold twice the count, plus one if the batch repeats the block.
+SENT, AGAIN, OPENED = 0, 1, 2
+_PACKED = "bucket int, kind int, n int, first binary, second binary, ids binary, starts binary, counts binary"
+_EDGE = "edge long, id long, start int, count int, kind int"
 
 
 class Entries:
@@ -109,57 +118,50 @@ class Entries:
         self.new_first[1:] = self.first[1:] != self.first[:-1]
         self.new = self.new_first.copy()
         self.new[1:] |= self.second[1:] != self.second[:-1]
-        lead = np.maximum.accumulate(np.where(self.new, np.arange(n), 0))
-        #: entries that have an equal one earlier in the corpus; not those that stand in the same place
-        self.later = ~self.new & ((self.ids != self.ids[lead]) | (self.start != self.start[lead]))
+        self.lead = np.maximum.accumulate(np.where(self.new, np.arange(n), 0))
+        #: entries that have an equal one before; not those that stand in the same place
+        self.later = ~self.new & ((self.ids != self.ids[self.lead]) | (self.start != self.start[self.lead]))
+
+    def repeated(self) -> np.ndarray:
+        """Whether some entry equals this one."""
+        return np.bincount(self.lead, self.later, len(self.lead))[self.lead] > 0
 
     def variants(self) -> np.ndarray:
         """For each entry: how many different second hashes its first one has."""
         group = np.cumsum(self.new_first) - 1
         return np.bincount(group[self.new], minlength=group[-1] + 1 if len(group) else 0)[group]
 
-    def packed(self, chosen: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[tuple]:
+    def packed(self, chosen: np.ndarray, kind: int, buckets: int, keys: np.ndarray) -> Iterator[tuple]:
         """Rows of ``_PACKED`` of the chosen entries, dealt by the keys."""
         at = np.flatnonzero(chosen)
         bucket = (keys[at] % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((self.ids[at], bucket))
         at, bucket = at[order], bucket[order]
+        count = self.count * 2 + self.repeated() if kind == SENT else self.count
         for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(bucket)) + 1) if len(at) else ():
             own = at[part]
-            yield int(bucket[part[0]]), len(own), self.first[own].tobytes(), self.second[own].tobytes(), _pack_ids(self.ids[own]), _narrow(self.start[own]), _narrow(self.count[own])
+            yield int(bucket[part[0]]), kind, len(own), self.first[own].tobytes() if kind == SENT else b"", self.second[own].tobytes(), _pack_ids(self.ids[own]), _narrow(self.start[own]), _narrow(count[own])
 
-    def settled(self, chosen: np.ndarray, bucket: int) -> tuple:
-        """A row of ``_PACKED`` without hashes: entries that are known to repeat as a whole."""
-        own = np.flatnonzero(chosen)
-        own = own[np.argsort(self.ids[own], kind="stable")]
-        return bucket, len(own), b"", b"", _pack_ids(self.ids[own]), _narrow(self.start[own]), _narrow(self.count[own])
+    def edges(self, chosen: np.ndarray, kind: int) -> pa.RecordBatch:
+        return _edges(self.second[chosen], self.ids[chosen], self.start[chosen], self.count[chosen], kind)
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
-    columns = zip(*rows, strict=True) if rows else [[]] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "n", "first", "second", "ids", "starts", "counts"])
+def _edges(edge: np.ndarray, ids: np.ndarray, start: np.ndarray, count: np.ndarray, kind: int) -> pa.RecordBatch:
+    columns = (edge.view(np.int64), ids, start.astype(np.int32), count.astype(np.int32), np.full(len(ids), kind, np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["edge", "id", "start", "count", "kind"])
 
 
-def _unpacked(group: pa.Table) -> tuple[Entries, np.ndarray, np.ndarray, np.ndarray]:
-    """The entries of a bucket, and ids, starts and counts of those that were settled before."""
-    parts: tuple[list, list] = ([], [])
-    for row in group.to_pylist():
-        hashes = [np.frombuffer(row[c], np.uint64) for c in ("first", "second")]
-        parts[not row["first"]].append((*hashes, _unpack_ids(row["ids"], row["n"]), _wide(row["starts"]), _wide(row["counts"])))
-    empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
-    found, settled = ([np.concatenate(x) for x in zip(empty, *p, strict=True)] for p in parts)
-    return Entries(*found), *settled[2:]
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (*[pa.int32()] * 3, *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "kind", "n", "first", "second", "ids", "starts", "counts"])
 
 
-_MARK = "id long, start int, count int, bits int"
+def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    return (*[np.frombuffer(row[c], np.uint64) for c in ("first", "second")], _unpack_ids(row["ids"], row["n"]), _wide(row["starts"]), _wide(row["counts"]))
 
 
-def _marks(*parts: tuple[np.ndarray, np.ndarray, np.ndarray, bool]) -> pa.Table:
-    """Rows (id, start, count, bits): all bits of blocks that repeat as a whole, none of blocks to be opened."""
-    ids, start, count = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    whole = np.concatenate([np.full(len(p[0]), p[3]) for p in parts])
-    return pa.table({"id": ids, "start": start.astype(np.int32), "count": count.astype(np.int32), "bits": np.where(whole, (1 << count) - 1, 0).astype(np.int32)})
+def _joined(parts: list[tuple]) -> Entries:
+    return Entries(*[np.concatenate(x) for x in zip(*parts, strict=True)])
 
 
 def _sent_blocks(texts: DataFrame, width: int, kmer: int, buckets: int) -> DataFrame:
@@ -172,30 +174,27 @@ def _sent_blocks(texts: DataFrame, width: int, kmer: int, buckets: int) -> DataF
                 words = Words(data, offsets)
                 b = Blocks(words, width, kmer)
                 parts.append((b.anchor, b.content(), ids[i:j][b.text], b.start - words.first[b.text], b.count))
-            entries = Entries(*[np.concatenate(x) for x in zip(*parts, strict=True)]) if parts else None
-            if entries is None or not len(entries.ids):
+            if not parts or not sum(len(p[0]) for p in parts):
                 continue
+            entries = _joined(parts)
             place = np.cumsum(entries.new)  # which content of its anchor in this batch
             place = place - np.maximum.accumulate(np.where(entries.new_first, place, 0))
-            opened = entries.new & (place >= HOT)
-            rows = [*entries.packed(entries.new & ~opened, entries.first, buckets)]
-            k = rows[int(entries.ids[0]) % len(rows)][0]  # of any bucket: they only pass through
-            rows.append(entries.settled(entries.later, k))
-            if opened.any():
-                zero = entries.settled(opened, k)
-                rows.append((*zero[:2], b"", b"open", *zero[4:]))
+            opened = entries.new & (entries.variants() > HOT) & (place >= 2)
+            rows = [*entries.packed(entries.new & ~opened, SENT, buckets, entries.first), *entries.packed(entries.later, AGAIN, buckets, entries.second), *entries.packed(opened, OPENED, buckets, entries.second)]
             yield _rows(rows)
 
     return texts.mapInArrow(run, _PACKED)
 
 
-def _settled_blocks(group: pa.Table) -> pa.Table:
-    opened = group.filter(pa.array([x == b"open" for x in group["second"].to_pylist()]))
-    group = group.filter(pa.array([x != b"open" for x in group["second"].to_pylist()]))
-    entries, *settled = _unpacked(group)
-    branching = entries.new & (entries.variants() > 1)
-    again = [(_unpack_ids(r["ids"], r["n"]), _wide(r["starts"]), _wide(r["counts"]), False) for r in opened.to_pylist()]
-    return _marks((*settled, True), *[(entries.ids[m], entries.start[m], entries.count[m], whole) for m, whole in ((entries.later, True), (branching, False))], *again)
+def _settled_blocks(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket: the blocks of anchors with several contents are to be opened, the others are edges if they repeat."""
+    entries = _joined(parts)
+    again = entries.count % 2 > 0
+    entries.count = entries.count // 2
+    branching = entries.variants() > 1
+    often = np.bincount(entries.lead, again, len(again))[entries.lead] > 0
+    yield entries.edges(branching, OPENED)
+    yield entries.edges(~branching & (often | entries.repeated()), SENT)
 
 
 def _sent_windows(asked: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -208,32 +207,48 @@ def _sent_windows(asked: DataFrame, width: int, buckets: int) -> DataFrame:
                 words = Words(data, offsets)
                 text = np.concatenate([np.full(sum(x["count"] for x in own), k) for k, own in enumerate(blocks[i:j])])
                 start = np.concatenate([np.arange(x["start"], x["start"] + x["count"]) for own in blocks[i:j] for x in own])
+                fits = start + width <= np.diff(words.first)[text]  # another text of the same id can be longer
+                text, start = text[fits], start[fits]
                 at = words.first[text] + start
                 parts.append((Runs(words.hash).of(at, at + width), Runs(mix(words.hash ^ np.uint64(0x5851F42D4C957F2D))).of(at, at + width), ids[i:j][text], start, np.ones(len(at), np.int64)))
-            if parts:
-                entries = Entries(*[np.concatenate(x) for x in zip(*parts, strict=True)])
-                rows = [*entries.packed(entries.new, entries.first, buckets)]
-                yield _rows([*rows, entries.settled(entries.later, rows[int(entries.ids[0]) % len(rows)][0])])
+            if not parts or not sum(len(p[0]) for p in parts):
+                continue
+            entries = _joined(parts)
+            yield _rows([*entries.packed(entries.new, SENT, buckets, entries.first), *entries.packed(entries.later, AGAIN, buckets, entries.second)])
 
     return asked.mapInArrow(run, _PACKED)
 
 
-def _settled_windows(group: pa.Table) -> pa.Table:
-    entries, *settled = _unpacked(group)
-    m = entries.later
-    return _marks((*settled, True), (entries.ids[m], entries.start[m], entries.count[m], True))
+def _settled_windows(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    entries = _joined(parts)
+    again = entries.count % 2 > 0
+    entries.count = entries.count // 2
+    yield entries.edges(entries.repeated() | (np.bincount(entries.lead, again, len(again))[entries.lead] > 0), SENT)
 
 
-def _zipped(docs: DataFrame, text_col: str) -> DataFrame:
-    """The texts compressed, one by one: they move between machines twice."""
-    at = docs.columns.index(text_col)
+def _dealt(packed: DataFrame, parts: int, settle: Callable[[list[tuple]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Every bucket in one partition, with others, one after the other; rows that no bucket decides on pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
+        held, bucket = [], None
         for batch in batches:
-            yield batch.set_column(at, text_col, pa.array([None if x is None else compress(x.encode()) for x in batch.column(at).to_pylist()], pa.binary()))
+            for row in batch.to_pylist():
+                if row["kind"] != SENT:
+                    yield _edges(*_unpacked(row)[1:], row["kind"])
+                    continue
+                if row["bucket"] != bucket and held:
+                    yield from settle(held)
+                    held = []
+                bucket = row["bucket"]
+                held.append(_unpacked(row))
+        if held:
+            yield from settle(held)
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {'binary' if c == text_col else t}" for c, t in docs.dtypes))
+    return packed.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(run, _EDGE)
+
+
+def _zip(x: str | None) -> bytes | None:
+    return None if x is None else zstandard.ZstdCompressor(level=3, write_content_size=True).compress(x.encode())
 
 
 def _unzipped(packed: pa.Array) -> pa.Array:
@@ -241,49 +256,127 @@ def _unzipped(packed: pa.Array) -> pa.Array:
     return pa.array([None if x is None else decompress(x).decode() for x in packed.to_pylist()], pa.large_string())
 
 
-def _dealt(packed: DataFrame, buckets: int, settle: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Every bucket in a partition of its own, settled as a whole."""
+def _bucketed(docs: DataFrame, parts: int) -> DataFrame:
+    """(id, text, ...) with compressed texts, in a table that is bucketed by id in the shared folder.
+
+    Its name leaves the catalogue at once: the frame that is returned keeps the files and their buckets.
+    """
+    at, spark = docs.columns.index("text"), docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if rows := list(batches):
-            yield from settle(pa.Table.from_batches(rows)).to_batches()
+        for batch in batches:
+            yield batch.set_column(at, "text", pa.array([_zip(x) for x in batch.column(at).to_pylist()], pa.binary()))
 
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _MARK)
+    zipped = docs.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'text' else t}" for c, t in docs.dtypes))
+    name = f"tessera_texts_{uuid.uuid4().hex}"
+    zipped.repartition(parts, "id").write.bucketBy(parts, "id").option("compression", "none").option("path", f"{run_dir(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return found
 
 
-def window_marks(texts: DataFrame, zipped: DataFrame, width: int, kmer: int) -> DataFrame:
-    """(id, marks): for documents with repeated windows an array of (start, bits); bit i is that of the window at start + i."""
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    first = materialise(_dealt(_sent_blocks(texts, width, kmer, buckets), buckets, _settled_blocks))
-    opened = first.where("bits = 0").groupBy("id").agg(F.collect_list(F.struct("start", "count")).alias("blocks"))
-    second = _dealt(_sent_windows(zipped.select("id", "text").join(opened, "id"), width, buckets), buckets, _settled_windows)
-    found = first.where("bits != 0").select("id", "start", "bits").unionByName(second.select("id", "start", "bits"))
-    return found.groupBy("id").agg(F.collect_list(F.struct("start", "bits")).alias("marks"))
-
-
-def _cut(data: np.ndarray, words: Words, marks: list[list[dict] | None], width: int) -> Iterator[tuple[int, int, bytes]]:
-    """For each text: its number of words, of removed ones, and the kept words joined by one space."""
-    raw = data.tobytes()
-    for k, own in enumerate(marks):
-        a, b = int(words.first[k]), int(words.first[k + 1])
-        keep = np.arange(a, b)
-        if own:
-            start, bits = np.array([m["start"] for m in own]), np.array([m["bits"] for m in own])
-            row, bit = np.nonzero(bits[:, None] >> np.arange(31) & 1)
-            edge = np.zeros(b - a + width + 1, np.int64)
-            np.add.at(edge, start[row] + bit, 1)
-            np.add.at(edge, start[row] + bit + width, -1)
-            keep = keep[np.cumsum(edge)[: b - a] == 0]
-        yield b - a, b - a - len(keep), b" ".join([raw[s:e] for s, e in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
-
-
-def _prepared(docs: DataFrame, width: int, kmer: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the rows with an id, after a check of the widths."""
+def repeated_edges(texts: DataFrame, zipped: DataFrame, width: int, kmer: int, parts: int, buckets: int) -> DataFrame:
+    """(edge, id, start, count) of every occurrence of blocks and windows that occur more than once."""
+    first = materialise(_dealt(_sent_blocks(texts, width, kmer, buckets), parts, _settled_blocks))
+    opening = first.where(f"kind = {OPENED}").select("edge").distinct().withColumn("opening", F.lit(True))
+    again = first.where(f"kind = {AGAIN}").join(opening, "edge", "left")  # in-batch repeats share what their equals are
+    opened = first.where(f"kind = {OPENED}").unionByName(again.where("opening").drop("opening"))
+    blocks = opened.groupBy("id").agg(F.collect_set(F.struct("start", "count")).alias("blocks"))  # as many as a document has
+    single = _dealt(_sent_windows(zipped.select("id", "text").join(blocks, "id"), width, buckets), parts, _settled_windows)
+    whole = first.where(f"kind = {SENT}").unionByName(again.where("opening is null").drop("opening"))
+    return materialise(whole.unionByName(single).select("edge", "id", "start", "count").distinct())
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """``edges`` with path, the first edge of the nonbranching path that each is on, and where that begins.
+
+    u and v are of one path if v follows u as often as either occurs: then every occurrence of a path is whole.
+    """
+    times = materialise(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")))
+    behind = edges.select("id", (F.col("start") + F.col("count")).alias("start"), F.col("edge").alias("u"))
+    links = edges.select("id", "start", F.col("edge").alias("v")).join(behind, ["id", "start"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    straight = links.join(times.withColumnRenamed("edge", "u"), ["u", "n"]).join(times.withColumnRenamed("edge", "v"), ["v", "n"])
+    inner = materialise(straight.select(F.col("v").alias("edge"), F.lit(True).alias("inner")))
+    ends = edges.join(inner, "edge", "left")
+    begin = F.last(F.when(F.col("inner").isNull(), F.struct(F.col("edge").alias("path"), F.col("start").alias("begin"))), ignorenulls=True)
+    return ends.withColumn("b", begin.over(W.partitionBy("id").orderBy("start"))).select("edge", "id", "start", "count", "b.path", "b.begin")
+
+
+def _word_digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]], width: int) -> list[tuple[int, int] | None]:
+    """A digest of the words of each span (first window, windows), as two longs; None if the text ends before."""
+    out = []
+    for start, count in spans:
+        last, digest = start + count + width - 1, hashlib.blake2b(digest_size=16)
+        if last > len(starts):
+            out.append(None)
+            continue
+        for a in range(start, last, 1 << 16):
+            digest.update(b" ".join(raw[starts[a] : ends[min(a + (1 << 16), last) - 1]].split()) + b" ")
+        out.append(tuple(np.frombuffer(digest.digest(), np.int64).tolist()))
+    return out
+
+
+def verified(spans: DataFrame, zipped: DataFrame, width: int) -> DataFrame:
+    """(path, id, start, count, d1, d2) of (path, id, start, count): with the digest of the words that stand there."""
+    asked = zipped.select("id", "text").join(spans.groupBy("id").agg(F.collect_list(F.struct("path", "start", "count")).alias("spans")), "id")  # as many as a document has
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, spans, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for i, j, data, offsets in text_slices(_unzipped(batch.column(1))):
+                words, raw = Words(data, offsets, hashed=False), data.tobytes()
+                for k in range(i, j):
+                    own = slice(words.first[k - i], words.first[k - i + 1])
+                    found = _word_digests(raw, words.starts[own], words.ends[own], [(x["start"], x["count"]) for x in spans[k]], width)
+                    out += [(x["path"], ids[k], x["start"], x["count"], *d) for x, d in zip(spans[k], found, strict=True) if d]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["path", "id", "start", "count", "d1", "d2"])
+
+    return materialise(asked.mapInArrow(run, "path long, id long, start int, count int, d1 long, d2 long"))
+
+
+def _repeats(spans: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The verified spans of equal keys but for the first one by id and start."""
+    first = spans.groupBy(*keys).agg(F.min(F.struct("id", "start")).alias("first"))
+    return spans.join(first, list(keys)).where(F.struct("id", "start") != F.col("first")).select("id", "start", "count", "d1", "d2")
+
+
+def repeated_spans(texts: DataFrame, zipped: DataFrame, width: int, kmer: int, parts: int, buckets: int) -> DataFrame:
+    """(id, start, count, d1, d2): long spans of windows that all start earlier too, and the digests of their words."""
+    paths = materialise(compacted(repeated_edges(texts, zipped, width, kmer, parts, buckets)))
+    spans = verified(paths.groupBy("path", "id", F.col("begin").alias("start")).agg(F.sum("count").cast("int").alias("count")), zipped, width)
+    same = spans.groupBy("path").agg((F.min(F.struct("count", "d1", "d2")) == F.max(F.struct("count", "d1", "d2"))).alias("same"))
+    sure = _repeats(spans.join(same.where("same").select("path"), "path"), ("path",))
+    doubtful = materialise(same.where("not same").select("path"))
+    if not doubtful.limit(1).count():
+        return sure
+    edges = verified(paths.join(doubtful, "path").select(F.col("edge").alias("path"), "id", "start", "count"), zipped, width)
+    return sure.unionByName(_repeats(edges, ("path", "count", "d1", "d2")))
+
+
+def _cut(raw: bytes, starts: np.ndarray, ends: np.ndarray, spans: list[dict] | None, width: int) -> tuple[int, bytes]:
+    """How many words of a text go, and the kept ones joined by one space. Spans are compared with their digests first."""
+    edge = np.zeros(len(starts) + 1, np.int64)
+    for x, d in zip(spans or [], _word_digests(raw, starts, ends, [(x["start"], x["count"]) for x in spans or []], width), strict=True):
+        if d == (x["d1"], x["d2"]):
+            edge[x["start"]] += 1
+            edge[x["start"] + x["count"] + width - 1] -= 1
+    keep = np.cumsum(edge[:-1]) == 0
+    change = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
+    runs = [b" ".join(raw[starts[a] : ends[b - 1]].split()) for a, b in zip(change[::2], change[1::2], strict=True)]
+    return int(len(keep) - keep.sum()), b" ".join(runs)
+
+
+def _marked(docs: DataFrame, width: int, kmer: int) -> DataFrame:
+    """``docs`` of (id, text, ...), all with an id, with their texts compressed and the spans that go."""
     if not kmer <= width <= kmer + 30:
-        raise ValueError("a block's windows must fit the bits of an int: kmer <= width <= kmer + 30")
-    arrow_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+        raise ValueError("kmer <= width <= kmer + 30")
+    texts = docs.select("id", "text")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    zipped = _bucketed(docs, max(parts, size // TEXT_BYTES))
+    spans = repeated_spans(texts, zipped, width, kmer, parts, max(parts, size // BUCKET_BYTES))
+    return zipped.join(spans.groupBy("id").agg(F.collect_list(F.struct("start", "count", "d1", "d2")).alias("spans")), "id", "left")  # as many as a document has
 
 
 def substring_dedup_digests(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,43 +388,54 @@ def substring_dedup_digests(docs: DataFrame, width: int = WIDTH, kmer: int = KME
     left as it is; rows that repeat an id are one document, whose equal places are no repeats of each
     other; an empty table gives an empty result; other columns are ignored.
     """
-    texts = _prepared(docs, width, kmer, id_col, text_col)
-    zipped = _zipped(texts, "text")
-    marked = zipped.join(window_marks(texts.where("id is not null"), zipped, width, kmer), "id", "left").select("id", "text", "marks")
+    arrow_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    marked = _marked(rows.where("id is not null"), width, kmer).select("id", "text", "spans")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = batch.column(2).to_pylist()
-            for i, j, data, offsets in text_slices(_unzipped(batch.column(1))):
-                n, removed, kept = zip(*_cut(data, Words(data, offsets, hashed=False), marks[i:j], width), strict=True)
-                digests = [hashlib.sha256(x).hexdigest() for x in kept]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], ["id", "n_words", "n_removed", "kept_sha256"])
+    def digests(zipped: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans = batch.column(2).to_pylist() if zipped else [None] * batch.num_rows
+                for i, j, data, offsets in text_slices(_unzipped(batch.column(1)) if zipped else batch.column(1)):
+                    words, raw = Words(data, offsets, hashed=False), data.tobytes()
+                    cut = [_cut(raw, words.starts[a:b], words.ends[a:b], x, width) for a, b, x in zip(words.first, words.first[1:], spans[i:j], strict=False)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(words.first)), pa.array([n for n, _ in cut], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for _, x in cut])], ["id", "n_words", "n_removed", "kept_sha256"])
 
-    return marked.mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
+        return run
+
+    kinds = "id long, n_words long, n_removed long, kept_sha256 string"
+    return marked.mapInArrow(digests(True), kinds).unionByName(rows.where("id is null").mapInArrow(digests(False), kinds)).withColumnRenamed("id", id_col)
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with repeated passages removed from its texts.
 
     A text that loses words becomes its kept words joined by one space, the empty text if none is kept; the
-    others stay as they are, and so do rows without id.
+    others stay as they are, and so do rows without id. Columns may have any name.
     """
-    texts = _prepared(docs, width, kmer, id_col, text_col)
-    marks = window_marks(texts.where("id is not null"), _zipped(texts, "text"), width, kmer).select(F.col("id").alias("__id"), F.col("marks").alias("__marks"))
-    names, at = docs.columns, docs.columns.index(text_col)
-    marked = _zipped(docs, text_col).join(marks, F.col(id_col).cast("long") == F.col("__id"), "left").select(*names, "__marks")
+    arrow_batches(docs.sparkSession)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own_id, own_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = plain.withColumn("id", F.col(own_id).cast("long")).withColumn("text", F.col(own_text).cast("string")).drop(own_text)
+    rest = [c for c in names if c != own_text]
+    marked = _marked(rows.where("id is not null"), width, kmer).select(*rest, "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, texts = batch.column(len(names)).to_pylist(), _unzipped(batch.column(at))
+            spans, texts = batch.column(len(rest) + 1).to_pylist(), _unzipped(batch.column(len(rest)))
             out = texts.to_pylist()
-            touched = [k for k, m in enumerate(marks) if m]
+            touched = [k for k, m in enumerate(spans) if m]
             for i, j, data, offsets in text_slices(texts.take(pa.array(touched, pa.int64()))):
-                for k, (_, _, kept) in zip(touched[i:j], _cut(data, Words(data, offsets, hashed=False), [marks[k] for k in touched[i:j]], width), strict=True):
-                    out[k] = kept.decode()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : len(names)]], names)
-
-    return marked.mapInArrow(run, docs.schema)
+                words, raw = Words(data, offsets, hashed=False), data.tobytes()
+                for k, a, b in zip(touched[i:j], words.first, words.first[1:], strict=False):
+                    gone, kept = _cut(raw, words.starts[a:b], words.ends[a:b], spans[k], width)
+                    out[k] = kept.decode() if gone else out[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(out, pa.string())], [*rest, own_text])
+
+    kinds = ", ".join([*[f"{c} {t}" for c, t in plain.dtypes if c != own_text], f"{own_text} string"])
+    cut = marked.mapInArrow(run, kinds).withColumn(own_text, F.col(own_text).cast(plain.schema[own_text].dataType))
+    return cut.select(*names).unionByName(plain.where(F.col(own_id).cast("long").isNull())).toDF(*docs.columns)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

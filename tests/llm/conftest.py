@@ -1,7 +1,7 @@
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, bucket int, k1 int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, bucket int, k1 int, `__id` int, `a``b c` string"
 
 
 @pytest.fixture(scope="session")
@@ -18,6 +18,6 @@ def frame(spark):
     """A frame of (doc_id, text) with further columns, some named as the operators' own."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, "en", "src", len(t or ""), "x", 1, 2) for i, t in rows], SCHEMA)
+        return spark.createDataFrame([(i, t, "en", "src", len(t or ""), "x", 1, 2, 3, "y") for i, t in rows], SCHEMA)
 
     return make
