@@ -1,11 +1,14 @@
 """Operator 9: n-gram Jaccard join with Bayesian candidate pruning.
 
 1. Documents with the same set of shingles form a class; only its smallest id goes on.
-2. Bands of MinHash values give candidates: the members of a band's bucket are tied to the bucket's
-   smallest one, which is linear in the bucket, and the ties' components hold all candidate pairs.
-3. Within a component (in blocks of pairs of chunks where it is large) signatures are compared a few
-   values at a time. A pair is dropped as soon as the posterior probability that its similarity reaches
-   the threshold falls below the tolerance; the rest are verified on their whole sets of shingles.
+2. Bands of MinHash values give candidates: two classes with a band in common. The members of a band's bucket
+   are tied to the bucket's smallest one, which is linear in the bucket. Ties' components of at most
+   ``BLOCK`` members are packed together and compared as a whole; members of larger ones are compared bucket
+   by bucket, in blocks of pairs of chunks where a bucket is large, and a pair only in the first bucket that
+   it has in common. So work follows the collisions, not the squares of components.
+3. Signatures are compared a few values at a time. A pair is dropped as soon as the posterior probability that
+   its similarity reaches the threshold falls below the tolerance; the rest are verified on their whole sets
+   of shingles.
 4. Blocks return links counted per document and a spanning forest, never the pairs.
 """
 
@@ -27,7 +30,7 @@ from .minhash import MinHash, bands, set_keys, shingle_runs
 BANDS, ROWS = 32, 5
 #: MinHash values compared before the next decision.
 STEP = 20
-#: Members of a component that are compared in one block.
+#: Members of a component, or of a chunk of a bucket, that are compared in one block.
 BLOCK = 512
 #: Rows that a group of small components has on average.
 PACK = 512
@@ -99,16 +102,20 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def linked(ids: np.ndarray, weights: np.ndarray, chunks: np.ndarray | None, signatures: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+def linked(ids: np.ndarray, weights: np.ndarray, chunks: np.ndarray | None, signatures: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of each member of a block, counted with the copies, and the smallest id tied to it here.
 
-    With ``chunks``, only pairs of members of two different chunks are compared.
+    With ``chunks``, only pairs of members of two different chunks are compared; with ``before``, the bands
+    before the block's own, only pairs that have none of these in common.
     """
     if chunks is None:
         left, right = np.triu_indices(len(ids), 1)
     else:
         a, b = np.flatnonzero(chunks == chunks.min()), np.flatnonzero(chunks != chunks.min())
         left, right = np.repeat(a, len(b)), np.tile(b, len(a))
+    for band in () if before is None else before.T:
+        mine = band[left] != band[right]
+        left, right = left[mine], right[mine]
     sizes = np.array([len(s) for s in sets], np.int64)
     fits = np.minimum(sizes[left], sizes[right]) >= threshold * np.maximum(sizes[left], sizes[right]) - 1e-9
     left, right = survivors(signatures, left[fits], right[fits], threshold, tolerance)
@@ -167,43 +174,43 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     own = materialise(sketches(texts, n, n_bands, rows))
     classes = materialise(own.where("id is not null and bands is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")))
 
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = materialise(banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead"))  # by itself, so that a hot band's rows can be split
-    ties = banded.join(shared, "band").where("rep != lead").select("rep", "lead").distinct()
+    banded = classes.select("rep", F.posexplode("bands").alias("at", "band"))
+    shared = materialise(banded.groupBy("band").agg(F.min("at").alias("at"), F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("lead < last"))  # by itself, so that a hot band's rows can be split
+    ties = banded.join(shared.select("band", "lead"), "band").where("rep != lead").select("rep", "lead").distinct()
     tied = materialise(connected_components(ties, "rep", "lead"))
 
-    sized = tied.join(materialise(tied.groupBy("root").agg(F.count(F.lit(1)).alias("size"))), "root").withColumn("chunks", F.ceil(F.col("size") / block).cast("int"))
+    sized = tied.join(materialise(tied.groupBy("root").agg(F.count(F.lit(1)).alias("n"))), "root")
     packs = max(1, tied.count() // PACK)
-    members = sized.join(classes.select(F.col("rep").alias("node"), "weight"), "node").withColumnRenamed("node", "id")
-    sets = with_sets(texts.join(members, "id").select("id", "text", "root", "weight", "chunks"), n, n_bands * rows)
-    own_chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    small = F.col("chunks") == 1
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    placed = sets.withColumn("chunk", own_chunk).withColumn("other", other).select(
-        F.when(small, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.col("root")).alias("pack"), F.when(small, -1).otherwise(F.least("chunk", "other")).alias("i"), F.when(small, -1).otherwise(F.greatest("chunk", "other")).alias("j"),
-        "id", "root", "weight", "chunk", "signature", "shingles",
-    )
+    spot = "array(struct({} as pack, cast({} as int) as at, cast({} as int) as chunks)) as spots"
+    small = sized.where(F.col("n") <= block).select(F.col("node").alias("rep"), F.expr(spot.format(f"pmod(xxhash64(root), {packs}L)", -1, 1)))
+    first = shared.groupBy("size", "members", "lead", "last").agg(F.min(F.struct("at", "band")).alias("b"))  # of buckets with the same members all pairs meet in the first
+    buckets = banded.drop("at").join(first.select("b.band", "b.at", "size"), "band").join(sized.where(F.col("n") > block).select(F.col("node").alias("rep")), "rep")
+    large = buckets.groupBy("rep").agg(F.collect_list(F.struct(F.col("band").alias("pack"), "at", F.ceil(F.col("size") / block).cast("int").alias("chunks"))).alias("spots"))  # as many as there are bands
+    members = small.unionByName(large).join(classes.select("rep", "weight"), "rep").join(tied.select(F.col("node").alias("rep"), "root"), "rep").withColumnRenamed("rep", "id")
+    sets = with_sets(texts.join(members, "id").select("id", "text", "root", "weight", "spots"), n, n_bands * rows)
+    spread = sets.withColumn("spot", F.explode("spots")).select("id", "root", "weight", "signature", "shingles", "spot.*").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    placed = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("chunks", "other")
 
     def compare(group: pa.Table) -> pa.Table:
         ids, first = np.unique(group["id"].to_numpy(), return_index=True)
         group = group.take(first)
-        root, weight, chunk, i, j = (group[c].to_numpy() for c in ("root", "weight", "chunk", "i", "j"))
-        out: tuple[list, list] = ([], [])
+        root, weight, chunk = (group[c].to_numpy() for c in ("root", "weight", "chunk"))
+        at, i, j = (group[c][0].as_py() for c in ("at", "i", "j"))
         signature, shingles = group["signature"].combine_chunks(), group["shingles"].combine_chunks()
         order = np.argsort(root, kind="stable")
+        out: tuple[list, list] = ([], [])
         for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-            sig = np.array([np.frombuffer(signature[int(k)].as_buffer(), np.uint32) for k in part])
-            if i[0] == j[0] or len(np.unique(chunk[part])) > 1:
-                links, low = linked(ids[part], weight[part], None if i[0] == j[0] else chunk[part], sig, [np.frombuffer(shingles[int(k)].as_buffer(), np.uint64) for k in part], threshold, tolerance)
-                out[0].append(links)
-                out[1].append(low)
-            else:
-                out[0].append(np.zeros(len(part), np.int64))
-                out[1].append(ids[part])
-        at = np.argsort(order, kind="stable")
-        return pa.table({"id": ids, "links": np.concatenate(out[0])[at], "low": np.concatenate(out[1])[at], "whole": i == -1})
-
-    found = materialise(placed.groupBy("pack", "i", "j").applyInArrow(compare, "id long, links long, low long, whole boolean").where("links > 0"))
+            links, low = np.zeros(len(part), np.int64), ids[part]
+            if i == j or len(np.unique(chunk[part])) > 1:
+                sig = np.array([np.frombuffer(signature[int(k)].as_buffer(), np.uint32) for k in part])
+                own = [np.frombuffer(shingles[int(k)].as_buffer(), np.uint64) for k in part]
+                links, low = linked(ids[part], weight[part], None if i == j else chunk[part], sig, own, threshold, tolerance, None if at < 0 else bands(sig, n_bands)[:, :at])
+            out[0].append(links)
+            out[1].append(low)
+        back = np.argsort(order, kind="stable")
+        return pa.table({"id": ids, "links": np.concatenate(out[0])[back], "low": np.concatenate(out[1])[back], "whole": np.full(len(ids), at < 0)})
+
+    found = materialise(placed.groupBy("pack", "at", "i", "j").applyInArrow(compare, "id long, links long, low long, whole boolean").where("links > 0"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     lows = found.where("whole").select(F.col("id").alias("node"), F.col("low").alias("root")).unionByName(connected_components(found.where("not whole"), "id", "low"))
     resolved = materialise(links.join(lows.withColumnRenamed("node", "id"), "id").select(F.col("id").alias("class_id"), "links", "root"))
