@@ -79,35 +79,49 @@ def similar_classes(docs: DataFrame, n: int = WORDS, size: int = SIZE, threshold
     return pairs, members
 
 
-def _ranges(ids: DataFrame, parts: int) -> list[int]:
-    """At most ``parts - 1`` values that cut the ids into ranges of about equal size."""
-    found = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 100 * parts).alias("q")).first().q if parts > 1 else []
-    return sorted(set(found or []))
+def _ranges(keys: DataFrame, parts: int) -> np.ndarray:
+    """At most ``parts - 1`` values that cut the keys into ranges of about equal size."""
+    found = keys.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 100 * parts).alias("q")).first().q if parts > 1 else []
+    return np.array(sorted(set(found or [])), np.int64)
 
 
-def _part_of(cuts: np.ndarray):
-    """(part, key): ranges in descending order of keys."""
+class Ranges:
+    """Ranges in descending order of keys: first those of ids, then those of the keys of rows without id."""
+
+    def __init__(self, ids: np.ndarray, lone: np.ndarray):
+        self.ids, self.lone = ids, lone
+
+    def of(self, lone: np.ndarray, key: np.ndarray) -> np.ndarray:
+        with_id = len(self.ids) - np.searchsorted(self.ids, key, "left")
+        return np.where(lone, len(self.ids) + 1 + len(self.lone) - np.searchsorted(self.lone, key, "left"), with_id).astype(np.int32)
+
+
+def _heads(keyed: DataFrame, ranges: Ranges) -> list[tuple[int, bool, int]]:
+    """(range, lone, largest key) of the ranges with rows, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = len(cuts) - np.searchsorted(cuts, batch.column(0).to_numpy(), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0)], ["part", "key"])
+            lone, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(lone, key)), batch.column(0), batch.column(1)], ["part", "lone", "key"])
 
-    return run
+    rows = keyed.select("lone", "key").mapInArrow(run, "part int, lone boolean, key long").groupBy("part", "lone").agg(F.max("key").alias("key")).collect()
+    return sorted((r.part, r.lone, r.key) for r in rows)
 
 
-def _with_copies(cuts: np.ndarray, before: dict[int, int]):
-    """Rows (id, text, key) with their part; the first of each range once more, for the range before it."""
+def _with_copies(ranges: Ranges, heads: list[tuple[int, bool, int]]):
+    """Rows (lone, key, id, text) with the number of their range; the first of each range once more, for the range before it."""
+    number = np.full(len(ranges.ids) + len(ranges.lone) + 2, -1, np.int32)
+    number[[p for p, _, _ in heads]] = np.arange(len(heads))
+    before = {(lone, key): (k - 1) % len(heads) for k, (_, lone, key) in enumerate(heads)}  # of the first range, the last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            part = len(cuts) - np.searchsorted(cuts, key, "left")
-            first = [k for k, x in enumerate(key.tolist()) if x in before]
+            lone, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            first = [k for k, x in enumerate(zip(lone.tolist(), key.tolist(), strict=True)) if x in before]
             row = np.concatenate([np.arange(len(key)), np.array(first, np.int64)])
-            part = np.concatenate([part, [before[int(key[k])] for k in first]]).astype(np.int32)
+            part = np.concatenate([number[ranges.of(lone, key)], [before[bool(lone[k]), int(key[k])] for k in first]]).astype(np.int32)
             kept = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.arange(len(row)) >= len(key)), *[kept.column(c) for c in ("key", "id", "text")]], ["part", "copy", "key", "id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.arange(len(row)) >= len(key)), *kept.columns], ["part", "copy", "lone", "key", "id", "text"])
 
     return run
 
@@ -120,7 +134,8 @@ def edited_fingerprints(docs: DataFrame, n: int = WORDS, size: int = SIZE, id_co
     Returns the id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next, the
     likeness of the text's fingerprint to those of the edited text and of the next document. A null text
     counts as empty; two empty texts are alike. Rows that repeat an id follow each other in the order of
-    their texts; rows without id come last; a single document is its own next. Other columns are ignored.
+    their texts; rows without id come last, in descending order of a hash of their texts; a single document is
+    its own next. Other columns are ignored.
 
     Documents are dealt once, by ranges of ids; the first one of each range goes to the range before it as
     well, since it follows that range's last. The ranges' bounds are as many as there are partitions.
@@ -128,16 +143,18 @@ def edited_fingerprints(docs: DataFrame, n: int = WORDS, size: int = SIZE, id_co
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    key = F.coalesce("id", F.lit(-(1 << 63)))
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = np.array(_ranges(rows.select(key.alias("id")), parts), np.int64)
-    heads = sorted((r.part, r.head) for r in rows.select(key.alias("key")).mapInArrow(_part_of(cuts), "part int, key long").groupBy("part").agg(F.max("key").alias("head")).collect())
+    keyed = rows.select(F.col("id").isNull().alias("lone"), F.coalesce("id", F.xxhash64("text")).alias("key"), "id", "text")
+    if rows.where("id is null").limit(1).count():
+        ranges = Ranges(_ranges(keyed.where("not lone"), parts), _ranges(keyed.where("lone"), parts))
+    else:  # the texts need not be read for their keys
+        keyed = rows.select(F.lit(False).alias("lone"), F.col("id").alias("key"), "id", "text")
+        ranges = Ranges(_ranges(keyed, parts), np.zeros(0, np.int64))
+    heads = _heads(keyed, ranges)
     if not heads:
         return spark.createDataFrame([], f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    present = [p for p, _ in heads]
-    before = {head: present[k - 1] for k, (p, head) in enumerate(heads)}  # of the first range, the last
-    placed = rows.withColumn("key", key).mapInArrow(_with_copies(cuts, before), "part int, copy boolean, key long, id long, text string")
-    dealt = placed.repartition(len(present), "part").sortWithinPartitions("part", "copy", F.desc("key"), "text")
+    placed = keyed.mapInArrow(_with_copies(ranges, heads), "part int, copy boolean, lone boolean, key long, id long, text string")
+    dealt = placed.repartitionById(len(heads), F.col("part")).sortWithinPartitions("part", "copy", F.desc("key"), "text")
 
     def finish(held: list[tuple], follows: str) -> Iterator[pa.RecordBatch]:
         if not held:

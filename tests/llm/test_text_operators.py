@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -188,6 +189,22 @@ def test_fingerprint_edges(frame):
     assert fingerprints.edited_fingerprints(frame([])).count() == 0
     same = fingerprints.edited_fingerprints(frame([(1, "a b c d e f"), (1, "a b c d e f"), (None, None)])).collect()
     assert len(same) == 3
+    lone = fingerprints.edited_fingerprints(frame([(k if k % 3 else None, f"text {k} " * 9) for k in range(60)] + [(-(1 << 63), "least"), (None, None), (None, "")]), parts=5).collect()
+    texts, edited = [f"text {k} " * 9 for k in range(60)] + ["least", "", ""], {r.edited_sha256 for r in lone}
+    ids = [k for k in reversed(range(60)) if k % 3]
+    assert len(lone) == 63 and all(hashlib.sha256((texts[a][: len(texts[a]) - len(texts[a]) // 3] + texts[b][: len(texts[a]) // 3]).encode()).hexdigest() in edited for a, b in zip(ids, [*ids[1:], 60]))
+
+
+def test_signatures_are_minima_of_permutations(documents, frame):
+    """Every value by a loop over all permutations and shingles, with the parameters and shingle hashes of the operator."""
+    from tessera.llm.minhash import MinHash, shingle_runs
+
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(frame(documents)).collect()}
+    a, b = (x.tolist() for x in MinHash(fingerprints.SIZE, seed=7).parameters())
+    for i, t in documents[:12] + documents[-10:]:
+        hashes = [int(h) >> 32 for _, _, shingles, _ in shingle_runs(pa.array([t]), 5) for h in shingles]
+        want = [min(((h * x + y) % (1 << 32) for h in hashes), default=(1 << 32) - 1) for x, y in zip(a, b)] if len(hashes) < 5000 else None
+        assert want is None or got[i] == "".join(f"{v:08x}" for v in want)
 
 
 def test_similar_classes(documents, frame):
