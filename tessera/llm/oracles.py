@@ -11,13 +11,16 @@ _PHRASES = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHR
 _NOTICES = ", ".join(f"('{n}', '{label}')" for n, label in NOTICES.items())
 
 OP1_SQL = rf"""
-with d as (select doc_id, {_LOW} as low, regexp_extract_all({_LOW}, {_PLAIN}) as w from documents),
+with d as (select doc_id, regexp_extract_all({_LOW}, {_PLAIN}) as w from documents),
 p as (select string_split(p, ' ') as p, n, label from (values {_PHRASES}) v(p, n, label)),
 b as (select doc_id, label, unnest(list_filter(range(len(w) - n + 1), lambda k: w[k + 1:k + n] = p)) as place from d, p where list_contains(w, p[1])),
 base as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, array_to_string(list_sort(list(distinct label)), ',') as base_labels, list(distinct label) as ls from b group by 1),
-n as (select list_distinct(string_split(n, ' ')) as s, label from (values {_NOTICES}) v(n, label)),
-l as (select doc_id, list_distinct(regexp_extract_all(line, {_PLAIN})) as s from (select doc_id, unnest(string_split(low, chr(10))) as line from d)),
-c as (select doc_id, label, cast(len(list_intersect(l.s, n.s)) as double) / len(n.s) as share from l, n where len(list_intersect(l.s, n.s)) >= {THRESHOLD} * len(n.s) - 1e-9),
+n as (select n, label, len(list_distinct(string_split(n, ' '))) as m, cast(floor(len(string_split(n, ' ')) / {THRESHOLD} + 1e-9) as bigint) as reach from (values {_NOTICES}) v(n, label)),
+s as (select distinct n, label, m, reach, unnest(string_split(n, ' ')) as word from n),
+u as (select doc_id, word, pos from (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos from d) where word in (select word from s)),
+h as (select s.*, doc_id, pos from u join s using (word)),
+k as (select * from h where (doc_id, n) in (select (doc_id, n) from h group by doc_id, n, m having count(distinct word) >= {THRESHOLD} * m - 1e-9)),
+c as (select a.doc_id, a.label, cast(count(distinct z.word) as double) / a.m as share from k a join k z on a.doc_id = z.doc_id and a.n = z.n and z.pos >= a.pos and z.pos < a.pos + a.reach group by a.doc_id, a.n, a.label, a.m, a.pos having count(distinct z.word) >= {THRESHOLD} * a.m - 1e-9),
 notice as (select doc_id, list(distinct label) as ls, max(share) as share from c group by 1)
 select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(notice.ls, [])))), ',') as labels, case when n_base > 0 then 1.0::double else coalesce(share, 0::double) end as score
