@@ -96,15 +96,18 @@ def turn_id(turn: Column) -> Column:
     return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
 
 
-def calls_and_results(conversations: DataFrame, first: str = "turn = 0") -> tuple[DataFrame, DataFrame]:
+def calls_and_results(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns as tool calls: a user's turn calls `ask`, an assistant's turn is the result of the call one turn before.
 
-    The identifier is conversation and turn. A call's parent is the call two turns before it. Turns of other
-    roles are neither: see `messages`. ``first`` says which calls have the argument first.
+    The identifier is conversation and turn. A call's parent is the call two turns before it. The first call of
+    a conversation is its first user turn, whatever stands before it. Turns of other roles are neither: see
+    `messages`.
     """
-    turn = F.col("turn")
-    arguments = F.to_json(F.struct(F.col("turn").alias("turn"), F.col("text").alias("text"), F.expr(first).alias("first")))
-    calls = conversations.where("role = 'user'").select(turn_id(turn).alias("call_id"), turn_id(turn - 2).alias("parent_id"), F.lit("ask").alias("name"), arguments.alias("arguments"))
+    turn, ask = F.col("turn"), F.when(F.col("role") == "user", "ask")  # no constant, so that the join with the schemas is an equi-join
+    users = conversations.where("role = 'user'")
+    opening = users.groupBy("conv_id").agg(F.min("turn").alias("opening"))
+    arguments = F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("text"), F.coalesce(turn == F.col("opening"), F.lit(False)).alias("first")))
+    calls = users.join(opening, "conv_id", "left").select(turn_id(turn).alias("call_id"), turn_id(turn - 2).alias("parent_id"), ask.alias("name"), arguments.alias("arguments"))
     return calls, conversations.where("role = 'assistant'").select(turn_id(turn - 1).alias("call_id"), F.col("text").alias("content"))
 
 
@@ -123,12 +126,8 @@ def messages(conversations: DataFrame) -> DataFrame:
 
 
 def every_turn(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
-    """All turns: calls with their results, results without call or identifier, and messages.
-
-    The first call of a conversation is its first user turn, whatever stands before it.
-    """
-    opening = conversations.where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("opening"))
-    calls, results = calls_and_results(conversations.join(opening, "conv_id", "left"), "coalesce(turn = opening, false)")
+    """All turns: calls with their results, results without call or identifier, and messages."""
+    calls, results = calls_and_results(conversations)
     return link_tool_calls(calls, results, schemas, unnamed=True).unionByName(messages(conversations))
 
 
@@ -137,36 +136,40 @@ def _schemas(spark: SparkSession) -> DataFrame:
 
 
 def op10_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = calls_and_results(table(spark, sf_dir, "conversations"))
-    return link_tool_calls(calls, results, _schemas(spark)).withColumn("errors", F.array_join("errors", ", "))
-
-
-def op10_tool_call_linking_every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`op10_tool_call_linking` has the rows of its SQL, calls and results; this has those of all turns."""
     return every_turn(table(spark, sf_dir, "conversations"), _schemas(spark)).withColumn("errors", F.array_join("errors", ", "))
 
 
 OP10_SQL = r"""
-WITH RECURSIVE c AS (
-  SELECT concat(conv_id, ':', turn) AS call_id, concat(conv_id, ':', turn - 2) AS parent_id, 'ask' AS name, turn, text
-  FROM conversations WHERE role = 'user'
-), r AS (
-  SELECT concat(conv_id, ':', turn - 1) AS call_id, count(*) AS n_results, min(text) AS content
-  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1
+WITH RECURSIVE t AS (
+  SELECT *, conv_id::VARCHAR || ':' || turn::VARCHAR AS own, conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS asked,
+    min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS opening
+  FROM conversations
+), c AS (
+  SELECT own AS call_id, conv_id::VARCHAR || ':' || (turn - 2)::VARCHAR AS parent_id, turn, text, conv_id IS NOT NULL AND coalesce(turn = opening, false) AS opens FROM t WHERE role = 'user'
+), k AS (
+  SELECT call_id, min(parent_id) AS parent_id FROM c WHERE call_id IS NOT NULL GROUP BY 1
 ), l AS (
-  SELECT DISTINCT call_id, 0::BIGINT AS level FROM c WHERE parent_id NOT IN (SELECT call_id FROM c)
-  UNION
-  SELECT c.call_id, l.level + 1 FROM l JOIN c ON c.parent_id = l.call_id
+  SELECT k.call_id, 0::BIGINT AS level FROM k LEFT JOIN k AS p ON k.parent_id = p.call_id WHERE p.call_id IS NULL
+  UNION ALL
+  SELECT k.call_id, l.level + 1 FROM l JOIN k ON k.parent_id = l.call_id
+), r AS (
+  SELECT asked AS call_id, count(*) AS n_results, min(text) AS content, list(text ORDER BY text NULLS FIRST) AS contents FROM t WHERE role = 'assistant' AND asked IS NOT NULL GROUP BY 1
 ), e AS (
-  SELECT c.call_id, c.parent_id, c.name, l.level, r.call_id IS NOT NULL AS linked, coalesce(r.n_results, 0) AS n_results,
-    CASE WHEN c.text IS NULL THEN 'missing text' ELSE '' END AS errors,
-    concat('{"first":', CASE WHEN c.turn = 0 THEN 'true' ELSE 'false' END, CASE WHEN c.text IS NULL THEN '' ELSE concat(',"text":', to_json(c.text)) END, ',"turn":', c.turn, '}') AS canonical, r.content
-  FROM c JOIN l ON c.call_id = l.call_id LEFT JOIN r ON c.call_id = r.call_id
+  SELECT c.call_id, c.parent_id, 'ask' AS name, CASE WHEN c.call_id IS NULL THEN 0 ELSE l.level END AS level, r.call_id IS NOT NULL AS linked, coalesce(r.n_results, 0) AS n_results,
+    concat_ws(', ', CASE WHEN c.text IS NULL THEN 'missing text' END, CASE WHEN c.turn IS NULL THEN 'missing turn' END) AS errors,
+    concat('{"first":', c.opens, CASE WHEN c.text IS NOT NULL THEN concat(',"text":', to_json(c.text)) END, CASE WHEN c.turn IS NOT NULL THEN concat(',"turn":', c.turn) END, '}') AS canonical, r.content, r.contents
+  FROM c LEFT JOIN l ON c.call_id = l.call_id LEFT JOIN r ON c.call_id = r.call_id
+  UNION ALL
+  SELECT call_id, NULL, NULL, NULL, false, n_results, 'no call', 'null', content, contents FROM r WHERE call_id NOT IN (SELECT call_id FROM k)
+  UNION ALL
+  SELECT NULL, NULL, NULL, NULL, false, 1, 'no call', 'null', text, [text] FROM t WHERE role = 'assistant' AND asked IS NULL
   UNION ALL
-  SELECT call_id, NULL, NULL, NULL, false, n_results, 'no call', 'null', content FROM r WHERE call_id NOT IN (SELECT call_id FROM c)
+  SELECT own, NULL, 'message', NULL, false, 0, '', concat('{', concat_ws(',', '"role":' || to_json(role)::VARCHAR, '"text":' || to_json(text)::VARCHAR, '"turn":' || turn::VARCHAR), '}'), NULL, []
+  FROM t WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 )
 SELECT call_id, parent_id, name, level, linked, n_results, errors,
-  concat('{"arguments":', canonical, ',"call_id":', to_json(call_id), ',"level":', coalesce(level::VARCHAR, 'null'), ',"name":', coalesce(to_json(name)::VARCHAR, 'null'),
-    ',"parent_id":', coalesce(to_json(parent_id)::VARCHAR, 'null'), ',"result":', coalesce(to_json(content)::VARCHAR, 'null'), '}') AS json
+  concat('{"arguments":', canonical, ',"call_id":', coalesce(to_json(call_id)::VARCHAR, 'null'), ',"level":', coalesce(level::VARCHAR, 'null'), ',"name":', coalesce(to_json(name)::VARCHAR, 'null'),
+    ',"parent_id":', coalesce(to_json(parent_id)::VARCHAR, 'null'), ',"result":', coalesce(to_json(content)::VARCHAR, 'null'),
+    CASE WHEN n_results > 1 THEN concat(',"results":[', array_to_string(list_transform(contents, lambda x: coalesce(to_json(x)::VARCHAR, 'null')), ','), ']') ELSE '' END, '}') AS json
 FROM e
 """

@@ -3,6 +3,7 @@
 import json
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.llm import registry, tool_calls
@@ -53,21 +54,30 @@ def test_canonical_json(spark):
     assert got.startswith('{"arguments":{"a":[true,null,{"y":2,"z":1}],"b":1.5,"note":"') and "\n" not in got and "é/" in got
 
 
-def test_sql_gives_the_same_rows(spark):
+TURNS = [(1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (1, 3, "user", "so"), (2, 0, "user", "a"), (2, 1, "tool", 'b"'), (2, 2, None, None), (None, 3, "assistant", "c"), (3, None, "assistant", "d"), (None, 0, "user", "e"), (None, 4, "system", "f")]
+MORE = [(4, 0, "user", None), (4, 1, "assistant", "z"), (4, 1, "assistant", None), (4, 1, "assistant", 'q"'), (4, 2, "user", "x"), (4, 2, "user", "y"), (4, 4, "user", "w"), (5, 3, "assistant", "p"), (5, 3, "assistant", "o"), (6, None, "user", "v"), (None, None, None, None)]
+
+
+@pytest.mark.parametrize("rows", [None, TURNS, TURNS + MORE, TURNS + MORE * 2, []])
+def test_sql_gives_the_same_rows(spark, rows, tmp_path):
+    path = SF
+    if rows is not None:
+        path = str(tmp_path)
+        spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{path}/conversations.parquet")
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{SF}/conversations.parquet'")
-    got, want = tool_calls.op10_tool_call_linking(spark, SF).toPandas(), con.execute(registry.ORACLE_SQL["op10_tool_call_linking"]).df()
-    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) > 0
+    con.execute(f"create view conversations as select * from '{path}/conversations.parquet{'' if rows is None else '/*.parquet'}'")
+    got, want = tool_calls.op10_tool_call_linking(spark, path).toPandas(), con.execute(registry.ORACLE_SQL["op10_tool_call_linking"]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) and (rows == [] or len(got))
 
     def plain(df):
-        return sorted(tuple(None if x != x or x is None else x for x in r) for r in df[sorted(got.columns)].astype(object).where(df.notna(), None).itertuples(index=False))
+        return sorted(str([None if pd.isna(x) else int(x) if isinstance(x, float) else x for x in r]) for r in df[sorted(got.columns)].astype(object).itertuples(index=False))
 
     assert plain(got) == plain(want)
 
 
 def test_only_dataframe_operations(spark):
     plan = tool_calls.op10_tool_call_linking(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "ShuffledHashJoin" in plan
+    assert "Python" not in plan and "Arrow" not in plan and "ShuffledHashJoin" in plan and "NestedLoop" not in plan
 
 
 def test_all_results_of_a_call_are_in_the_json(spark):
@@ -77,7 +87,7 @@ def test_all_results_of_a_call_are_in_the_json(spark):
 
 
 def test_every_turn(spark):
-    turns = [(1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "assistant", "yo"), (1, 3, "user", "so"), (2, 0, "user", "a"), (2, 1, "tool", 'b"'), (2, 2, None, None), (None, 3, "assistant", "c"), (3, None, "assistant", "d"), (None, 0, "user", "e"), (None, 4, "system", "f")]
+    turns = TURNS
     rows = tool_calls.every_turn(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), tool_calls._schemas(spark)).collect()
     assert len(rows) == len(turns) - 1  # one result links
     made = [json.loads(r.json) for r in rows]
@@ -88,7 +98,7 @@ def test_every_turn(spark):
 
 
 def test_every_turn_of_the_table_is_in_the_query(spark):
-    got = tool_calls.op10_tool_call_linking_every_turn(spark, SF).toPandas()
+    got = tool_calls.op10_tool_call_linking(spark, SF).toPandas()
     turns = spark.read.parquet(f"{SF}/conversations.parquet").toPandas()
     assert (got.name == "message").sum() == (~turns.role.isin(["user", "assistant"])).sum() > 0
     assert (got.name == "ask").sum() == (turns.role == "user").sum() and got.n_results.sum() == (turns.role == "assistant").sum()
