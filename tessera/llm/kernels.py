@@ -82,10 +82,11 @@ def text_slices(texts: pa.Array, limit: int = _SLICE_BYTES) -> Iterator[tuple[in
         i = j
 
 
-def pieces(data: np.ndarray, table: np.ndarray, limit: int = _SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def pieces(data: np.ndarray, table: np.ndarray, limit: int = _SLICE_BYTES, hard: bool = False) -> Iterator[tuple[int, int]]:
     """(begin, end) of consecutive pieces of about ``limit`` bytes; a piece ends after a byte outside of words.
 
-    A word of more than ``limit`` bytes is in one piece with what stands before it.
+    A word of more than ``limit`` bytes is in one piece with what stands before it; with ``hard`` it is cut
+    between characters.
     """
     a, n = 0, len(data)
     while n - a > limit:
@@ -96,6 +97,10 @@ def pieces(data: np.ndarray, table: np.ndarray, limit: int = _SLICE_BYTES) -> It
                 b += int(found[0]) + 1
                 break
             b = min(n, b + limit)
+            if hard:
+                while b < n and data[b] & 0xC0 == 0x80:
+                    b += 1
+                break
         yield a, b
         a = b
     yield a, n

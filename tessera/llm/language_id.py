@@ -1,7 +1,12 @@
 """Operator 6: language identification of whole, possibly mixed texts.
 
 A word's script narrows its candidate languages, byte trigrams give it a score for each, and a Viterbi
-path over the words with a penalty for every switch labels the spans of a text.
+path over the words with a penalty for every switch labels the spans of a text. How much likelier the path
+makes the text's letters than chance, all trigrams alike, is the evidence that it is language at all.
+
+Texts of more than a slice are worked on in pieces that end where a word ends. The best path is exact all the
+same: values are kept at the pieces' bounds on the way forward, and each piece is worked out again on the
+way back, so memory is that of one piece.
 """
 
 from __future__ import annotations
@@ -14,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import Words, arrow_batches, table, text_slices
+from .kernels import Words, arrow_batches, pieces, table, text_slices
 
 BUCKET_BITS = 16
 #: Documents of each language, about, from which a model learns; they are chosen by a hash of their ids.
 TRAIN_PER_LANGUAGE = 2000
+#: Languages of a model at most: 256 KB of scores each go to every task.
+MOST_LANGUAGES = 500
 #: Log-likelihood that a switch of languages must gain.
 SWITCH_PENALTY = 24.0
 #: Share of a language's letters below which a script is not one of its own.
@@ -94,20 +101,25 @@ class Model:
         return found
 
 
-def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The best path of languages over the words of one text."""
+def viterbi(scores: np.ndarray, penalty: float, start: np.ndarray | None = None, end: int | None = None) -> tuple[np.ndarray, int, np.ndarray]:
+    """The best path of languages over words, the language before them, and the values after them.
+
+    ``start`` are the values of the words before, ``end`` is the last word's language; by default there are
+    none before, and the path ends where it is best.
+    """
     n, k = scores.shape
-    value, own, back = scores[0].copy(), np.arange(k), np.zeros((n, k), np.int32)
-    for t in range(1, n):
+    own, back = np.arange(k), np.zeros((n, k), np.int16)
+    value = np.zeros(k) if start is None else start
+    for t in range(n):
         best = int(value.argmax())
-        jump = value[best] - penalty
+        jump = value[best] - (penalty if t or start is not None else 0.0)
         back[t] = np.where(value >= jump, own, best)
         value = np.maximum(value, jump) + scores[t]
-    path = np.empty(n, np.int32)
-    path[-1] = value.argmax()
+    path = np.empty(n, np.int16)
+    path[-1] = value.argmax() if end is None else end
     for t in range(n - 1, 0, -1):
         path[t - 1] = back[t, path[t]]
-    return path
+    return path, int(back[0, path[0]]), value
 
 
 def constant_paths(scores: np.ndarray, first: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,17 +144,67 @@ def constant_paths(scores: np.ndarray, first: np.ndarray, penalty: float) -> tup
     return best, margin, most <= penalty / 2
 
 
-def label(model: Model, texts: pa.Array, penalty: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Yield (row, word starts, word ends, path, margin) of each text, in order."""
-    limit = max(1 << 16, (1 << 20) * 8 // max(8, len(model.languages)))
+@dataclass
+class Labelled:
+    """A text's spans (start, end, number of the language), letters of each language, margin, and evidence per letter."""
+
+    spans: list[tuple[int, int, int]]
+    letters: np.ndarray
+    margin: float
+    evidence: float
+
+
+def _spans(path: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
+    return [(int(starts[a]), int(ends[b - 1]), int(path[a])) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _long(model: Model, data: np.ndarray, penalty: float, limit: int) -> Labelled | None:
+    """A text of more than ``limit`` bytes; a run of letters that long counts as several words."""
+    k, cuts = len(model.languages), list(pieces(data, LETTERS, limit, hard=True))
+    before, value, total = [], None, np.zeros(k)
+    for a, b in cuts:
+        before.append(value)
+        scores = model.words(Features(data[a:b], np.array([0, b - a])))
+        if len(scores):
+            value, total = viterbi(scores, penalty, value)[2], total + scores.sum(0)
+    if value is None:
+        return None
+    end, spans, letters, gain = int(value.argmax()), [], np.zeros(k, np.int64), 0.0
+    for (a, b), start in zip(reversed(cuts), reversed(before), strict=True):
+        features = Features(data[a:b], np.array([0, b - a]))
+        scores = model.words(features)
+        if len(scores):
+            path, end, _ = viterbi(scores, penalty, start, end)
+            own = _spans(path, features.words.starts + a, features.words.ends + a)
+            if spans and own[-1][2] == spans[0][2]:
+                spans[0] = (own[-1][0], *spans[0][1:])
+                own.pop()
+            spans = own + spans
+            letters += np.bincount(path, features.sizes, k).astype(np.int64)
+            gain += float(scores[np.arange(len(path)), path].sum())
+    total.sort()
+    return Labelled(spans, letters, float(total[-1] - total[-2]) if k > 1 else np.inf, gain / letters.sum() + BUCKET_BITS * np.log(2))
+
+
+def label(model: Model, texts: pa.Array, penalty: float, limit: int | None = None) -> Iterator[tuple[int, Labelled]]:
+    """(row, result) of each text with words, in order; ``limit`` bytes of text are worked on at a time."""
+    k = len(model.languages)
+    limit = limit or max(1 << 16, (1 << 20) * 8 // max(8, k))
     for i, j, data, offsets in text_slices(texts, limit):
+        if len(data) > limit:
+            if found := _long(model, data, penalty, limit):
+                yield i, found
+            continue
         features = Features(data, offsets)
         first, scores = features.words.first, model.words(features)
         best, margin, constant = constant_paths(scores, first, penalty)
-        for k in range(j - i):
-            a, b = first[k], first[k + 1]
-            path = np.full(b - a, best[k], np.int32) if constant[k] or a == b else viterbi(scores[a:b], penalty)
-            yield i + k, features.words.starts[a:b] - offsets[k], features.words.ends[a:b] - offsets[k], path, margin[k]
+        for n in np.flatnonzero(np.diff(first)):
+            a, b = first[n], first[n + 1]
+            path = np.full(b - a, best[n], np.int16) if constant[n] else viterbi(scores[a:b], penalty)[0]
+            letters = np.bincount(path, features.sizes[a:b], k).astype(np.int64)
+            gain = scores[np.arange(a, b), path].sum()
+            yield i + int(n), Labelled(_spans(path, features.words.starts[a:b] - offsets[n], features.words.ends[a:b] - offsets[n]), letters, float(margin[n]), float(gain / letters.sum() + BUCKET_BITS * np.log(2)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -153,11 +215,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 def learn(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
     """Fit trigram scores on the rows with a label, about ``per_language`` of each; None if there are none.
 
-    The counts that come to the driver are at most 2**16 for each language.
+    The counts that come to the driver are at most 2**16 for each language. More than ``MOST_LANGUAGES``
+    different labels are an error.
     """
     arrow_batches(docs.sparkSession)
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    found = sorted((r[0], r.n) for r in labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect())
+    found = sorted((r[0], r.n) for r in labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect())
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels")
     if not found:
         return None
     names = tuple(x for x, _ in found)
@@ -192,12 +257,14 @@ def _has_letter(text: str | None) -> bool:
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """(id, lang_pred, score, spans) of every row.
+    """(id, lang_pred, score, evidence, spans) of every row.
 
     ``spans`` are (start, end, lang) in bytes of the UTF-8 text, in order. lang_pred labels most of the
     letters; score is its share of them times the certainty 1 - exp(-margin) over the second language.
-    A null text, one without letters, and every text without a model are `und` with score 0 and no
-    spans. Repeated rows give repeated results; other columns are ignored.
+    evidence is the log-likelihood of the labelled text per letter byte, less that of trigrams that are all
+    alike: not above 0 where no language explains the text better than chance. A null text, one without
+    letters, and every text without a model are `und` with score 0, no evidence and no spans. Repeated rows
+    give repeated results; other columns are ignored.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -208,47 +275,48 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         model = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            out: tuple[list, list, list] = (["und"] * len(texts), [0.0] * len(texts), [[]] * len(texts))
-            for row, starts, ends, path, margin in label(model, batch.column(1), penalty) if model else ():
-                if len(path) and _has_letter(texts[row]):
-                    weight = np.bincount(path, ends - starts, len(model.languages))
-                    best = int(weight.argmax())
-                    cut = np.flatnonzero(np.diff(path)) + 1
-                    edges = np.concatenate([[0], cut, [len(path)]])
+            out: tuple[list, list, list, list] = (["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [[]] * len(texts))
+            for row, found in label(model, batch.column(1), penalty) if model else ():
+                if _has_letter(texts[row]):
+                    best = int(found.letters.argmax())
                     out[0][row] = model.languages[best]
-                    out[1][row] = float(weight[best] / weight.sum() * -np.expm1(-max(0.0, margin)))
-                    out[2][row] = [{"start": int(starts[a]), "end": int(ends[b - 1]), "lang": model.languages[path[a]]} for a, b in zip(edges, edges[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], span)], ["id", "lang_pred", "score", "spans"])
+                    out[1][row] = float(found.letters[best] / found.letters.sum() * -np.expm1(-max(0.0, found.margin)))
+                    out[2][row] = found.evidence
+                    out[3][row] = [{"start": a, "end": b, "lang": model.languages[k]} for a, b, k in found.spans]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64()), pa.array(out[3], span)], ["id", "lang_pred", "score", "evidence", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double, spans array<struct<start: long, end: long, lang: string>>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, lang_pred string, score double, evidence double, spans array<struct<start: long, end: long, lang: string>>").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """``docs``, all columns, without the rows that have no language: `und` of ``identify``.
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", penalty: float = SWITCH_PENALTY, least: float = 0.0) -> DataFrame:
+    """``docs``, all columns, without the rows that are in no language of the model.
 
-    Without a model the texts with a letter stay. Rows stay where they are: no shuffle.
+    These are `und` of ``identify``, and texts whose evidence is not above ``least``: no path of languages
+    makes them likelier than chance. Without a model the texts with a letter stay. Rows stay where they
+    are: no shuffle.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # columns may have any name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             texts = batch.column(at)
-            keep = [_has_letter(x) for x in texts.to_pylist()]
+            keep = np.array([_has_letter(x) for x in texts.to_pylist()], bool)
             if model:
                 spoken = np.zeros(len(keep), bool)
-                for row, _, _, path, _ in label(model, texts, penalty):
-                    spoken[row] = len(path) > 0
-                keep = (spoken & np.array(keep, bool)).tolist()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                for row, found in label(model, texts, penalty):
+                    spoken[row] = found.evidence > least
+                keep &= spoken
+            yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(~held_out()))
-    return identify(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "evidence")
