@@ -12,30 +12,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.jaccard_join import jaccard_join
-from tessera.llm.kernels import materialise, table
+from tessera.llm.kernels import table
 from tessera.llm.language_id import held_out, keep_identified, learn
 from tessera.llm.packing import best_fit_packing
 from tessera.llm.substring_dedup import substring_dedup
+from tessera.plans.storage import keep, run_dir, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language stay; those without a letter go. Labels train the model, not the decision."""
+    """Documents in a language of the model stay; it learns from the labelled ones.
+
+    Those without a letter go, and those that no path of languages makes likelier than chance. Labels,
+    sources and ids take no part in the decision.
+    """
     return keep_identified(docs, learn(docs.where(~held_out())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, the one of the smallest id, also where rows repeat an id or have none."""
-    keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
-    found = jaccard_join(keyed, id_col="__row").where("n_links > 0").select("__row", "component_id")
-    copies = materialise(found.join(keyed.select("__row", "doc_id"), "__row"))
-    stay = copies.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("__row"))
-    gone = copies.join(stay, "__row", "left_anti").select("__row")
-    return keyed.join(gone, "__row", "left_anti").select(docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    keyed = keep(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    found = jaccard_join(keyed, id_col="row", text_col=text).where("n_links > 0").select("row", "component_id")
+    copies = keep(found.join(keyed.select("row", own_id), "row"))
+    stay = copies.groupBy("component_id").agg(F.min(F.struct(F.col(own_id).isNull().alias("none"), own_id, "row"))["row"].alias("row"))
+    gone = copies.join(stay, "row", "left_anti").select("row")
+    return keyed.join(gone, "row", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that earlier documents' passages cover go; every document stays, with n_chars of what is left."""
-    return substring_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return substring_dedup(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    """The packed pieces of `documents`. What a stage has kept for itself goes when its result is written."""
+    docs, folder = table(spark, sf_dir, "documents"), run_dir(spark)
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            docs = keep(stage(spark, docs, sf_dir), folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
