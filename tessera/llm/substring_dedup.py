@@ -5,12 +5,14 @@ words to that of its last. Consecutive windows that share their minimiser (the k
 the window, leftmost on ties) are one edge, a block: (anchor, content). The minimiser depends on the
 window's words alone, so equal windows always meet under one anchor.
 
-1. Edges. Blocks are dealt by their anchor, and only those that occur again go on. An anchor of several
-   contents, at the ends of repeats, has its blocks opened: their windows are edges one by one, dealt by
-   their hashes.
-2. Compaction. Edges join the edges that follow them in their documents; where one is followed by the other
-   at every occurrence of either (out-degree and in-degree one), both are of one path. A path's
-   occurrences are long repeated spans, named by the path's first edge.
+1. Edges. Blocks are dealt by their anchor, and those that occur again go on as edges. An anchor of several
+   contents, at the ends of repeats, has the first block of each content opened: the windows of these are
+   edges of a second kind, dealt by their hashes. A window starts earlier if its block is not the first of
+   its content, or if it is not the first among the opened ones.
+2. Compaction. Each edge looks at the one before it in its document; edges are counted, and so are pairs of
+   neighbours, and joins of these counts find where one edge follows the other at every occurrence of
+   either (out-degree and in-degree one): both are of one path. A path's occurrences are long repeated
+   spans, named by the path's first edge.
 3. Verification. Spans join their documents, and the words that stand at their source coordinates give a
    128-bit digest (BLAKE2b). Spans of one path and one digest are repeats; the first by id and start stays.
    Where a path's digests differ, its edges are verified one by one.
@@ -101,8 +103,8 @@ def _unpack_ids(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(raw, np.int64, 1), _wide(raw[8:])]))[:n]
 
 
-#: Blocks that were sent, in-batch repeats of sent ones, and blocks to be opened; ``counts`` of the first hold twice the count, plus one if the batch repeats the block.
-SENT, AGAIN, OPENED = 0, 1, 2
+#: Blocks that were sent, edges that need no bucket, and blocks to be opened; ``counts`` of the first hold twice the count, plus one if the batch repeats the block.
+SENT, EDGE, OPENED = 0, 1, 2
 _PACKED = "bucket int, kind int, n int, first binary, second binary, ids binary, starts binary, counts binary"
 _EDGE = "edge long, id long, start int, count int, kind int"
 
@@ -180,21 +182,31 @@ def _sent_blocks(texts: DataFrame, width: int, kmer: int, buckets: int) -> DataF
             place = np.cumsum(entries.new)  # which content of its anchor in this batch
             place = place - np.maximum.accumulate(np.where(entries.new_first, place, 0))
             opened = entries.new & (entries.variants() > HOT) & (place >= 2)
-            rows = [*entries.packed(entries.new & ~opened, SENT, buckets, entries.first), *entries.packed(entries.later, AGAIN, buckets, entries.second), *entries.packed(opened, OPENED, buckets, entries.second)]
+            again = entries.later | opened & entries.repeated()
+            rows = [*entries.packed(entries.new & ~opened, SENT, buckets, entries.first), *entries.packed(again, EDGE, buckets, entries.second), *entries.packed(opened, OPENED, buckets, entries.second)]
             yield _rows(rows)
 
     return texts.mapInArrow(run, _PACKED)
 
 
-def _settled_blocks(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Of one bucket: the blocks of anchors with several contents are to be opened, the others are edges if they repeat."""
+def _settled(parts: list[tuple]) -> tuple[Entries, np.ndarray]:
+    """The entries of one bucket, and whether they occur more than once."""
     entries = _joined(parts)
     again = entries.count % 2 > 0
     entries.count = entries.count // 2
-    branching = entries.variants() > 1
-    often = np.bincount(entries.lead, again, len(again))[entries.lead] > 0
-    yield entries.edges(branching, OPENED)
-    yield entries.edges(~branching & (often | entries.repeated()), SENT)
+    return entries, entries.repeated() | (np.bincount(entries.lead, again, len(again))[entries.lead] > 0)
+
+
+def _settled_blocks(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Repeated blocks are edges; where an anchor has several contents, the first block of each is opened."""
+    entries, repeated = _settled(parts)
+    yield entries.edges(entries.new & (entries.variants() > 1), OPENED)
+    yield entries.edges(repeated, EDGE)
+
+
+def _settled_windows(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    entries, repeated = _settled(parts)
+    yield entries.edges(repeated, EDGE)
 
 
 def _sent_windows(asked: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -202,11 +214,13 @@ def _sent_windows(asked: DataFrame, width: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, blocks, parts = batch.column(0).to_numpy(), _unzipped(batch.column(1)), batch.column(2).to_pylist(), []
+            ids, texts, parts = batch.column(0).to_numpy(), _unzipped(batch.column(1)), []
+            edge, (first, count) = _lists(batch.column(2), ("start", "count"))
             for i, j, data, offsets in text_slices(texts):
-                words = Words(data, offsets)
-                text = np.concatenate([np.full(sum(x["count"] for x in own), k) for k, own in enumerate(blocks[i:j])])
-                start = np.concatenate([np.arange(x["start"], x["start"] + x["count"]) for own in blocks[i:j] for x in own])
+                words, own = Words(data, offsets), slice(edge[i], edge[j])
+                per = count[own]
+                text = np.repeat(np.repeat(np.arange(j - i), np.diff(edge[i : j + 1])), per)
+                start = np.arange(per.sum()) + np.repeat(first[own] - np.cumsum(per) + per, per)
                 fits = start + width <= np.diff(words.first)[text]  # another text of the same id can be longer
                 text, start = text[fits], start[fits]
                 at = words.first[text] + start
@@ -214,18 +228,11 @@ def _sent_windows(asked: DataFrame, width: int, buckets: int) -> DataFrame:
             if not parts or not sum(len(p[0]) for p in parts):
                 continue
             entries = _joined(parts)
-            yield _rows([*entries.packed(entries.new, SENT, buckets, entries.first), *entries.packed(entries.later, AGAIN, buckets, entries.second)])
+            yield _rows([*entries.packed(entries.new, SENT, buckets, entries.first), *entries.packed(entries.later, EDGE, buckets, entries.second)])
 
     return asked.mapInArrow(run, _PACKED)
 
 
-def _settled_windows(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-    entries = _joined(parts)
-    again = entries.count % 2 > 0
-    entries.count = entries.count // 2
-    yield entries.edges(entries.repeated() | (np.bincount(entries.lead, again, len(again))[entries.lead] > 0), SENT)
-
-
 def _dealt(packed: DataFrame, parts: int, settle: Callable[[list[tuple]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Every bucket in one partition, with others, one after the other; rows that no bucket decides on pass through."""
 
@@ -256,117 +263,143 @@ def _unzipped(packed: pa.Array) -> pa.Array:
     return pa.array([None if x is None else decompress(x).decode() for x in packed.to_pylist()], pa.large_string())
 
 
-def _bucketed(docs: DataFrame, parts: int) -> DataFrame:
-    """(id, text, ...) with compressed texts, in a table that is bucketed by id in the shared folder.
-
-    Its name leaves the catalogue at once: the frame that is returned keeps the files and their buckets.
-    """
-    at, spark = docs.columns.index("text"), docs.sparkSession
+def _zipped(docs: DataFrame) -> DataFrame:
+    """(id, text, ...) with compressed texts: they move between machines."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.set_column(at, "text", pa.array([_zip(x) for x in batch.column(at).to_pylist()], pa.binary()))
 
-    zipped = docs.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'text' else t}" for c, t in docs.dtypes))
-    name = f"tessera_texts_{uuid.uuid4().hex}"
-    zipped.repartition(parts, "id").write.bucketBy(parts, "id").option("compression", "none").option("path", f"{run_dir(spark)}/{name}").saveAsTable(name)
+    return docs.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'text' else t}" for c, t in docs.dtypes))
+
+
+def _bucketed(docs: DataFrame, parts: int) -> DataFrame:
+    """The compressed documents in a table that is bucketed by id in the shared folder.
+
+    Its name leaves the catalogue at once: the frame that is returned keeps the files and their buckets.
+    """
+    spark, name = docs.sparkSession, f"tessera_texts_{uuid.uuid4().hex}"
+    _zipped(docs).repartition(parts, "id").write.bucketBy(parts, "id").option("compression", "none").option("path", f"{run_dir(spark)}/{name}").saveAsTable(name)
     found = spark.table(name)
     spark.sql(f"drop table {name}")
     return found
 
 
+def _lists(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each row's part of an array of structs begins and ends, and the structs' fields."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    fields = column.flatten()
+    return np.concatenate([[0], np.cumsum(sizes)]), [fields.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
+
+
 def repeated_edges(texts: DataFrame, zipped: DataFrame, width: int, kmer: int, parts: int, buckets: int) -> DataFrame:
-    """(edge, id, start, count) of every occurrence of blocks and windows that occur more than once."""
+    """(edge, id, start, count, single) of every occurrence of repeated blocks, and of repeated windows of opened blocks."""
     first = materialise(_dealt(_sent_blocks(texts, width, kmer, buckets), parts, _settled_blocks))
-    opening = first.where(f"kind = {OPENED}").select("edge").distinct().withColumn("opening", F.lit(True))
-    again = first.where(f"kind = {AGAIN}").join(opening, "edge", "left")  # in-batch repeats share what their equals are
-    opened = first.where(f"kind = {OPENED}").unionByName(again.where("opening").drop("opening"))
-    blocks = opened.groupBy("id").agg(F.collect_set(F.struct("start", "count")).alias("blocks"))  # as many as a document has
-    single = _dealt(_sent_windows(zipped.select("id", "text").join(blocks, "id"), width, buckets), parts, _settled_windows)
-    whole = first.where(f"kind = {SENT}").unionByName(again.where("opening is null").drop("opening"))
-    return materialise(whole.unionByName(single).select("edge", "id", "start", "count").distinct())
+    blocks = first.where(f"kind = {OPENED}").groupBy("id").agg(F.collect_set(F.struct("start", "count")).alias("blocks"))  # as many as a document has
+    windows_of = _dealt(_sent_windows(zipped.select("id", "text").join(blocks, "id"), width, buckets), parts, _settled_windows)
+    edges = first.where(f"kind = {EDGE}").withColumn("single", F.lit(False)).unionByName(windows_of.withColumn("single", F.lit(True)))
+    return edges.drop("kind")
 
 
 def compacted(edges: DataFrame) -> DataFrame:
-    """``edges`` with path, the first edge of the nonbranching path that each is on, and where that begins.
+    """``edges``, each once, with path, the first edge of the nonbranching path that each is on, and where that begins.
 
     u and v are of one path if v follows u as often as either occurs: then every occurrence of a path is whole.
     """
-    times = materialise(edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")))
-    behind = edges.select("id", (F.col("start") + F.col("count")).alias("start"), F.col("edge").alias("u"))
-    links = edges.select("id", "start", F.col("edge").alias("v")).join(behind, ["id", "start"]).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("id", "single").orderBy("start", "edge")
+    before = F.lag(F.struct("edge", "start", (F.col("start") + F.col("count")).alias("end"))).over(order)
+    placed = edges.withColumn("b", before).where("b is null or b.edge != edge or b.start != start")
+    placed = materialise(placed.select("edge", "id", "single", "start", "count", F.when(F.col("b.end") == F.col("start"), F.col("b.edge")).alias("u")))
+    times = materialise(placed.groupBy("edge").agg(F.count(F.lit(1)).alias("n")))
+    links = placed.where("u is not null").groupBy("u", F.col("edge").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     straight = links.join(times.withColumnRenamed("edge", "u"), ["u", "n"]).join(times.withColumnRenamed("edge", "v"), ["v", "n"])
     inner = materialise(straight.select(F.col("v").alias("edge"), F.lit(True).alias("inner")))
-    ends = edges.join(inner, "edge", "left")
     begin = F.last(F.when(F.col("inner").isNull(), F.struct(F.col("edge").alias("path"), F.col("start").alias("begin"))), ignorenulls=True)
-    return ends.withColumn("b", begin.over(W.partitionBy("id").orderBy("start"))).select("edge", "id", "start", "count", "b.path", "b.begin")
+    return placed.drop("u").join(inner, "edge", "left").withColumn("b", begin.over(W.partitionBy("id", "single").orderBy("start"))).select("edge", "id", "start", "count", "b.path", "b.begin")
 
 
-def _word_digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]], width: int) -> list[tuple[int, int] | None]:
-    """A digest of the words of each span (first window, windows), as two longs; None if the text ends before."""
+def _word_digests(raw: bytes, starts: list[int], ends: list[int], first: list[int], last: list[int]) -> list[bytes | None]:
+    """A digest of the words from ``first`` to before ``last`` for each span; None if the text ends before."""
     out = []
-    for start, count in spans:
-        last, digest = start + count + width - 1, hashlib.blake2b(digest_size=16)
-        if last > len(starts):
+    for i, j in zip(first, last, strict=True):
+        if j > len(starts):
             out.append(None)
-            continue
-        for a in range(start, last, 1 << 16):
-            digest.update(b" ".join(raw[starts[a] : ends[min(a + (1 << 16), last) - 1]].split()) + b" ")
-        out.append(tuple(np.frombuffer(digest.digest(), np.int64).tolist()))
+        elif j - i <= 1 << 16:
+            out.append(hashlib.blake2b(b" ".join(raw[starts[i] : ends[j - 1]].split()), digest_size=16).digest())
+        else:
+            digest = hashlib.blake2b(digest_size=16)
+            for a in range(i, j, 1 << 16):
+                digest.update((b" " if a > i else b"") + b" ".join(raw[starts[a] : ends[min(a + (1 << 16), j) - 1]].split()))
+            out.append(digest.digest())
     return out
 
 
 def verified(spans: DataFrame, zipped: DataFrame, width: int) -> DataFrame:
-    """(path, id, start, count, d1, d2) of (path, id, start, count): with the digest of the words that stand there."""
+    """(path, id, start, count, digest) of (path, id, start, count): with the digest of the words that stand there."""
     asked = zipped.select("id", "text").join(spans.groupBy("id").agg(F.collect_list(F.struct("path", "start", "count")).alias("spans")), "id")  # as many as a document has
+    names = ["path", "id", "start", "count", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            edge, (path, start, count) = _lists(batch.column(2), ("path", "start", "count"))
+            ids, first, last = np.repeat(batch.column(0).to_numpy(), np.diff(edge)), start.tolist(), (start + count + width - 1).tolist()
             for i, j, data, offsets in text_slices(_unzipped(batch.column(1))):
-                words, raw = Words(data, offsets, hashed=False), data.tobytes()
+                words, raw, digests = Words(data, offsets, hashed=False), data.tobytes(), []
                 for k in range(i, j):
-                    own = slice(words.first[k - i], words.first[k - i + 1])
-                    found = _word_digests(raw, words.starts[own], words.ends[own], [(x["start"], x["count"]) for x in spans[k]], width)
-                    out += [(x["path"], ids[k], x["start"], x["count"], *d) for x, d in zip(spans[k], found, strict=True) if d]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["path", "id", "start", "count", "d1", "d2"])
+                    a, b = words.first[k - i], words.first[k - i + 1]
+                    digests += _word_digests(raw, words.starts[a:b].tolist(), words.ends[a:b].tolist(), first[edge[k] : edge[k + 1]], last[edge[k] : edge[k + 1]])
+                own = slice(edge[i], edge[j])
+                found = pa.RecordBatch.from_arrays([pa.array(path[own]), pa.array(ids[own]), pa.array(start[own].astype(np.int32)), pa.array(count[own].astype(np.int32)), pa.array(digests, pa.binary())], names)
+                yield found.filter(found.column("digest").is_valid())
 
-    return materialise(asked.mapInArrow(run, "path long, id long, start int, count int, d1 long, d2 long"))
+    return materialise(asked.mapInArrow(run, "path long, id long, start int, count int, digest binary"))
 
 
 def _repeats(spans: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """The verified spans of equal keys but for the first one by id and start."""
     first = spans.groupBy(*keys).agg(F.min(F.struct("id", "start")).alias("first"))
-    return spans.join(first, list(keys)).where(F.struct("id", "start") != F.col("first")).select("id", "start", "count", "d1", "d2")
+    return spans.join(first, list(keys)).where(F.struct("id", "start") != F.col("first")).select("id", "start", "count", "digest")
 
 
 def repeated_spans(texts: DataFrame, zipped: DataFrame, width: int, kmer: int, parts: int, buckets: int) -> DataFrame:
-    """(id, start, count, d1, d2): long spans of windows that all start earlier too, and the digests of their words."""
+    """(id, start, count, digest): long spans of windows that all start earlier too, and the digests of their words."""
     paths = materialise(compacted(repeated_edges(texts, zipped, width, kmer, parts, buckets)))
     spans = verified(paths.groupBy("path", "id", F.col("begin").alias("start")).agg(F.sum("count").cast("int").alias("count")), zipped, width)
-    same = spans.groupBy("path").agg((F.min(F.struct("count", "d1", "d2")) == F.max(F.struct("count", "d1", "d2"))).alias("same"))
-    sure = _repeats(spans.join(same.where("same").select("path"), "path"), ("path",))
-    doubtful = materialise(same.where("not same").select("path"))
+    kinds = F.struct("count", "digest")
+    known = materialise(spans.groupBy("path").agg((F.min(kinds) == F.max(kinds)).alias("same"), F.min(F.struct("id", "start")).alias("first")))
+    sure = spans.join(known.where("same").select("path", "first"), "path").where(F.struct("id", "start") != F.col("first")).select("id", "start", "count", "digest")
+    doubtful = known.where("not same").select("path")
     if not doubtful.limit(1).count():
         return sure
     edges = verified(paths.join(doubtful, "path").select(F.col("edge").alias("path"), "id", "start", "count"), zipped, width)
-    return sure.unionByName(_repeats(edges, ("path", "count", "d1", "d2")))
+    return sure.unionByName(_repeats(edges, ("path", "count", "digest")))
 
 
-def _cut(raw: bytes, starts: np.ndarray, ends: np.ndarray, spans: list[dict] | None, width: int) -> tuple[int, bytes]:
+def _cut(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, count: np.ndarray, digests: list[bytes], width: int) -> tuple[int, bytes]:
     """How many words of a text go, and the kept ones joined by one space. Spans are compared with their digests first."""
     edge = np.zeros(len(starts) + 1, np.int64)
-    for x, d in zip(spans or [], _word_digests(raw, starts, ends, [(x["start"], x["count"]) for x in spans or []], width), strict=True):
-        if d == (x["d1"], x["d2"]):
-            edge[x["start"]] += 1
-            edge[x["start"] + x["count"] + width - 1] -= 1
+    if len(first):
+        last = first + count + width - 1
+        same = np.array([a == b for a, b in zip(_word_digests(raw, starts.tolist(), ends.tolist(), first.tolist(), last.tolist()), digests, strict=True)])
+        np.add.at(edge, first[same], 1)
+        np.add.at(edge, last[same], -1)
     keep = np.cumsum(edge[:-1]) == 0
     change = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8)))
     runs = [b" ".join(raw[starts[a] : ends[b - 1]].split()) for a, b in zip(change[::2], change[1::2], strict=True)]
     return int(len(keep) - keep.sum()), b" ".join(runs)
 
 
+def _cuts(texts: pa.Array, spans: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, list[tuple[int, bytes]]]]:
+    """(first row, last row + 1, words of each, `_cut` of each) of texts and their arrays of spans."""
+    edge, (first, count) = _lists(spans, ("start", "count"))
+    digests = spans.flatten().field("digest").to_pylist()
+    for i, j, data, offsets in text_slices(texts):
+        words, raw = Words(data, offsets, hashed=False), data.tobytes()
+        cut = [_cut(raw, words.starts[a:b], words.ends[a:b], first[x:y], count[x:y], digests[x:y], width) for a, b, x, y in zip(words.first, words.first[1:], edge[i:], edge[i + 1 : j + 1], strict=False)]
+        yield i, j, np.diff(words.first), cut
+
+
 def _marked(docs: DataFrame, width: int, kmer: int) -> DataFrame:
     """``docs`` of (id, text, ...), all with an id, with their texts compressed and the spans that go."""
     if not kmer <= width <= kmer + 30:
@@ -376,7 +409,7 @@ def _marked(docs: DataFrame, width: int, kmer: int) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     zipped = _bucketed(docs, max(parts, size // TEXT_BYTES))
     spans = repeated_spans(texts, zipped, width, kmer, parts, max(parts, size // BUCKET_BYTES))
-    return zipped.join(spans.groupBy("id").agg(F.collect_list(F.struct("start", "count", "d1", "d2")).alias("spans")), "id", "left")  # as many as a document has
+    return zipped.join(spans.groupBy("id").agg(F.collect_list(F.struct("start", "count", "digest")).alias("spans")), "id", "left")  # as many as a document has
 
 
 def substring_dedup_digests(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,19 +425,13 @@ def substring_dedup_digests(docs: DataFrame, width: int = WIDTH, kmer: int = KME
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = _marked(rows.where("id is not null"), width, kmer).select("id", "text", "spans")
 
-    def digests(zipped: bool) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                spans = batch.column(2).to_pylist() if zipped else [None] * batch.num_rows
-                for i, j, data, offsets in text_slices(_unzipped(batch.column(1)) if zipped else batch.column(1)):
-                    words, raw = Words(data, offsets, hashed=False), data.tobytes()
-                    cut = [_cut(raw, words.starts[a:b], words.ends[a:b], x, width) for a, b, x in zip(words.first, words.first[1:], spans[i:j], strict=False)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(words.first)), pa.array([n for n, _ in cut], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for _, x in cut])], ["id", "n_words", "n_removed", "kept_sha256"])
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, n, cut in _cuts(_unzipped(batch.column(1)), batch.column(2), width):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array([n for n, _ in cut], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for _, x in cut])], ["id", "n_words", "n_removed", "kept_sha256"])
 
-    kinds = "id long, n_words long, n_removed long, kept_sha256 string"
-    return marked.mapInArrow(digests(True), kinds).unionByName(rows.where("id is null").mapInArrow(digests(False), kinds)).withColumnRenamed("id", id_col)
+    alone = _zipped(rows.where("id is null")).withColumn("spans", F.lit(None).cast(marked.schema["spans"].dataType))
+    return marked.unionByName(alone).mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -423,13 +450,11 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, kmer: int = KMER, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, texts = batch.column(len(rest) + 1).to_pylist(), _unzipped(batch.column(len(rest)))
+            spans, texts = batch.column(len(rest) + 1), _unzipped(batch.column(len(rest)))
             out = texts.to_pylist()
-            touched = [k for k, m in enumerate(spans) if m]
-            for i, j, data, offsets in text_slices(texts.take(pa.array(touched, pa.int64()))):
-                words, raw = Words(data, offsets, hashed=False), data.tobytes()
-                for k, a, b in zip(touched[i:j], words.first, words.first[1:], strict=False):
-                    gone, kept = _cut(raw, words.starts[a:b], words.ends[a:b], spans[k], width)
+            touched = np.flatnonzero(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            for i, j, _, cut in _cuts(texts.take(pa.array(touched)), spans.take(pa.array(touched)), width):
+                for k, (gone, kept) in zip(touched[i:j], cut, strict=True):
                     out[k] = kept.decode() if gone else out[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(out, pa.string())], [*rest, own_text])
 
