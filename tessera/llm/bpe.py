@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .kernels import arrow_batches, table
 
-#: Pre-tokens remembered by a Python worker; then it starts anew, so its memory is bounded.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens remembered by a Python worker, and their bytes; then it starts anew, so its memory is bounded. Longer
+#: pre-tokens are not remembered.
+CACHE_ENTRIES, CACHE_BYTES, CACHE_LONGEST = 400_000, 16 << 20, 256
 
 
 def byte_characters() -> list[str]:
@@ -129,20 +130,25 @@ def encode_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, known = codec(path, pattern), {}
+        c, known, held = codec(path, pattern), {}, 0
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for text in batch.column(1).to_pylist():
                 pieces = c.split(text or "")
                 if new := [x for x in set(pieces) if x not in known]:
-                    if len(known) + len(new) > CACHE_ENTRIES:
+                    held += sum(map(len, new))
+                    if len(known) + len(new) > CACHE_ENTRIES or held > CACHE_BYTES:
                         known, new = {}, list(set(pieces))
+                        held = sum(map(len, new))
                     for x, ids in zip(new, c.encode_pieces(new), strict=True):
                         known[x] = (len(ids), ",".join(map(str, ids)), c.decode(ids))
                 got = [known[x] for x in pieces]
                 out[0].append(sum([x[0] for x in got]))
                 out[1].append(hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest())
                 out[2].append(hashlib.sha256(b"".join([x[2] for x in got])).hexdigest())
+                for x in [x for x in new if len(x) > CACHE_LONGEST]:
+                    del known[x]
+                    held -= len(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -4,8 +4,8 @@ Two variable-order Markov models, of accepted and of rejected URLs, give a URL's
 difference per character is compared with a threshold that is calibrated on labelled URLs that the
 models have not seen. The models are smoothed by escape (Witten-Bell): after a context of k characters
 the mass of new characters goes to the context of k - 1, and at last to a uniform distribution over bytes.
-Below their longest contexts both fall back to one model of all labelled URLs, so what neither has seen
-speaks for neither, though one of them has learned from many more URLs.
+Below their longest contexts both fall back to one model of all labelled URLs, of all orders, so what
+neither has seen speaks for neither, though one of them has learned from many more URLs.
 
 Counts are exact: the longest context with its byte is six bytes, a number of its own, and a model has an
 entry for each that occurs. So a model grows with the number of distinct strings of six bytes in the labelled

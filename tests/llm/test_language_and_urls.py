@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import language_id as lid
 from tessera.llm import url_filter as uf
@@ -247,10 +248,72 @@ def test_counts_are_exact_at_any_size(spark):
     assert model.scores([rows[0][0], "", rows[1][0]]) == pytest.approx([model.score(rows[0][0]), model.score(""), model.score(rows[1][0])]) and model.scores([]) == []
 
 
-def test_query_keeps_every_page(spark):
-    got = uf.op8_url_filter(spark, SF).collect()
-    urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
-    assert len(got) == len(urls)
+def slow_scores(labelled):
+    """A function that scores a URL, from (url, verdict) pairs, context by context."""
+    counts = {v: {} for v in ("allow", "block", "all")}
+    for url, verdict in labelled:
+        data = b"\x02" * uf.ORDER + url.encode() + b"\x03"
+        for at in range(uf.ORDER, len(data)):
+            for k in range(uf.ORDER + 1):
+                for v in (verdict, "all"):
+                    counts[v].setdefault(data[at - k : at], Counter())[data[at]] += 1
+
+    def probability(data, at, verdict):
+        p = 1 / 256
+        for v, k in [("all", k) for k in range(uf.ORDER + 1)] + [(verdict, k) for k in range(uf.OWN_ORDER, uf.ORDER + 1)]:
+            seen = counts[v].get(data[at - k : at])
+            if seen:
+                p = (seen[data[at]] + len(seen) * p) / (sum(seen.values()) + len(seen))
+        return p
+
+    def score(url):
+        data = b"\x02" * uf.ORDER + (url or "").encode() + b"\x03"
+        logs = [math.log(probability(data, at, "allow")) - math.log(probability(data, at, "block")) for at in range(uf.ORDER, len(data))]
+        return sum(logs) / len(logs)
+
+    return score
+
+
+def slow_threshold(scored):
+    """The threshold of (score, verdict) pairs: the best mean share judged right, nearest to 0."""
+    best = []
+    for t in range(-1000, 1002):
+        right = [[(math.floor(s / uf.STEPS) >= t) == (v == "allow") for s, v in scored if v == verdict] for verdict in ("allow", "block")]
+        best.append((-round(sum(sum(r) / len(r) for r in right), 12), abs(t), t))
+    return min(best)[2] * uf.STEPS
+
+
+def test_url_query_by_brute_force(spark):
+    """Every row of the query: rules, probabilities, threshold and verdicts."""
+    sf = "/root/testdata/sf0.01"
+    got = uf.op8_url_filter(spark, sf).collect()
+    pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "url", f"pmod(xxhash64(url), 1000) < {int(1000 * uf.CALIBRATION_SHARE)} as held").collect()
+    urls = {r.page_id: r.url for r in pages}
+    labelled = [(r.url, rule_of(*parts_of(r.url))[1], r.held) for r in pages if rule_of(*parts_of(r.url))[1]]
+    score = slow_scores([(u, v) for u, v, held in labelled if not held])
+    threshold = slow_threshold([(score(u), v) for u, v, held in labelled if held])
+    assert len(got) == len(urls) and {v for _, v, held in labelled if held} == {"allow", "block"}
     for r in got:
         rule, verdict = rule_of(*parts_of(urls[r.page_id]))
-        assert (r.host, r.path) == parts_of(urls[r.page_id]) and r.rule == rule and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
+        assert (r.host, r.path) == parts_of(urls[r.page_id]) and r.rule == rule and r.score == pytest.approx(score(urls[r.page_id]))
+        assert r.verdict == (verdict or ("allow" if r.score >= threshold else "block"))
+
+
+def test_held_out_urls_are_judged_right(spark):
+    """A model of half of the URLs that rules judge, asked for the other half without rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    host, path = uf.host_and_path(F.col("url"))
+    labelled = pages.select("page_id", "url", host.alias("host"), path.alias("path")).select("page_id", "url", uf.rule_and_verdict(F.col("host"), F.col("path"))[1].alias("label")).where("label is not null")
+    model = uf.learn(labelled.where("page_id % 2 = 0").withColumnRenamed("label", "verdict"))
+    judged = uf.url_filter(labelled.where("page_id % 2 = 1"), model, ()).join(labelled.select("page_id", "label"), "page_id").collect()
+    shares = [sum(r.verdict == r.label for r in judged if r.label == v) / sum(r.label == v for r in judged) for v in ("allow", "block")]
+    assert sum(shares) / 2 > 0.8
+
+
+def test_long_and_repeated_urls(spark):
+    urls = ["http://a.com/" + "x/é" * 300_000, "http://a.com/y", "http://a.com/y", "http://", ""]
+    labelled = spark.createDataFrame([(f"http://{v}{k}.org/{k}", v) for k in range(40) for v in ("allow", "block")], "url string, verdict string")
+    df = spark.createDataFrame([(k // 2, u, "z") for k, u in enumerate(urls)], "page_id long, url string, gram string")
+    got = uf.url_filter(df, uf.learn(labelled)).collect()
+    assert len(got) == 5 and len({(r.verdict, r.score) for r in got if r.path == "/y"}) == 1
+    assert [len(r.path) for r in got if r.page_id == 0 and len(r.path) > 9] == [900_001]

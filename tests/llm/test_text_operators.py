@@ -170,11 +170,14 @@ def test_plan(histogram):
     assert len(used) == len(free)
 
 
-def test_byte_bpe(spark, documents, frame):
+@pytest.mark.parametrize("limits", [(400_000, 16 << 20, 256), (50, 1 << 20, 4), (1000, 300, 256)])
+def test_byte_bpe(spark, documents, frame, monkeypatch, limits):
+    for name, value in zip(("CACHE_ENTRIES", "CACHE_BYTES", "CACHE_LONGEST"), limits):
+        monkeypatch.setattr(bpe, name, value)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MULTI, "rb"))}
     plain = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(3)
-    rows = documents + [(40_000 + k, "".join(rng.choice("ab 'sdmtl\n\té日1２!?　▁<unk>") for _ in range(60))) for k in range(300)]
+    rows = documents + [(40_000 + k, "".join(rng.choice("ab 'sdmtl\n\té日1２!?　▁<unk>") for _ in range(60))) for k in range(300)] + [(41_000, "ab" * 20_000), (41_001, " " * 30_000 + "x"), (41_002, None)]
     digests = {r.doc_id: r for r in bpe.encode_digests(frame(rows), MULTI).collect()}
     ids = {r.doc_id: r for r in bpe.encode_decode(frame(rows), MULTI).collect()}
     for i, t in rows:
