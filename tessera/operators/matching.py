@@ -18,10 +18,11 @@ def match_templates(lines: DataFrame, templates: DataFrame, keys: tuple[str, ...
     pattern, which is made once for each template, decide. A line of a number of tokens only meets
     templates of that number.
     """
-    parts = templates.withColumn("__parts", tokens(F.col("template"))).withColumn("__pattern", pattern(F.col("template")))
-    words = lines.withColumn("__words", tokens(F.col(line_col)))
-    joined = words.join(parts, list(keys))
-    return joined.where(end_tokens_fit(F.col("__words"), F.col("__parts")) & matches(F.col(line_col), F.col("template"), F.col("__pattern"))).drop("__parts", "__pattern", "__words")
+    shapes = templates.withColumn("tessera_shape", F.struct(tokens(F.col("template")).alias("parts"), pattern(F.col("template")).alias("pattern")))
+    words = lines.withColumn("tessera_words", tokens(F.col(line_col)))
+    joined = words.join(shapes, list(keys))
+    fits = end_tokens_fit(F.col("tessera_words"), F.col("tessera_shape.parts")) & matches(F.col(line_col), F.col("template"), F.col("tessera_shape.pattern"))
+    return joined.where(fits).drop("tessera_shape", "tessera_words")
 
 
 def unmatched_lines(lines: DataFrame, templates: DataFrame, keys: tuple[str, ...] = ("n_tokens",)) -> DataFrame:
@@ -36,14 +37,19 @@ def best_template(lines: DataFrame, templates: DataFrame, keys: tuple[str, ...]
     return best.select("line_id", "b.content", "b.template", parameters(F.col("b.content"), F.col("b.template")).alias("params"))
 
 
-def most_similar(new: DataFrame, known: DataFrame) -> DataFrame:
-    """(cid1, template, old, sim): for each new template the most similar known one of its bucket, the earlier on ties."""
+def most_similar(new: DataFrame, known: DataFrame, where: Column | bool = True) -> DataFrame:
+    """``new`` with old, sim and the other columns of ``known``: for each new template the most similar known one.
+
+    Both are of one bucket; of equally similar ones the smallest seq counts; ``where`` limits the pairs.
+    """
     from ..functions.similarity import smoothed_jaccard
     from ..functions.text import space_tokens
 
-    pairs = new.join(known.select("cid1", F.col("template").alias("old"), "seq"), "cid1").withColumn("sim", smoothed_jaccard(space_tokens(F.col("template")), space_tokens(F.col("old"))))
-    best = pairs.groupBy("cid1", "template").agg(F.max(F.struct("sim", (-F.col("seq")).alias("s"), "old")).alias("b"))
-    return best.select("cid1", "template", "b.old", "b.sim")
+    pairs = new.join(known.withColumnRenamed("template", "old"), "cid1").where(where if isinstance(where, Column) else F.lit(where))
+    pairs = pairs.withColumn("sim", smoothed_jaccard(space_tokens(F.col("template")), space_tokens(F.col("old"))))
+    rest = [c for c in pairs.columns if c not in ("cid1", "template", "sim", "seq", "old")]
+    best = pairs.groupBy("cid1", "template").agg(F.max_by(F.struct("sim", "seq", "old", *rest), F.struct("sim", (-F.col("seq")).alias("s"), "old")).alias("b"))
+    return best.select("cid1", "template", "b.*")
 
 
 def event_ids(labelled: DataFrame) -> DataFrame:

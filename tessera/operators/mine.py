@@ -1,9 +1,12 @@
-"""Template mining in rounds, every round a few joins over all buckets at once.
-
-In a round each bucket takes its largest cluster of lines without template, samples contrasting lines,
-induces a template and labels every pending line of the bucket that it covers. A new template that is
-close to a known one of its bucket merges with it. Buckets don't depend on each other, so a round serves
-all; there are as many rounds as the bucket of most templates has.
+"""Template mining in rounds, every round a few joins over all clusters of all buckets at once.
+
+In a round each cluster of lines without template samples contrasting lines and induces a template. Larger
+clusters of a bucket come first: where the anchor is covered by the template of an earlier one, or the
+template is to merge with one of this round or with a known one that an earlier one merges with, the
+cluster waits for the next round. The others' templates label every pending line of the bucket that they
+cover, the earliest if several do; a template that is close to a known one of its bucket merges with it.
+There are as many rounds as a cluster has templates, not as many as a bucket has. Lines that are labelled
+are written once, and again only when templates merge.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.answers import aligned_template
@@ -21,7 +25,7 @@ from ..functions.text import is_valid_template, mask, template_tokens, tokens, w
 from ..plans.storage import keep
 from .cluster import MIN_CLUSTER, TOP_TOKENS, cluster_lines
 from .matching import event_ids, match_templates, most_similar
-from .sampling import contrast_samples, largest_clusters
+from .sampling import contrast_samples
 
 #: An inducer makes a column of answers from a column of sampled lines.
 Inducer = Callable[[Column], Column]
@@ -33,7 +37,7 @@ def offline(sample: Column) -> Column:
 
 
 def induced(samples: DataFrame, inducer: Inducer, query_patterns: tuple[str, ...] = ()) -> DataFrame:
-    """(cid1, template, sample, answer): the answer, else the anchor normalised, else the anchor itself.
+    """(cid1, cid2, anchor, template, sample, answer): the answer, else the anchor normalised, else the anchor itself.
 
     An answer counts if it is valid and covers the anchor, so each round labels a line at least.
     ``query_patterns`` mask what the inducer sees, not the lines.
@@ -44,7 +48,7 @@ def induced(samples: DataFrame, inducer: Inducer, query_patterns: tuple[str, ...
     def good(t: Column) -> Column:
         return is_valid_template(t) & matches_guarded(anchor, t)
 
-    return answers.select("cid1", F.when(good(F.col("answer")), F.col("answer")).when(good(F.col("own")), F.col("own")).otherwise(anchor).alias("template"), "sample", "answer")
+    return answers.select("cid1", "cid2", "anchor", F.when(good(F.col("answer")), F.col("answer")).when(good(F.col("own")), F.col("own")).otherwise(anchor).alias("template"), "sample", "answer")
 
 
 def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = ()) -> DataFrame:
@@ -52,6 +56,31 @@ def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TO
     return mine_with_trace(lines, patterns, k, min_size, inducer, seed, query_patterns)[0]
 
 
+def first_of_equals(asked: DataFrame) -> DataFrame:
+    """One row for each template of a bucket, with ``rank``, its order in the bucket: the largest cluster first."""
+    distinct = asked.withColumn("again", F.row_number().over(W.partitionBy("cid1", "template").orderBy(F.desc("size"), "cid2"))).where("again = 1").drop("again")
+    return distinct.withColumn("rank", F.row_number().over(W.partitionBy("cid1").orderBy(F.desc("size"), "cid2")))
+
+
+def accepted(new: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(cid1, rank, template, old, merged) of the templates of ``first_of_equals`` that this round takes.
+
+    The first one of each bucket always is among them. old is the known template that merged replaces.
+    """
+    other = new.select("cid1", F.col("rank").alias("before"), F.col("template").alias("first"))
+    covered = new.join(other, "cid1").where((F.col("before") < F.col("rank")) & matches_guarded(F.col("anchor"), F.col("first"))).select("cid1", "rank").distinct()
+    open_ones = keep(new.join(covered, ["cid1", "rank"], "left_anti").select("cid1", "rank", "template"))
+    mates = open_ones.select("cid1", F.col("template"), F.col("rank").alias("seq"))
+    mates = mates.withColumn("known", F.lit(False)) if known is None else mates.withColumn("known", F.lit(False)).unionByName(known.select("cid1", "template", "seq").withColumn("known", F.lit(True)))
+    near = most_similar(open_ones, mates.withColumn("seq", F.when(F.col("known"), F.col("seq") - (1 << 40)).otherwise(F.col("seq"))), F.expr("known or seq < rank"))
+    near = near.where(may_merge(F.col("template"), F.col("old")) & (F.size(template_tokens(F.col("template"))) > 1)).withColumn("merged", merge_templates(F.col("template"), F.col("old"))).where("merged is not null")
+    waits = near.where("not known").select("cid1", "rank")
+    merging = near.where("known").withColumn("turn", F.row_number().over(W.partitionBy("cid1", "old").orderBy("rank")))
+    waits = waits.unionByName(merging.where("turn > 1").select("cid1", "rank"))
+    taken = open_ones.join(waits, ["cid1", "rank"], "left_anti").join(merging.where("turn = 1").select("cid1", "rank", "old", "merged"), ["cid1", "rank"], "left")
+    return taken.withColumn("merged", F.coalesce("merged", "template"))
+
+
 def mine_with_trace(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Labelled lines (line_id, content, template, event_id), and a trace (iter, cid1, sample, answer, template) of each induction.
 
@@ -67,24 +96,21 @@ def mine_with_trace(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = T
     pending = clustered.where(~odd)
     known, seq, steps = None, 0, []
     while pending.limit(1).count():
-        picked = pending.join(largest_clusters(pending), ["cid1", "cid2"])
-        asked = keep(induced(contrast_samples(picked, seed=seed), inducer, query_patterns).withColumn("iter", F.lit(seq)))
-        steps.append(asked)
-        new = asked.select("cid1", "template")
-        final = new.select("cid1", "template", F.lit(None).cast("string").alias("old"), F.col("template").alias("merged"))
-        if known is not None:
-            near = most_similar(new, known).where(may_merge(F.col("template"), F.col("old"))).withColumn("merged", merge_templates(F.col("template"), F.col("old"))).where((F.size(template_tokens(F.col("template"))) > 1) & F.col("merged").isNotNull())
-            final = keep(new.join(near.select("cid1", "old", "merged"), "cid1", "left").withColumn("merged", F.coalesce("merged", "template")))
-        both = final.select("cid1", F.col("template"), "merged").unionByName(final.select("cid1", F.col("merged").alias("template"), "merged")).distinct()
-        found = match_templates(pending, both, ("cid1",)).groupBy("content", "cid1").agg(F.min("merged").alias("template"))
-        if known is not None:  # lines of a template that has merged follow it if it covers them
+        sizes = pending.groupBy("cid2").agg(F.sum("weight").alias("size"))
+        asked = keep(induced(contrast_samples(pending, seed=seed), inducer, query_patterns).join(sizes, "cid2").withColumn("iter", F.lit(seq)))
+        first = keep(first_of_equals(asked))
+        final = keep(accepted(first, known))
+        steps.append(first.join(final.select("cid1", "rank"), ["cid1", "rank"], "left_semi"))
+        both = final.select("cid1", "rank", "template", "merged").unionByName(final.where("merged != template").select("cid1", "rank", F.col("merged").alias("template"), "merged"))
+        found = keep(match_templates(pending, both, ("cid1",)).groupBy("content", "cid1").agg(F.min(F.struct("rank", "merged"))["merged"].alias("template")))
+        if final.where("old is not null").limit(1).count():  # lines of a template that has merged follow it if it covers them
             moved = labelled.join(final.where("old is not null").select("cid1", F.col("old").alias("template"), "merged"), ["cid1", "template"], "left")
-            labelled = moved.select("content", "cid1", F.when(F.col("merged").isNotNull() & matches_guarded(F.col("content"), F.col("merged")), F.col("merged")).otherwise(F.col("template")).alias("template"))
-        labelled = keep(labelled.unionByName(found))
+            labelled = keep(moved.select("content", "cid1", F.when(F.col("merged").isNotNull() & matches_guarded(F.col("content"), F.col("merged")), F.col("merged")).otherwise(F.col("template")).alias("template")))
+        labelled = labelled.unionByName(found)
         rest = known.join(final.select("cid1", F.col("old").alias("template")), ["cid1", "template"], "left_anti") if known is not None else None
-        added = final.select("cid1", F.col("merged").alias("template"), F.lit(seq).alias("seq"))
+        added = final.select("cid1", F.col("merged").alias("template"), (F.lit(seq * (1 << 20)) + F.col("rank")).cast("long").alias("seq"))
         known = keep((rest.unionByName(added) if rest is not None else added).groupBy("cid1", "template").agg(F.min("seq").alias("seq")))
-        pending = keep(pending.join(labelled.select("content", "cid1"), ["content", "cid1"], "left_anti"))
+        pending = keep(pending.join(found.select("content", "cid1"), ["content", "cid1"], "left_anti"))
         seq += 1
     trace = lines.sparkSession.createDataFrame([], "iter int, cid1 int, sample array<string>, answer string, template string")
     for step in steps:

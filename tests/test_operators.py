@@ -75,6 +75,29 @@ def test_mining_round_trip(spark):
     assert first.event_id == "E1"
 
 
+def test_mining_of_many_templates(spark):
+    """Many templates in few buckets, merges, wildcards, rare and odd lines: every line's group is known by construction."""
+    rng = random.Random(6)
+    words = [a + b + c for a in ("ab", "cor", "del", "fin") for b in ("en", "il", "or", "us") for c in ("ta", "min", "gor", "sal", "vex")]
+    shapes = [" ".join([verb, "{}", *rng.sample(words, 3), "{}", "at", rng.choice(words)]) for verb in words[:60]] + ["start " + w for w in words[:3]]
+    truth, texts = [], []
+    for k in range(4000):
+        t = rng.choice(shapes[:20]) if k % 2 else rng.choice(shapes)
+        truth.append(t)
+        texts.append(t.format(*[f"{rng.choice('xyz')}{rng.randint(100, 999999)}" for _ in range(t.count("{}"))]))
+    odd = ["", "   ", "<*> " * 51 + "end", "lonely line of its own 17"]
+    labelled, trace = mine.mine_with_trace(lines_of(spark, texts + odd), min_size=20)
+    mined = {r.line_id: r.template for r in labelled.collect()}
+    assert len(mined) == len(texts) + len(odd)
+    groups = {}
+    for k, t in enumerate(truth):
+        groups.setdefault(t, set()).add(mined[k])
+    assert sum(len(g) == 1 for g in groups.values()) >= 0.95 * len(groups) and len(set().union(*groups.values())) <= 1.05 * len(groups)
+    right = sum(mined[k] == t.replace("{}", "<*>") for k, t in enumerate(truth))
+    assert right >= 0.95 * len(truth)
+    assert trace.agg({"iter": "max"}).first()[0] < 12  # rounds, of 63 templates in two buckets
+
+
 def test_mining_trace_and_masked_queries(spark):
     lines = lines_of(spark, [f"node n{k} up" for k in range(30)] + ["static text here"] * 3)
     labelled, trace = mine.mine_with_trace(lines, min_size=5, query_patterns=(r"n\d+",))
