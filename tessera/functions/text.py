@@ -15,13 +15,13 @@ STOP_WORDS = (
     *("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
     *("Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"),
 )
-#: Whole-string patterns of parameters: URL, IPv4 address, 12-hour time, telephone number, ISO date. Fixed values.
+#: Whole-string patterns of parameters: URL, IPv4 address, 12-hour time, telephone number, ISO date. Fixed values, as they are given.
 COMMON_PARAMETERS = (
-    r"^(https?://)?([a-z0-9]+([-.][a-z0-9]+)*\.[a-z]{2,5})(:[0-9]{1,5})?(/.*)?$",
-    r"^((25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$",
+    r"^(https?:\/\/)?([a-z0-9]+([\-\.]{1}[a-z0-9]+)*\.[a-z]{2,5})(:[0-9]{1,5})?(\/.*)?$",
+    r"^(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$",
     r"^(1[0-2]|0?[1-9]):[0-5][0-9] (AM|PM)$",
-    r"^\+?[1-9][0-9]{1,14}$",
-    r"^(19|20)[0-9][0-9]-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$",
+    r"^\+?[1-9]\d{1,14}$",
+    r"^(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$",
 )
 #: Delimiters that the punctuation-aware tokeniser keeps apart.
 MESSAGE_DELIMITERS = " ,!;:=|\"'[](){}.-+@#$%&"

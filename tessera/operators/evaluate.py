@@ -85,6 +85,17 @@ def summary(rows: DataFrame) -> DataFrame:
     return one.unionByName(average).unpivot("dataset", columns, "measure", "value").select("measure", "dataset", F.round("value", 3).alias("value"))
 
 
+def with_missing(rows: DataFrame, datasets: tuple[str, ...]) -> DataFrame:
+    """Rows of measures by dataset, and a row of nulls for each named data set that has none."""
+    named = rows.sparkSession.createDataFrame([(d,) for d in datasets], "dataset string")
+    return rows.join(named, "dataset", "full")
+
+
+def transposed(summarised: DataFrame) -> DataFrame:
+    """A row for each data set of ``summary`` and a column for each measure."""
+    return summarised.groupBy("dataset").pivot("measure", ["identified_templates", "ground_templates", *MEASURES]).agg(F.first("value"))
+
+
 def group_errors(table: DataFrame) -> DataFrame:
     """(parsed, kind): accurate, over (part of one group), under (several whole groups) or mixed."""
     gt_total = F.sum("n").over(W.partitionBy("gt"))

@@ -26,6 +26,17 @@ select event_id as line_id,
     when event_id % 10 = 0 then 'Handled <*> event id=<*> ok'
     else concat('Handled ', event_type, ' event id=<*> ok') end as parsed
 from events"""
+#: Every line with the next two of its kind of event.
+LINE_PAIRS = f"""
+select line_id, x, y, z from (select l.line_id, l.content as x, lead(l.content) over (partition by e.event_type order by l.line_id) as y, lead(l.content, 2) over (partition by e.event_type order by l.line_id) as z
+  from ({LOG_EVENTS}) l join events e on e.event_id = l.line_id) p where z is not null"""
+#: Lines whose values are wildcards, some next to each other.
+RAW_LINES = f"select line_id, regexp_replace(replace(replace(content, 'id=', '#'), ' in ', '/1 '), '[0-9]', '<*>'{{flags}}) as template from ({LOG_EVENTS}) l"
+#: Answers of a model, one for each event, of all forms that are read.
+MODEL_ANSWERS = """
+select event_id as id, case event_id % 5 when 0 then concat('LogTemplate[1]: `', event_type, ' {id}`', chr(10), 'LogTemplate[2]: `', props, '`')
+  when 1 then concat('Sure!', chr(10), 'LogTemplate: `', event_type, '`', chr(10), 'no template') when 2 then concat('Log template[2]: ', props, chr(10), ' Log template: a=`1` ') when 3 then concat(' nothing here ', event_type, chr(10)) else '' end as answer
+from events"""
 #: Templates of the lines above, some of them overlapping, one that covers none.
 TEMPLATES = (
     'User <*> clicked item, payload={"k": <*>', "User <*> clicked item, <*> <*>", "Rendered page for <*> in <*> ms", "Rendered page <*> <*> in <*> ms",
@@ -49,6 +60,18 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "events", LOG_EVENTS)
 
 
+def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "events", LINE_PAIRS)
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "events", RAW_LINES.format(flags=""))
+
+
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "events", MODEL_ANSWERS)
+
+
 def gt_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "events", GT_PARSED)
 

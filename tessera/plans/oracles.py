@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import COMMON_PARAMETERS, STOP_WORDS
-from .corpora import GT_PARSED, LOG_EVENTS, RAW_TEMPLATES, TEMPLATE_VALUES
+from .corpora import GT_PARSED, LINE_PAIRS, LOG_EVENTS, MODEL_ANSWERS, RAW_LINES, RAW_TEMPLATES, TEMPLATE_VALUES
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _DOC_LINES = "select doc_id * 100000 + ln as line_id, line as content from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as ln from documents)"
@@ -127,9 +127,11 @@ def _common(x: str) -> str:
 
 _CUSTOMER = "select c_custkey, case c_custkey % 6 when 0 then c_name when 1 then concat('10.0.', cast(c_custkey % 300 as string), '.7') when 2 then concat(cast(c_custkey % 14 as string), ':05 PM') when 3 then concat('+4930', cast(c_custkey as string)) when 4 then concat('2024-', cast(10 + c_custkey % 5 as string), '-11') else concat('www.shop', cast(c_custkey as string), '.com/x 0x1F') end as s from customer"
 _LETTERS = "select a.n_name as x, b.n_name as y from nation a join nation b on a.n_regionkey = b.n_regionkey"
-#: What mining makes of the kinds of events, by construction of the lines: a value and what hangs on it is a wildcard.
-_MINED = """select event_id as line_id, case event_type when 'error' then 'Request from user <*> failed with value <*> props {"k": <*>' when 'click' then 'User <*> clicked item, payload={"k": <*>'
-  when 'view' then 'Rendered page for <*> in <*> ms' else concat('Handled ', event_type, ' event <*> ok') end as template from events"""
+#: What mining makes of the kinds of events, from the lines: a token that all lines of a kind have at a place stays, others are wildcards.
+_MINED = f"""select line_id, template from (select l.line_id, e.event_type from ({LOG_EVENTS}) l join events e on e.event_id = l.line_id) k join (
+  select event_type, string_agg(case when kinds = 1 then token else '<*>' end, ' ' order by place) as template from (
+    select event_type, place, count(distinct token) as kinds, min(token) as token from (
+      select e.event_type, unnest({_tokens('l.content')}) as token, unnest(range(len({_tokens('l.content')}))) as place from ({LOG_EVENTS}) l join events e on e.event_id = l.line_id) group by 1, 2) group by 1) t using (event_type)"""
 _VARIABLE = "regexp_matches(replace(content, '<*>', ''), '[^ A-Za-z!]')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -170,7 +172,7 @@ ORACLE_SQL: dict[str, str] = {
     "unmatched_lines": _MATCHED + "select line_id, content from l where line_id not in (select line_id from m where template like 'User%' or template like 'Handled signup%')",
     "constant_match": _MATCHED + "select template, count(*) as n_lines from m where len(list_filter(tt, lambda x: x not like '%<*>%' and not list_contains(lt, x))) = 0 group by 1",
     "best_template": _MATCHED + "select line_id, template from (select *, row_number() over (partition by line_id order by length(replace(template, '<*>', '')) desc, template) as r from m) where r = 1",
-    "majority_template": f"""with gp as ({GT_PARSED}), r as (select gt, parsed, cast(ceil(count(*) / 100.0) as bigint) as n, min(line_id) as f from gp group by 1, 2)
+    "majority_template": f"""with gp as ({GT_PARSED}), r as (select gt, parsed, count(*) as n, min(line_id) as f from gp group by 1, 2)
       select gt, arg_max(parsed, (n, -f)) as majority, arg_min(parsed, f) as first, sum(n) > 1 and count(*) / sum(n) >= 0.8 as diverse from r group by 1""",
     "parse_answers": """select * from (values (1::bigint, 0::bigint, 1::bigint, 'User {id} logged in'), (1, 1, 2, 'User {id} logged out'), (2, 0, -1, 'Read {n} bytes'), (3, 0, 2, 'Disk {d} full'), (3, 1, -1, 'a=`1'),
       (5, 0, 1, 'x y'), (5, 1, 2, 'x y'), (5, 2, 3, 'x z')) v(id, pos, idx, template)""",
@@ -199,7 +201,31 @@ ORACLE_SQL: dict[str, str] = {
       ('one two', 'one two three', false, false), ('same text', 'same text', true, true), ('id=<*> ok', 'id=7 ok', true, false)) v(x, y, may_merge, by_share)""",
     "log_template_counts": f"select template, count(*) as n_lines from ({_MINED}) group by 1",
     "mine_templates": f"with m as ({_MINED}), e as (select template, concat('E', row_number() over (order by min(line_id))) as event_id from m group by 1) select line_id, template, event_id from m join e using (template)",
-    "mined_quality": "select 1.0::double as GA, 1.0::double as PGA, 1.0::double as RGA, 1.0::double as FGA",
+    "mined_quality": f"with gp as (select gt, template as parsed from ({GT_PARSED}) g join ({_MINED}) m using (line_id)), {_METRICS}, r as ({_RATES} from ({_measures()})) select round(GA, 6) as GA, round(PGA, 6) as PGA, round(RGA, 6) as RGA, round(FGA, 6) as FGA from r",
+    "line_gates": f"""with p as (select line_id, string_split(x, ' ') as a, string_split(y, ' ') as b from ({LINE_PAIRS})), d as (select line_id, len(a) as n, len(b) as m, len(list_filter(list_zip(a, b), lambda z: z[1] is distinct from z[2])) as d from p)
+      select line_id, n = m and (d <= 1 or d = 2 and n > 10) as may_merge, n = m and d < 0.2 * n as by_share from d""",
+    "line_contrast": f"""with p as (select line_id, {_tokens('x')} as a, {_tokens('y')} as b, {_tokens('z')} as c from ({LINE_PAIRS})), j as (select line_id, {_jaccard('a', 'b')} as u, {_jaccard('a', 'c')} as v, {_jaccard('b', 'c')} as w, list_filter(a, lambda t: not regexp_matches(t, '[0-9]')) as d, list_filter(b, lambda t: not regexp_matches(t, '[0-9]')) as e from p)
+      select line_id, round(0.6::double * ((u + v) / 2) + (1 - 0.6::double) * abs(u - v), 6) as to_first, round(0.6::double * ((u + v) / 2) + (1 - 0.6::double) * ((abs(u - v) + abs(u - w) + abs(v - w)) / 3), 6) as mixed, round({_jaccard('d', 'e')}, 6) as masked from j""",
+    "variable_tokens": f"""with t as (select unnest({_tokens('content')}) as token from (select content from ({LOG_EVENTS}) union all select content from ({_DOC_LINES}))), g as (select token, count(*) as n from t group by 1),
+      d as (select *, replace(token, '<*>', chr(0)) as m from g), o as (select *, list_distinct(list_filter(string_split(regexp_replace(m, '[A-Za-z]', '', 'g'), ''), lambda c: c <> '')) as d, list_distinct(list_filter(string_split(regexp_replace(token, '[A-Za-z]', '', 'g'), ''), lambda c: c <> '')) as own from d)
+      select token, n, regexp_full_match(m, '[A-Z]*') or (len(d) > 0 and not (len(d) = 1 and (d[1] in ('.', '_') or m like '%:')) and not (len(d) = 2 and m like '%()') and m not like '%.....%') as variable, len(own) > 0 as naive,
+        regexp_matches(token, '[0-9]') and regexp_matches(token, '[^0-9A-Za-z_]') and regexp_matches(token, '[A-Za-z]') as rich from o""",
+    "abstract_match": rf"""with t as (select template, len({_tokens('template')}) as n, concat('^', replace(regexp_replace(regexp_replace(template, '([^A-Za-z0-9])', '\\\1', 'g'), '\\ +', '\\s+', 'g'), '\<\*\>', '(\S+?)'), '$') as pat from (values {TEMPLATE_VALUES}) v(template))
+      select template, count(*) as n_lines from ({LOG_EVENTS}) l join t on len({_tokens('content')}) = n where regexp_matches(content, pat) group by 1""",
+    "answers_of_events": f"""select id, case id % 5 when 0 then concat('1=', event_type, ' {{id}}|2=', props) when 1 then concat('-1=', event_type) when 2 then concat('2=', props, '|-1=a=`1') else '' end as parsed,
+      case id % 5 when 0 then concat(event_type, ' {{id}}|', props) when 2 then concat(props, '|', props) else 'first|second' end as filled, regexp_replace(answer, '^\\s+|\\s+$', '', 'g') as plain from ({MODEL_ANSWERS}) a join events e on e.event_id = a.id""",
+    "requests_of_lines": f"""select line_id, concat('Log[1]: `', x, '`', chr(10), 'Log[2]: `', y, '`') as asked, 2::bigint as messages, case when len({_tokens('x')}) <= 2 and len({_tokens('y')}) <= 2 then 1 else 3 end::bigint as tries, case when len({_tokens('x')}) <= 5 then 1 else 3 end::bigint as tries_alone from ({LINE_PAIRS})""",
+    "pipe_tables": "select n_nationkey, row::bigint as row, case row when 0 then 'key;name' when 1 then concat(n_nationkey, ';', n_name) else concat(n_regionkey, ';') end as cells from nation, range(3) r(row)",
+    "merged_ids": "select user_id, coalesce(string_agg(event_id::varchar, ',' order by event_id) filter (event_type = 'error' or event_id % 2 = 0), '') as ids from events group by 1",
+    "aligned_accuracy": f"with gp as (select gt, parsed from ({GT_PARSED}) where line_id % 3 <> 0), {_METRICS}, r as ({_RATES} from ({_measures()})) select round(GA, 6) as GA, round(PA, 6) as PA, round(FTA, 6) as FTA from r",
+    "sorted_templates": f"select row_number() over (order by length(parsed) desc, parsed) - 1 as place, parsed as template from (select distinct parsed from ({GT_PARSED}))",
+    "normalize_lines": f"""select line_id, {_CHAINS} as normalized, not regexp_matches(replace(template, '<*>', ''), '[^ [:punct:]]') as too_general, template <> '' and (length(template) - length(replace(template, '<*>', ''))) / 3 <= 50 as valid,
+      cast((length(template) - length(replace(template, '<*>', ''))) // 3 as bigint) as wildcards, cast({_COMPLEXITY.replace('(gt', '(template')} as bigint) as complexity from ({RAW_LINES.format(flags=", 'g'")})""",
+    "parsed_similarities": f"""with b as (select gt, parsed, count(*) as n_lines, string_split(gt, ' ') as v, string_split(parsed, ' ') as w from ({GT_PARSED}) group by 1, 2), c as (select *, len(v) as n1, len(w) as n2, cast(len(list_intersect(list_distinct(v), list_distinct(w))) as double) as i, len(list_distinct(list_concat(v, w))) as u from b)
+      select gt, parsed, n_lines, round(i / u, 6) as jaccard, round((i + 1e-5) / (u + 1e-5), 6) as smoothed, round((i + 1e-5) / (u + 1e-5) * pow(n1 * n2 / 400.0, 2), 6) as weighted, round(i / (n1 + n2 - i), 6) as similarity from c""",
+    "metric_table": _ALL
+    + f", f as ({_RATES} from ({_measures(f'(select * from w where gt in ({_FREQUENT.format("desc")}))')})), d as (select 'all' as dataset, * from r union all select 'frequent', * from f) "
+    + " union all ".join("select " + x + " as dataset, " + ", ".join(f"round({g.format(c)}, 3) as {c}" for c in _SUMMARY_COLUMNS) + " from " + y for x, g, y in (("dataset", "cast({} as double)", "d"), ("'Average'", "avg({})", "d"), ("'absent'", "null::double + 0 * {}", "(select * from d limit 1)"))),
     "similarity_accuracy": rf"""with gp as ({GT_PARSED}), c as (select gt, parsed, count(*) as n from gp group by 1, 2),
       w as (select n, {_message_tokens('gt')} as a, {_message_tokens('parsed')} as b from c), i as (select *, len(list_intersect(list_distinct(a), list_distinct(b))) as i from w)
       select round(sum(n * (cast(i as double) / (len(a) + len(b) - i))) / sum(n), 6) as SA from i""",

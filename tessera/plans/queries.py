@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, match, merge, normalize, similarity, text
 from ..operators import cluster, evaluate, matching, mine, sampling
 from ..sources.logs import parse_lines
-from .corpora import doc_lines, gt_parsed, log_events, raw_templates, templates, view
+from .corpora import doc_lines, gt_parsed, line_pairs, log_events, model_answers, raw_lines, raw_templates, templates, view
 from .storage import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,7 +93,7 @@ def adaptive_sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_to_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = _clustered(spark, sf_dir)
+    clustered = keep(_clustered(spark, sf_dir))
     similar = sampling.similarities(clustered, sampling.anchors(clustered))
     return similar.groupBy(F.col("cid2").cast("long").alias("cid2"), _rounded("sim").alias("sim")).agg(F.sum("weight").alias("n_lines"))
 
@@ -112,7 +112,7 @@ def contrast_best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_words_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = _clustered(spark, sf_dir)
+    clustered = keep(_clustered(spark, sf_dir))
     return sampling.overlap_samples(clustered, sampling.anchors(clustered)).select(F.col("cid2").cast("long").alias("cid2"), "content", F.col("words").cast("long").alias("words"))
 
 
@@ -121,7 +121,7 @@ def first_lines_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hamming_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clustered = _clustered(spark, sf_dir)
+    clustered = keep(_clustered(spark, sf_dir))
     d = similarity.hamming(text.tokens(F.col("anchor")), text.tokens(F.col("content")))
     return clustered.join(sampling.anchors(clustered), "cid2").groupBy(F.col("cid2").cast("long").alias("cid2"), d.cast("long").alias("distance")).agg(F.sum("weight").alias("n_lines"))
 
@@ -315,6 +315,92 @@ def log_template_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_templates(clustered, found.select("cid1", "template").distinct(), ("cid1",)).groupBy("template").agg(F.sum("weight").alias("n_lines"))
 
 
+def line_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both gates of merging for every line and the next of its kind."""
+    x, y = F.col("x"), F.col("y")
+    return line_pairs(spark, sf_dir).select("line_id", merge.may_merge(x, y).alias("may_merge"), merge.may_merge_by_share(x, y).alias("by_share"))
+
+
+def line_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contrast scores of every line and the next two of its kind, and similarities without words that hold digits."""
+    three = F.array(*[text.tokens(F.col(c)) for c in "xyz"])
+    masked = similarity.masked_jaccard_to_many(text.tokens(F.col("x")), F.array(text.tokens(F.col("y"))), lambda w: F.rlike(w, F.lit("[0-9]")))
+    return line_pairs(spark, sf_dir).select("line_id", _rounded(similarity.contrast_score_anchor(three, 0.6)).alias("to_first"), _rounded(similarity.contrast_score_mixed(three, 0.6)).alias("mixed"), _rounded(F.get(masked, 0)).alias("masked"))
+
+
+def variable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tokens of lines and documents look like values, how often each kind occurs."""
+    words = log_events(spark, sf_dir).select("content").unionByName(doc_lines(spark, sf_dir).select("content")).select(F.explode(text.tokens(F.col("content"))).alias("token"))
+    t = F.col("token")
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select("token", "n", merge.is_variable_token(t).alias("variable"), merge.are_variable_naive(t, t).alias("naive"), text.is_rich_word(t).alias("rich"))
+
+
+def abstract_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a template covers with wildcards of single words."""
+    lines, known = _sized(log_events(spark, sf_dir), spark)
+    return lines.join(known, "n_tokens").where(match.is_abstract(F.col("content"), F.col("template"))).groupBy("template").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def answers_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers read and filled in for two lines each."""
+    parsed = answers.parse_answer(F.col("answer"))
+    filled = answers.fill_in(parsed, F.array(F.lit("first"), F.lit("second")))
+    return model_answers(spark, sf_dir).select("id", F.array_join(F.transform(parsed, lambda p: F.concat(p["idx"].cast("string"), F.lit("="), p["template"])), "|").alias("parsed"), F.array_join(filled, "|").alias("filled"), answers.plain_answer(F.col("answer")).alias("plain"))
+
+
+def requests_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked about every line and the next of its kind, and how often."""
+    lines = F.array("x", "y")
+    asked = line_pairs(spark, sf_dir).select("line_id", answers.request(lines, "no_advice").alias("m"), text.retry_budget(lines, 3).cast("long").alias("tries"), text.retry_budget(F.array("x"), 3).cast("long").alias("tries_alone"))
+    return asked.select("line_id", F.element_at("m", -1)["content"].alias("asked"), F.size("m").cast("long").alias("messages"), "tries", "tries_alone")
+
+
+def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the pipe tables of texts, one text for each nation."""
+    rows = view(spark, sf_dir, "nation", "select n_nationkey, concat('About ', n_name, chr(10), '| key | name |', chr(10), '|---|:--|', chr(10), '| ', cast(n_nationkey as string), ' | ', n_name, ' |', chr(10), '|', cast(n_regionkey as string), '||', chr(10), 'end | of | text') as t from nation")
+    tables = rows.select("n_nationkey", F.explode(text.markdown_tables(F.col("t"))).alias("table"))
+    return tables.select("n_nationkey", F.posexplode(text.markdown_rows(F.col("table"))).alias("row", "cells")).select("n_nationkey", F.col("row").cast("long").alias("row"), F.array_join("cells", ";").alias("cells"))
+
+
+def merged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line ids of each user's errors and of their even events, merged."""
+    events = view(spark, sf_dir, "events", "select user_id, event_id, event_type from events").groupBy("user_id").agg(F.collect_list(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("a"), F.collect_list(F.when(F.col("event_id") % 2 == 0, F.col("event_id"))).alias("b"))
+    return events.select("user_id", F.array_join(merge.merge_ids(F.col("a"), F.col("b")).cast("array<string>"), ",").alias("ids"))
+
+
+def aligned_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and parses of two tables, joined by line, with the labels normalised."""
+    pairs = gt_parsed(spark, sf_dir)
+    labelled = pairs.select("line_id", F.replace("gt", F.lit("<*>"), F.lit("<*><*>")).alias("template"))
+    return _measures(evaluate.metrics(evaluate.contingency(evaluate.align(labelled, pairs.where("line_id % 3 != 0").select("line_id", F.col("parsed").alias("template"))))), "GA", "PA", "FTA")
+
+
+def sorted_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates in the order in which the first that covers a line is the most specific, with their places."""
+    found = gt_parsed(spark, sf_dir).select(F.col("parsed").alias("template")).distinct()
+    return matching.sort_templates(found).coalesce(1).select(F.monotonically_increasing_id().alias("place"), "template")
+
+
+def normalize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of wildcards in every line, and the checks of templates."""
+    t = F.col("template")
+    return raw_lines(spark, sf_dir).select("line_id", normalize.normalize_chains(t).alias("normalized"), text.is_too_general(t).alias("too_general"), text.is_valid_template(t).alias("valid"), text.wildcard_count(t).cast("long").alias("wildcards"), evaluate.complexity_class(t).cast("long").alias("complexity"))
+
+
+def parsed_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities of labelled and parsed templates over all lines."""
+    pairs = gt_parsed(spark, sf_dir).groupBy("gt", "parsed").agg(F.count(F.lit(1)).alias("n_lines"))
+    x, y = text.space_tokens(F.col("gt")), text.space_tokens(F.col("parsed"))
+    return pairs.select("gt", "parsed", "n_lines", *[_rounded(f(x, y)).alias(n) for n, f in (("jaccard", similarity.jaccard), ("smoothed", similarity.smoothed_jaccard), ("weighted", similarity.weighted_jaccard), ("similarity", similarity.token_similarity))])
+
+
+def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of data sets as columns, with their average; a data set without result has nulls."""
+    table = _table(spark, sf_dir)
+    both = evaluate.metrics(table).withColumn("dataset", F.lit("all")).unionByName(evaluate.metrics(table, evaluate.of_frequency(table, -40)).withColumn("dataset", F.lit("frequent")))
+    return evaluate.transposed(evaluate.summary(evaluate.with_missing(both, ("all", "frequent", "absent"))))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -324,5 +410,6 @@ QUERIES: dict[str, Query] = {
         *(merge_gates, merge_pairs, assign_event_ids, template_table, eval_ga, eval_pa, eval_fta, eval_complexity_slices, eval_frequency_slices, metric_summary, group_errors),
         *(similarity_accuracy, corrected_templates, corrected_lines, similarity_matrix, labels_by_content),
         *(mine_templates, mined_quality, log_template_counts),
+        *(line_gates, line_contrast, variable_tokens, abstract_match, answers_of_events, requests_of_lines, pipe_tables, merged_ids, aligned_accuracy, sorted_templates, normalize_lines, parsed_similarities, metric_table),
     )
 }
