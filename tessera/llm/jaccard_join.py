@@ -30,7 +30,7 @@ from .minhash import MinHash, bands, set_keys, shingle_runs
 BANDS, ROWS = 32, 5
 #: MinHash values compared before the next decision.
 STEP = 20
-#: Members of a component, or of a chunk of a bucket, that are compared in one block.
+#: Members of a component, or of two chunks of a bucket, that are compared in one block.
 BLOCK = 512
 #: Rows that a group of small components has on average.
 PACK = 512
@@ -185,7 +185,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     small = sized.where(F.col("n") <= block).select(F.col("node").alias("rep"), F.expr(spot.format(f"pmod(xxhash64(root), {packs}L)", -1, 1)))
     first = shared.groupBy("size", "members", "lead", "last").agg(F.min(F.struct("at", "band")).alias("b"))  # of buckets with the same members all pairs meet in the first
     buckets = banded.drop("at").join(first.select("b.band", "b.at", "size"), "band").join(sized.where(F.col("n") > block).select(F.col("node").alias("rep")), "rep")
-    large = buckets.groupBy("rep").agg(F.collect_list(F.struct(F.col("band").alias("pack"), "at", F.ceil(F.col("size") / block).cast("int").alias("chunks"))).alias("spots"))  # as many as there are bands
+    large = buckets.groupBy("rep").agg(F.collect_list(F.struct(F.col("band").alias("pack"), "at", F.ceil(2 * F.col("size") / block).cast("int").alias("chunks"))).alias("spots"))  # as many as there are bands
     members = small.unionByName(large).join(classes.select("rep", "weight"), "rep").join(tied.select(F.col("node").alias("rep"), "root"), "rep").withColumnRenamed("rep", "id")
     sets = with_sets(texts.join(members, "id").select("id", "text", "root", "weight", "spots"), n, n_bands * rows)
     spread = sets.withColumn("spot", F.explode("spots")).select("id", "root", "weight", "signature", "shingles", "spot.*").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))

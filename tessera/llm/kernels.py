@@ -173,7 +173,7 @@ def arrow_batches(spark: SparkSession) -> None:
     The settings are read when a plan runs, which is after an operator returns, so they stay on the session.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
