@@ -11,24 +11,98 @@ are written once, and again only when templates merge.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.answers import aligned_template
+from ..functions.answers import aligned_template, fill_in, majority, parse_answer, request
 from ..functions.match import matches_guarded
 from ..functions.merge import may_merge, merge_templates
 from ..functions.normalize import from_answer
-from ..functions.text import is_valid_template, mask, template_tokens, tokens, wildcard_count
+from ..functions.text import is_valid_template, mask, retry_budget, template_tokens, tokens, wildcard_count
 from ..plans.storage import keep
+from ..sources.presets import PRESETS
 from .cluster import MIN_CLUSTER, TOP_TOKENS, cluster_lines
 from .matching import event_ids, match_templates, most_similar
 from .sampling import contrast_samples
 
-#: An inducer makes a column of answers from a column of sampled lines.
-Inducer = Callable[[Column], Column]
+#: A connection to a model: chat messages (role, content) and a temperature in, the answer's text out.
+Client = Callable[[list[dict[str, str]], float], str]
+
+
+@dataclass(frozen=True)
+class RemoteInducer:
+    """A language model that is asked for templates, a batch of samples in each task.
+
+    ``connect`` makes a client once in every task. A question that fails is repeated ``attempts`` times in all,
+    after ``wait`` seconds more each time, and then has no answer. Answers that are no template of the anchor
+    are asked for again at a higher temperature, as often as ``retry_budget`` gives the sample of ``tries``.
+    """
+
+    connect: Callable[[], Client]
+    flavour: str = "full"
+    attempts: int = 3
+    wait: float = 1.0
+    tries: int = 3
+    temperature: float = 0.0
+    again: float = 0.7
+
+    def ask(self, samples: DataFrame, temperature: float) -> DataFrame:
+        """``samples`` with ``answer``: the majority of the templates that the model gives for (asked) lines."""
+        connect, attempts, wait = self.connect, self.attempts, self.wait
+
+        def one(client: Client, messages: list[dict[str, str]]) -> str:
+            for k in range(attempts):
+                try:
+                    return client(messages, temperature)
+                except Exception:
+                    time.sleep(wait * k)
+            return ""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            client = connect()
+            for batch in batches:
+                texts = [one(client, json.loads(x)) for x in batch.column("messages").to_pylist()]
+                yield batch.set_column(batch.schema.get_field_index("messages"), "messages", pa.array(texts, pa.string()))
+
+        rows = samples.withColumn("messages", F.to_json(request(F.col("asked"), self.flavour)))
+        told = keep(rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes)))  # asked once
+        return told.withColumn("answer", from_answer(majority(fill_in(parse_answer(F.col("messages")), F.col("asked"))))).drop("messages")
+
+
+#: An inducer makes a column of answers from a column of sampled lines, or asks a model.
+Inducer = Callable[[Column], Column] | RemoteInducer
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How to mine: `mine_templates(lines, **settings.options())`.
+
+    ``masks`` says where a preset's patterns go: into the lines before all else, into the questions to the
+    model only, or nowhere.
+    """
+
+    patterns: tuple[str, ...] = ()
+    masks: str = "before"
+    k: int = TOP_TOKENS
+    min_size: int = MIN_CLUSTER
+    seed: int | None = None
+
+    @classmethod
+    def of(cls, preset: str, **changes) -> Settings:
+        """Those of a known kind of logs."""
+        return cls(patterns=tuple(PRESETS[preset].masks), **changes)
+
+    def options(self) -> dict:
+        if self.masks not in ("before", "query", "none"):
+            raise ValueError("masks must be before, query or none")
+        return {"patterns": self.patterns if self.masks == "before" else (), "query_patterns": self.patterns if self.masks == "query" else (), "k": self.k, "min_size": self.min_size, "seed": self.seed}
 
 
 def offline(sample: Column) -> Column:
@@ -42,12 +116,21 @@ def induced(samples: DataFrame, inducer: Inducer, query_patterns: tuple[str, ...
     An answer counts if it is valid and covers the anchor, so each round labels a line at least.
     ``query_patterns`` mask what the inducer sees, not the lines.
     """
-    anchor, asked = F.col("anchor"), F.transform(F.col("sample"), lambda x: mask(x, query_patterns))
-    answers = samples.withColumn("answer", from_answer(inducer(asked))).withColumn("own", from_answer(anchor))
+    anchor = F.col("anchor")
 
     def good(t: Column) -> Column:
         return is_valid_template(t) & matches_guarded(anchor, t)
 
+    asked = samples.withColumn("asked", F.transform(F.col("sample"), lambda x: mask(x, query_patterns)))
+    if isinstance(inducer, RemoteInducer):
+        answers = inducer.ask(asked, inducer.temperature)
+        for k in range(1, inducer.tries):
+            weak = ~F.coalesce(good(F.col("answer")), F.lit(False)) & (retry_budget(F.col("asked"), inducer.tries) > k)
+            answers = keep(answers.where(~weak).unionByName(inducer.ask(answers.where(weak).drop("answer"), inducer.again)))
+    else:
+        answers = asked.withColumn("answer", from_answer(inducer(F.col("asked"))))
+    answers = answers.withColumn("own", from_answer(anchor))
+
     return answers.select("cid1", "cid2", "anchor", F.when(good(F.col("answer")), F.col("answer")).when(good(F.col("own")), F.col("own")).otherwise(anchor).alias("template"), "sample", "answer")
 
 

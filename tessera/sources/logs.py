@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .presets import PRESETS
@@ -28,42 +29,53 @@ def compile_format(log_format: str) -> tuple[str, dict[str, int]]:
     return f"^{pattern}$", groups
 
 
-def parse_lines(lines: DataFrame, log_format: str, line_col: str = "line", id_col: str = "line_id") -> DataFrame:
+#: Stands between the fields of a line that fits; these control characters in a row aren't expected in logs.
+_EDGE = "\x1f\x1e\x1f"
+
+
+def _split_lines(lines: DataFrame, log_format: str, line_col: str, id_col: str) -> tuple[DataFrame, dict[str, int]]:
+    """(line_id, parts): the fields of each line from place 1 on, by one match of the format; one part only if it doesn't fit."""
+    pattern, groups = compile_format(log_format)
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(line_col), F.lit("")), r"(?U)^\s+|\s+$", ""), r"[^\x00-\x7F]+", "<N/ASCII>")
+    marked = F.regexp_replace(clean, pattern, _EDGE + _EDGE.join(f"${k}" for k in groups.values()))
+    return lines.select(F.col(id_col).alias("line_id"), F.split(F.when(clean != "", marked), _EDGE).alias("parts")), groups
+
+
+def parse_lines(lines: DataFrame, log_format: str, line_col: str = "line", id_col: str = "line_id", counts: Observation | None = None) -> DataFrame:
     """Columns of a format from (line_id, line): line_id and one string for each field.
 
     Lines are stripped; runs of other characters than ASCII become `<N/ASCII>`; blank lines and lines that
-    don't fit go; an optional field that is absent is empty.
+    don't fit go; an optional field that is absent is empty. ``counts`` gets the numbers of lines read and
+    loaded when the result is computed.
     """
-    pattern, groups = compile_format(log_format)
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(line_col), F.lit("")), r"(?U)^\s+|\s+$", ""), r"[^\x00-\x7F]+", "<N/ASCII>")
-    rows = lines.select(F.col(id_col).alias("line_id"), clean.alias("__line")).where((F.col("__line") != "") & F.rlike("__line", F.lit(pattern)))
-    return rows.select("line_id", *[F.regexp_extract("__line", pattern, k).alias(name.lower()) for name, k in groups.items()])
+    rows, groups = _split_lines(lines, log_format, line_col, id_col)
+    fits = F.size("parts") > 1
+    if counts is not None:
+        rows = rows.observe(counts, F.count(F.lit(1)).alias("lines"), F.count_if(fits).alias("loaded"))
+    return rows.where(fits).select("line_id", *[F.get("parts", k + 1).alias(name.lower()) for k, name in enumerate(groups)])
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_id, line): physical lines of text files, numbered from 1 in the order of files and lines.
 
-    Lines are numbered within their partition, and partitions by the lines before them; no data moves but
-    one count for each partition.
+    Lines are numbered within their partition, and partitions by the lines before them: a table of one row for
+    each partition, whose running sum is joined.
+    """
+    raw = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at")).withColumn("part", F.shiftright("at", 33))
+    counts = raw.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    return raw.join(before, "part").select((F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("line_id"), "line")
+
+
+def read_raw_log(spark: SparkSession, path: str, log_format: str, counts: Observation | None = None) -> DataFrame:
+    """A raw log as a table; ``log_format`` is a format or the name of a preset. Nothing that fits is an error.
+
+    ``counts``, an Observation, gets lines and loaded when the table is first computed.
     """
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("__at"))
-    part = F.shiftright("__at", 33)
-    counts = raw.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
-    before, total = {}, 0
-    for r in counts:
-        before[r["__part"]], total = total, total + r["n"]
-    if not before:
-        return raw.select(F.lit(0).cast("long").alias("line_id"), "line")
-    starts = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])
-    return raw.select((F.element_at(starts, part) + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).alias("line_id"), "line")
-
-
-def read_raw_log(spark: SparkSession, path: str, log_format: str) -> DataFrame:
-    """A raw log as a table; ``log_format`` is a format or the name of a preset. Nothing that fits is an error."""
-    rows = parse_lines(numbered_lines(spark, path), PRESETS[log_format].format if log_format in PRESETS else log_format)
-    if rows.limit(1).count() == 0:
+    log_format = PRESETS[log_format].format if log_format in PRESETS else log_format
+    if parse_lines(spark.read.text(path).select(F.lit(0).alias("line_id"), F.col("value").alias("line")), log_format).limit(1).count() == 0:
         raise ValueError(f"no line of {path} fits the format")
-    return rows
+    return parse_lines(numbered_lines(spark, path), log_format, counts=counts)
 
 
 def read_structured_log(spark: SparkSession, path: str) -> DataFrame:

@@ -235,3 +235,55 @@ def test_majority_counts_every_answer(spark):
     df = spark.createDataFrame([(k, g, a) for k, (g, a) in enumerate(rows)], "line_id long, gt string, parsed string")
     got = {r.gt: (r.majority, r.first, r.diverse) for r in matching.majority_templates(df).collect()}
     assert got == {"hundreds": ("b <*>", "a <*>", False), "tens": ("b <*>", "a <*>", False), "tie": ("b", "b", False), "all": ("a", "a", True), "one": ("a", "a", False), "invalid": ("a", "<*> " * 51, False), "none": ("", "<*> " * 51, False)}
+
+
+def test_remote_inducer_asks_again(spark, tmp_path):
+    """A client that fails at first, gives nonsense for one sample at temperature 0 and a template when it is asked again."""
+    log = str(tmp_path / "asked")
+
+    def connect():
+        failed = []
+
+        def client(messages, temperature):
+            asked = messages[-1]["content"]
+            with open(log, "a") as f:
+                f.write(f"{temperature} {asked[:20]}\n")
+            if not failed:
+                failed.append(1)
+                raise ConnectionError("busy")
+            if "disk" in asked and temperature == 0.0:
+                return "LogTemplate[1]: `something else`"
+            return "LogTemplate[1]: `disk {d} full on host {h} again now`" if "disk" in asked else "LogTemplate[1]: `user {u} logged in`"
+
+        return client
+
+    lines = lines_of(spark, [f"disk d{k} full on host h{k} again now" for k in range(9)] + [f"user u{k} logged in" for k in range(9)])
+    mined = mine.mine_templates(lines, min_size=2, inducer=mine.RemoteInducer(connect, wait=0.0)).collect()
+    assert {r.template for r in mined} == {"disk <*> full on host <*> again now", "user <*> logged in"}
+    asked = open(log).read().splitlines()
+    assert any(x.startswith("0.7") for x in asked) and all("Log[1]" in x for x in asked)
+
+
+def test_settings():
+    assert mine.Settings.of("Apache", seed=3).options() == {"patterns": (r"HTTP/\d\.\d",), "query_patterns": (), "k": 3, "min_size": 100, "seed": 3}
+    assert mine.Settings(("x",), "query").options()["query_patterns"] == ("x",) and mine.Settings(("x",), "none").options()["patterns"] == ()
+    with pytest.raises(ValueError):
+        mine.Settings(masks="after").options()
+
+
+def test_loading_is_counted(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    raw = tmp_path / "app.log"
+    raw.write_text("[t1] [info] one two\n\nnot of the format\n[t2] [warn] thr\u00e9e\n")
+    counts = Observation("loading")
+    rows = sorted(logs.read_raw_log(spark, str(raw), "Apache", counts).collect())  # in order here: a sort in Spark reads twice
+    assert [(r.line_id, r.time, r.level, r.content) for r in rows] == [(1, "t1", "info", "one two"), (4, "t2", "warn", "thr<N/ASCII>e")]
+    assert counts.get == {"lines": 4, "loaded": 2}
+
+
+def test_missing_results_are_nulls(spark):
+    table = evaluate.contingency(spark.createDataFrame([(1, "a", "a"), (2, "b", "a")], "line_id long, gt string, parsed string"))
+    rows = evaluate.with_missing(evaluate.metrics(table).withColumn("dataset", F.lit("x")), ("x", "y"))
+    got = {r.dataset: r for r in evaluate.transposed(evaluate.summary(rows)).collect()}
+    assert got["y"].GA is None and got["y"].ground_templates is None and got["Average"].GA == got["x"].GA == 0.0 and got["x"].PA == 0.5
