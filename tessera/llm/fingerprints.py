@@ -10,18 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import arrow_batches, list_array, long_array, materialise, table
-from .minhash import MinHash, bands, set_keys, shingle_runs
+from .jaccard_join import jaccard_join
+from .kernels import arrow_batches, table
+from .minhash import MinHash, shingle_runs
 
-#: Permutations of a fingerprint, and words of a shingle.
-SIZE, WORDS = 128, 5
+#: Permutations of a fingerprint, words of a shingle, and the seed of the permutations.
+SIZE, WORDS, SEED = 128, 5, 7
 #: Characters of consecutive documents that a task works on at a time.
 RUN_CHARS = 1 << 21
 
 
 def fingerprint_rows(texts: pa.Array, n: int = WORDS, size: int = SIZE) -> np.ndarray:
     """A signature for each text; all ones for an empty one."""
-    hashes = MinHash(size, seed=7)
+    hashes = MinHash(size, SEED)
     parts = [hashes.signatures(shingles, counts) for _, _, shingles, counts in shingle_runs(texts, n)]
     return np.concatenate(parts) if parts else np.zeros((0, size), np.uint32)
 
@@ -48,35 +49,15 @@ def fingerprints(docs: DataFrame, n: int = WORDS, size: int = SIZE, id_col: str
     return rows.mapInArrow(run, "id long, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def similar_classes(docs: DataFrame, n: int = WORDS, size: int = SIZE, threshold: float = 0.8, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Pairs of fingerprints' classes whose Jaccard similarity is verified, and each document's class.
+def fingerprint_links(docs: DataFrame, n: int = WORDS, size: int = SIZE, threshold: float = 0.8, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents linked through their fingerprints: id, class_id, n_links, component_id and kept of every row.
 
-    A class holds the documents with equal sets of shingles; its representative is its smallest id. Bands of
-    ``rows`` values that two representatives share make them candidates through a join on the band; the
-    candidates' sets are joined and compared. Returns (left, right, jaccard) with left < right, and
-    (id, representative). Empty texts and rows without id are in no class.
+    Bands of ``rows`` values of the fingerprints meet in Spark; documents with a band in common are
+    candidates, and all of them are verified on their whole sets of shingles, whose Jaccard similarity must be
+    at least ``threshold``. Hot bands are compared in blocks of pairs of chunks. Nulls, empty texts, repeated
+    rows and empty tables are those of `jaccard_join`, which does the work, here without pruning.
     """
-    arrow_batches(docs.sparkSession)
-    hashes = MinHash(size, seed=7)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, shingles, counts in shingle_runs(batch.column(1), n):
-                k1, k2, sets = set_keys(shingles, counts)
-                own = bands(hashes.signatures(shingles, counts), size // rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(long_array(k1)), pa.array(long_array(k2)), list_array(pa.array(long_array(own.ravel())), np.full(j - i, size // rows)), list_array(pa.array(long_array(np.concatenate(sets))), np.array([len(x) for x in sets]))], ["id", "k1", "k2", "bands", "shingles"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    sketched = materialise(texts.mapInArrow(run, "id long, k1 long, k2 long, bands array<long>, shingles array<long>").where("size(shingles) > 0"))
-    classes = materialise(sketched.groupBy("k1", "k2").agg(F.min("id").alias("representative"), F.first("bands").alias("bands"), F.first("shingles").alias("shingles")))
-    members = sketched.select("id", "k1", "k2").join(classes.select("k1", "k2", "representative"), ["k1", "k2"]).select("id", "representative")
-    banded = classes.select(F.col("representative").alias("id"), F.explode("bands").alias("band"))
-    candidates = banded.alias("a").join(banded.alias("b"), F.expr("a.band = b.band and a.id < b.id")).select(F.col("a.id").alias("left"), F.col("b.id").alias("right")).distinct()
-    sets = classes.select(F.col("representative").alias("id"), "shingles")
-    both = candidates.join(sets.select(F.col("id").alias("left"), F.col("shingles").alias("x")), "left").join(sets.select(F.col("id").alias("right"), F.col("shingles").alias("y")), "right")
-    common = F.size(F.array_intersect("x", "y"))
-    pairs = both.select("left", "right", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return pairs, members
+    return jaccard_join(docs, n, threshold, 0.0, id_col, text_col, size // rows, rows, seed=SEED)
 
 
 def _ranges(keys: DataFrame, parts: int) -> np.ndarray:
@@ -192,3 +173,8 @@ def edited_fingerprints(docs: DataFrame, n: int = WORDS, size: int = SIZE, id_co
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def document_fingerprint_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links that fingerprints' bands find among all documents, verified."""
+    return fingerprint_links(table(spark, sf_dir, "documents"))

@@ -126,9 +126,9 @@ def linked(ids: np.ndarray, weights: np.ndarray, chunks: np.ndarray | None, sign
     return links.astype(np.int64), ids[roots(len(ids), left, right)]
 
 
-def sketches(docs: DataFrame, n: int, n_bands: int, rows: int) -> DataFrame:
+def sketches(docs: DataFrame, n: int, n_bands: int, rows: int, seed: int) -> DataFrame:
     """(id, k1, k2, bands): keys of each document's set of shingles, and its bands, null if it has none."""
-    hashes = MinHash(n_bands * rows)
+    hashes = MinHash(n_bands * rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +142,9 @@ def sketches(docs: DataFrame, n: int, n_bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, k1 long, k2 long, bands array<long>")
 
 
-def with_sets(members: DataFrame, n: int, size: int) -> DataFrame:
+def with_sets(members: DataFrame, n: int, size: int, seed: int) -> DataFrame:
     """Replace the texts of (id, text, ...) by signatures and sorted sets of shingles, as binaries."""
-    hashes = MinHash(size)
+    hashes = MinHash(size, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +159,7 @@ def with_sets(members: DataFrame, n: int, size: int) -> DataFrame:
     return members.mapInArrow(run, f"{kinds}, signature binary, shingles binary")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, id_col: str = "doc_id", text_col: str = "text", n_bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, id_col: str = "doc_id", text_col: str = "text", n_bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, seed: int = 1) -> DataFrame:
     """Link documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``.
 
     Returns for each row of ``docs``: the id, class_id (the smallest id with the same set of n-grams),
@@ -168,10 +168,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     with nothing; rows that repeat an id count as copies of each other; an empty table gives an empty
     result; other columns are ignored. With ``n_bands`` bands of ``rows`` values, a pair at 0.8 becomes a
     candidate with probability 1 - (1 - 0.8 ** rows) ** n_bands, all but 3 in a million at the defaults.
+    With a tolerance of 0 no candidate is pruned. ``seed`` chooses the permutations.
     """
     arrow_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = materialise(sketches(texts, n, n_bands, rows))
+    own = materialise(sketches(texts, n, n_bands, rows, seed))
     classes = materialise(own.where("id is not null and bands is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")))
 
     banded = classes.select("rep", F.posexplode("bands").alias("at", "band"))
@@ -187,7 +188,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     buckets = banded.drop("at").join(first.select("b.band", "b.at", "size"), "band").join(sized.where(F.col("n") > block).select(F.col("node").alias("rep")), "rep")
     large = buckets.groupBy("rep").agg(F.collect_list(F.struct(F.col("band").alias("pack"), "at", F.ceil(2 * F.col("size") / block).cast("int").alias("chunks"))).alias("spots"))  # as many as there are bands
     members = small.unionByName(large).join(classes.select("rep", "weight"), "rep").join(tied.select(F.col("node").alias("rep"), "root"), "rep").withColumnRenamed("rep", "id")
-    sets = with_sets(texts.join(members, "id").select("id", "text", "root", "weight", "spots"), n, n_bands * rows)
+    sets = with_sets(texts.join(members, "id").select("id", "text", "root", "weight", "spots"), n, n_bands * rows, seed)
     spread = sets.withColumn("spot", F.explode("spots")).select("id", "root", "weight", "signature", "shingles", "spot.*").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     placed = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("chunks", "other")
 

@@ -60,4 +60,4 @@ select doc_id, class_id, cast(weight - 1 + coalesce(links, 0) as bigint) as n_li
 from k join weight using (class_id) join roots using (class_id) left join links using (class_id)
 """
 
-ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_tool_call_linking": OP10_SQL}
+ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_tool_call_linking": OP10_SQL, "document_fingerprint_links": OP9_SQL}

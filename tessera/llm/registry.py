@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_byte_bpe
 from .embedding_dedup import op4_embedding_near_dedup
-from .fingerprints import op7_document_fingerprints
+from .fingerprints import document_fingerprint_links, op7_document_fingerprints
 from .jaccard_join import op9_ngram_jaccard_join
 from .language_id import op6_language_id
 from .license_scan import op1_license_scan
@@ -29,4 +29,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_tool_call_linking": op10_tool_call_linking,
+    "document_fingerprint_links": document_fingerprint_links,
 }

@@ -243,14 +243,11 @@ def test_signatures_are_minima_of_permutations(documents, frame):
         assert want is None or got[i] == "".join(f"{v:08x}" for v in want)
 
 
-def test_similar_classes(documents, frame):
-    pairs, members = fingerprints.similar_classes(frame(documents))
+def test_fingerprint_links(documents, frame):
+    got = {r.doc_id: r for r in fingerprints.fingerprint_links(frame(documents)).collect()}
     shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in documents if (w := WORD.findall((t or "").translate(LOWER)))}
-    got = {(r.left, r.right): r.jaccard for r in pairs.collect()}
-    rep = {r.id: r.representative for r in members.collect()}
     for i, a in shingles.items():
-        for j, b in shingles.items():
-            if i < j and len(a & b) / len(a | b) >= 0.8:
-                x, y = sorted((rep[i], rep[j]))
-                assert x == y or got[x, y] == pytest.approx(len(a & b) / len(a | b))
-    assert all(v >= 0.8 for v in got.values())
+        near = [j for j, b in shingles.items() if i != j and len(a & b) / len(a | b) >= 0.8]
+        assert got[i].n_links == len(near) and got[i].component_id <= min([i, *near])
+        assert got[i].class_id == min(j for j, b in shingles.items() if b == a)
+    assert len(got) == len(documents)
