@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content, informative_tokens, token_count
+from ..plans.storage import keep
 
 TOP_TOKENS, MIN_CLUSTER = 3, 100
 
@@ -53,10 +54,13 @@ def prefix_clusters(signed: DataFrame, k: int = TOP_TOKENS, min_size: int = MIN_
 
     From the longest prefix down: a prefix that enough of the lines not yet gathered share is a cluster.
     """
-    sigs = signed.groupBy("cid1", "sig").agg(F.sum("weight").alias("lines"), F.min("first_line").alias("sig_first")).withColumn("level", F.lit(0))
-    for n in range(k, 0, -1):
-        open_lines = F.sum(F.when(F.col("level") == 0, F.col("lines")).otherwise(0)).over(W.partitionBy("cid1", F.slice("sig", 1, n)))
-        sigs = sigs.withColumn("open_lines", open_lines).withColumn("level", F.when((F.col("level") == 0) & (F.col("open_lines") >= min_size), n).otherwise(F.col("level"))).drop("open_lines")
+    sigs = keep(signed.groupBy("cid1", "sig").agg(F.sum("weight").alias("lines"), F.min("first_line").alias("sig_first")))
+    sums = sigs.select("cid1", F.col("sig").alias("start"), F.col("lines").alias("open_lines"))
+    sigs = sigs.withColumn("level", F.when(F.col("lines") >= min_size, k).otherwise(0))
+    for n in range(k - 1, 0, -1):  # what is open under a prefix is the sum of what is open under the longer ones; no group is gathered
+        sums = sums.where(F.col("open_lines") < min_size).groupBy("cid1", F.slice("start", 1, n).alias("start")).agg(F.sum("open_lines").alias("open_lines"))
+        enough = sums.where(F.col("open_lines") >= min_size).select("cid1", "start", F.lit(n).alias("found"))
+        sigs = sigs.withColumn("start", F.slice("sig", 1, n)).join(enough, ["cid1", "start"], "left").withColumn("level", F.when(F.col("level") == 0, F.coalesce("found", F.lit(0))).otherwise(F.col("level"))).drop("start", "found")
     prefix = F.when(F.col("level") > 0, F.expr("slice(sig, 1, level)")).otherwise(F.array().cast("array<string>"))
     return signed.join(sigs.withColumn("prefix", prefix).drop("lines"), ["cid1", "sig"])
 
@@ -71,7 +75,7 @@ def number_clusters(prefixed: DataFrame) -> DataFrame:
 
 def cluster_lines(lines: DataFrame, k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER) -> DataFrame:
     """Distinct lines with first_line, weight, n_tokens, cid1, sig, sig_first, level, prefix and cid2."""
-    return number_clusters(prefix_clusters(signatures(length_buckets(distinct_lines(lines)), k), k, min_size))
+    return number_clusters(prefix_clusters(signatures(keep(length_buckets(distinct_lines(lines))), k), k, min_size))
 
 
 def parents(clustered: DataFrame) -> DataFrame:
