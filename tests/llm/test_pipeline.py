@@ -7,16 +7,20 @@ from tessera.llm.kernels import materialise, table
 from tests.llm.test_dedup_operators import removed, shingles, union
 
 SF = "/root/testdata/sf0.001"
+#: Letters that no language of the documents explains.
+NOISE = " ".join("".join("bcdfgjkqvwxz"[(7 * k + 5 * j * j + k * j) % 12] for j in range(7)) for k in range(40))
 
 
 def test_stages(spark):
     docs = table(spark, SF, "documents")
-    columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
+    noise = spark.createDataFrame([(10_000_000 + k, t, None, "noise", len(t)) for k, t in enumerate([NOISE, "鼈麤龘 " * 30, "1 2 3 ...", ""])], docs.schema)
+    docs = docs.unionByName(noise)
+    columns, before = docs.columns, {r.doc_id: r for r in docs.collect() if r.source != "noise"}
     (_, language), (_, near), (_, passages), (_, pack) = corpus_pipeline.STAGES
 
     kept = materialise(language(spark, docs, SF))
     after = {r.doc_id: r for r in kept.collect()}
-    assert kept.columns == columns and set(after) == {i for i, r in before.items() if re.search(r"[^\W\d_]", r.text or "")}
+    assert kept.columns == columns and set(after) == {i for i, r in before.items() if re.search(r"[^\W\d_]", r.text or "")}  # a letter test would keep two rows of noise
     assert all(after[i] == before[i] for i in after)
 
     unique = materialise(near(spark, kept, SF))
