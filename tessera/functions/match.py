@@ -27,10 +27,11 @@ def pattern(template: Column) -> Column:
 def matches(line: Column, template: Column, pattern_of: Column | None = None) -> Column:
     """Equality for a template without wildcard, else the whole line by its pattern.
 
-    ``pattern_of`` may hold the pattern, so that it is made once for a template.
+    ``pattern_of`` may hold the pattern, so that it is made once for a template. The search keeps its last
+    pattern compiled, so lines that meet one template after another cost one compilation.
     """
     has = F.contains(content(template), F.lit(WILDCARD))
-    return F.when(has, F.rlike(content(line), pattern_of if pattern_of is not None else pattern(template))).otherwise(content(line) == content(template))
+    return F.when(has, F.regexp_instr(content(line), pattern_of if pattern_of is not None else pattern(template)) > 0).otherwise(content(line) == content(template))
 
 
 def end_tokens_fit(line_tokens: Column, parts: Column) -> Column:
@@ -61,7 +62,7 @@ def is_abstract(line: Column, template: Column) -> Column:
     """Whether the template, each wildcard one run of non-space characters, covers the line."""
     escaped = F.regexp_replace(content(template), "([^A-Za-z0-9])", r"\\$1")
     spaced = F.regexp_replace(escaped, r"\\ +", r"\\s+")
-    return F.rlike(content(line), F.concat(F.lit("^"), F.replace(spaced, F.lit(r"\<\*\>"), F.lit(r"(\S+?)")), F.lit("$")))
+    return F.regexp_instr(content(line), F.concat(F.lit("^"), F.replace(spaced, F.lit(r"\<\*\>"), F.lit(r"(\S+?)")), F.lit("$"))) > 0
 
 
 def parameters(line: Column, template: Column) -> Column:
