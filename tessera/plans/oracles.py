@@ -158,6 +158,11 @@ ORACLE_SQL: dict[str, str] = {
     "shared_words_top": _CLUSTERED + f"select cid2, content, words from (select *, row_number() over (partition by cid2 order by words desc, first_line) as r from (select *, len(list_intersect({_set(_tokens('anchor'))}, {_set(_tokens('content'))})) as words from sm where content <> anchor)) where r < 3",
     "first_lines_padded": _CLUSTERED + ", f as (select cid2, list(content order by sig_first, first_line)[1:3] as s from c group by 1) select cid2, concat(s[1], ' | ', s[1 + 1 % len(s)], ' | ', s[1 + 2 % len(s)]) as sample from f",
     "hamming_words": _CLUSTERED + f"select cid2, len(list_filter(list_zip({_tokens('anchor')}, {_tokens('content')}), lambda z: z[1] is distinct from z[2])) as distance, cast(sum(weight) as bigint) as n_lines from sm group by 1, 2",
+    "common_subsequence_words": f"""with p as ({_LETTERS}), u as (select distinct n_name as name, array_to_string(list_filter(string_split(n_name, ''), lambda c, i: (m >> (i - 1)) & 1 = 1), '') as s from nation, range(1::bigint << (select max(length(n_name)) from nation)) r(m) where m < 1::bigint << length(n_name)),
+      l as (select x, y, max(length(a.s)) as subsequence from p join u a on a.name = x join u b on b.name = y and a.s = b.s group by 1, 2),
+      w as (select x, y, i, n, x[i:i + n - 1] as run from p, range(1, length(x) + 1) t(i), range(1, length(x) - i + 2) q(n)), c as (select x, y, arg_min(run, (-n, i)) as run from w where contains(y, run) group by 1, 2)
+      select p.x, p.y, subsequence, coalesce(run, '') as run, x[1:len(list_filter(range(1, least(length(p.x), length(p.y)) + 1), lambda k: p.x[1:k] = p.y[1:k]))] as prefix, right(p.x, len(list_filter(range(1, least(length(p.x), length(p.y)) + 1), lambda k: right(p.x, k) = right(p.y, k)))) as suffix
+      from p join l using (x, y) left join c using (x, y)""",
     "edit_distance_words": f"select x, y, levenshtein(x, y) as distance from ({_LETTERS})",
     "template_similarities": f"""with t as (select template, string_split(template, ' ') as w from (values {TEMPLATE_VALUES}) v(template)),
     b as (select a.template as x, b.template as y, len(a.w) as n1, len(b.w) as n2, cast(len(list_intersect(list_distinct(a.w), list_distinct(b.w))) as double) as i, len(list_distinct(list_concat(a.w, b.w))) as u from t a join t b on a.template < b.template)
