@@ -9,21 +9,21 @@ neither has seen speaks for neither, though one of them has learned from many mo
 
 Counts are exact: the longest context with its byte is six bytes, a number of its own, and a model has an
 entry for each that occurs. So a model grows with the number of distinct strings of six bytes in the labelled
-URLs; it is gathered on the driver and sent to the tasks.
+URLs. Up to ``MOST_GRAMS`` of these it is gathered on the driver and sent to the tasks; a larger one stays a
+table, and the strings of the URLs to be scored join it order by order. Both give the same scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import arrow_batches, table
+from .kernels import arrow_batches, materialise, table
 
 #: Rules (verdict, host, path). A rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -31,6 +31,8 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block",
 ORDER = 5
 #: Shortest context at which the models of accepted and rejected URLs differ from the common one.
 OWN_ORDER = 4
+#: Distinct strings of six bytes up to which a model is sent to all tasks, in some 400 bytes for each.
+MOST_GRAMS = 1_000_000
 #: Share of the labelled URLs that calibrate the threshold, and the steps in which it is searched.
 CALIBRATION_SHARE, STEPS = 0.2, 0.01
 
@@ -142,28 +144,85 @@ class UrlModel:
         return [float(x.mean()) for x in parts]
 
 
-def _models(labelled: DataFrame) -> dict[str, Markov]:
-    """A model of each verdict in (url, verdict), and one of all: exact counts over all rows."""
+@dataclass(frozen=True)
+class TableModel:
+    """Counts (gram, allow, block) of a model that is not gathered."""
+
+    counts: DataFrame
+    threshold: float = 0.0
+
+
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """(gram, allow, block) of (url, verdict): how often each string of six bytes occurs, exact, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdicts = np.array(batch.column(1).to_pylist(), object)
-            urls = batch.column(0).to_pylist()
+            verdicts, urls = np.array(batch.column(1).to_pylist(), object), batch.column(0).to_pylist()
             for verdict in set(verdicts):
                 found, n = np.unique(np.concatenate([grams(u.encode()) for u, v in zip(urls, verdicts, strict=True) if v == verdict]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([verdict] * len(found)), pa.array(found), pa.array(n)], ["verdict", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n * (verdict == "allow")), pa.array(n * (verdict == "block"))], ["gram", "allow", "block"])
+
+    return materialise(labelled.mapInArrow(run, "gram long, allow long, block long").groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
+
+
+def fitted(labelled: DataFrame, most_grams: int) -> UrlModel | TableModel | None:
+    """A model of (url, verdict), None if a verdict has no URL."""
+    counts = gram_counts(labelled)
+    size = counts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("allow"), F.lit(0)).alias("allow"), F.coalesce(F.sum("block"), F.lit(0)).alias("block")).first()
+    if not size.allow or not size.block:
+        return None
+    if size.n > most_grams:
+        return TableModel(counts)
+    rows = counts.toArrow()  # at most most_grams rows
+    found, allow, block = (rows[c].to_numpy() for c in ("gram", "allow", "block"))
+    return UrlModel(*[Markov.of(found[n > 0], n[n > 0]) for n in (allow, block, allow + block)])
+
+
+def _table_ratios(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, ratio) of (gram): `UrlModel.ratios` by a join with each order's counts and contexts."""
+    kinds = {"allow": F.col("allow"), "block": F.col("block"), "all": F.col("allow") + F.col("block")}
+    rows, p = wanted, F.lit(1 / 256)
+    for k in range(ORDER + 1):
+        full = counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("full")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+        context = full.groupBy(F.shiftright("full", 8).alias("context")).agg(*[x for v, n in kinds.items() for x in (F.sum(n).alias(f"n_{v}"), F.count_if(n > 0).alias(f"kinds_{v}"))])
+        seen = full.select("full", *[n.alias(f"times_{v}") for v, n in kinds.items()])
+        rows = rows.withColumn("full", F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1)).withColumn("context", F.shiftright("full", 8)).join(seen, "full", "left").join(context, "context", "left")
+        values = [F.coalesce(f"{x}_{v}", F.lit(0)).alias(f"{x}_{v}_{k}") for x in ("times", "n", "kinds") for v in (kinds if k >= OWN_ORDER else ("all",))]
+        rows = rows.select("gram", *[c for c in rows.columns if c[-1].isdigit()], *values)
+
+    def step(p: Column, v: str, k: int) -> Column:
+        n, m = F.col(f"n_{v}_{k}"), F.col(f"kinds_{v}_{k}")
+        return F.when(n > 0, (F.col(f"times_{v}_{k}") + m * p) / (n + m)).otherwise(p)
+
+    for k in range(ORDER + 1):
+        p = step(p, "all", k)
+    rows = rows.withColumn("p", p)
+    own = [F.col("p"), F.col("p")]
+    for k in range(OWN_ORDER, ORDER + 1):
+        own = [step(x, v, k) for x, v in zip(own, ("allow", "block"), strict=True)]
+    return rows.select("gram", F.log(own[0] / own[1]).alias("ratio"))
+
+
+def _scored_by_joins(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """``urls`` with ``score``, of the column url; hot strings are counted once for each URL, and joined with one row each."""
+    rows = materialise(urls.withColumn("row", F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, url in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found, n = np.unique(grams((url or "").encode()), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row)), pa.array(found), pa.array(n)], ["row", "gram", "n"])
 
-    rows = labelled.mapInArrow(run, "verdict string, gram long, n long").groupBy("verdict", "gram").agg(F.sum("n").alias("n")).toArrow()  # as many as there are distinct strings of six bytes
-    verdicts, found, n = rows["verdict"].combine_chunks(), rows["gram"].to_numpy(), rows["n"].to_numpy()
-    out = {}
-    for verdict in pc.unique(verdicts).to_pylist():
-        mine = pc.equal(verdicts, verdict).to_numpy(zero_copy_only=False)
-        out[verdict] = Markov.of(found[mine], n[mine])
-    return out | {"all": Markov.of(*_totals(found, n))} if out else out
+    parts = rows.select("row", "url").mapInArrow(run, "row long, gram long, n long")
+    ratios = materialise(_table_ratios(materialise(parts.select("gram").distinct()), counts))
+    scores = parts.join(ratios, "gram").groupBy("row").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).alias("score"))
+    return rows.join(scores, "row").drop("row")
 
 
-def _scored(urls: DataFrame, model: UrlModel) -> DataFrame:
+def _scored(urls: DataFrame, model: UrlModel | TableModel) -> DataFrame:
     """``urls`` with ``score``, of the column url."""
+    if isinstance(model, TableModel):
+        return _scored_by_joins(urls, model.counts)
     shared = urls.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +233,7 @@ def _scored(urls: DataFrame, model: UrlModel) -> DataFrame:
     return urls.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in urls.dtypes) + ", score double")
 
 
-def learn(labelled: DataFrame, url_col: str = "url", verdict_col: str = "verdict") -> UrlModel | None:
+def learn(labelled: DataFrame, url_col: str = "url", verdict_col: str = "verdict", most_grams: int = MOST_GRAMS) -> UrlModel | TableModel | None:
     """Fit both models on rows with the verdicts allow and block, and calibrate the threshold.
 
     A fifth of the URLs, chosen by a hash, calibrates: the threshold has the best mean of the shares of
@@ -184,25 +243,24 @@ def learn(labelled: DataFrame, url_col: str = "url", verdict_col: str = "verdict
     arrow_batches(labelled.sparkSession)
     rows = labelled.select(F.col(url_col).alias("url"), F.col(verdict_col).alias("verdict")).where(F.col("url").isNotNull() & F.col("verdict").isin("allow", "block"))
     held = F.pmod(F.xxhash64("url"), F.lit(1000)) < int(1000 * CALIBRATION_SHARE)
-    models = _models(rows.where(~held))
-    if len(models) < 3:
+    model = fitted(rows.where(~held), most_grams)
+    if model is None:
         return None
-    model = UrlModel(models["allow"], models["block"], models["all"])
     bins = _scored(rows.where(held), model).withColumn("bin", F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("score") / STEPS)))).groupBy("verdict", "bin").agg(F.count(F.lit(1)).alias("n")).collect()
     good, bad = ({r.bin: r.n for r in bins if r.verdict == v} for v in ("allow", "block"))
     if not good or not bad:
         return model
     share = {t: sum(n for b, n in good.items() if b >= t) / sum(good.values()) + sum(n for b, n in bad.items() if b < t) / sum(bad.values()) for t in range(-1000, 1002)}
     best = max(share.values())
-    return UrlModel(model.allow, model.block, model.common, STEPS * min((t for t, s in share.items() if s == best), key=abs))
+    return replace(model, threshold=STEPS * min((t for t, s in share.items() if s == best), key=abs))
 
 
-def url_filter(pages: DataFrame, model: UrlModel | None, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, model: UrlModel | TableModel | None, rules: tuple[tuple[str, str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Judge every URL: (id, host, path, rule, verdict, score).
 
     Where no rule fits, the verdict is allow if the model's score reaches its threshold, else block; without
     a model it is allow. A null URL counts as empty, with empty host and path. Repeated rows give repeated
-    results; other columns are ignored; no shuffle.
+    results; other columns are ignored; no shuffle, but for a model that is a table.
     """
     arrow_batches(pages.sparkSession)
     host, path = host_and_path(F.col("url"))
@@ -213,10 +271,10 @@ def url_filter(pages: DataFrame, model: UrlModel | None, rules: tuple[tuple[str,
     return scored.withColumn("host", host).withColumn("path", path).select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, judged).alias("verdict"), "score")
 
 
-def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_url_filter(spark: SparkSession, sf_dir: str, most_grams: int = MOST_GRAMS) -> DataFrame:
     """The URLs that a rule judges are what the models learn from."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = host_and_path(F.col("url"))
     labelled = pages.select("url", host.alias("host"), path.alias("path"))
     labelled = labelled.select("url", rule_and_verdict(F.col("host"), F.col("path"))[1].alias("verdict"))
-    return url_filter(pages, learn(labelled))
+    return url_filter(pages, learn(labelled, most_grams=most_grams))

@@ -228,7 +228,8 @@ def test_models_tell_urls_apart(spark):
 def test_counts_are_exact_at_any_size(spark):
     rng = random.Random(9)
     rows = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789é") for _ in range(60)), rng.choice(["allow", "block"])) for _ in range(3000)]
-    models = uf._models(spark.createDataFrame(rows, "url string, verdict string"))
+    model = uf.fitted(spark.createDataFrame(rows, "url string, verdict string"), uf.MOST_GRAMS)
+    models = {"allow": model.allow, "block": model.block, "all": model.common}
     counts = {v: [Counter() for _ in range(uf.ORDER + 1)] for v in ("allow", "block", "all")}
     for url, verdict in rows:
         data = b"\x02" * uf.ORDER + url.encode() + b"\x03"
@@ -244,7 +245,6 @@ def test_counts_are_exact_at_any_size(spark):
             for g, n in want[k].items():
                 total[g[:-1]] += n
             assert {c: (n, m) for c, n, m in zip(*map(list, context), strict=True)} == {int.from_bytes(c): (total[c], m) for c, m in kinds.items()}
-    model = uf.UrlModel(models["allow"], models["block"], models["all"])
     assert model.scores([rows[0][0], "", rows[1][0]]) == pytest.approx([model.score(rows[0][0]), model.score(""), model.score(rows[1][0])]) and model.scores([]) == []
 
 
@@ -283,10 +283,11 @@ def slow_threshold(scored):
     return min(best)[2] * uf.STEPS
 
 
-def test_url_query_by_brute_force(spark):
-    """Every row of the query: rules, probabilities, threshold and verdicts."""
+@pytest.mark.parametrize("most_grams", [uf.MOST_GRAMS, 0])
+def test_url_query_by_brute_force(spark, most_grams):
+    """Every row of the query: rules, probabilities, threshold and verdicts, of a gathered model and of one that stays a table."""
     sf = "/root/testdata/sf0.01"
-    got = uf.op8_url_filter(spark, sf).collect()
+    got = uf.op8_url_filter(spark, sf, most_grams).collect()
     pages = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "url", f"pmod(xxhash64(url), 1000) < {int(1000 * uf.CALIBRATION_SHARE)} as held").collect()
     urls = {r.page_id: r.url for r in pages}
     labelled = [(r.url, rule_of(*parts_of(r.url))[1], r.held) for r in pages if rule_of(*parts_of(r.url))[1]]
