@@ -316,7 +316,7 @@ def compacted(edges: DataFrame) -> DataFrame:
     straight = links.join(times.withColumnRenamed("edge", "u"), ["u", "n"]).join(times.withColumnRenamed("edge", "v"), ["v", "n"])
     inner = materialise(straight.select(F.col("v").alias("edge"), F.lit(True).alias("inner")))
     begin = F.last(F.when(F.col("inner").isNull(), F.struct(F.col("edge").alias("path"), F.col("start").alias("begin"))), ignorenulls=True)
-    return placed.drop("u").join(inner, "edge", "left").withColumn("b", begin.over(W.partitionBy("id", "single").orderBy("start"))).select("edge", "id", "start", "count", "b.path", "b.begin")
+    return placed.drop("u").join(inner, "edge", "left").withColumn("b", begin.over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).select("edge", "id", "start", "count", "b.path", "b.begin")
 
 
 def _word_digests(raw: bytes, starts: list[int], ends: list[int], first: list[int], last: list[int]) -> list[bytes | None]:

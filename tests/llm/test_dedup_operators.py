@@ -116,6 +116,9 @@ def test_substring_dedup_edges(frame):
     got = sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.substring_dedup_digests(frame(rows)).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (2, 30)]
     assert substring_dedup.substring_dedup_digests(frame([])).count() == 0 and substring_dedup.substring_dedup(frame([])).count() == 0
+    a, b = (" ".join(f"{c}{k}" for k in range(70)) for c in "ab")
+    mixed = substring_dedup.substring_dedup_digests(frame([(1, a), (1, b), (2, f"{a} {b}"), (3, f"x {b} y"), (3, b[:40])])).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in mixed) == [(1, 70, 0), (1, 70, 0), (2, 140, 140), (3, len(b[:40].split()), 0), (3, 72, 70)]
     with pytest.raises(ValueError):
         substring_dedup.substring_dedup_digests(frame([]), 50, 5)
 
