@@ -122,6 +122,32 @@ def viterbi(scores: np.ndarray, penalty: float, start: np.ndarray | None = None,
     return path, int(back[0, path[0]]), value
 
 
+def best_paths(scores: np.ndarray, first: np.ndarray, texts: np.ndarray, penalty: float) -> np.ndarray:
+    """The best path of each of several texts, all a word at a time; words of other texts have language 0."""
+    n, k = scores.shape
+    path, back = np.zeros(n, np.int16), np.zeros((n, k), np.int16)
+    sizes = first[texts + 1] - first[texts]
+    order = np.argsort(-sizes, kind="stable")
+    begin, sizes, own = first[texts][order], sizes[order], np.arange(k)
+    value = scores[begin].copy()
+    longer = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")  # texts of more than t words
+    for t in range(1, len(longer)):
+        m = longer[t]
+        now, at = value[:m], begin[:m] + t
+        best = now.argmax(1)
+        jump = (now[np.arange(m), best] - penalty)[:, None]
+        back[at] = np.where(now >= jump, own, best[:, None])
+        value[:m] = np.maximum(now, jump) + scores[at]
+    state = value.argmax(1).astype(np.int16)
+    for t in range(len(longer) - 1, -1, -1):
+        m = longer[t]
+        at = begin[:m] + t
+        path[at] = state[:m]
+        if t:
+            state[:m] = back[at, state[:m]]
+    return path
+
+
 def constant_paths(scores: np.ndarray, first: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text: its best single language, the margin to the second, and whether that is the Viterbi path.
 
@@ -199,12 +225,22 @@ def label(model: Model, texts: pa.Array, penalty: float, limit: int | None = Non
         features = Features(data, offsets)
         first, scores = features.words.first, model.words(features)
         best, margin, constant = constant_paths(scores, first, penalty)
-        for n in np.flatnonzero(np.diff(first)):
-            a, b = first[n], first[n + 1]
-            path = np.full(b - a, best[n], np.int16) if constant[n] else viterbi(scores[a:b], penalty)[0]
-            letters = np.bincount(path, features.sizes[a:b], k).astype(np.int64)
-            gain = scores[np.arange(a, b), path].sum()
-            yield i + int(n), Labelled(_spans(path, features.words.starts[a:b] - offsets[n], features.words.ends[a:b] - offsets[n]), letters, float(margin[n]), float(gain / letters.sum() + BUCKET_BITS * np.log(2)))
+        starts, ends, some = features.words.starts, features.words.ends, np.flatnonzero(np.diff(first))
+        paths = best_paths(scores, first, some[~constant[some]], penalty)
+        if len(some):
+            text = np.repeat(np.arange(j - i), np.diff(first))
+            paths = np.where(constant[text], best[text], paths)
+            gains = np.add.reduceat(scores[np.arange(len(paths)), paths], first[some])
+            totals = np.add.reduceat(features.sizes, first[some])
+        for n, gain, total in zip(some, gains.tolist() if len(some) else [], totals.tolist() if len(some) else [], strict=True):
+            a, b, off = first[n], first[n + 1], offsets[n]
+            if constant[n]:
+                letters = np.zeros(k, np.int64)
+                letters[best[n]] = total
+                spans = [(int(starts[a] - off), int(ends[b - 1] - off), int(best[n]))]
+            else:
+                letters, spans = np.bincount(paths[a:b], features.sizes[a:b], k).astype(np.int64), _spans(paths[a:b], starts[a:b] - off, ends[a:b] - off)
+            yield i + int(n), Labelled(spans, letters, float(margin[n]), gain / total + BUCKET_BITS * np.log(2))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -56,6 +56,17 @@ def test_viterbi_and_constant_paths():
     assert constant > 20
 
 
+def test_best_paths_of_several_texts():
+    rng = np.random.default_rng(7)
+    sizes = [5, 0, 1, 30, 7, 30, 0, 2]
+    first, scores = np.cumsum([0, *sizes]), rng.normal(size=(sum(sizes), 4)) * 3
+    texts = np.array([0, 2, 3, 5, 7])
+    path = lid.best_paths(scores, first, texts, 4.0)
+    for n in texts:
+        assert (path[first[n] : first[n + 1]] == lid.viterbi(scores[first[n] : first[n + 1]], 4.0)[0]).all()
+    assert len(lid.best_paths(scores, first, np.zeros(0, np.int64), 4.0)) == len(scores)
+
+
 def test_constant_paths_keep_texts_apart():
     rng = np.random.default_rng(6)
     parts = [rng.normal(size=(n, 3)) for n in (4, 0, 1, 9, 0)]
