@@ -60,4 +60,31 @@ select doc_id, class_id, cast(weight - 1 + coalesce(links, 0) as bigint) as n_li
 from k join weight using (class_id) join roots using (class_id) left join links using (class_id)
 """
 
-ORACLE_SQL = {"op1_license_scan": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_tool_call_linking": OP10_SQL, "document_fingerprint_links": OP9_SQL}
+OP11_SQL = rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOW}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda x: x <> '') as w from p),
+t as (select lang, sum(len(w))::bigint as n from w group by 1),
+f as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase, count(*) as f from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from w, range(1, 6) r(m)) group by 1, 2, 3),
+c as (select lang, phrase, string_split(phrase, ' ') as w, f as a from f where m > 1 and f >= 100),
+k as (select lang, phrase, w, a, unnest(range(1, len(w))) as k from c),
+s as (select k.lang, k.phrase, a, k, l.f as l, r.f as r, n, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint as score from k join t using (lang)
+  join f l on l.lang = k.lang and l.phrase = array_to_string(w[1:k], ' ') join f r on r.lang = k.lang and r.phrase = array_to_string(w[k + 1:], ' ')),
+b as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as place from s) where place = 1),
+i as (select lang, array_to_string(w[x:x + m - 1], ' ') as phrase, max(a) as longest from (select lang, w, a, m, unnest(range(1, len(w) - m + 2)) as x from c, range(2, 5) r(m) where m < len(w)) group by 1, 2),
+o as (select b.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b left join i using (lang, phrase) where longest is null or longest < a)
+select lang, rank, phrase, a, l, r, n, score from o where rank <= 2000
+"""
+
+_H = "('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), {}, 8))::bigint"
+OP12_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, {_H.format(1)} as h1, {_H.format(9)} as h2, {_H.format(25)} as h4 from documents),
+c as (select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b, case when text = '' or regexp_matches(text, '<P>|<S>|<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from d),
+p as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from c)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from p
+"""
+
+ORACLE_SQL = {
+    "op1_license_scan": OP1_SQL, "op4_embedding_near_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op10_tool_call_linking": OP10_SQL,
+    "op11_phrase_collocations": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "document_fingerprint_links": OP9_SQL,
+}
