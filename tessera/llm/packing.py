@@ -32,8 +32,8 @@ from .kernels import arrow_batches, materialise, table
 
 #: Pieces of one length, about, that one task ranks.
 BUCKET_ROWS = 100_000
-#: White space of a length from which a text goes to the tokenizers library.
-LONG_RUN = re.compile(r"\s{50000}")
+#: White space of a length from which a text goes to the tokenizers library; sought where a run begins only, so in one pass.
+LONG_RUN = re.compile(r"(?<!\s)\s{50000}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

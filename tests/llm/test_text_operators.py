@@ -127,6 +127,18 @@ def test_tokens_are_the_librarys(tokenizer):
     assert packing.ranks_of(P.path("word_bpe_49k.json")) is None
 
 
+def test_white_space_costs_one_pass(tokenizer):
+    """Many runs just too short for the other library: the search for longer ones looks at each character once."""
+    encode = packing.tokens(BYTE_JSON)
+    for run, times in ((" " * 49_999, 40), ("\n" * 40_000, 50), ("\t" * 100, 20_000), (" \n" * 12_000, 80)):
+        text = "x".join([run] * times)
+        began = time.perf_counter()
+        assert not packing.LONG_RUN.search(text)
+        assert time.perf_counter() - began < 1
+        assert encode(text[: 2 * len(run) + 1]) == struct.pack(f"<{len(i := tokenizer(text[: 2 * len(run) + 1]))}I", *i)
+    assert packing.LONG_RUN.search("x" + " " * 50_000) and packing.LONG_RUN.search("\n" * 60_000)
+
+
 def test_packing(spark, documents, frame, tokenizer):
     rows = documents + [(30_000, "again"), (30_000, "again"), (30_001, "a <|endoftext|> b"), (30_002, " " * 1_200_000)]
     got = packing.best_fit_packing(frame(rows), BYTE_JSON, 256).toPandas()
