@@ -407,7 +407,8 @@ def _marked(docs: DataFrame, width: int, kmer: int) -> DataFrame:
     texts = docs.select("id", "text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    zipped = _bucketed(docs, max(parts, size // TEXT_BYTES))
+    most = int(docs.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))  # beyond it, buckets grow: tasks read them in batches
+    zipped = _bucketed(docs, min(most, max(parts, size // TEXT_BYTES)))
     spans = repeated_spans(texts, zipped, width, kmer, parts, max(parts, size // BUCKET_BYTES))
     return zipped.join(spans.groupBy("id").agg(F.collect_list(F.struct("start", "count", "digest")).alias("spans")), "id", "left")  # as many as a document has
 
