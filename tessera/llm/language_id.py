@@ -24,7 +24,7 @@ from .kernels import Words, arrow_batches, pieces, table, text_slices
 BUCKET_BITS = 16
 #: Documents of each language, about, from which a model learns; they are chosen by a hash of their ids.
 TRAIN_PER_LANGUAGE = 2000
-#: Languages of a model at most: 256 KB of scores each go to every task.
+#: Languages of a model at most, unless told otherwise: 256 KB of scores each go to every task.
 MOST_LANGUAGES = 500
 #: Log-likelihood that a switch of languages must gain.
 SWITCH_PENALTY = 24.0
@@ -248,17 +248,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
+def learn(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = TRAIN_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """Fit trigram scores on the rows with a label, about ``per_language`` of each; None if there are none.
 
-    The counts that come to the driver are at most 2**16 for each language. More than ``MOST_LANGUAGES``
-    different labels are an error.
+    The counts that come to the driver are at most 2**16 for each language. More than ``most_languages``
+    different labels are an error: raise it where tasks have the memory, 256 KB for each language.
     """
     arrow_batches(docs.sparkSession)
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    found = sorted((r[0], r.n) for r in labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect())
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} labels")
+    found = sorted((r[0], r.n) for r in labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect())
+    if len(found) > most_languages:
+        raise ValueError(f"more than {most_languages} labels")
     if not found:
         return None
     names = tuple(x for x, _ in found)
