@@ -102,11 +102,12 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def linked(ids: np.ndarray, weights: np.ndarray, chunks: np.ndarray | None, signatures: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def linked(ids: np.ndarray, weights: np.ndarray, chunks: np.ndarray | None, signatures: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float, n_bands: int, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links of each member of a block, counted with the copies, and the smallest id tied to it here.
 
-    With ``chunks``, only pairs of members of two different chunks are compared; with ``before``, the bands
-    before the block's own, only pairs that have none of these in common.
+    Only pairs that share one of ``n_bands`` bands count, however large the component or the block. With ``chunks``,
+    only pairs of members of two different chunks are compared; with ``before``, the bands before the block's
+    own, only pairs that have none of these in common.
     """
     if chunks is None:
         left, right = np.triu_indices(len(ids), 1)
@@ -119,6 +120,9 @@ def linked(ids: np.ndarray, weights: np.ndarray, chunks: np.ndarray | None, sign
     sizes = np.array([len(s) for s in sets], np.int64)
     fits = np.minimum(sizes[left], sizes[right]) >= threshold * np.maximum(sizes[left], sizes[right]) - 1e-9
     left, right = survivors(signatures, left[fits], right[fits], threshold, tolerance)
+    own = bands(signatures, n_bands)
+    meet = (own[left] == own[right]).any(1)
+    left, right = left[meet], right[meet]
     common = overlaps(sets, left, right)
     similar = common / np.maximum(1, sizes[left] + sizes[right] - common) >= threshold
     left, right = left[similar], right[similar]
@@ -205,7 +209,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
             if i == j or len(np.unique(chunk[part])) > 1:
                 sig = np.array([np.frombuffer(signature[int(k)].as_buffer(), np.uint32) for k in part])
                 own = [np.frombuffer(shingles[int(k)].as_buffer(), np.uint64) for k in part]
-                links, low = linked(ids[part], weight[part], None if i == j else chunk[part], sig, own, threshold, tolerance, None if at < 0 else bands(sig, n_bands)[:, :at])
+                links, low = linked(ids[part], weight[part], None if i == j else chunk[part], sig, own, threshold, tolerance, n_bands, None if at < 0 else bands(sig, n_bands)[:, :at])
             out[0].append(links)
             out[1].append(low)
         back = np.argsort(order, kind="stable")

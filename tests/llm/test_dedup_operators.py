@@ -178,3 +178,29 @@ def test_overlaps():
     left, right = np.triu_indices(30, 1)
     want = [len(set(sets[i]) & set(sets[j])) for i, j in zip(left, right)]
     assert list(jaccard_join.overlaps(sets, left, right)) == want and list(jaccard_join.overlaps(sets, left[:9], right[:9])) == want[:9]
+
+
+def test_links_do_not_depend_on_the_block(spark):
+    """Pairs count if they share a band, in components of any size and blocks of any size; few bands, so that some don't."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(60)] = f"x{rng.randint(0, 40)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(tuple(r) for r in jaccard_join.jaccard_join(docs, n_bands=2, rows=20, block=b).collect()) for b in (512, 40, 7)]
+    assert found[0] == found[1] == found[2]
+    assert 0 < sum(r[2] for r in found[0]) < sum(r.n_links for r in jaccard_join.jaccard_join(docs).collect())
+
+
+def test_more_buckets_than_allowed(spark, documents, frame):
+    """A table of texts never asks for more buckets than Spark allows."""
+    want = sorted((str(r.doc_id), r.n_removed) for r in substring_dedup.substring_dedup_digests(frame(documents)).collect())
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "2")
+    try:
+        assert sorted((str(r.doc_id), r.n_removed) for r in substring_dedup.substring_dedup_digests(frame(documents)).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
