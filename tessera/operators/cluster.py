@@ -7,11 +7,11 @@ tables of distinct lengths, signatures and clusters, and joined back.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content, informative_tokens, token_count
 from ..plans.storage import keep
+from .ranks import ordinals
 
 TOP_TOKENS, MIN_CLUSTER = 3, 100
 
@@ -24,7 +24,7 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 def length_buckets(lines: DataFrame) -> DataFrame:
     """Add n_tokens and cid1, the rank of the number of tokens from 0."""
     sized = lines.withColumn("n_tokens", token_count(F.col("content")))
-    ranks = sized.select("n_tokens").distinct().withColumn("cid1", F.dense_rank().over(W.orderBy("n_tokens")) - 1)
+    ranks = ordinals(sized.select("n_tokens").distinct(), ["n_tokens"], "cid1").withColumn("cid1", F.col("cid1").cast("int"))
     return sized.join(ranks, "n_tokens")
 
 
@@ -68,9 +68,8 @@ def prefix_clusters(signed: DataFrame, k: int = TOP_TOKENS, min_size: int = MIN_
 def number_clusters(prefixed: DataFrame) -> DataFrame:
     """Add cid2: clusters in order of cid1, longer prefixes first, then by their first line."""
     clusters = prefixed.groupBy("cid1", "level", "prefix").agg(F.min("first_line").alias("cluster_first"))
-    order = W.orderBy("cid1", F.col("level").desc(), "cluster_first")
-    numbered = clusters.withColumn("cid2", F.row_number().over(order) - 1).drop("cluster_first")
-    return prefixed.join(numbered, ["cid1", "level", "prefix"])
+    ranked = ordinals(clusters.withColumn("shorter", -F.col("level")), ["cid1", "shorter", "cluster_first"], "cid2")
+    return prefixed.join(ranked.select("cid1", "level", "prefix", F.col("cid2").cast("int").alias("cid2")), ["cid1", "level", "prefix"])
 
 
 def cluster_lines(lines: DataFrame, k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER) -> DataFrame:

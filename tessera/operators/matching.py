@@ -3,26 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.match import constant_length, end_tokens_fit, matches, parameters, pattern
+from ..functions.match import constant_length, matches, parameters, pattern
 from ..functions.normalize import normalize_legacy
-from ..functions.text import is_valid_template, tokens
+from ..functions.text import WILDCARD, is_valid_template, tokens
+from .ranks import ordinals
+
+
+def _fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, longer if a column of the frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _end(parts: Column, k: int) -> Column:
+    return F.coalesce(F.try_element_at(parts, F.lit(k)), F.lit(""))
 
 
 def match_templates(lines: DataFrame, templates: DataFrame, keys: tuple[str, ...] = ("n_tokens",), line_col: str = "content") -> DataFrame:
     """Every line with every template that covers it.
 
-    An equi-join on ``keys``, the number of tokens or the bucket, comes first; the end tokens and then the
-    pattern, which is made once for each template, decide. A line of a number of tokens only meets
-    templates of that number.
+    One equi-join decides which meet: its keys are ``keys``, the number of tokens or the bucket, which of a
+    template's end tokens are constant, and these tokens. A line stands for itself with each of the four
+    kinds of ends, so no line meets a template of other constant ends, and templates few enough to be
+    broadcast leave the lines where they are. The pattern, made once for each template, decides the rest. A line of a
+    number of tokens only meets templates of that number. Columns may have any name.
     """
-    shapes = templates.withColumn("tessera_shape", F.struct(tokens(F.col("template")).alias("parts"), pattern(F.col("template")).alias("pattern")))
-    words = lines.withColumn("tessera_words", tokens(F.col(line_col)))
-    joined = words.join(shapes, list(keys))
-    fits = end_tokens_fit(F.col("tessera_words"), F.col("tessera_shape.parts")) & matches(F.col(line_col), F.col("template"), F.col("tessera_shape.pattern"))
-    return joined.where(fits).drop("tessera_shape", "tessera_words")
+    end, words, shape = (_fresh(x, lines, templates) for x in ("ends", "words", "shape"))
+    parts = tokens(F.col("template"))
+
+    def constant(k: int) -> Column:
+        return F.when(F.contains(_end(parts, k), F.lit(WILDCARD)), F.lit(None)).otherwise(_end(parts, k))
+
+    def ends(first: Column, last: Column) -> Column:
+        """Equal for equal kinds and tokens; a token holds no white space."""
+        return F.concat(F.coalesce(F.concat(F.lit("="), first), F.lit("*")), F.lit(" "), F.coalesce(F.concat(F.lit("="), last), F.lit("*")))
+
+    none = F.lit(None).cast("string")
+    shapes = templates.where(F.size(parts) > 0).withColumn(end, ends(constant(1), constant(-1))).withColumn(shape, pattern(F.col("template")))
+    first, last = _end(F.col(words), 1), _end(F.col(words), -1)
+    kinds = F.array(*[ends(x, y) for x in (first, none) for y in (last, none)])
+    named = lines.withColumn(words, tokens(F.col(line_col))).where(F.size(words) > 0).withColumn(end, F.explode(kinds)).drop(words)
+    return named.join(shapes, [*keys, end]).where(matches(F.col(line_col), F.col("template"), F.col(shape))).drop(end, shape)
 
 
 def unmatched_lines(lines: DataFrame, templates: DataFrame, keys: tuple[str, ...] = ("n_tokens",)) -> DataFrame:
@@ -55,7 +80,7 @@ def most_similar(new: DataFrame, known: DataFrame, where: Column | bool = True)
 def event_ids(labelled: DataFrame) -> DataFrame:
     """Add event_id: E and the rank of the template's first line among templates."""
     firsts = labelled.groupBy("template").agg(F.min("line_id").alias("first_line"))
-    numbered = firsts.withColumn("event_id", F.concat(F.lit("E"), F.row_number().over(W.orderBy("first_line")).cast("string")))
+    numbered = ordinals(firsts, ["first_line", "template"], "place").withColumn("event_id", F.concat(F.lit("E"), (F.col("place") + 1).cast("string")))
     return labelled.join(numbered.select("template", "event_id"), "template")
 
 
@@ -83,9 +108,10 @@ def correct_templates(templates: DataFrame, user_strings: tuple[str, ...] = ())
 
 def apply_corrections(labelled: DataFrame, corrections: DataFrame) -> DataFrame:
     """Lines with the corrected template and the first id of its group; lines of other ids stay as they are."""
-    by_id = corrections.select(F.explode("event_ids").alias("event_id"), F.get("event_ids", 0).alias("__id"), F.col("template").alias("__template"))
+    own, new = (_fresh(x, labelled) for x in ("own", "new"))
+    by_id = corrections.select(F.explode("event_ids").alias("event_id"), F.get("event_ids", 0).alias(own), F.col("template").alias(new))
     joined = labelled.join(by_id, "event_id", "left")
-    return joined.withColumn("event_id", F.coalesce("__id", "event_id")).withColumn("template", F.coalesce("__template", "template")).select(labelled.columns)
+    return joined.withColumn("event_id", F.coalesce(own, "event_id")).withColumn("template", F.coalesce(new, "template")).select(labelled.columns)
 
 
 def label_by_content(lines: DataFrame, labelled: DataFrame) -> DataFrame:
