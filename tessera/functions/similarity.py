@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sequences import common_subsequence as common_subsequence
+from .sequences import common_subsequence_length as common_subsequence_length
+from .sequences import edit_distance as edit_distance
+from .sequences import longest_common_run as common_run
+
 SMOOTHING, LENGTH_SCALE = 1e-5, 20
 
 
@@ -72,58 +77,6 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Insertions, deletions and substitutions of whole tokens, row by row of the table."""
-    first = F.sequence(F.lit(0), F.size(b))
-
-    def row(prev: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            substituted = F.get(prev, j - 1) + F.when(F.get(b, j - 1) == x, 0).otherwise(1)
-            return F.concat(done, F.array(F.least(F.element_at(done, -1) + 1, F.get(prev, j) + 1, substituted)))
-
-        return F.when(F.size(b) == 0, F.array(F.get(prev, 0) + 1)).otherwise(F.aggregate(F.filter(F.sequence(F.lit(0), F.size(b)), lambda j: j > 0), F.array(F.get(prev, 0) + 1), cell))
-
-    return F.element_at(F.aggregate(a, first, row), -1)
-
-
-def common_subsequence_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of tokens."""
-    positions = F.filter(F.sequence(F.lit(0), F.size(b)), lambda j: j > 0)
-
-    def row(prev: Column, x: Column) -> Column:
-        return F.aggregate(positions, F.array(F.lit(0)), lambda done, j: F.concat(done, F.array(F.when(F.get(b, j - 1) == x, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.element_at(done, -1), F.get(prev, j))))))
-
-    return F.element_at(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row), -1)
-
-
-def common_subsequence(a: Column, b: Column) -> Column:
-    """The longest common subsequence itself: rows of the table hold token arrays; on ties the one of fewer tokens of ``b``."""
-    positions = F.filter(F.sequence(F.lit(0), F.size(b)), lambda j: j > 0)
-    empty = F.array().cast("array<string>")
-
-    def row(prev: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            left, above = F.element_at(done, -1), F.get(prev, j)
-            found = F.when(F.get(b, j - 1) == x, F.concat(F.get(prev, j - 1), F.array(x))).when(F.size(left) >= F.size(above), left).otherwise(above)
-            return F.concat(done, F.array(found))
-
-        return F.aggregate(positions, F.array(empty), cell)
-
-    return F.element_at(F.aggregate(a, F.array_repeat(empty, F.size(b) + 1), row), -1)
-
-
-def common_run(a: Column, b: Column) -> Column:
-    """The longest run of tokens in both, the first of ``a`` on ties."""
-    starts, ends = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), F.size(a)
-    inner = F.lit("\x00")
-
-    def holds(run: Column) -> Column:
-        return F.contains(F.concat(inner, F.array_join(b, "\x00"), inner), F.concat(inner, F.array_join(run, "\x00"), inner))
-
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(ends, F.lit(1))), lambda n: i + n - 1 <= ends), lambda n: F.slice(a, i, n))))
-    return F.aggregate(F.filter(runs, holds), F.array().cast("array<string>"), lambda best, run: F.when(F.size(run) > F.size(best), run).otherwise(best))
-
-
 def smoothed_jaccard(a: Column, b: Column) -> Column:
     """Never 0: a little is added to both sizes."""
     return (shared(a, b) + F.lit(SMOOTHING)) / (F.size(F.array_union(a, b)) + F.lit(SMOOTHING))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.normalize import normalize
 from ..functions.similarity import token_similarity
 from ..functions.text import message_tokens
+from ..plans.storage import keep
+from .ranks import ordinals
 
 
 def contingency(pairs: DataFrame) -> DataFrame:
@@ -34,6 +36,25 @@ def _harmonic(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))
 
 
+def _measured(cells: DataFrame, *keys: str) -> DataFrame:
+    """All measures of the cells of each group of ``keys``."""
+    exact = F.col("gt") == F.col("parsed")
+    sums = cells.groupBy(*keys).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.count_distinct("gt").alias("ground_templates"), F.count_distinct("parsed").alias("identified_templates"),
+        F.coalesce(F.sum(F.when(F.col("whole"), F.col("n"))), F.lit(0)).alias("ga_lines"), F.coalesce(F.sum(F.col("whole").cast("long")), F.lit(0)).alias("ga_groups"),
+        F.coalesce(F.sum(F.when(exact, F.col("n"))), F.lit(0)).alias("pa_lines"), F.coalesce(F.sum((exact & F.col("alone")).cast("long")), F.lit(0)).alias("ta"),
+    )
+    p, g = F.col("identified_templates"), F.col("ground_templates")
+    rates = sums.select(*keys, "identified_templates", "ground_templates", _ratio(F.col("ga_lines"), F.col("lines")).alias("GA"), _ratio(F.col("ga_groups"), p).alias("PGA"), _ratio(F.col("ga_groups"), g).alias("RGA"), _ratio(F.col("pa_lines"), F.col("lines")).alias("PA"), _ratio(F.col("ta"), p).alias("PTA"), _ratio(F.col("ta"), g).alias("RTA"))
+    return rates.withColumn("FGA", _harmonic(F.col("PGA"), F.col("RGA"))).withColumn("FTA", _harmonic(F.col("PTA"), F.col("RTA")))
+
+
+def _cells(table: DataFrame) -> DataFrame:
+    """Of a contingency table, whether a cell is all of its row and column, and whether it is alone in its column."""
+    gt_total, parsed_total = F.sum("n").over(W.partitionBy("gt")), F.sum("n").over(W.partitionBy("parsed"))
+    return table.withColumn("whole", (F.col("n") == gt_total) & (F.col("n") == parsed_total)).withColumn("alone", F.count(F.lit(1)).over(W.partitionBy("parsed")) == 1)
+
+
 def metrics(table: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """One row of all measures of a contingency table; ``only`` (gt) restricts them to some labelled templates.
 
@@ -41,19 +62,38 @@ def metrics(table: DataFrame, only: DataFrame | None = None) -> DataFrame:
     the same counted in templates. PA: share of lines parsed as labelled. PTA, RTA, FTA: templates parsed
     as labelled by exactly their lines. Empty denominators give 0.
     """
-    gt_total, parsed_total = F.sum("n").over(W.partitionBy("gt")), F.sum("n").over(W.partitionBy("parsed"))
-    cells = table.withColumn("whole", (F.col("n") == gt_total) & (F.col("n") == parsed_total)).withColumn("alone", F.count(F.lit(1)).over(W.partitionBy("parsed")) == 1)
+    cells = _cells(table)
     if only is not None:
         cells = cells.join(only.select("gt").distinct(), "gt", "left_semi")
-    exact = F.col("gt") == F.col("parsed")
-    sums = cells.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("lines"), F.count_distinct("gt").alias("ground_templates"), F.count_distinct("parsed").alias("identified_templates"),
-        F.coalesce(F.sum(F.when(F.col("whole"), F.col("n"))), F.lit(0)).alias("ga_lines"), F.coalesce(F.sum(F.col("whole").cast("long")), F.lit(0)).alias("ga_groups"),
-        F.coalesce(F.sum(F.when(exact, F.col("n"))), F.lit(0)).alias("pa_lines"), F.coalesce(F.sum((exact & F.col("alone")).cast("long")), F.lit(0)).alias("ta"),
-    )
-    p, g = F.col("identified_templates"), F.col("ground_templates")
-    rates = sums.select("identified_templates", "ground_templates", _ratio(F.col("ga_lines"), F.col("lines")).alias("GA"), _ratio(F.col("ga_groups"), p).alias("PGA"), _ratio(F.col("ga_groups"), g).alias("RGA"), _ratio(F.col("pa_lines"), F.col("lines")).alias("PA"), _ratio(F.col("ta"), p).alias("PTA"), _ratio(F.col("ta"), g).alias("RTA"))
-    return rates.withColumn("FGA", _harmonic(F.col("PGA"), F.col("RGA"))).withColumn("FTA", _harmonic(F.col("PTA"), F.col("RTA")))
+    return _measured(cells)
+
+
+def metrics_of_slices(table: DataFrame, slices: dict[str, Column]) -> DataFrame:
+    """(slice, measures): `metrics` of each slice of the labelled templates, all in one pass over the table.
+
+    A slice is a condition on gt, occurrences (the template's lines), rarest and commonest (its place among the
+    templates from either end, from 1; ties by name) and templates (how many there are), such as
+    `by_complexity` and `by_frequency`. A slice without template has zeros.
+    """
+    counts = keep(table.groupBy("gt").agg(F.sum("n").alias("occurrences")))
+    ranked = ordinals(counts.withColumn("falling", -F.col("occurrences")), ["occurrences", "gt"], "rarest")
+    ranked = ordinals(ranked, ["falling", "gt"], "commonest").withColumn("rarest", F.col("rarest") + 1).withColumn("commonest", F.col("commonest") + 1)
+    known = ranked.join(F.broadcast(counts.agg(F.count(F.lit(1)).alias("templates"))))  # one row
+    names = [F.when(condition, F.lit(name)) for name, condition in slices.items()]
+    sliced = known.select("gt", F.explode(F.array_compact(F.array(*names))).alias("slice"))
+    found = _measured(_cells(table).join(sliced, "gt"), "slice")
+    every = table.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in slices])).alias("slice"))
+    return every.join(found, "slice", "left").na.fill(0)
+
+
+def by_complexity(wanted: int) -> Column:
+    """A slice: the labelled templates of one `complexity_class`."""
+    return complexity_class(F.col("gt")) == wanted
+
+
+def by_frequency(percent: int) -> Column:
+    """A slice: the least frequent templates up to ``percent``; with a negative one the most frequent."""
+    return F.col("rarest" if percent > 0 else "commonest") <= F.floor(F.col("templates") * abs(percent) / 100)
 
 
 def complexity_class(template: Column) -> Column:
@@ -68,10 +108,9 @@ def of_complexity(table: DataFrame, wanted: int) -> DataFrame:
 
 def of_frequency(table: DataFrame, percent: int) -> DataFrame:
     """The least frequent labelled templates up to ``percent``; with a negative one the most frequent."""
-    counts = table.groupBy("gt").agg(F.sum("n").alias("occurrences"))
-    order = [F.col("occurrences").asc() if percent > 0 else F.col("occurrences").desc(), F.col("gt")]
-    ranked = counts.withColumn("rank", F.row_number().over(W.orderBy(*order))).crossJoin(counts.agg(F.count(F.lit(1)).alias("all")))
-    return ranked.where(F.col("rank") <= F.floor(F.col("all") * abs(percent) / 100)).select("gt")
+    counts = keep(table.groupBy("gt").agg((F.sum("n") * (1 if percent > 0 else -1)).alias("order")))
+    first = F.floor(F.col("all") * abs(percent) / 100)
+    return ordinals(counts, ["order", "gt"], "place").join(F.broadcast(counts.agg(F.count(F.lit(1)).alias("all")))).where(F.col("place") < first).select("gt")
 
 
 MEASURES = ("GA", "PA", "FGA", "PTA", "RTA", "FTA")

@@ -30,7 +30,7 @@ from ..plans.storage import keep
 from ..sources.presets import PRESETS
 from .cluster import MIN_CLUSTER, TOP_TOKENS, cluster_lines
 from .matching import event_ids, match_templates, most_similar
-from .sampling import contrast_samples
+from .sampling import MIN_SIMILARITY, PER_LEVEL, SAMPLE_SIZE, WEIGHT, contrast_samples
 
 #: A connection to a model: chat messages (role, content) and a temperature in, the answer's text out.
 Client = Callable[[list[dict[str, str]], float], str]
@@ -93,6 +93,10 @@ class Settings:
     k: int = TOP_TOKENS
     min_size: int = MIN_CLUSTER
     seed: int | None = None
+    sample_size: int = SAMPLE_SIZE
+    min_similarity: float = MIN_SIMILARITY
+    weight: float = WEIGHT
+    per_level: int = PER_LEVEL
 
     @classmethod
     def of(cls, preset: str, **changes) -> Settings:
@@ -102,7 +106,8 @@ class Settings:
     def options(self) -> dict:
         if self.masks not in ("before", "query", "none"):
             raise ValueError("masks must be before, query or none")
-        return {"patterns": self.patterns if self.masks == "before" else (), "query_patterns": self.patterns if self.masks == "query" else (), "k": self.k, "min_size": self.min_size, "seed": self.seed}
+        sampled = {"size": self.sample_size, "min_similarity": self.min_similarity, "weight": self.weight, "per_level": self.per_level}
+        return {"sampling": sampled, "patterns": self.patterns if self.masks == "before" else (), "query_patterns": self.patterns if self.masks == "query" else (), "k": self.k, "min_size": self.min_size, "seed": self.seed}
 
 
 def offline(sample: Column) -> Column:
@@ -134,9 +139,9 @@ def induced(samples: DataFrame, inducer: Inducer, query_patterns: tuple[str, ...
     return answers.select("cid1", "cid2", "anchor", F.when(good(F.col("answer")), F.col("answer")).when(good(F.col("own")), F.col("own")).otherwise(anchor).alias("template"), "sample", "answer")
 
 
-def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = ()) -> DataFrame:
+def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = (), sampling: dict | None = None) -> DataFrame:
     """Label each line of (line_id, content) with a template; see ``mine_with_trace``."""
-    return mine_with_trace(lines, patterns, k, min_size, inducer, seed, query_patterns)[0]
+    return mine_with_trace(lines, patterns, k, min_size, inducer, seed, query_patterns, sampling)[0]
 
 
 def first_of_equals(asked: DataFrame) -> DataFrame:
@@ -164,11 +169,11 @@ def accepted(new: DataFrame, known: DataFrame | None) -> DataFrame:
     return taken.withColumn("merged", F.coalesce("merged", "template"))
 
 
-def mine_with_trace(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def mine_with_trace(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = (), sampling: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Labelled lines (line_id, content, template, event_id), and a trace (iter, cid1, sample, answer, template) of each induction.
 
     ``patterns`` mask values first, in the lines themselves; ``query_patterns`` only in what the inducer
-    sees. A null line counts as empty; blank lines and lines of more than fifty
+    sees; ``sampling`` holds options of `contrast_samples`. A null line counts as empty; blank lines and lines of more than fifty
     wildcards are templates of their own; equal lines have equal templates; an empty table gives an empty
     result.
     """
@@ -180,7 +185,7 @@ def mine_with_trace(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = T
     known, seq, steps = None, 0, []
     while pending.limit(1).count():
         sizes = pending.groupBy("cid2").agg(F.sum("weight").alias("size"))
-        asked = keep(induced(contrast_samples(pending, seed=seed), inducer, query_patterns).join(sizes, "cid2").withColumn("iter", F.lit(seq)))
+        asked = keep(induced(contrast_samples(pending, seed=seed, **(sampling or {})), inducer, query_patterns).join(sizes, "cid2").withColumn("iter", F.lit(seq)))
         first = keep(first_of_equals(asked))
         final = keep(accepted(first, known))
         steps.append(first.join(final.select("cid1", "rank"), ["cid1", "rank"], "left_semi"))

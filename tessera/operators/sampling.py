@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import jaccard, mean, mean_difference, shared
 from ..functions.text import adaptive_sample_size, tokens
+from ..plans.storage import keep
 
 SAMPLE_SIZE, MIN_SIMILARITY, WEIGHT, PER_LEVEL = 3, 0.5, 0.6, 3
 
@@ -59,16 +60,78 @@ def best_pairs(pool: DataFrame, weight: float = WEIGHT) -> DataFrame:
     return best.select("cid2", "best.first", "best.second", "best.score")
 
 
-def contrast_samples(clustered: DataFrame, min_similarity: float = MIN_SIMILARITY, weight: float = WEIGHT, per_level: int = PER_LEVEL, seed: int | None = None) -> DataFrame:
-    """(cid2, cid1, anchor, sample): the anchor, and two contrasting lines where the cluster has them.
+def _score(values: Column, weight: float) -> Column:
+    """Of similarities in ascending order, rounded: sets of the same similarities have the same score."""
+    return F.round(weight * mean(values) + (1 - weight) * mean_difference(values), 9)
 
-    A short anchor without values stands alone; a pool of a single line gives that line.
+
+def _candidates(pool: DataFrame) -> DataFrame:
+    """(cid2, idx, content, sim, sims): a pool's lines from 1 on, with their similarities to the lines before."""
+    ranked = pool.withColumn("idx", F.row_number().over(W.partitionBy("cid2").orderBy("sig_first", "first_line")))  # a pool is a few lines for each level
+    lines = keep(ranked.select("cid2", "idx", "content", "sim", tokens(F.col("content")).alias("words")))
+    before = lines.select("cid2", F.col("idx").alias("i"), F.col("words").alias("v"))
+    pairs = lines.join(before, "cid2").where("i < idx").select("cid2", "idx", F.struct("i", jaccard(F.col("words"), F.col("v")).alias("s")).alias("p"))
+    rows = pairs.groupBy("cid2", "idx").agg(F.array_sort(F.collect_list("p")).alias("p")).select("cid2", "idx", F.transform("p", lambda x: x["s"]).alias("sims"))
+    return keep(lines.drop("words").join(rows, ["cid2", "idx"], "left").withColumn("sims", F.coalesce("sims", F.array().cast("array<double>"))))
+
+
+def _extended(sets: DataFrame, candidates: DataFrame, where: str) -> DataFrame:
+    """Sets (cid2, members, values) with one line more; ``where`` says which idx after the last one."""
+    more = sets.withColumn("last", F.element_at("members", -1)).join(candidates.select("cid2", "idx", "sim", "sims"), "cid2").where(where)
+    values = F.array_sort(F.concat("values", F.array("sim"), F.transform("members", lambda m: F.get("sims", m - 1))))
+    return more.select("cid2", F.concat("members", F.array("idx")).alias("members"), values.alias("values"))
+
+
+def best_samples(pool: DataFrame, size: int, weight: float = WEIGHT) -> DataFrame:
+    """(cid2, lines, score): the ``size`` - 1 lines of each pool of lowest contrast score together with the anchor.
+
+    Branch and bound over sets of lines. Sets grow by joins, a line at a time. A set goes when no line added to it can
+    bring its score down to that of a set that is known, the best run of neighbours in the pool: similarities to come are
+    the pool's least at best, and differ from those there are by the distances from their median at least. Ties go
+    to the earlier lines. A pool of fewer lines gives them all.
+    """
+    if size < 2:
+        raise ValueError("a sample has an anchor and one line at least")
+    candidates = _candidates(pool)
+    alone = candidates.select("cid2", F.array("idx").alias("members"), F.array("sim").alias("values"))
+    runs = alone
+    for _ in range(size - 2):
+        runs = _extended(runs, candidates, "idx = last + 1")
+    known = runs.groupBy("cid2").agg(F.min(_score(F.col("values"), weight)).alias("known"))
+    floor = candidates.groupBy("cid2").agg(F.min(F.least(F.col("sim"), F.coalesce(F.array_min("sims"), F.col("sim")))).alias("floor"))
+    bounds = keep(known.join(floor, "cid2"))
+    most = size * (size - 1) // 2
+    sets = alone
+    for _ in range(size - 2):
+        v, n = F.col("values"), F.size("values")
+        median = F.get("values", F.floor(n / 2).cast("int"))
+        apart = F.aggregate("values", F.lit(0.0), lambda s, x: s + F.abs(x - median))
+        at_least = weight * (F.aggregate("values", F.lit(0.0), lambda s, x: s + x) + (most - n) * F.col("floor")) / most
+        spread = (mean_difference(v) * (n * (n - 1) / 2) + (most - n) * apart) / (most * (most - 1) / 2)
+        open_ones = sets.join(bounds, "cid2").where(at_least + (1 - weight) * spread <= F.col("known") + 1e-6).select("cid2", "members", "values")
+        sets = keep(_extended(open_ones, candidates, "idx > last"))
+    best = sets.groupBy("cid2").agg(F.min(F.struct(_score(F.col("values"), weight).alias("score"), "members")).alias("b"))
+    few = candidates.groupBy("cid2").agg(F.collect_list("idx").alias("members")).where(F.size("members") < size - 1)
+    chosen = best.select("cid2", "b.members", "b.score").unionByName(few.select("cid2", "members", F.lit(None).cast("double").alias("score")))
+    named = chosen.withColumn("idx", F.explode("members")).join(candidates.select("cid2", "idx", "content"), ["cid2", "idx"])
+    lines = named.groupBy("cid2").agg(F.array_sort(F.collect_list(F.struct("idx", "content"))).alias("s"), F.first("score").alias("score"))
+    return lines.select("cid2", F.transform("s", lambda x: x["content"]).alias("lines"), "score")
+
+
+def contrast_samples(clustered: DataFrame, min_similarity: float = MIN_SIMILARITY, weight: float = WEIGHT, per_level: int = PER_LEVEL, seed: int | None = None, size: int = SAMPLE_SIZE) -> DataFrame:
+    """(cid2, cid1, anchor, sample): the anchor, and ``size`` - 1 contrasting lines where the cluster has them.
+
+    A short anchor without values stands alone; a pool of fewer lines gives those.
     """
-    anchored = anchors(clustered, seed).withColumn("wanted", adaptive_sample_size(F.col("anchor"), SAMPLE_SIZE))
+    anchored = anchors(clustered, seed).withColumn("wanted", adaptive_sample_size(F.col("anchor"), size))
     pool = candidate_pool(similarities(clustered, anchored.where("wanted > 1").drop("wanted")), min_similarity, per_level, seed=seed)
-    single = pool.groupBy("cid2").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("only")).where("n = 1").select("cid2", "only")
-    chosen = anchored.join(best_pairs(pool, weight), "cid2", "left").join(single, "cid2", "left")
-    sample = F.filter(F.array("anchor", "first", "second", "only"), lambda x: x.isNotNull())
+    if size == SAMPLE_SIZE:  # pairs need no search
+        single = pool.groupBy("cid2").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("only")).where("n = 1").select("cid2", "only")
+        chosen = anchored.join(best_pairs(pool, weight), "cid2", "left").join(single, "cid2", "left")
+        sample = F.filter(F.array("anchor", "first", "second", "only"), lambda x: x.isNotNull())
+    else:
+        chosen = anchored.join(best_samples(keep(pool), size, weight), "cid2", "left")
+        sample = F.concat(F.array("anchor"), F.coalesce("lines", F.array().cast("array<string>")))
     return chosen.select("cid2", "anchor", sample.alias("sample")).join(clustered.select("cid2", "cid1").distinct(), "cid2")
 
 

@@ -265,7 +265,8 @@ def test_remote_inducer_asks_again(spark, tmp_path):
 
 
 def test_settings():
-    assert mine.Settings.of("Apache", seed=3).options() == {"patterns": (r"HTTP/\d\.\d",), "query_patterns": (), "k": 3, "min_size": 100, "seed": 3}
+    sampling = {"size": 3, "min_similarity": 0.5, "weight": 0.6, "per_level": 3}
+    assert mine.Settings.of("Apache", seed=3).options() == {"sampling": sampling, "patterns": (r"HTTP/\d\.\d",), "query_patterns": (), "k": 3, "min_size": 100, "seed": 3}
     assert mine.Settings(("x",), "query").options()["query_patterns"] == ("x",) and mine.Settings(("x",), "none").options()["patterns"] == ()
     with pytest.raises(ValueError):
         mine.Settings(masks="after").options()
