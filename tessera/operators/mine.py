@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.answers import aligned_template, fill_in, majority, parse_answer, request
-from ..functions.match import matches_guarded
+from ..functions.match import end_tokens_fit, matches, matches_guarded, pattern
 from ..functions.merge import may_merge, merge_templates
 from ..functions.normalize import from_answer
 from ..functions.text import is_valid_template, mask, retry_budget, template_tokens, tokens, wildcard_count
@@ -155,8 +155,8 @@ def accepted(new: DataFrame, known: DataFrame | None) -> DataFrame:
 
     The first one of each bucket always is among them. old is the known template that merged replaces.
     """
-    other = new.select("cid1", F.col("rank").alias("before"), F.col("template").alias("first"))
-    covered = new.join(other, "cid1").where((F.col("before") < F.col("rank")) & matches_guarded(F.col("anchor"), F.col("first"))).select("cid1", "rank").distinct()
+    other = new.select("cid1", F.col("rank").alias("before"), "template")
+    covered = match_templates(new.select("cid1", "rank", "anchor"), other, ("cid1",), "anchor").where("before < rank").select("cid1", "rank").distinct()
     open_ones = keep(new.join(covered, ["cid1", "rank"], "left_anti").select("cid1", "rank", "template"))
     mates = open_ones.select("cid1", F.col("template"), F.col("rank").alias("seq"))
     mates = mates.withColumn("known", F.lit(False)) if known is None else mates.withColumn("known", F.lit(False)).unionByName(known.select("cid1", "template", "seq").withColumn("known", F.lit(True)))
@@ -177,30 +177,67 @@ def mine_with_trace(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = T
     wildcards are templates of their own; equal lines have equal templates; an empty table gives an empty
     result.
     """
+    labelled, trace, _ = mine_with_lineage(lines, patterns, k, min_size, inducer, seed, query_patterns, sampling)
+    return event_ids(labelled.select("line_id", "content", "template")).select("line_id", "content", "template", "event_id"), trace
+
+
+def mine_with_lineage(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = (), sampling: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled lines (line_id, content, template, entry), the trace, and the entries of the template database.
+
+    An entry is a template of a bucket as a round has added it: (cid1, entry, template, round, parent, root,
+    root_template). parent is the entry that a merge has replaced it by, root the last one on that path, itself without
+    a merge. Lines keep the entry of the template that covers them: those that a merged template does not cover stay
+    with the old one, whose root says what it has become. Lines that need no induction have no entry.
+    """
     masked = lines.select("line_id", mask(F.col("content"), patterns).alias("content"))
     clustered = keep(cluster_lines(masked, k, min_size))
     odd = (F.col("n_tokens") == 0) | (wildcard_count(F.col("content")) > 50)
-    labelled = clustered.where(odd).select("content", "cid1", F.col("content").alias("template"))
+    labelled = clustered.where(odd).select("content", "cid1", F.col("content").alias("template"), F.lit(None).cast("long").alias("entry"))
     pending = clustered.where(~odd)
-    known, seq, steps = None, 0, []
+    known, seq, steps, rounds = None, 0, [], []
     while pending.limit(1).count():
         sizes = pending.groupBy("cid2").agg(F.sum("weight").alias("size"))
         asked = keep(induced(contrast_samples(pending, seed=seed, **(sampling or {})), inducer, query_patterns).join(sizes, "cid2").withColumn("iter", F.lit(seq)))
         first = keep(first_of_equals(asked))
-        final = keep(accepted(first, known))
+        final = keep(accepted(first, known).withColumn("entry", (F.lit(seq * (1 << 20)) + F.col("rank")).cast("long")))
         steps.append(first.join(final.select("cid1", "rank"), ["cid1", "rank"], "left_semi"))
-        both = final.select("cid1", "rank", "template", "merged").unionByName(final.where("merged != template").select("cid1", "rank", F.col("merged").alias("template"), "merged"))
-        found = keep(match_templates(pending, both, ("cid1",)).groupBy("content", "cid1").agg(F.min(F.struct("rank", "merged"))["merged"].alias("template")))
-        if final.where("old is not null").limit(1).count():  # lines of a template that has merged follow it if it covers them
-            moved = labelled.join(final.where("old is not null").select("cid1", F.col("old").alias("template"), "merged"), ["cid1", "template"], "left")
-            labelled = keep(moved.select("content", "cid1", F.when(F.col("merged").isNotNull() & matches_guarded(F.col("content"), F.col("merged")), F.col("merged")).otherwise(F.col("template")).alias("template")))
+        both = final.select("cid1", "rank", "template", "merged", "entry").unionByName(final.where("merged != template").select("cid1", "rank", F.col("merged").alias("template"), "merged", "entry"))
+        found = keep(match_templates(pending, both, ("cid1",)).groupBy("content", "cid1").agg(F.min(F.struct("rank", "merged", "entry")).alias("b")).select("content", "cid1", F.col("b.merged").alias("template"), "b.entry"))
+        merging = final.where("old is not null")
+        if merging.limit(1).count():  # lines of a template that has merged follow it if it covers them
+            new = merging.select("cid1", F.col("old").alias("template"), "merged", F.col("entry").alias("next"), pattern(F.col("merged")).alias("shape"))
+            moved = labelled.join(new, ["cid1", "template"], "left")
+            follows = F.col("merged").isNotNull() & end_tokens_fit(tokens(F.col("content")), tokens(F.col("merged"))) & matches(F.col("content"), F.col("merged"), F.col("shape"))
+            labelled = keep(moved.select("content", "cid1", F.when(follows, F.col("merged")).otherwise(F.col("template")).alias("template"), F.when(follows, F.col("next")).otherwise(F.col("entry")).alias("entry")))
         labelled = labelled.unionByName(found)
-        rest = known.join(final.select("cid1", F.col("old").alias("template")), ["cid1", "template"], "left_anti") if known is not None else None
-        added = final.select("cid1", F.col("merged").alias("template"), (F.lit(seq * (1 << 20)) + F.col("rank")).cast("long").alias("seq"))
+        rest = known.join(merging.select("cid1", F.col("old").alias("template")), ["cid1", "template"], "left_anti") if known is not None else None
+        added = final.select("cid1", F.col("merged").alias("template"), F.col("entry").alias("seq"))
+        old = known.select("cid1", F.col("template").alias("old"), F.col("seq").alias("replaces")) if known is not None else merging.select("cid1", "old", F.lit(None).cast("long").alias("replaces")).limit(0)
+        rounds.append(final.join(old, ["cid1", "old"], "left").select("cid1", "entry", F.col("merged").alias("template"), F.lit(seq).alias("round"), "replaces"))
         known = keep((rest.unionByName(added) if rest is not None else added).groupBy("cid1", "template").agg(F.min("seq").alias("seq")))
         pending = keep(pending.join(found.select("content", "cid1"), ["content", "cid1"], "left_anti"))
         seq += 1
-    trace = lines.sparkSession.createDataFrame([], "iter int, cid1 int, sample array<string>, answer string, template string")
+    spark = lines.sparkSession
+    trace = spark.createDataFrame([], "iter int, cid1 int, sample array<string>, answer string, template string")
     for step in steps:
         trace = trace.unionByName(step.select("iter", "cid1", "sample", "answer", "template"))
-    return event_ids(masked.join(labelled.select("content", "template"), "content")).select("line_id", "content", "template", "event_id"), trace
+    entries = spark.createDataFrame([], "cid1 int, entry long, template string, round int, replaces long")
+    for added in rounds:
+        entries = entries.unionByName(added)
+    return masked.join(labelled.select("content", "template", "entry"), "content").select("line_id", "content", "template", "entry"), trace, merge_forest(keep(entries))
+
+
+def merge_forest(entries: DataFrame) -> DataFrame:
+    """(cid1, entry, template, round, parent, root, root_template) of (cid1, entry, template, round, replaces).
+
+    Roots are found by pointer jumping: as many joins as the logarithm of the longest chain of merges.
+    """
+    parents = entries.where("replaces is not null").select("cid1", F.col("replaces").alias("entry"), F.col("entry").alias("parent"))
+    linked = keep(entries.join(parents.groupBy("cid1", "entry").agg(F.min("parent").alias("parent")), ["cid1", "entry"], "left"))
+    jumps, open_ones = linked.select("cid1", "entry", F.coalesce("parent", "entry").alias("root")), True
+    while open_ones:
+        further = jumps.select("cid1", F.col("entry").alias("root"), F.col("root").alias("next"))
+        jumps = keep(jumps.join(further, ["cid1", "root"]).select("cid1", "entry", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        open_ones, jumps = jumps.where("moved").limit(1).count() > 0, jumps.drop("moved")
+    names = entries.select("cid1", F.col("entry").alias("root"), F.col("template").alias("root_template"))
+    return linked.join(jumps, ["cid1", "entry"]).join(names, ["cid1", "root"]).select("cid1", "entry", "template", "round", "parent", "root", "root_template")

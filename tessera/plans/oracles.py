@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from ..functions.text import COMMON_PARAMETERS, STOP_WORDS
-from .corpora import GT_PARSED, LINE_PAIRS, LOG_EVENTS, MODEL_ANSWERS, RAW_LINES, RAW_TEMPLATES, TEMPLATE_VALUES
+from .corpora import CORRECTABLE, GT_PARSED, LINE_PAIRS, LOG_EVENTS, MERGING, MODEL_ANSWERS, RAW_LINES, TEMPLATE_PAIRS, TEMPLATE_VALUES, TREE_TEMPLATES
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _DOC_LINES = "select doc_id * 100000 + ln as line_id, line as content from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as ln from documents)"
-_RAW = ", ".join("('" + t.replace("'", "''") + "')" for t in RAW_TEMPLATES)
 
 
 def _tokens(x: str) -> str:
@@ -134,6 +133,47 @@ _MINED = f"""select line_id, template from (select l.line_id, e.event_type from
       select e.event_type, unnest({_tokens('l.content')}) as token, unnest(range(len({_tokens('l.content')}))) as place from ({LOG_EVENTS}) l join events e on e.event_id = l.line_id) group by 1, 2) group by 1) t using (event_type)"""
 _VARIABLE = "regexp_matches(replace(content, '<*>', ''), '[^ A-Za-z!]')"
 
+
+def _others(x: str) -> str:
+    return f"list_distinct(list_filter(string_split(regexp_replace({x}, '[A-Za-z]', '', 'g'), ''), lambda c: c <> ''))"
+
+
+def _covers(template: str, line: str) -> str:
+    """A template with wildcards covers a line: end tokens, then the pattern."""
+    pattern = rf"concat('^', replace(regexp_replace(regexp_replace({template}, '([^A-Za-z0-9])', '\\\1', 'g'), '\\ +', '\\s+', 'g'), '\<\*\>', '.*?'), '$')"
+    ends = " and ".join(f"({t} like '%<*>%' or {t} = {x})" for t, x in ((f"string_split({template}, ' ')[{k}]", f"string_split({line}, ' ')[{k}]") for k in (1, -1)))
+    return f"({ends} and regexp_matches({line}, {pattern}))"
+
+
+#: Pairs of templates: tokens of pairs u, v merged by ends and by character: table w; merged templates: table f.
+_MERGED = rf"""
+with p as ({TEMPLATE_PAIRS}), t as (select line_id, x, y, string_split(x, ' ') as a, string_split(y, ' ') as b from p),
+k as (select line_id, pos, a[pos] as u, b[pos] as v from t, range(1, 20) r(pos) where len(a) = len(b) and pos <= len(a)),
+e as (select u, v, replace(u, '<*>', chr(0)) as x, replace(v, '<*>', chr(0)) as y, {_others("replace(u, '<*>', chr(0))")} as dx, {_others("replace(v, '<*>', chr(0))")} as dy from (select u, v from k union select a[2], b[2] from t)),
+q as (select *, regexp_full_match(x, '[A-Z]*') and regexp_full_match(y, '[A-Z]*') or len(dx) > 0 and len(dy) > 0 and not (len(dx) = 1 and len(dy) = 1 and (dx[1] = dy[1] and dx[1] in ('.', '_') or dx[1] = ':' and dy[1] = ':' and x like '%:' and y like '%:'))
+  and not (len(dx) = 2 and len(dy) = 2 and x like '%()' and y like '%()') and x not like '%.....%' and y not like '%.....%' as variable, len(list_filter(range(1, least(length(u), length(v)) + 1), lambda i: u[1:i] = v[1:i])) as head from e),
+r as (select *, u[head + 1:] as ru, v[head + 1:] as rv from q), h as (select *, len(list_filter(range(1, least(length(ru), length(rv)) + 1), lambda i: right(ru, i) = right(rv, i))) as tail from r),
+w as (select u, v, variable, case when u = '<*>' or v = '<*>' then '<*>' when variable then regexp_replace(concat(u[1:head], '<*>', right(u, tail)), '(<\*>)+', '<*>', 'g') end as by_ends, case when u = '<*>' or v = '<*>' then '<*>' when variable then
+  regexp_replace(array_to_string(list_transform(range(1, greatest(length(x), length(y)) + 1), lambda i: case when i > length(x) then y[i] when i > length(y) or x[i] = y[i] then x[i] else chr(0) end), ''), '\x00+', '<*>', 'g') end as by_character from h),
+j as (select line_id, bool_or(u <> v and by_ends is not null) as edits, string_agg(case when u = v then u else coalesce(by_ends, u) end, ' ' order by pos) as joined from k join w using (u, v) group by 1),
+n as (select line_id, edits, array_to_string(list_transform(regexp_extract_all(joined, '{_CUTS}'), lambda i: case when regexp_matches(i, '^[0-9]+$') or regexp_matches(i, '^0x[0-9a-fA-F]+') or regexp_matches(i, '^[^\s/]*<\*>[^\s/]*$') then '<*>' else i end), '') as template from j),
+c as (select line_id, edits, {_CHAINS} as m from n), f as (select line_id, case when a = b then x when edits and m <> '' and {_covers('m', 'x')} and {_covers('m', 'y')} then m end as merged from t left join c using (line_id))
+"""
+_HEAD = "list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i] and not list_contains(a[1:i], '<*>'))"
+#: Templates of the tree as patterns of tokens that are followed by chr(1) each, their beginnings, and lines as such tokens.
+_TREE_VALUES = ", ".join(f"('{t}')" for t in TREE_TEMPLATES)
+_CUT_TOKENS = "array_to_string(list_transform({}, lambda i: concat(i, chr(1))), '')"
+_TREE = rf"""
+with v as (select template, {_message_tokens('template')} as w from (values {_TREE_VALUES}) v(template)), x as (select line_id, {_CUT_TOKENS.format(_message_tokens('content'))} as text from ({LOG_EVENTS})),
+t as (select template, len(list_filter(w, lambda i: i = '<*>')) as wild, len(list_filter(w, lambda i: i <> '<*>')) as fixed, list_transform(string_split({_CUT_TOKENS.format('w')}, concat('<*>', chr(1))), lambda i: regexp_replace(i, '([^A-Za-z0-9\x01])', '\\\1', 'g')) as parts from v),
+h as (select line_id, text, template, wild, fixed, concat('^', array_to_string(parts, '((?:[^\x01]+\x01)*?)'), '$') as pat from x, t where regexp_matches(text, concat('^', array_to_string(parts, '((?:[^\x01]+\x01)*?)'), '$'))),
+b as (select *, row_number() over (partition by line_id order by fixed desc, wild, template) as place from h),
+n as (select template, k, parts[1:k] as node, concat('^', array_to_string(parts[1:k], '(?:[^\x01]+\x01)*?')) as pat from t, range(1, 10) r(k) where k < len(parts)),
+a as (select distinct line_id, node from x, (select distinct node, pat from n) m where regexp_matches(text, pat)),
+d as (select line_id, node from a where (line_id, node) not in (select (line_id, node[1:len(node) - 1]) from a) and line_id not in (select line_id from h))
+"""
+_WEIGHTED = "round(0.6::double * (list_sum(vs) / len(vs)) + (1 - 0.6::double) * (case when len(vs) < 2 then 0 else list_sum(list_transform(range(1, len(vs)), lambda i: list_sum(list_transform(vs[i + 1:], lambda z: z - vs[i])))) / (len(vs) * (len(vs) - 1) / 2) end), 9)"
+
 ORACLE_SQL: dict[str, str] = {
     "mask_regex": "select page_id, regexp_replace(regexp_replace(regexp_replace(url, '[0-9]+', '<*>', 'g'), 'https?://[a-z.]*', '<*>', 'g'), 'utm_[a-z]+', '<*>', 'g') as masked from pages",
     "mask_common_params": f"select c_custkey, {_common('s')} as masked, regexp_replace(s, '0x[0-9a-fA-F]+', '<*>', 'g') as hex from ({_CUSTOMER})",
@@ -164,23 +204,15 @@ ORACLE_SQL: dict[str, str] = {
       select p.x, p.y, subsequence, coalesce(run, '') as run, x[1:len(list_filter(range(1, least(length(p.x), length(p.y)) + 1), lambda k: p.x[1:k] = p.y[1:k]))] as prefix, right(p.x, len(list_filter(range(1, least(length(p.x), length(p.y)) + 1), lambda k: right(p.x, k) = right(p.y, k)))) as suffix
       from p join l using (x, y) left join c using (x, y)""",
     "edit_distance_words": f"select x, y, levenshtein(x, y) as distance from ({_LETTERS})",
-    "template_similarities": f"""with t as (select template, string_split(template, ' ') as w from (values {TEMPLATE_VALUES}) v(template)),
-    b as (select a.template as x, b.template as y, len(a.w) as n1, len(b.w) as n2, cast(len(list_intersect(list_distinct(a.w), list_distinct(b.w))) as double) as i, len(list_distinct(list_concat(a.w, b.w))) as u from t a join t b on a.template < b.template)
-    select x, y, round(i / u, 6) as jaccard, round((i + 1e-5) / (u + 1e-5), 6) as smoothed, round((i + 1e-5) / (u + 1e-5) * pow(n1 * n2 / 400.0, 2), 6) as weighted, round(i / (n1 + n2 - i), 6) as similarity from b""",
     "normalize_tokens": rf"""select line_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(content, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '{_CUTS}'),
       lambda t: case when regexp_matches(t, '^[0-9]+$') or regexp_matches(t, '^0x[0-9a-fA-F]+') or regexp_matches(t, '^[^\s/]*<\*>[^\s/]*$') then '<*>' else t end), '') as normalized from ({LOG_EVENTS})""",
-    "normalize_chains": f"select template, {_CHAINS} as normalized from (values {_RAW}) v(template)",
     "normalize_pairs": "select case when (length(t) - length(replace(t, '=<*>', ''))) >= 12 then replace(t, '= ', '=<*> ') else t end as normalized, count(*) as n_lines from (select concat('a=<*> b=<*> c', case when event_id % 2 = 0 then '=<*>' else '' end, ' d= x e= y') as t from events) group by 1",
-    "template_checks": f"""select template, not regexp_matches(replace(template, '<*>', ''), '[^ [:punct:]]') as too_general, template <> '' and (length(template) - length(replace(template, '<*>', ''))) / 3 <= 50 as valid,
-      cast((length(template) - length(replace(template, '<*>', ''))) // 3 as bigint) as wildcards, cast({_COMPLEXITY.replace('(gt', '(template')} as bigint) as complexity from (values {_RAW}, {TEMPLATE_VALUES}) v(template)""",
     "template_match": _MATCHED + "select line_id, template from m",
     "unmatched_lines": _MATCHED + "select line_id, content from l where line_id not in (select line_id from m where template like 'User%' or template like 'Handled signup%')",
     "constant_match": _MATCHED + "select template, count(*) as n_lines from m where len(list_filter(tt, lambda x: x not like '%<*>%' and not list_contains(lt, x))) = 0 group by 1",
     "best_template": _MATCHED + "select line_id, template from (select *, row_number() over (partition by line_id order by length(replace(template, '<*>', '')) desc, template) as r from m) where r = 1",
     "majority_template": f"""with gp as ({GT_PARSED}), r as (select gt, parsed, count(*) as n, min(line_id) as f from gp group by 1, 2)
       select gt, arg_max(parsed, (n, -f)) as majority, arg_min(parsed, f) as first, sum(n) > 1 and count(*) / sum(n) >= 0.8 as diverse from r group by 1""",
-    "parse_answers": """select * from (values (1::bigint, 0::bigint, 1::bigint, 'User {id} logged in'), (1, 1, 2, 'User {id} logged out'), (2, 0, -1, 'Read {n} bytes'), (3, 0, 2, 'Disk {d} full'), (3, 1, -1, 'a=`1'),
-      (5, 0, 1, 'x y'), (5, 1, 2, 'x y'), (5, 2, 3, 'x z')) v(id, pos, idx, template)""",
     "assign_event_ids": f"with gp as ({GT_PARSED}), e as (select parsed, concat('E', row_number() over (order by min(line_id))) as event_id from gp group by 1) select line_id, parsed as template, event_id from gp join e using (parsed)",
     "template_table": f"with gp as ({GT_PARSED}) select concat('E', row_number() over (order by min(line_id))) as event_id, parsed as template, count(*) as occurrences from gp group by parsed",
     "eval_ga": _ALL + "select round(GA, 6) as GA, round(PGA, 6) as PGA, round(RGA, 6) as RGA, round(FGA, 6) as FGA from r",
@@ -198,12 +230,6 @@ ORACLE_SQL: dict[str, str] = {
     "extract_params": _MATCHED
     + """, x as (select *, (length(pat) - length(replace(pat, '(.*?)', ''))) // 5 as n from m)
       select line_id, template, concat_ws(' | ', regexp_extract(content, pat, 1), case when n > 1 then regexp_extract(content, pat, 2) end, case when n > 2 then regexp_extract(content, pat, 3) end, case when n > 3 then regexp_extract(content, pat, 4) end) as params from x""",
-    "merge_pairs": """select * from (values ('open file /a/b1 now', 'open file /a/c2 now', 'open file /a/<*> now', true), ('open file x now', 'open file y now', null, true), ('read a1 from b2', 'read c3 to d4', null, false),
-      ('a b c d e f g h i j k1 l1', 'a b c d e f g h i j k2 l2', 'a b c d e f g h i j <*>', true), ('user root: in', 'user admin: in', null, true), ('call f() ok', 'call g() ok', null, true), ('ERR A now', 'ERR B now', 'ERR <*> now', true),
-      ('one two', 'one two three', null, true), ('same text', 'same text', 'same text', true), ('id=<*> ok', 'id=7 ok', 'id=<*> ok', true)) v(x, y, merged, by_distance)""",
-    "merge_gates": """select * from (values ('open file /a/b1 now', 'open file /a/c2 now', true, false), ('open file x now', 'open file y now', true, false), ('read a1 from b2', 'read c3 to d4', false, false),
-      ('a b c d e f g h i j k1 l1', 'a b c d e f g h i j k2 l2', true, true), ('user root: in', 'user admin: in', true, false), ('call f() ok', 'call g() ok', true, false), ('ERR A now', 'ERR B now', true, false),
-      ('one two', 'one two three', false, false), ('same text', 'same text', true, true), ('id=<*> ok', 'id=7 ok', true, false)) v(x, y, may_merge, by_share)""",
     "log_template_counts": f"select template, count(*) as n_lines from ({_MINED}) group by 1",
     "mine_templates": f"with m as ({_MINED}), e as (select template, concat('E', row_number() over (order by min(line_id))) as event_id from m group by 1) select line_id, template, event_id from m join e using (template)",
     "mined_quality": f"with gp as (select gt, template as parsed from ({GT_PARSED}) g join ({_MINED}) m using (line_id)), {_METRICS}, r as ({_RATES} from ({_measures()})) select round(GA, 6) as GA, round(PGA, 6) as PGA, round(RGA, 6) as RGA, round(FGA, 6) as FGA from r",
@@ -234,10 +260,50 @@ ORACLE_SQL: dict[str, str] = {
     "similarity_accuracy": rf"""with gp as ({GT_PARSED}), c as (select gt, parsed, count(*) as n from gp group by 1, 2),
       w as (select n, {_message_tokens('gt')} as a, {_message_tokens('parsed')} as b from c), i as (select *, len(list_intersect(list_distinct(a), list_distinct(b))) as i from w)
       select round(sum(n * (cast(i as double) / (len(a) + len(b) - i))) / sum(n), 6) as SA from i""",
-    "corrected_templates": "select * from (values ('E1,E2', 'path <*> ok'), ('E3,E10', 'user <*> in'), ('E4', 'count <*> of <*>')) v(event_ids, template)",
-    "corrected_lines": """select case k when 'E2' then 'E1' else k end as event_id, case k when 'E1' then 'path <*> ok' when 'E2' then 'path <*> ok' when 'E3' then 'user <*> in' when 'E4' then 'count <*> of <*>' else t end as template, count(*) as n_lines
-      from (select concat('E', event_id % 6 + 1) as k, event_type as t from events) group by 1, 2""",
-    "similarity_matrix": f"""with t as (select template, {_tokens('template')} as w from (values {TEMPLATE_VALUES}) v(template)), p as (select a.template as x, b.template as y, {_jaccard('a.w', 'b.w')} as sim from t a join t b on a.template < b.template)
-      select x, y, round(sim, 6) as sim from p where sim > 0""",
     "labels_by_content": "with l as (select event_type as content, concat(event_type, ' ', max(event_id)) as template from events where event_type <> 'view' group by 1) select content, template, count(*) as n_lines from (select event_type as content from events) left join l using (content) group by 1, 2",
+    "template_similarities": f"""with b as (select x, y, string_split(x, ' ') as v, string_split(y, ' ') as w from (select distinct x, y from ({TEMPLATE_PAIRS}))), c as (select *, len(v) as n1, len(w) as n2, cast(len(list_intersect(list_distinct(v), list_distinct(w))) as double) as i, len(list_distinct(list_concat(v, w))) as u from b)
+      select x, y, round(i / u, 6) as jaccard, round((i + 1e-5) / (u + 1e-5), 6) as smoothed, round((i + 1e-5) / (u + 1e-5) * pow(n1 * n2 / 400.0, 2), 6) as weighted, round(i / (n1 + n2 - i), 6) as similarity from c""",
+    "normalize_chains": f"select template, {_CHAINS} as normalized from (select replace(template, ' ', ' <*>') as template from ({RAW_LINES.format(flags=", 'g'")}) union select x from ({TEMPLATE_PAIRS}))",
+    "template_checks": f"""select template, not regexp_matches(replace(template, '<*>', ''), '[^ [:punct:]]') as too_general, template <> '' and (length(template) - length(replace(template, '<*>', ''))) / 3 <= 50 as valid,
+      cast((length(template) - length(replace(template, '<*>', ''))) // 3 as bigint) as wildcards, cast({_COMPLEXITY.replace('(gt', '(template')} as bigint) as complexity from (select regexp_replace(template, '[A-Za-z]', '', 'g') as template from ({RAW_LINES.format(flags=", 'g'")}) union select x from ({TEMPLATE_PAIRS}))""",
+    "parse_answers": """select event_id as id, pos::bigint as pos, case when event_id % 5 = 0 then pos + 1 when event_id % 5 = 2 and pos = 0 then 2 else -1 end::bigint as idx, case when event_id % 5 = 0 and pos = 0 then concat(event_type, ' {id}') when event_id % 5 = 1 then event_type when event_id % 5 = 2 and pos = 1 then 'a=`1' else props end as template
+      from events, range(2) r(pos) where event_id % 5 in (0, 2) or event_id % 5 = 1 and pos = 0""",
+    "merge_gates": f"""with p as (select line_id, string_split(x, ' ') as a, string_split(y, ' ') as b from ({TEMPLATE_PAIRS})), u as (select *, list_distinct(list_concat(a, b)) as u, len(a) as n, len(b) as m, len(list_filter(list_zip(a, b), lambda z: z[1] is distinct from z[2])) as d from p),
+      e as (select *, levenshtein(array_to_string(list_transform(a, lambda t: chr(64 + list_position(u, t)::int)), ''), array_to_string(list_transform(b, lambda t: chr(64 + list_position(u, t)::int)), '')) as e, (len(list_intersect(list_distinct(a), list_distinct(b))) + 1e-5) / (len(u) + 1e-5) as s from u)
+      select line_id, n = m and (d <= 1 or d = 2 and n > 10) as may_merge, n = m and d < 0.2 * n as by_share, e <= 1 or s > 0.8 or n > 10 and m > 10 and e <= 0.3 * greatest(n, m) as by_distance from e""",
+    "merge_pairs": _MERGED
+    + f""", g as (select line_id, a, b, a[2] as u, b[2] as v, len({_HEAD}) as head from t), z as (select *, a[head + 1:] as a2, b[head + 1:] as b2 from g),
+      y as (select *, len(list_filter(range(1, least(len(a2), len(b2)) + 1), lambda i: a2[len(a2) - i + 1:] = b2[len(b2) - i + 1:] and not list_contains(a2[len(a2) - i + 1:], '<*>'))) as tail from z)
+      select line_id, merged, variable, by_ends, by_character, case when len(list_filter(a, lambda i: i = '<*>')) > 1 or len(list_filter(b, lambda i: i = '<*>')) > 1 then array_to_string(list_concat(a[1:head], ['<*>'], a[len(a) - tail + 1:]), ' ') end as by_lists
+      from y join w using (u, v) join f using (line_id)""",
+    "corrected_templates": f"select string_agg(event_id, ',' order by substr(event_id, 2)::bigint) as event_ids, template from (select event_id, case when template like 'path%' then 'path <*> ok' when template like 'user%' then 'user <*> in' when template like 'count%' then 'count <*> of <*>' else template end as template from ({CORRECTABLE})) group by 2",
+    "corrected_lines": f"""with c as (select event_id, case when template like 'path%' then 'path <*> ok' when template like 'user%' then 'user <*> in' when template like 'count%' then 'count <*> of <*>' else template end as template from ({CORRECTABLE})),
+      g as (select *, arg_min(event_id, substr(event_id, 2)::bigint) over (partition by template) as first from c) select coalesce(first, k) as event_id, coalesce(template, t) as template, count(*) as n_lines from (select concat('E', event_id % 200) as k, event_type as t from events) left join g on g.event_id = k group by 1, 2""",
+    "similarity_matrix": f"""with l as (select x as content, min(line_id) as id from ({TEMPLATE_PAIRS}) where line_id % 10 = 1 group by 1), t as (select id, {_tokens('content')} as w from l), p as (select a.id as a, b.id as b, {_jaccard('a.w', 'b.w')} as sim from t a join t b on a.id < b.id)
+      select a, b, round(sim, 6) as sim from p where sim > 0""",
+    "eval_slices": _ALL + " union all ".join(_slice(n, o) for n, o in (("all", "select gt from cells"), *((f"complexity {k}", f"select gt from cells where {_COMPLEXITY} = {k}") for k in (1, 2, 3)), *((f"frequency {n}", _FREQUENT.format(o)) for n, o in (("40", "asc"), ("-40", "desc"))))),
+    "tree_match": _TREE
+    + r"""select line_id, template, true as matched, array_to_string(list_transform(range(1, wild + 1), lambda i: replace(case i when 1 then regexp_extract(text, pat, 1) when 2 then regexp_extract(text, pat, 2) else regexp_extract(text, pat, 3) end, chr(1), '')), '|') as params from b where place = 1
+      union all select distinct line_id, template, false, null from d join n using (node)""",
+    "line_sequences": f"""with recursive p as (select line_id, a, b from (select line_id, {_tokens('content')} as a, lead({_tokens('content')}) over (partition by line_id // 100000 order by line_id) as b from ({_DOC_LINES})) where b is not null),
+      u as (select line_id, unnest(b) as y, unnest(range(1, len(b) + 1)) as j from p union all select line_id, null, 0 from p),
+      r as (select line_id, 0 as i, j, 0 as lcs, j as ed, 0 as run from u union all
+        select line_id, i + 1, j, max(best) over (partition by line_id order by j), j + min(fewest - j) over (partition by line_id order by j), run from (
+          select r.line_id, r.i, r.j, case when y = x then coalesce(lag(lcs) over w, 0) + 1 else lcs end as best, case when j = 0 then r.i + 1 else least(ed + 1, lag(ed) over w + case when y = x then 0 else 1 end) end as fewest, case when y = x then coalesce(lag(run) over w, 0) + 1 else 0 end as run
+          from (select r.*, u.y, p.a[r.i + 1] as x from r join p using (line_id) join u using (line_id, j) where r.i < len(p.a)) r window w as (partition by line_id order by j))),
+      m as (select line_id, max(run) as n, arg_min(i - run, (-run, i - run)) as begin from r where run > 0 group by 1)
+      select line_id, lcs as subsequence, lcs as words, ed as distance, coalesce(array_to_string(a[m.begin + 1:m.begin + n], ' '), '') as run from r join p using (line_id) left join m using (line_id) where r.i = len(a) and r.j = len(b)""",
+    "similar_log_lines": f"""with s as (select list_sort(list_distinct({_tokens('content')})) as w, min(line_id) as id from ({LOG_EVENTS}) group by 1), e as (select id, len(w) as n, unnest(w) as t from s),
+      c as (select x.id as a, y.id as b, x.n as n, y.n as m, count(*) as common from e x join e y on x.t = y.t and x.id < y.id and x.n >= 0.7 * y.n and y.n >= 0.7 * x.n group by 1, 2, 3, 4) select a, b, common, round(common / (n + m - common), 6) as sim from c where common / (n + m - common) >= 0.7 - 1e-12""",
+    "contrast_best_samples": _CLUSTERED.replace("with l as", "with recursive l as", 1)
+    + f""", pc as (select cid2, content, sim, row_number() over (partition by cid2 order by sig_first, first_line) as i, count(*) over (partition by cid2) as n from po),
+      pp as (select a.cid2, a.i, b.i as j, {_jaccard(_tokens('a.content'), _tokens('b.content'))} as v from pc a join pc b on a.cid2 = b.cid2 and a.i < b.i),
+      rc as (select cid2, [i] as m from pc union all select rc.cid2, list_append(rc.m, pc.i) from rc join pc on rc.cid2 = pc.cid2 and pc.i > rc.m[-1] where len(rc.m) < 4),
+      mv as (select cid2, m, unnest(m) as i from rc), vs as (select cid2, m, list(v order by v) as vs from (select mv.cid2, m, sim as v from mv join pc using (cid2, i) union all select a.cid2, a.m, v from mv a join mv b on a.cid2 = b.cid2 and a.m = b.m and a.i < b.i join pp on pp.cid2 = a.cid2 and pp.i = a.i and pp.j = b.i) group by 1, 2),
+      bs as (select cid2, m, score from (select *, row_number() over (partition by cid2, len(m) order by score, m) as place from (select cid2, m, {_WEIGHTED} as score from vs)) where place = 1),
+      fw as (select distinct z.size - 1 as k, cid2, range(1, n + 1) as m, null::double as score from pc, range(2, 6) z(size) where n < z.size - 1), al as (select len(m) as k, cid2, m, score from bs union all select k, cid2, m, score from fw)
+      select k + 1 as size, al.cid2, string_agg(content, ' | ' order by pc.i) as lines, round(score, 6) as score from al join pc on pc.cid2 = al.cid2 and list_contains(m, pc.i) group by k, al.cid2, score""",
+    "merge_lineage": f"""with l as ({MERGING}), c as (select kind, dock, count(*) as n, min(line_id) as f from l group by 1, 2), o as (select *, row_number() over (partition by kind order by n desc, f) as place, sum(n) over (partition by kind) as lines from c),
+      t as (select lines, concat(kind, ' <*> ', reverse(kind), ' by dock', dock, ' ', kind, 'x') as first, concat(kind, ' <*> ', reverse(kind), ' by <*> ', kind, 'x') as merged from o where place = 1)
+      select first as template, 0::bigint as round, merged as merged_into, merged as root_template, 0::bigint as n_lines from t union all select merged, 1, null, merged, lines::bigint from t""",
 }

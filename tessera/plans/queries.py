@@ -9,23 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import answers, match, merge, normalize, similarity, text
-from ..operators import cluster, evaluate, matching, mine, sampling
+from ..operators import cluster, evaluate, matching, mine, sampling, similar, tree
 from ..sources.logs import parse_lines
-from .corpora import doc_lines, gt_parsed, line_pairs, log_events, model_answers, raw_lines, raw_templates, templates, view
+from .corpora import CORRECTABLE, MERGING, TREE_TEMPLATES, doc_lines, gt_parsed, line_pairs, log_events, model_answers, raw_lines, template_pairs, templates, view
 from .storage import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 URL_MASKS = (r"[0-9]+", r"https?://[a-z.]*", r"utm_[a-z]+")
 LOG_RAW = "select event_id as line_id, concat('[', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), '] [', event_type, '] user ', cast(user_id as string), ' props ', props) as line from events"
-ANSWERS = (
-    (1, "LogTemplate[1]: `User {id} logged in`\nLogTemplate[2]: `User {id} logged out`"), (2, "Sure!\nLogTemplate: `Read {n} bytes`\nno template"), (3, "Log template[2]: Disk {d} full\nLog template: a=`1`"),
-    (4, "nothing here"), (5, "LogTemplate[1]: `x y`\nLogTemplate[2]: `x y`\nLogTemplate[3]: `x z`"),
-)
-CORRECTABLE = (("E1", "path /a/b ok"), ("E2", "path /c/d ok"), ("E10", "user root in"), ("E3", "user admin in"), ("E4", "count 15 of 20"))
-PAIRS = (
-    ("open file /a/b1 now", "open file /a/c2 now"), ("open file x now", "open file y now"), ("read a1 from b2", "read c3 to d4"), ("a b c d e f g h i j k1 l1", "a b c d e f g h i j k2 l2"),
-    ("user root: in", "user admin: in"), ("call f() ok", "call g() ok"), ("ERR A now", "ERR B now"), ("one two", "one two three"), ("same text", "same text"), ("id=<*> ok", "id=7 ok"),
-)
 
 
 def _rounded(c: Column | str) -> Column:
@@ -142,9 +133,9 @@ def common_subsequence_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = templates(spark).alias("a").join(templates(spark).alias("b"), F.col("a.template") < F.col("b.template"))
-    x, y = text.space_tokens(F.col("a.template")), text.space_tokens(F.col("b.template"))
-    return both.select(F.col("a.template").alias("x"), F.col("b.template").alias("y"), *[_rounded(f(x, y)).alias(n) for n, f in (("jaccard", similarity.jaccard), ("smoothed", similarity.smoothed_jaccard), ("weighted", similarity.weighted_jaccard), ("similarity", similarity.token_similarity))])
+    """All similarities of neighbouring templates."""
+    x, y = text.space_tokens(F.col("x")), text.space_tokens(F.col("y"))
+    return template_pairs(spark, sf_dir).select("x", "y").distinct().select("x", "y", *[_rounded(f(x, y)).alias(n) for n, f in (("jaccard", similarity.jaccard), ("smoothed", similarity.smoothed_jaccard), ("weighted", similarity.weighted_jaccard), ("similarity", similarity.token_similarity))])
 
 
 def normalize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +143,8 @@ def normalize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_templates(spark).select("template", normalize.normalize_chains(F.col("template")).alias("normalized"))
+    found = raw_lines(spark, sf_dir).select(F.replace("template", F.lit(" "), F.lit(" <*>")).alias("template")).unionByName(template_pairs(spark, sf_dir).select(F.col("x").alias("template"))).distinct()
+    return found.select("template", normalize.normalize_chains(F.col("template")).alias("normalized"))
 
 
 def normalize_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +153,10 @@ def normalize_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def template_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of lines without their letters, and of templates."""
     t = F.col("template")
-    return raw_templates(spark).unionByName(templates(spark)).select("template", text.is_too_general(t).alias("too_general"), text.is_valid_template(t).alias("valid"), text.wildcard_count(t).cast("long").alias("wildcards"), evaluate.complexity_class(t).cast("long").alias("complexity"))
+    found = raw_lines(spark, sf_dir).select(F.regexp_replace("template", "[A-Za-z]", "").alias("template")).unionByName(template_pairs(spark, sf_dir).select(F.col("x").alias("template"))).distinct()
+    return found.select("template", text.is_too_general(t).alias("too_general"), text.is_valid_template(t).alias("valid"), text.wildcard_count(t).cast("long").alias("wildcards"), evaluate.complexity_class(t).cast("long").alias("complexity"))
 
 
 def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,18 +187,25 @@ def majority_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(ANSWERS, "id long, answer string").select("id", F.posexplode(answers.parse_answer(F.col("answer"))).alias("pos", "a"))
+    rows = model_answers(spark, sf_dir).select("id", F.posexplode(answers.parse_answer(F.col("answer"))).alias("pos", "a"))
     return rows.select("id", F.col("pos").cast("long").alias("pos"), F.col("a.idx").cast("long").alias("idx"), "a.template")
 
 
 def merge_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gates of merging for neighbouring templates."""
     x, y = F.col("x"), F.col("y")
-    return spark.createDataFrame(PAIRS, "x string, y string").select("x", "y", merge.may_merge(x, y).alias("may_merge"), merge.may_merge_by_share(x, y).alias("by_share"))
+    return template_pairs(spark, sf_dir).select("line_id", merge.may_merge(x, y).alias("may_merge"), merge.may_merge_by_share(x, y).alias("by_share"), merge.may_merge_by_distance(x, y).alias("by_distance"))
 
 
 def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring templates merged: as a whole, their second tokens by character and by their ends, and as lists."""
     x, y = F.col("x"), F.col("y")
-    return spark.createDataFrame(PAIRS, "x string, y string").select("x", "y", merge.merge_templates(x, y).alias("merged"), merge.may_merge_by_distance(x, y).alias("by_distance"))
+    a, b = text.template_tokens(x), text.template_tokens(y)
+    u, v = F.get(a, 1), F.get(b, 1)
+    return template_pairs(spark, sf_dir).select(
+        "line_id", merge.merge_templates(x, y).alias("merged"), merge.are_variable(u, v).alias("variable"), merge.merge_tokens(u, v).alias("by_ends"),
+        merge.merge_tokens_by_character(u, v).alias("by_character"), F.array_join(merge.merge_lists(a, b), " ").alias("by_lists"),
+    )
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,22 +240,22 @@ def eval_fta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measures(evaluate.metrics(_table(spark, sf_dir)), "PTA", "RTA", "FTA")
 
 
-def _sliced(table: DataFrame, slices: dict[str, DataFrame]) -> DataFrame:
-    rows = None
-    for name, only in slices.items():
-        row = evaluate.metrics(table, only).select(F.lit(name).alias("slice"), F.col("identified_templates"), F.col("ground_templates"), *[_rounded(m).alias(m) for m in ("GA", "PA", "FTA")])
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+def _sliced(table: DataFrame, slices: dict[str, Column]) -> DataFrame:
+    return evaluate.metrics_of_slices(table, slices).select("slice", "identified_templates", "ground_templates", *[_rounded(m).alias(m) for m in ("GA", "PA", "FTA")])
 
 
 def eval_complexity_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _table(spark, sf_dir)
-    return _sliced(table, {str(k): evaluate.of_complexity(table, k) for k in (1, 2, 3)})
+    return _sliced(_table(spark, sf_dir), {str(k): evaluate.by_complexity(k) for k in (1, 2, 3)})
 
 
 def eval_frequency_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _table(spark, sf_dir)
-    return _sliced(table, {str(p): evaluate.of_frequency(table, p) for p in (40, -40)})
+    return _sliced(_table(spark, sf_dir), {str(p): evaluate.by_frequency(p) for p in (40, -40)})
+
+
+def eval_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All templates, those of each complexity, the rarest and the commonest, in one pass."""
+    slices = {"all": F.lit(True)} | {f"complexity {k}": evaluate.by_complexity(k) for k in (1, 2, 3)} | {f"frequency {p}": evaluate.by_frequency(p) for p in (40, -40)}
+    return _sliced(_table(spark, sf_dir), slices)
 
 
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,23 +273,21 @@ def similarity_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corrected_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matching.correct_templates(spark.createDataFrame(CORRECTABLE, "event_id string, template string"))
+    found = matching.correct_templates(view(spark, sf_dir, "customer", CORRECTABLE))
     return found.select(F.array_join("event_ids", ",").alias("event_ids"), "template")
 
 
 def corrected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of event types under ids of their own, corrected."""
-    kinds = view(spark, sf_dir, "events", "select event_id as line_id, concat('E', cast(event_id % 6 + 1 as string)) as event_id, event_type as template from events")
-    corrections = matching.correct_templates(spark.createDataFrame(CORRECTABLE, "event_id string, template string"))
+    kinds = view(spark, sf_dir, "events", "select event_id as line_id, concat('E', cast(event_id % 200 as string)) as event_id, event_type as template from events")
+    corrections = matching.correct_templates(view(spark, sf_dir, "customer", CORRECTABLE))
     return matching.apply_corrections(kinds, corrections).groupBy("event_id", "template").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = templates(spark).withColumn("line_id", F.row_number().over(W.orderBy("template")).cast("long"))
-    names = rows.select("line_id", "template")
-    found = matching.similarity_matrix(rows.withColumnRenamed("template", "content"))
-    named = found.join(names.select(F.col("line_id").alias("a"), F.col("template").alias("x")), "a").join(names.select(F.col("line_id").alias("b"), F.col("template").alias("y")), "b")
-    return named.select("x", "y", _rounded("sim").alias("sim"))
+    """Templates of orders that share a token, under their first lines."""
+    found = matching.similarity_matrix(template_pairs(spark, sf_dir).where("line_id % 10 = 1").select("line_id", F.col("x").alias("content")))
+    return found.select("a", "b", _rounded("sim").alias("sim"))
 
 
 def labels_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,6 +400,43 @@ def metric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.transposed(evaluate.summary(evaluate.with_missing(both, ("all", "frequent", "absent"))))
 
 
+def tree_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best template of every line by the prefix tree, with its parameters, or the relevant ones."""
+    known = spark.createDataFrame([(t,) for t in TREE_TEMPLATES], "template string")
+    return tree.match_tree(log_events(spark, sf_dir), known).select("line_id", "template", "matched", F.array_join("params", "|").alias("params"))
+
+
+def line_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest common subsequence and run and edit distance of every line of a document and the next one."""
+    next_line = F.lead("content").over(W.partitionBy(F.floor(F.col("line_id") / 100000)).orderBy("line_id"))  # lines of a document
+    pairs = doc_lines(spark, sf_dir).withColumn("other", next_line).where("other is not null")
+    a, b = text.tokens(F.col("content")), text.tokens(F.col("other"))
+    return pairs.select("line_id", similarity.common_subsequence_length(a, b).cast("long").alias("subsequence"), F.size(similarity.common_subsequence(a, b)).cast("long").alias("words"), similarity.edit_distance(a, b).cast("long").alias("distance"), F.array_join(similarity.common_run(a, b), " ").alias("run"))
+
+
+def similar_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose sets of tokens have a Jaccard similarity of 0.7 or more."""
+    return similar.similar_lines(log_events(spark, sf_dir), 0.7).select("a", "b", F.col("common").cast("long").alias("common"), _rounded("sim").alias("sim"))
+
+
+def contrast_best_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best samples of two to five lines of each cluster."""
+    pool, rows = keep(_pool(spark, sf_dir)), []
+    for size in (2, 3, 4, 5):
+        rows.append(sampling.best_samples(pool, size).select(F.lit(size).cast("long").alias("size"), F.col("cid2").cast("long").alias("cid2"), F.array_join("lines", " | ").alias("lines"), _rounded("score").alias("score")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def merge_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of a hundred kinds of lines as rounds of mining add and merge them, with the lines that have each at the end."""
+    lines = view(spark, sf_dir, "lineitem", MERGING).select("line_id", "content")
+    labelled, _, entries = mine.mine_with_lineage(lines, min_size=5)
+    counts = labelled.groupBy("entry").agg(F.count(F.lit(1)).alias("n_lines"))
+    parents = entries.select("cid1", F.col("entry").alias("parent"), F.col("template").alias("merged_into"))
+    named = entries.join(parents, ["cid1", "parent"], "left").join(counts, "entry", "left")
+    return named.select("template", F.col("round").cast("long").alias("round"), "merged_into", "root_template", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -410,6 +446,7 @@ QUERIES: dict[str, Query] = {
         *(merge_gates, merge_pairs, assign_event_ids, template_table, eval_ga, eval_pa, eval_fta, eval_complexity_slices, eval_frequency_slices, metric_summary, group_errors),
         *(similarity_accuracy, corrected_templates, corrected_lines, similarity_matrix, labels_by_content),
         *(mine_templates, mined_quality, log_template_counts),
+        *(tree_match, line_sequences, similar_log_lines, contrast_best_samples, merge_lineage, eval_slices),
         *(line_gates, line_contrast, variable_tokens, abstract_match, answers_of_events, requests_of_lines, pipe_tables, merged_ids, aligned_accuracy, sorted_templates, normalize_lines, parsed_similarities, metric_table),
     )
 }
