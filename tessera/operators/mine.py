@@ -12,9 +12,13 @@ are written once, and again only when templates merge.
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,13 +40,44 @@ from .sampling import MIN_SIMILARITY, PER_LEVEL, SAMPLE_SIZE, WEIGHT, contrast_s
 Client = Callable[[list[dict[str, str]], float], str]
 
 
+class Memory(Protocol):
+    """Where tasks keep answers by the digest of their requests, such as a key-value store that all executors reach."""
+
+    def get(self, digest: str) -> str | None: ...
+
+    def put(self, digest: str, answer: str) -> None: ...
+
+
 @dataclass(frozen=True)
-class RemoteInducer:
-    """A language model that is asked for templates, a batch of samples in each task.
+class FolderMemory:
+    """Answers as files of a folder that all executors mount; a file is whole or not there."""
+
+    path: str
+
+    def get(self, digest: str) -> str | None:
+        try:
+            with open(os.path.join(self.path, digest), encoding="utf-8") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+
+    def put(self, digest: str, answer: str) -> None:
+        os.makedirs(self.path, exist_ok=True)
+        with tempfile.NamedTemporaryFile("w", dir=self.path, encoding="utf-8", delete=False) as f:
+            f.write(answer)
+        os.replace(f.name, os.path.join(self.path, digest))
+
 
-    ``connect`` makes a client once in every task. A question that fails is repeated ``attempts`` times in all,
-    after ``wait`` seconds more each time, and then has no answer. Answers that are no template of the anchor
-    are asked for again at a higher temperature, as often as ``retry_budget`` gives the sample of ``tries``.
+@dataclass(frozen=True)
+class RemoteInducer:
+    """A language model that is asked for templates, several questions of a task at once.
+
+    ``connect`` makes a client once in every task; ``in_flight`` of its questions are open at a time, so the client must
+    bear calls from several threads. Equal questions are asked once. A question that fails is repeated ``attempts``
+    times in all, after ``wait`` seconds more each time, and then has no answer. ``memory`` makes a `Memory` once in every
+    task: an answer is put there as soon as it is given, so a task that runs again, or a later run with the same
+    questions, asks only what has no answer yet. Answers that are no template of the anchor are asked for again at a higher
+    temperature, as often as ``retry_budget`` gives the sample of ``tries``.
     """
 
     connect: Callable[[], Client]
@@ -52,28 +87,43 @@ class RemoteInducer:
     tries: int = 3
     temperature: float = 0.0
     again: float = 0.7
+    in_flight: int = 8
+    memory: Callable[[], Memory] | None = None
+
+    def ask(self, samples: DataFrame, temperature: float, turn: int = 0) -> DataFrame:
+        """``samples`` with ``answer``, the majority of the templates that the model gives for (asked) lines.
 
-    def ask(self, samples: DataFrame, temperature: float) -> DataFrame:
-        """``samples`` with ``answer``: the majority of the templates that the model gives for (asked) lines."""
-        connect, attempts, wait = self.connect, self.attempts, self.wait
+        Adds ``queries`` and ``seconds``, the calls of the client for this sample and their time, to those so far. ``turn`` says how
+        often the sample has been asked before: another turn is another question.
+        """
+        connect, attempts, wait, in_flight, memory = self.connect, self.attempts, self.wait, self.in_flight, self.memory
 
-        def one(client: Client, messages: list[dict[str, str]]) -> str:
+        def one(client: Client, store: Memory | None, digest: str, messages: str) -> tuple[str, int, float]:
+            if store is not None and (kept := store.get(digest)) is not None:
+                return kept, 0, 0.0
+            began = time.monotonic()
             for k in range(attempts):
                 try:
-                    return client(messages, temperature)
+                    answer = client(json.loads(messages), temperature)
+                    if store is not None:
+                        store.put(digest, answer)
+                    return answer, k + 1, time.monotonic() - began
                 except Exception:
                     time.sleep(wait * k)
-            return ""
+            return "", attempts, time.monotonic() - began
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            client = connect()
-            for batch in batches:
-                texts = [one(client, json.loads(x)) for x in batch.column("messages").to_pylist()]
-                yield batch.set_column(batch.schema.get_field_index("messages"), "messages", pa.array(texts, pa.string()))
+            client, store = connect(), memory() if memory is not None else None
+            with ThreadPoolExecutor(in_flight) as pool:
+                for batch in batches:
+                    told = list(pool.map(lambda x: one(client, store, *x), zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+                    columns = [pa.array(c, t) for c, t in zip(zip(*told, strict=True), (pa.string(), pa.int32(), pa.float64()), strict=True)] if told else [pa.array([], t) for t in (pa.string(), pa.int32(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["digest", "told", "calls", "took"])
 
-        rows = samples.withColumn("messages", F.to_json(request(F.col("asked"), self.flavour)))
-        told = keep(rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes)))  # asked once
-        return told.withColumn("answer", from_answer(majority(fill_in(parse_answer(F.col("messages")), F.col("asked"))))).drop("messages")
+        rows = keep(samples.withColumn("messages", F.to_json(request(F.col("asked"), self.flavour))).withColumn("digest", F.sha2(F.concat_ws("\x00", F.lit(f"{temperature} {turn}"), "messages"), 256)))
+        told = keep(rows.groupBy("digest").agg(F.first("messages").alias("messages")).mapInArrow(run, "digest string, told string, calls int, took double"))  # asked once
+        answered = rows.join(told, "digest").withColumn("answer", from_answer(majority(fill_in(parse_answer(F.col("told")), F.col("asked")))))
+        return answered.withColumn("queries", F.col("queries") + F.col("calls")).withColumn("seconds", F.col("seconds") + F.col("took")).drop("messages", "digest", "told", "calls", "took")
 
 
 #: An inducer makes a column of answers from a column of sampled lines, or asks a model.
@@ -116,27 +166,27 @@ def offline(sample: Column) -> Column:
 
 
 def induced(samples: DataFrame, inducer: Inducer, query_patterns: tuple[str, ...] = ()) -> DataFrame:
-    """(cid1, cid2, anchor, template, sample, answer): the answer, else the anchor normalised, else the anchor itself.
+    """(cid1, cid2, anchor, template, sample, answer, queries, seconds): the answer, else the anchor normalised, else the anchor itself.
 
     An answer counts if it is valid and covers the anchor, so each round labels a line at least.
-    ``query_patterns`` mask what the inducer sees, not the lines.
+    ``query_patterns`` mask what the inducer sees, not the lines. queries and seconds are those of a model, 0 without one.
     """
     anchor = F.col("anchor")
 
     def good(t: Column) -> Column:
         return is_valid_template(t) & matches_guarded(anchor, t)
 
-    asked = samples.withColumn("asked", F.transform(F.col("sample"), lambda x: mask(x, query_patterns)))
+    asked = samples.withColumn("asked", F.transform(F.col("sample"), lambda x: mask(x, query_patterns))).withColumn("queries", F.lit(0)).withColumn("seconds", F.lit(0.0))
     if isinstance(inducer, RemoteInducer):
         answers = inducer.ask(asked, inducer.temperature)
         for k in range(1, inducer.tries):
             weak = ~F.coalesce(good(F.col("answer")), F.lit(False)) & (retry_budget(F.col("asked"), inducer.tries) > k)
-            answers = keep(answers.where(~weak).unionByName(inducer.ask(answers.where(weak).drop("answer"), inducer.again)))
+            answers = keep(answers.where(~weak).unionByName(inducer.ask(answers.where(weak).drop("answer"), inducer.again, k)))
     else:
         answers = asked.withColumn("answer", from_answer(inducer(F.col("asked"))))
     answers = answers.withColumn("own", from_answer(anchor))
 
-    return answers.select("cid1", "cid2", "anchor", F.when(good(F.col("answer")), F.col("answer")).when(good(F.col("own")), F.col("own")).otherwise(anchor).alias("template"), "sample", "answer")
+    return answers.select("cid1", "cid2", "anchor", F.when(good(F.col("answer")), F.col("answer")).when(good(F.col("own")), F.col("own")).otherwise(anchor).alias("template"), "sample", "answer", "queries", "seconds")
 
 
 def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = (), sampling: dict | None = None) -> DataFrame:
@@ -144,6 +194,12 @@ def mine_templates(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TO
     return mine_with_trace(lines, patterns, k, min_size, inducer, seed, query_patterns, sampling)[0]
 
 
+def usage(trace: DataFrame) -> DataFrame:
+    """(inductions, queries, seconds, mean_seconds): what a run has asked of a model, over all that it took."""
+    sums = trace.agg(F.count(F.lit(1)).alias("inductions"), F.coalesce(F.sum("queries"), F.lit(0)).alias("queries"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
+    return sums.withColumn("mean_seconds", F.when(F.col("queries") > 0, F.col("seconds") / F.col("queries")).otherwise(0.0))
+
+
 def first_of_equals(asked: DataFrame) -> DataFrame:
     """One row for each template of a bucket, with ``rank``, its order in the bucket: the largest cluster first."""
     distinct = asked.withColumn("again", F.row_number().over(W.partitionBy("cid1", "template").orderBy(F.desc("size"), "cid2"))).where("again = 1").drop("again")
@@ -160,7 +216,7 @@ def accepted(new: DataFrame, known: DataFrame | None) -> DataFrame:
     open_ones = keep(new.join(covered, ["cid1", "rank"], "left_anti").select("cid1", "rank", "template"))
     mates = open_ones.select("cid1", F.col("template"), F.col("rank").alias("seq"))
     mates = mates.withColumn("known", F.lit(False)) if known is None else mates.withColumn("known", F.lit(False)).unionByName(known.select("cid1", "template", "seq").withColumn("known", F.lit(True)))
-    near = most_similar(open_ones, mates.withColumn("seq", F.when(F.col("known"), F.col("seq") - (1 << 40)).otherwise(F.col("seq"))), F.expr("known or seq < rank"))
+    near = most_similar(open_ones, mates.withColumn("seq", F.when(F.col("known"), F.col("seq") - (1 << 62)).otherwise(F.col("seq"))), F.expr("known or seq < rank"))
     near = near.where(may_merge(F.col("template"), F.col("old")) & (F.size(template_tokens(F.col("template"))) > 1)).withColumn("merged", merge_templates(F.col("template"), F.col("old"))).where("merged is not null")
     waits = near.where("not known").select("cid1", "rank")
     merging = near.where("known").withColumn("turn", F.row_number().over(W.partitionBy("cid1", "old").orderBy("rank")))
@@ -170,7 +226,7 @@ def accepted(new: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 def mine_with_trace(lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = (), sampling: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Labelled lines (line_id, content, template, event_id), and a trace (iter, cid1, sample, answer, template) of each induction.
+    """Labelled lines (line_id, content, template, event_id), and a trace (iter, cid1, sample, answer, template, queries, seconds) of each induction.
 
     ``patterns`` mask values first, in the lines themselves; ``query_patterns`` only in what the inducer
     sees; ``sampling`` holds options of `contrast_samples`. A null line counts as empty; blank lines and lines of more than fifty
@@ -189,12 +245,28 @@ def mine_with_lineage(lines: DataFrame, patterns: tuple[str, ...] = (), k: int =
     a merge. Lines keep the entry of the template that covers them: those that a merged template does not cover stay
     with the old one, whose root says what it has become. Lines that need no induction have no entry.
     """
+    labelled, trace, entries = mine_rounds(lines, patterns, k, min_size, inducer, seed, query_patterns, sampling)
+    return labelled, trace, merge_forest(entries.drop("n_tokens"))
+
+
+def mine_rounds(
+    lines: DataFrame, patterns: tuple[str, ...] = (), k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER, inducer: Inducer = offline, seed: int | None = None, query_patterns: tuple[str, ...] = (), sampling: dict | None = None,
+    earlier: DataFrame | None = None, first_round: int = 0,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled lines and trace as `mine_with_lineage`, and new entries (cid1, n_tokens, entry, template, round, replaces).
+
+    ``earlier`` (n_tokens, template, entry) are templates of other lines that new ones may merge with; the lines here are taken
+    to be covered by none. Rounds and entries are counted from ``first_round`` on.
+    """
     masked = lines.select("line_id", mask(F.col("content"), patterns).alias("content"))
     clustered = keep(cluster_lines(masked, k, min_size))
     odd = (F.col("n_tokens") == 0) | (wildcard_count(F.col("content")) > 50)
     labelled = clustered.where(odd).select("content", "cid1", F.col("content").alias("template"), F.lit(None).cast("long").alias("entry"))
     pending = clustered.where(~odd)
-    known, seq, steps, rounds = None, 0, [], []
+    known, seq, steps, rounds = None, first_round, [], []
+    buckets = clustered.select("cid1", "n_tokens").distinct()
+    if earlier is not None:
+        known = keep(earlier.join(buckets, "n_tokens").select("cid1", "template", F.col("entry").alias("seq")))
     while pending.limit(1).count():
         sizes = pending.groupBy("cid2").agg(F.sum("weight").alias("size"))
         asked = keep(induced(contrast_samples(pending, seed=seed, **(sampling or {})), inducer, query_patterns).join(sizes, "cid2").withColumn("iter", F.lit(seq)))
@@ -218,13 +290,13 @@ def mine_with_lineage(lines: DataFrame, patterns: tuple[str, ...] = (), k: int =
         pending = keep(pending.join(found.select("content", "cid1"), ["content", "cid1"], "left_anti"))
         seq += 1
     spark = lines.sparkSession
-    trace = spark.createDataFrame([], "iter int, cid1 int, sample array<string>, answer string, template string")
+    trace = spark.createDataFrame([], "iter int, cid1 int, sample array<string>, answer string, template string, queries int, seconds double")
     for step in steps:
-        trace = trace.unionByName(step.select("iter", "cid1", "sample", "answer", "template"))
+        trace = trace.unionByName(step.select("iter", "cid1", "sample", "answer", "template", "queries", "seconds"))
     entries = spark.createDataFrame([], "cid1 int, entry long, template string, round int, replaces long")
     for added in rounds:
         entries = entries.unionByName(added)
-    return masked.join(labelled.select("content", "template", "entry"), "content").select("line_id", "content", "template", "entry"), trace, merge_forest(keep(entries))
+    return masked.join(labelled.select("content", "template", "entry"), "content").select("line_id", "content", "template", "entry"), trace, keep(entries.join(buckets, "cid1"))
 
 
 def merge_forest(entries: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.storage import keep
 from .presets import PRESETS
 
 
@@ -55,27 +56,51 @@ def parse_lines(lines: DataFrame, log_format: str, line_col: str = "line", id_co
     return rows.where(fits).select("line_id", *[F.get("parts", k + 1).alias(name.lower()) for k, name in enumerate(groups)])
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add line_id to rows that are written with ``at``, their partition and place: one row for each partition meets in one task."""
+    placed = rows.withColumn("part", F.shiftright("at", 33))
+    counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), "part").withColumn("line_id", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).drop("part", "before", "at")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_id, line): physical lines of text files, numbered from 1 in the order of files and lines.
 
-    Lines are numbered within their partition, and partitions by the lines before them: a table of one row for
-    each partition, whose running sum is joined.
+    The files are read once, in parts of any size. What is written numbers lines within their part; parts are numbered by
+    the lines before them: a table of one row for each part, whose running sum is joined.
     """
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at")).withColumn("part", F.shiftright("at", 33))
-    counts = raw.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    return raw.join(before, "part").select((F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).alias("line_id"), "line")
+    return _numbered(keep(spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("at")))).select("line_id", "line")
 
 
 def read_raw_log(spark: SparkSession, path: str, log_format: str, counts: Observation | None = None) -> DataFrame:
     """A raw log as a table; ``log_format`` is a format or the name of a preset. Nothing that fits is an error.
 
-    ``counts``, an Observation, gets lines and loaded when the table is first computed.
+    The files are read once and only fields are written, those of a column where they are asked for; lines that don't
+    fit leave their number. ``counts``, an Observation, gets lines and loaded.
     """
     log_format = PRESETS[log_format].format if log_format in PRESETS else log_format
-    if parse_lines(spark.read.text(path).select(F.lit(0).alias("line_id"), F.col("value").alias("line")), log_format).limit(1).count() == 0:
+    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
+    rows, groups = _split_lines(raw, log_format, "line", "line_id")
+    fits = F.size("parts") > 1
+    if counts is not None:
+        rows = rows.observe(counts, F.count(F.lit(1)).alias("lines"), F.count_if(fits).alias("loaded"))
+    names = [name.lower() for name in groups]
+    written = keep(rows.select(F.col("line_id").alias("at"), fits.alias("loaded"), *[F.get("parts", k + 1).alias(f"f{k}") for k in range(len(names))]))
+    if not written.where("loaded").limit(1).count():
         raise ValueError(f"no line of {path} fits the format")
-    return parse_lines(numbered_lines(spark, path), log_format, counts=counts)
+    return _numbered(written).where("loaded").select("line_id", *[F.col(f"f{k}").alias(name) for k, name in enumerate(names)])
+
+
+def stream_raw_log(spark: SparkSession, path: str, log_format: str) -> DataFrame:
+    """The fields of a raw log whose files arrive one after the other, as a stream; line_id is a hash of the file's name and the line.
+
+    A stream does not know how many lines came before, so its lines have no physical numbers; equal lines of a file
+    have equal ids.
+    """
+    log_format = PRESETS[log_format].format if log_format in PRESETS else log_format
+    raw = spark.readStream.text(path).select(F.xxhash64(F.col("_metadata.file_name"), "value").alias("line_id"), F.col("value").alias("line"))
+    return parse_lines(raw, log_format)
 
 
 def read_structured_log(spark: SparkSession, path: str) -> DataFrame:
