@@ -35,7 +35,9 @@ LISTED = 1 << 20
 #: Places of a pivot that one partition mines, about.
 SPLIT_ROWS = 1 << 17
 #: Bytes of text whose fragments are found at once.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 1 << 20
+#: Fragments that a task holds to merge equal ones, some 60 bytes each, and buckets into which pivots are dealt.
+HELD_ROWS, BUCKETS = 400_000, 1 << 20
 #: Parts into which a language's phrases are dealt before the best are ranked.
 RANK_PARTS = 64
 
@@ -169,57 +171,105 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return order[new], np.diff(np.concatenate([new, [len(order)]]))
 
 
+class Gathered:
+    """Distinct fragments of a task so far: rows of equal hashes are one, with the sum of their numbers."""
+
+    def __init__(self) -> None:
+        self._parts: list[tuple[np.ndarray, ...]] = []
+        self._strings: list[tuple[pa.Array, pa.Array]] = []
+        self.rows = 0
+
+    def add(self, columns: tuple[np.ndarray, ...], langs: pa.Array, texts: pa.Array) -> None:
+        """``columns``: two hashes, number, pivot, bucket, place of the pivot, whether its partition is whole."""
+        self._parts.append(columns)
+        self._strings.append((langs, texts))
+        self.rows += len(texts)
+
+    def merge(self) -> None:
+        if len(self._parts) < 2:
+            return
+        first, second, n, *rest = (np.concatenate(x) for x in zip(*self._parts, strict=True))
+        langs, texts = (pa.concat_arrays(x) for x in zip(*self._strings, strict=True))
+        order = np.lexsort((second, first))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)]))
+        at = order[new]
+        self._parts, self._strings, self.rows = [(first[at], second[at], np.add.reduceat(n[order], new), *[x[at] for x in rest])], [(langs.take(pa.array(at)), texts.take(pa.array(at)))], len(at)
+
+    def rows_out(self) -> Iterator[pa.RecordBatch]:
+        """The rows, those of a pivot together: they compress well. Nothing is held afterwards."""
+        self.merge()
+        for (_, second, n, pivot, bucket, at, whole), (langs, texts) in zip(self._parts, self._strings, strict=True):
+            order = np.lexsort((second, pivot))
+            for k in range(0, len(order), 1 << 17):
+                own = order[k : k + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[own]), pa.array(whole[own]), langs.take(pa.array(own)), pa.array(at[own]), texts.take(pa.array(own)), pa.array(n[own])], ["bucket", "whole", "lang", "at", "fragment", "n"])
+        self._parts, self._strings, self.rows = [], [], 0
+
+
+def _fragments_of(c: Chunk, langs: pa.Array, salt: np.ndarray, seen: Rarity, most: int, split_rows: int) -> tuple | None:
+    """Distinct fragments of a chunk, as `Gathered.add` takes them."""
+    n = len(c.words.starts)
+    if n < 2:
+        return None
+    each, where = np.unique(_keys(c.words, salt[c.row]), return_inverse=True)
+    counts = seen.of(each)
+    rank = np.empty(len(each), np.int32)
+    rank[np.lexsort((each, -counts))] = np.arange(len(each))  # the order that all tasks share, here by numbers
+    breaks = np.concatenate([[0], np.cumsum(BREAK[c.data], dtype=np.int32)])
+    follows = np.zeros(n, bool)
+    follows[1:] = (breaks[c.words.starts[1:]] == breaks[c.words.ends[:-1]]) & (c.row[1:] == c.row[:-1])
+    pivot = (counts > 0)[where] if seen.complete else np.ones(n, bool)
+    pivot[: c.begin] = pivot[c.end :] = False
+    left, right = _context(rank[where], follows, pivot, most)
+    at = np.flatnonzero(left + right)
+    if not len(at):
+        return None
+    lo, hi = at - left[at], at + right[at] + 1
+    lang = mix(salt[c.row[at]])
+    other = Runs(mix(c.words.hash ^ np.uint64(0x5851F42D4C957F2D)))
+    one, two = Runs(c.words.hash).of(lo, hi) ^ mix(lang + left[at].astype(np.uint64)), other.of(lo, hi) ^ mix(lang ^ left[at].astype(np.uint64))
+    first, times = _distinct(one, two)
+    one, two, lo, hi, at = one[first], two[first], lo[first], hi[first], at[first]
+    sizes = c.words.ends - c.words.starts
+    begins = np.concatenate([[0], np.cumsum(sizes + 1)])  # words joined by single spaces
+    joined = np.full(begins[-1], 0x20, np.uint8)
+    byte = np.arange(sizes.sum())
+    joined[byte + np.repeat(np.arange(n), sizes)] = LOWER[c.data[byte + np.repeat(c.words.starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)]]
+    parts = 1 + counts[where[at]] // split_rows
+    spread = mix(other.of(lo, hi)) % parts.astype(np.uint64)
+    own = each[where[at]]
+    bucket = (mix(own ^ mix(spread)) % np.uint64(BUCKETS)).astype(np.int32)
+    return (one, two, times, own, bucket, (at - lo).astype(np.int8), parts == 1), langs.take(pa.array(c.row[at])), gathered(joined, begins[lo], begins[hi] - 1)
+
+
 def fragments(rows: DataFrame, known, most: int = MOST_WORDS, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """(pivot, whole, lang, at, fragment, n) of (lang, text): what each pivot's partition mines.
+    """(bucket, whole, lang, at, fragment, n) of (lang, text): what each pivot's partition mines.
 
-    pivot is the key of the word number ``at`` of the fragment, with a salt where the pivot is dealt to several
-    partitions (then not whole). ``known`` is a broadcast `Rarity`.
+    A bucket holds whole pivots, the words number ``at`` of their fragments, and shares of those that are dealt to
+    several (then not whole). A task merges its equal fragments as far as ``HELD_ROWS`` go. ``known`` is a
+    broadcast `Rarity`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Rarity = known.value
+        seen, held = known.value, Gathered()
         for batch in batches:
             langs, salt = batch.column(0), language_hashes(batch.column(0))
             for c in chunks(batch.column(1), 2 * (most - 1)):
-                n = len(c.words.starts)
-                if n < 2:
-                    continue
-                each, where = np.unique(_keys(c.words, salt[c.row]), return_inverse=True)
-                counts = seen.of(each)
-                rank = np.empty(len(each), np.int64)
-                rank[np.lexsort((each, -counts))] = np.arange(len(each))  # the order that all tasks share, here by numbers
-                breaks = np.concatenate([[0], np.cumsum(BREAK[c.data])])
-                follows = np.zeros(n + 1, bool)
-                follows[1:n] = (breaks[c.words.starts[1:]] == breaks[c.words.ends[:-1]]) & (c.row[1:] == c.row[:-1])
-                pivot = (counts > 0)[where] if seen.complete else np.ones(n, bool)
-                pivot[: c.begin] = pivot[c.end :] = False
-                left, right = _context(rank[where], follows[:n], pivot, most)
-                at = np.flatnonzero(left + right)
-                if not len(at):
-                    continue
-                lo, hi = at - left[at], at + right[at] + 1
-                lang = mix(salt[c.row[at]])
-                other = Runs(mix(c.words.hash ^ np.uint64(0x5851F42D4C957F2D)))
-                first, times = _distinct(Runs(c.words.hash).of(lo, hi) ^ mix(lang + left[at].astype(np.uint64)), other.of(lo, hi) ^ mix(lang ^ left[at].astype(np.uint64)))
-                lo, hi, at = lo[first], hi[first], at[first]
-                sizes = c.words.ends - c.words.starts
-                begins = np.concatenate([[0], np.cumsum(sizes + 1)])  # words joined by single spaces
-                joined = np.full(begins[-1], 0x20, np.uint8)
-                joined[np.arange(sizes.sum()) + np.repeat(np.arange(n), sizes)] = LOWER[c.data[np.arange(sizes.sum()) + np.repeat(c.words.starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)]]
-                parts = 1 + counts[where[at]] // split_rows
-                spread = mix(other.of(lo, hi)) % parts.astype(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((each[where[at]] ^ mix(spread)).view(np.int64)), pa.array(parts == 1), langs.take(pa.array(c.row[at])), pa.array((at - lo).astype(np.int8)), gathered(joined, begins[lo], begins[hi] - 1), pa.array(times)],
-                    ["pivot", "whole", "lang", "at", "fragment", "n"],
-                )
-
-    return rows.mapInArrow(run, "pivot long, whole boolean, lang string, at byte, fragment string, n long")
+                if found := _fragments_of(c, langs, salt, seen, most, split_rows):
+                    held.add(*found)
+                if held.rows > HELD_ROWS:
+                    held.merge()
+                    if held.rows > HELD_ROWS // 2:
+                        yield from held.rows_out()
+        yield from held.rows_out()
+
+    return rows.mapInArrow(run, "bucket int, whole boolean, lang string, at byte, fragment string, n long")
 
 
 def mined(found: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT) -> DataFrame:
     """(lang, phrase, n) of the phrases of two to ``most`` words that occur ``least`` times, from `fragments`."""
-    keys = ["pivot", "whole", "lang"]
-    routed = found.repartition("pivot").groupBy(*keys, "at", "fragment").agg(F.sum("n").alias("n"))
+    keys = ["bucket", "whole", "lang"]
+    routed = found.repartition("bucket").groupBy(*keys, "at", "fragment").agg(F.sum("n").alias("n"))
     words = F.split("fragment", " ")
     at = F.col("at").cast("int")
 
