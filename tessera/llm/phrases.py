@@ -17,11 +17,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,11 +35,11 @@ MOST_WORDS, LEAST_COUNT = 5, 100
 #: Words whose counts go to all tasks, at most: 16 bytes each.
 LISTED = 1 << 20
 #: Places of a pivot that one partition mines, about.
-SPLIT_ROWS = 1 << 17
+SPLIT_ROWS = 1 << 16
 #: Bytes of text whose fragments are found at once.
 CHUNK_BYTES = 1 << 20
-#: Fragments that a task holds to merge equal ones, some 60 bytes each, and buckets into which pivots are dealt.
-HELD_ROWS, BUCKETS = 400_000, 1 << 20
+#: Fragments that a task holds to merge equal ones, some 100 bytes each, and buckets of pivots for each partition of a shuffle.
+HELD_ROWS, BUCKETS = 400_000, 16
 #: Parts into which a language's phrases are dealt before the best are ranked.
 RANK_PARTS = 64
 
@@ -175,38 +177,42 @@ class Gathered:
     """Distinct fragments of a task so far: rows of equal hashes are one, with the sum of their numbers."""
 
     def __init__(self) -> None:
-        self._parts: list[tuple[np.ndarray, ...]] = []
-        self._strings: list[tuple[pa.Array, pa.Array]] = []
+        self._numbers: list[tuple[np.ndarray, ...]] = []
+        self._strings: list[tuple[pa.Array, ...]] = []
         self.rows = 0
 
-    def add(self, columns: tuple[np.ndarray, ...], langs: pa.Array, texts: pa.Array) -> None:
-        """``columns``: two hashes, number, pivot, bucket, place of the pivot, whether its partition is whole."""
-        self._parts.append(columns)
-        self._strings.append((langs, texts))
-        self.rows += len(texts)
+    def add(self, numbers: tuple[np.ndarray, ...], strings: tuple[pa.Array, ...]) -> None:
+        """``numbers``: two hashes, number, pivot, bucket, whether its partition is whole; ``strings``: language, pivot, words left and right of it."""
+        self._numbers.append(numbers)
+        self._strings.append(strings)
+        self.rows += len(numbers[0])
 
     def merge(self) -> None:
-        if len(self._parts) < 2:
+        if len(self._numbers) < 2:
             return
-        first, second, n, *rest = (np.concatenate(x) for x in zip(*self._parts, strict=True))
-        langs, texts = (pa.concat_arrays(x) for x in zip(*self._strings, strict=True))
+        first, second, n, *rest = (np.concatenate(x) for x in zip(*self._numbers, strict=True))
         order = np.lexsort((second, first))
         new = np.flatnonzero(np.concatenate([[True], (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)]))
         at = order[new]
-        self._parts, self._strings, self.rows = [(first[at], second[at], np.add.reduceat(n[order], new), *[x[at] for x in rest])], [(langs.take(pa.array(at)), texts.take(pa.array(at)))], len(at)
+        strings = tuple(pa.concat_arrays(x).take(pa.array(at)) for x in zip(*self._strings, strict=True))
+        self._numbers, self._strings, self.rows = [(first[at], second[at], np.add.reduceat(n[order], new), *[x[at] for x in rest])], [strings], len(at)
 
     def rows_out(self) -> Iterator[pa.RecordBatch]:
-        """The rows, those of a pivot together: they compress well. Nothing is held afterwards."""
+        """A row for each bucket and language, its fragments a line each: pivot, left, right and, if more than one, the number. Nothing is held afterwards."""
         self.merge()
-        for (_, second, n, pivot, bucket, at, whole), (langs, texts) in zip(self._parts, self._strings, strict=True):
-            order = np.lexsort((second, pivot))
-            for k in range(0, len(order), 1 << 17):
-                own = order[k : k + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[own]), pa.array(whole[own]), langs.take(pa.array(own)), pa.array(at[own]), texts.take(pa.array(own)), pa.array(n[own])], ["bucket", "whole", "lang", "at", "fragment", "n"])
-        self._parts, self._strings, self.rows = [], [], 0
-
-
-def _fragments_of(c: Chunk, langs: pa.Array, salt: np.ndarray, seen: Rarity, most: int, split_rows: int) -> tuple | None:
+        for (_, second, n, pivot, bucket, whole), strings in zip(self._numbers, self._strings, strict=True):
+            code = strings[0].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            order = np.lexsort((second, pivot, whole, code, bucket))
+            lang, word, left, right = (x.take(pa.array(order)) for x in strings)
+            times = pc.if_else(pa.array(n[order] == 1), pa.scalar(None, pa.string()), pa.array(n[order]).cast(pa.string()))
+            lines = pc.binary_join_element_wise(word, left, right, times, "\t", null_handling="skip")
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(bucket[order]) != 0) | (np.diff(code[order]) != 0) | (np.diff(whole[order].astype(np.int8)) != 0)]))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(order)]]).astype(np.int32)), lines), "\n")
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][new]), pa.array(whole[order][new]), lang.take(pa.array(new)), joined], ["bucket", "whole", "lang", "fragments"])
+        self._numbers, self._strings, self.rows = [], [], 0
+
+
+def _fragments_of(c: Chunk, langs: pa.Array, salt: np.ndarray, seen: Rarity, most: int, split_rows: int, buckets: int) -> tuple | None:
     """Distinct fragments of a chunk, as `Gathered.add` takes them."""
     n = len(c.words.starts)
     if n < 2:
@@ -238,24 +244,26 @@ def _fragments_of(c: Chunk, langs: pa.Array, salt: np.ndarray, seen: Rarity, mos
     parts = 1 + counts[where[at]] // split_rows
     spread = mix(other.of(lo, hi)) % parts.astype(np.uint64)
     own = each[where[at]]
-    bucket = (mix(own ^ mix(spread)) % np.uint64(BUCKETS)).astype(np.int32)
-    return (one, two, times, own, bucket, (at - lo).astype(np.int8), parts == 1), langs.take(pa.array(c.row[at])), gathered(joined, begins[lo], begins[hi] - 1)
+    bucket = (mix(own ^ mix(spread)) % np.uint64(buckets)).astype(np.int32)
+    texts = (gathered(joined, begins[i], np.maximum(begins[j] - 1, begins[i])) for i, j in ((at, at + 1), (lo, at), (at + 1, hi)))
+    return (one, two, times, own, bucket, parts == 1), (langs.take(pa.array(c.row[at])), *texts)
 
 
 def fragments(rows: DataFrame, known, most: int = MOST_WORDS, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """(bucket, whole, lang, at, fragment, n) of (lang, text): what each pivot's partition mines.
+    """(bucket, whole, lang, fragments) of (lang, text): what each pivot's partition mines.
 
-    A bucket holds whole pivots, the words number ``at`` of their fragments, and shares of those that are dealt to
-    several (then not whole). A task merges its equal fragments as far as ``HELD_ROWS`` go. ``known`` is a
-    broadcast `Rarity`.
+    A bucket holds whole pivots and shares of those that are dealt to several (then not whole); there are ``BUCKETS`` for each
+    partition of a shuffle. Fragments are lines of the pivot, the words to its left and to its right, and their
+    number. A task merges its equal fragments as far as ``HELD_ROWS`` go. ``known`` is a broadcast `Rarity`.
     """
+    buckets = BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = known.value, Gathered()
         for batch in batches:
             langs, salt = batch.column(0), language_hashes(batch.column(0))
             for c in chunks(batch.column(1), 2 * (most - 1)):
-                if found := _fragments_of(c, langs, salt, seen, most, split_rows):
+                if found := _fragments_of(c, langs, salt, seen, most, split_rows, buckets):
                     held.add(*found)
                 if held.rows > HELD_ROWS:
                     held.merge()
@@ -263,24 +271,57 @@ def fragments(rows: DataFrame, known, most: int = MOST_WORDS, split_rows: int =
                         yield from held.rows_out()
         yield from held.rows_out()
 
-    return rows.mapInArrow(run, "bucket int, whole boolean, lang string, at byte, fragment string, n long")
+    return rows.mapInArrow(run, "bucket int, whole boolean, lang string, fragments string")
+
+
+def _phrases_of(lines: Counter, most: int) -> Counter:
+    """Occurrences of the phrases that hold the pivot, from fragments and their numbers."""
+    found: Counter = Counter()
+    for line, times in lines.items():
+        pivot, left, right, *number = line.split("\t")
+        n = times * int(number[0]) if number else times
+        head, heads, tail, tails = "", [""], "", [""]
+        if left:
+            for word in reversed(left.split(" ")):
+                head = f"{word} {head}"
+                heads.append(head)
+        if right:
+            for word in right.split(" "):
+                tail = f"{tail} {word}"
+                tails.append(tail)
+        for i, head in enumerate(heads):
+            begun = head + pivot
+            for tail in tails[i == 0 : most - i]:
+                found[begun + tail] += n
+    return found
 
 
 def mined(found: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT) -> DataFrame:
-    """(lang, phrase, n) of the phrases of two to ``most`` words that occur ``least`` times, from `fragments`."""
-    keys = ["bucket", "whole", "lang"]
-    routed = found.repartition("bucket").groupBy(*keys, "at", "fragment").agg(F.sum("n").alias("n"))
-    words = F.split("fragment", " ")
-    at = F.col("at").cast("int")
-
-    def ending(begin: Column) -> Column:
-        """Phrases that begin at a word and hold the pivot."""
-        last = F.least(F.size("words") - 1, begin + most - 1)
-        return F.transform(F.filter(F.sequence(at, F.greatest(at, last)), lambda e: (e <= last) & (e > begin)), lambda e: F.array_join(F.slice("words", begin + 1, e - begin + 1), " "))
-
-    grams = F.flatten(F.transform(F.sequence(F.lit(0), at), ending))
-    local = routed.withColumn("words", words).select(*keys, "n", F.explode(grams).alias("phrase")).groupBy(*keys, "phrase").agg(F.sum("n").alias("n"))
-    counted = materialise(local.where(~F.col("whole") | (F.col("n") >= least)).select("whole", "lang", "phrase", "n"))
+    """(lang, phrase, n) of the phrases of two to ``most`` words that occur ``least`` times, from `fragments`.
+
+    Buckets are mined one after the other; each emits the phrases of its pivots. Those of whole pivots are complete there, so
+    only frequent ones go on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled(key: tuple, lines: Counter) -> pa.RecordBatch:
+            _, lang, whole = key
+            kept = {p: n for p, n in _phrases_of(lines, most).items() if n >= least or not whole}
+            return pa.RecordBatch.from_arrays([pa.array([whole] * len(kept), pa.bool_()), pa.array([lang] * len(kept), pa.string()), pa.array(kept.keys(), pa.string()), pa.array(kept.values(), pa.int64())], ["whole", "lang", "phrase", "n"])
+
+        held, lines = None, Counter()
+        for batch in batches:
+            for *key, fragments in zip(*[batch.column(c).to_pylist() for c in ("bucket", "lang", "whole", "fragments")], strict=True):
+                if tuple(key) != held and held:
+                    yield settled(held, lines)
+                    lines = Counter()
+                held = tuple(key)
+                lines.update(fragments.split("\n"))
+        if held:
+            yield settled(held, lines)
+
+    local = found.repartition("bucket").sortWithinPartitions("bucket", "lang", "whole").mapInArrow(run, "whole boolean, lang string, phrase string, n long")
+    counted = materialise(local)
     rest = counted.where(~F.col("whole")).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return counted.where("whole").select("lang", "phrase", "n").unionByName(rest)
 
