@@ -78,6 +78,43 @@ def test_embeddings_of_one_large_label(spark):
         assert got.component_id[k] <= k % 25_000
 
 
+def _linked(x):
+    """n_links and components of unit vectors, by brute force."""
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    return near.sum(1), union(range(len(x)), zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+
+
+@pytest.mark.parametrize("most_copies", [0, 2, 1e9])
+def test_embeddings_do_not_depend_on_cells(spark, most_copies):
+    """Clustered and random vectors of one label, with no cells but one, with a bound on copies and without."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    x = np.concatenate([centres[rng.integers(0, 40, 900)] + rng.normal(size=(900, 16)) * rng.choice([0.02, 0.3, 0.6], (900, 1)), rng.normal(size=(300, 16))])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    rows = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    links, low = _linked(x)
+    got = embedding_dedup.embedding_near_dedup(rows, chunk=100, most_copies=most_copies).toPandas().set_index("vec_id").sort_index()
+    assert got.n_links.tolist() == links.tolist() and got.component_id.tolist() == [low[k] for k in range(len(x))]
+
+
+def test_cells_save_comparisons(spark):
+    """Tight clusters: at least 20 cells, far fewer pairs than all; without structure copies stay bounded, and no pair is compared twice."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(64, 32))
+    tight = centres[np.arange(4096) % 64] + rng.normal(size=(4096, 32)) * 0.05
+    loose = rng.normal(size=(4096, 64))
+    for x, label in ((tight, "tight"), (loose, "loose")):
+        rows = spark.createDataFrame([(k, v.tolist(), label) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+        plan = embedding_dedup.metric_plan(rows).collect()
+        assert [r.label for r in plan] == [label] and plan[0].vectors == 4096
+        every = 4096 * 4095 // 2
+        assert plan[0].copies <= 2 * 4096 and plan[0].pairs <= every
+        if label == "tight":
+            assert plan[0].cells >= 20 and plan[0].pairs < every / 10
+    assert embedding_dedup.metric_plan(rows.limit(0)).count() == 0
+
+
 def removed(rows, width):
     """(words, covered) of each document, windows judged on the input."""
     first, out = {}, {}
