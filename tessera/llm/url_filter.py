@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .kernels import arrow_batches, materialise, table
 
 #: Rules (verdict, host, path). A rule fits its host and all subdomains if the path starts with the rule's.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Longest context in bytes; with its byte it fits in a long.
 ORDER = 5
 #: Shortest context at which the models of accepted and rejected URLs differ from the common one.

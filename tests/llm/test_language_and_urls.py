@@ -221,6 +221,22 @@ def test_rules(spark):
     assert uf.url_filter(df.limit(0), None).count() == 0
 
 
+def test_verdicts_of_the_contract(spark):
+    """The contract's own words, not the code's list: each rule, its subdomains, and its longer exception."""
+    assert set(uf.RULES) == {("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")}
+    want = {
+        "http://a.com/en/6": ("com/en/", "block"),
+        "http://b.example.com/en/6": ("com/en/", "block"),
+        "http://b.example.com/en/71": ("example.com/en/7", "allow"),
+        "http://a.net/de/8": ("net/de/", "allow"),
+        "http://b.example.net/de/7": ("net/de/", "allow"),
+        "http://b.example.net/de/81": ("example.net/de/8", "block"),
+        "http://a.org/es/1": ("org/es/", "block"),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    assert {list(want)[r.page_id]: (r.rule, r.verdict) for r in uf.url_filter(pages, None).collect()} == want
+
+
 def test_models_tell_urls_apart(spark):
     rng = random.Random(5)
     good = [f"https://docs{rng.randint(1, 99)}.site.org/guide/{rng.randint(1, 999)}" for _ in range(300)]
