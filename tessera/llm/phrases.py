@@ -7,9 +7,11 @@
    what can matter for this pivot: up to four more frequent words to the left, up to four words no rarer to the
    right, within the piece. So each occurrence of a phrase is in one fragment, that of its leftmost pivot. Equal
    fragments of a batch of documents travel once, with their number.
-3. Fragments are routed to their pivot's partition, and phrases are mined there: those that hold the pivot. Common
-   words have little data, as hardly a word is more common; a pivot of more than ``SPLIT_ROWS`` places is dealt to
-   several partitions by its fragments, whose counts are summed afterwards. All others drop rare phrases at once.
+3. Fragments are routed by their core, at first the pivot, and the phrases that hold it are mined there. Common words have
+   little data, as hardly a word is more common. A core of more than ``SPLIT_ROWS`` places is divided by the word beside
+   it: a phrase grows from its pivot to its right end, then to its left, and belongs to the first core on this way that
+   has no more places, or is the phrase itself. So all occurrences of a phrase are counted in one place, and rare ones
+   go no further. Which runs of words have so many places is counted before.
 4. Scores join the phrases' counts with those of their parts; phrases inside longer ones of the same count go; the
    best of each language are taken in two steps, so no task ranks a whole language.
 """
@@ -28,17 +30,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .kernels import FOLDED_VALUE, Runs, Words, arrow_batches, materialise, mix, pieces, table, text_slices
+from .kernels import FOLDED_VALUE, Runs, Words, arrow_batches, long_array, materialise, mix, pieces, table, text_slices
 
 #: Words of a phrase, and occurrences that make it frequent.
 MOST_WORDS, LEAST_COUNT = 5, 100
 #: Words whose counts go to all tasks, at most: 16 bytes each.
 LISTED = 1 << 20
-#: Places of a pivot that one partition mines, about.
+#: Places beyond which a core, a pivot or a run of words around it, is divided.
 SPLIT_ROWS = 1 << 16
 #: Bytes of text whose fragments are found at once.
 CHUNK_BYTES = 1 << 20
-#: Fragments that a task holds to merge equal ones, some 100 bytes each, and buckets of pivots for each partition of a shuffle.
+#: Fragments that a task holds to merge equal ones, some 100 bytes each, and buckets of cores for each partition of a shuffle.
 HELD_ROWS, BUCKETS = 400_000, 16
 #: Parts into which a language's phrases are dealt before the best are ranked.
 RANK_PARTS = 64
@@ -110,6 +112,14 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of ``n`` of each."""
+    each, where = np.unique(keys, return_inverse=True)
+    out = np.zeros(len(each), np.int64)
+    np.add.at(out, where, n)
+    return each, out
+
+
 def _keys(words: Words, salt: np.ndarray) -> np.ndarray:
     """One key for each word of a language."""
     return mix(words.hash ^ mix(salt))
@@ -148,6 +158,63 @@ def rarity(words: DataFrame, least: int, listed: int = LISTED) -> Rarity:
     return Rarity(keys[order], counts[order], top.num_rows <= listed)
 
 
+def _follows(c: Chunk) -> np.ndarray:
+    """Whether each word stands in one piece with the word before it."""
+    breaks = np.concatenate([[0], np.cumsum(BREAK[c.data], dtype=np.int32)])
+    follows = np.zeros(len(c.words.starts), bool)
+    follows[1:] = (breaks[c.words.starts[1:]] == breaks[c.words.ends[:-1]]) & (c.row[1:] == c.row[:-1])
+    return follows
+
+
+def divided_runs(rows: DataFrame, known, n_words: int, most: int = MOST_WORDS, split_rows: int = SPLIT_ROWS) -> np.ndarray:
+    """Keys, sorted, of the runs of two words or more that are divided as cores, of (lang, text) of ``n_words`` words.
+
+    A task counts the runs of words of more than ``split_rows`` places, as many at once as ``HELD_ROWS`` go, and leaves out those of
+    so small a share that they miss ``split_rows / 2`` places in all at most. So all runs of more than ``split_rows`` places are
+    found, and none of half as many. They are the ``LISTED`` most frequent, whatever the input; a run that is not listed stays whole.
+    """
+    share = split_rows / (2 * max(n_words, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, counts, words = known.value, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+
+        def merged() -> None:
+            nonlocal keys, counts
+            each, n = _totals(np.concatenate(keys), np.concatenate(counts))
+            keys, counts = [each], [n]
+
+        def rows_out() -> pa.RecordBatch:
+            nonlocal keys, counts, words
+            merged()
+            enough = counts[0] > share * words
+            out = pa.RecordBatch.from_arrays([pa.array(long_array(keys[0][enough])), pa.array(counts[0][enough])], ["key", "n"])
+            keys, counts, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+            return out
+
+        for batch in batches:
+            salt = language_hashes(batch.column(0))
+            for c in chunks(batch.column(1), 2 * (most - 1)):
+                words += c.end - c.begin
+                found = _keys(c.words, salt[c.row])
+                each, where = np.unique(found, return_inverse=True)
+                hot, follows, runs = (seen.of(each) > split_rows)[where], _follows(c), Runs(found)
+                at = np.flatnonzero(hot[c.begin : c.end]) + c.begin
+                for m in range(1, most - 1):  # a run of m + 1 words
+                    at = at[at + m < len(found)]
+                    at = at[hot[at + m] & follows[at + m]]
+                    each, n = np.unique(runs.of(at, at + m + 1), return_counts=True)
+                    keys.append(each)
+                    counts.append(n)
+                if sum(map(len, keys)) > HELD_ROWS:
+                    merged()
+                    if len(keys[0]) > HELD_ROWS // 2:
+                        yield rows_out()
+        yield rows_out()
+
+    total = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > split_rows // 2)
+    return np.sort(total.orderBy(F.desc("n"), "key").limit(LISTED).toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64))
+
+
 def _context(rank: np.ndarray, follows: np.ndarray, pivot: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each pivot: words to its left that are all more frequent, and words to its right none of which is rarer."""
     n = len(rank)
@@ -182,7 +249,7 @@ class Gathered:
         self.rows = 0
 
     def add(self, numbers: tuple[np.ndarray, ...], strings: tuple[pa.Array, ...]) -> None:
-        """``numbers``: two hashes, number, pivot, bucket, whether its partition is whole; ``strings``: language, pivot, words left and right of it."""
+        """``numbers``: two hashes, number, core, bucket; ``strings``: language, core, words left and right of it."""
         self._numbers.append(numbers)
         self._strings.append(strings)
         self.rows += len(numbers[0])
@@ -198,72 +265,89 @@ class Gathered:
         self._numbers, self._strings, self.rows = [(first[at], second[at], np.add.reduceat(n[order], new), *[x[at] for x in rest])], [strings], len(at)
 
     def rows_out(self) -> Iterator[pa.RecordBatch]:
-        """A row for each bucket and language, its fragments a line each: pivot, left, right and, if more than one, the number. Nothing is held afterwards."""
+        """A row for each bucket and language, its fragments a line each: core, left, right and, if more than one, the number. Nothing is held afterwards."""
         self.merge()
-        for (_, second, n, pivot, bucket, whole), strings in zip(self._numbers, self._strings, strict=True):
+        for (_, second, n, core, bucket), strings in zip(self._numbers, self._strings, strict=True):
             code = strings[0].dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            order = np.lexsort((second, pivot, whole, code, bucket))
+            order = np.lexsort((second, core, code, bucket))
             lang, word, left, right = (x.take(pa.array(order)) for x in strings)
             times = pc.if_else(pa.array(n[order] == 1), pa.scalar(None, pa.string()), pa.array(n[order]).cast(pa.string()))
             lines = pc.binary_join_element_wise(word, left, right, times, "\t", null_handling="skip")
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(bucket[order]) != 0) | (np.diff(code[order]) != 0) | (np.diff(whole[order].astype(np.int8)) != 0)]))
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(bucket[order]) != 0) | (np.diff(code[order]) != 0)]))
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(order)]]).astype(np.int32)), lines), "\n")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][new]), pa.array(whole[order][new]), lang.take(pa.array(new)), joined], ["bucket", "whole", "lang", "fragments"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][new]), lang.take(pa.array(new)), joined], ["bucket", "lang", "fragments"])
         self._numbers, self._strings, self.rows = [], [], 0
 
 
-def _fragments_of(c: Chunk, langs: pa.Array, salt: np.ndarray, seen: Rarity, most: int, split_rows: int, buckets: int) -> tuple | None:
+def _cores(lo: np.ndarray, at: np.ndarray, hi: np.ndarray, divided: np.ndarray, many: np.ndarray, runs: Runs, most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(lo, begin, end, hi): fragments from lo to hi with cores from begin to end, of all words from lo to hi around pivots.
+
+    Phrases of a fragment hold its core. ``divided`` says which pivots have too many places, ``many`` are the keys of such runs.
+    One that has them gives the core alone, a fragment around the core and the word to its right, and one around the
+    core and the word to its left, which ends where the core does: each phrase is in one of them.
+    """
+    begin, end = at, at + 1
+    while len(begin):
+        kept = ~divided
+        yield tuple(x[kept] for x in (lo, begin, end, hi))
+        lo, begin, end, hi = (x[divided] for x in (lo, begin, end, hi))
+        alone = end - begin > 1
+        yield begin[alone], begin[alone], end[alone], end[alone]
+        left, right = lo < begin, end < hi
+        lo, begin, end, hi = (np.concatenate(x) for x in ((lo[right], lo[left]), (begin[right], begin[left] - 1), (end[right] + 1, end[left]), (hi[right], end[left])))
+        lo, hi = np.maximum(lo, end - most), np.minimum(hi, begin + most)
+        divided = (end - begin < most) & np.isin(runs.of(begin, end), many)
+
+
+def _fragments_of(c: Chunk, langs: pa.Array, salt: np.ndarray, seen: Rarity, many: np.ndarray, most: int, split_rows: int, buckets: int) -> tuple | None:
     """Distinct fragments of a chunk, as `Gathered.add` takes them."""
     n = len(c.words.starts)
     if n < 2:
         return None
-    each, where = np.unique(_keys(c.words, salt[c.row]), return_inverse=True)
+    keys = _keys(c.words, salt[c.row])
+    each, where = np.unique(keys, return_inverse=True)
     counts = seen.of(each)
     rank = np.empty(len(each), np.int32)
     rank[np.lexsort((each, -counts))] = np.arange(len(each))  # the order that all tasks share, here by numbers
-    breaks = np.concatenate([[0], np.cumsum(BREAK[c.data], dtype=np.int32)])
-    follows = np.zeros(n, bool)
-    follows[1:] = (breaks[c.words.starts[1:]] == breaks[c.words.ends[:-1]]) & (c.row[1:] == c.row[:-1])
     pivot = (counts > 0)[where] if seen.complete else np.ones(n, bool)
     pivot[: c.begin] = pivot[c.end :] = False
-    left, right = _context(rank[where], follows, pivot, most)
+    left, right = _context(rank[where], _follows(c), pivot, most)
     at = np.flatnonzero(left + right)
     if not len(at):
         return None
-    lo, hi = at - left[at], at + right[at] + 1
-    lang = mix(salt[c.row[at]])
-    other = Runs(mix(c.words.hash ^ np.uint64(0x5851F42D4C957F2D)))
-    one, two = Runs(c.words.hash).of(lo, hi) ^ mix(lang + left[at].astype(np.uint64)), other.of(lo, hi) ^ mix(lang ^ left[at].astype(np.uint64))
+    runs = Runs(keys)
+    lo, begin, end, hi = (np.concatenate(x) for x in zip(*_cores(at - left[at], at, at + right[at] + 1, (counts > split_rows)[where[at]], many, runs, most), strict=True))
+    shape = (most + 1) * (begin - lo) + end - begin
+    one, two = runs.of(lo, hi) ^ mix(shape.astype(np.uint64)), Runs(mix(keys ^ np.uint64(0x5851F42D4C957F2D))).of(lo, hi) ^ mix(~shape.astype(np.uint64))
     first, times = _distinct(one, two)
-    one, two, lo, hi, at = one[first], two[first], lo[first], hi[first], at[first]
+    one, two, lo, begin, end, hi = (x[first] for x in (one, two, lo, begin, end, hi))
     sizes = c.words.ends - c.words.starts
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])  # words joined by single spaces
     joined = np.full(begins[-1], 0x20, np.uint8)
     byte = np.arange(sizes.sum())
     joined[byte + np.repeat(np.arange(n), sizes)] = LOWER[c.data[byte + np.repeat(c.words.starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)]]
-    parts = 1 + counts[where[at]] // split_rows
-    spread = mix(other.of(lo, hi)) % parts.astype(np.uint64)
-    own = each[where[at]]
-    bucket = (mix(own ^ mix(spread)) % np.uint64(buckets)).astype(np.int32)
-    texts = (gathered(joined, begins[i], np.maximum(begins[j] - 1, begins[i])) for i, j in ((at, at + 1), (lo, at), (at + 1, hi)))
-    return (one, two, times, own, bucket, parts == 1), (langs.take(pa.array(c.row[at])), *texts)
+    own = runs.of(begin, end)
+    bucket = (mix(own) % np.uint64(buckets)).astype(np.int32)
+    texts = (gathered(joined, begins[i], np.maximum(begins[j] - 1, begins[i])) for i, j in ((begin, end), (lo, begin), (end, hi)))
+    return (one, two, times, own, bucket), (langs.take(pa.array(c.row[begin])), *texts)
 
 
-def fragments(rows: DataFrame, known, most: int = MOST_WORDS, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """(bucket, whole, lang, fragments) of (lang, text): what each pivot's partition mines.
+def fragments(rows: DataFrame, known, many: np.ndarray, most: int = MOST_WORDS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """(bucket, lang, fragments) of (lang, text): what is mined together.
 
-    A bucket holds whole pivots and shares of those that are dealt to several (then not whole); there are ``BUCKETS`` for each
-    partition of a shuffle. Fragments are lines of the pivot, the words to its left and to its right, and their
-    number. A task merges its equal fragments as far as ``HELD_ROWS`` go. ``known`` is a broadcast `Rarity`.
+    A bucket holds all fragments of its cores; there are ``BUCKETS`` for each partition of a shuffle. Fragments are lines of the
+    core, the words to its left and to its right, and their number. A task merges its equal fragments as far as
+    ``HELD_ROWS`` go. ``known`` is a broadcast `Rarity`, ``many`` are the keys of `divided_runs`.
     """
     buckets = BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = rows.sparkSession.sparkContext.broadcast(many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = known.value, Gathered()
         for batch in batches:
             langs, salt = batch.column(0), language_hashes(batch.column(0))
             for c in chunks(batch.column(1), 2 * (most - 1)):
-                if found := _fragments_of(c, langs, salt, seen, most, split_rows, buckets):
+                if found := _fragments_of(c, langs, salt, seen, shared.value, most, split_rows, buckets):
                     held.add(*found)
                 if held.rows > HELD_ROWS:
                     held.merge()
@@ -271,15 +355,16 @@ def fragments(rows: DataFrame, known, most: int = MOST_WORDS, split_rows: int =
                         yield from held.rows_out()
         yield from held.rows_out()
 
-    return rows.mapInArrow(run, "bucket int, whole boolean, lang string, fragments string")
+    return rows.mapInArrow(run, "bucket int, lang string, fragments string")
 
 
 def _phrases_of(lines: Counter, most: int) -> Counter:
-    """Occurrences of the phrases that hold the pivot, from fragments and their numbers."""
+    """Occurrences of the phrases that hold the core, from fragments and their numbers."""
     found: Counter = Counter()
     for line, times in lines.items():
-        pivot, left, right, *number = line.split("\t")
+        core, left, right, *number = line.split("\t")
         n = times * int(number[0]) if number else times
+        size = core.count(" ") + 1
         head, heads, tail, tails = "", [""], "", [""]
         if left:
             for word in reversed(left.split(" ")):
@@ -290,8 +375,8 @@ def _phrases_of(lines: Counter, most: int) -> Counter:
                 tail = f"{tail} {word}"
                 tails.append(tail)
         for i, head in enumerate(heads):
-            begun = head + pivot
-            for tail in tails[i == 0 : most - i]:
+            begun = head + core
+            for tail in tails[i == 0 and size == 1 : most - size - i + 1]:
                 found[begun + tail] += n
     return found
 
@@ -299,19 +384,17 @@ def _phrases_of(lines: Counter, most: int) -> Counter:
 def mined(found: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT) -> DataFrame:
     """(lang, phrase, n) of the phrases of two to ``most`` words that occur ``least`` times, from `fragments`.
 
-    Buckets are mined one after the other; each emits the phrases of its pivots. Those of whole pivots are complete there, so
-    only frequent ones go on.
+    Buckets are mined one after the other. All occurrences of a phrase are in one bucket, so only frequent ones go on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settled(key: tuple, lines: Counter) -> pa.RecordBatch:
-            _, lang, whole = key
-            kept = {p: n for p, n in _phrases_of(lines, most).items() if n >= least or not whole}
-            return pa.RecordBatch.from_arrays([pa.array([whole] * len(kept), pa.bool_()), pa.array([lang] * len(kept), pa.string()), pa.array(kept.keys(), pa.string()), pa.array(kept.values(), pa.int64())], ["whole", "lang", "phrase", "n"])
+            kept = {p: n for p, n in _phrases_of(lines, most).items() if n >= least}
+            return pa.RecordBatch.from_arrays([pa.array([key[1]] * len(kept), pa.string()), pa.array(kept.keys(), pa.string()), pa.array(kept.values(), pa.int64())], ["lang", "phrase", "n"])
 
         held, lines = None, Counter()
         for batch in batches:
-            for *key, fragments in zip(*[batch.column(c).to_pylist() for c in ("bucket", "lang", "whole", "fragments")], strict=True):
+            for *key, fragments in zip(*[batch.column(c).to_pylist() for c in ("bucket", "lang", "fragments")], strict=True):
                 if tuple(key) != held and held:
                     yield settled(held, lines)
                     lines = Counter()
@@ -320,10 +403,7 @@ def mined(found: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT) ->
         if held:
             yield settled(held, lines)
 
-    local = found.repartition("bucket").sortWithinPartitions("bucket", "lang", "whole").mapInArrow(run, "whole boolean, lang string, phrase string, n long")
-    counted = materialise(local)
-    rest = counted.where(~F.col("whole")).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return counted.where("whole").select("lang", "phrase", "n").unionByName(rest)
+    return found.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(run, "lang string, phrase string, n long")
 
 
 def phrase_counts(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_COUNT, lang_col: str = "lang", text_col: str = "text", listed: int = LISTED, split_rows: int = SPLIT_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -332,8 +412,11 @@ def phrase_counts(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_CO
     arrow_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = materialise(word_counts(rows))
-    known = spark.sparkContext.broadcast(rarity(words, least, listed))
-    return words, materialise(mined(fragments(rows, known, most, split_rows), most, least))
+    rare = rarity(words, least, listed)
+    known, many = spark.sparkContext.broadcast(rare), np.zeros(0, np.uint64)
+    if (rare.counts > split_rows).any():
+        many = divided_runs(rows, known, words.agg(F.sum("n")).first()[0], most, split_rows)
+    return words, materialise(mined(fragments(rows, known, many, most, split_rows), most, least))
 
 
 def scored(chosen: DataFrame, words: DataFrame, phrases: DataFrame, least: int = LEAST_COUNT) -> DataFrame:

@@ -59,6 +59,44 @@ def test_collocations_against_counting(spark, split_rows, listed):
     assert got == naive_collocations(rows, 30, 5, 4) and len(got) > 60
 
 
+def test_divided_pivots_send_no_rare_phrases(spark, monkeypatch):
+    """Each phrase is counted in one place, whatever is divided: only frequent ones are kept, once each."""
+    kept, keep = [], phrases.materialise
+    monkeypatch.setattr(phrases, "materialise", lambda df: kept.append(keep(df)) or kept[-1])
+    docs = spark.createDataFrame([(lang or "und", t) for lang, t in some_texts(3)], "lang string, text string")
+    phrases.phrase_counts(docs, 5, 4, split_rows=7)
+    found = [[(r.lang, r.phrase, r.n) for r in df.collect()] for df in kept if "phrase" in df.columns]
+    assert found and all(len({x[:2] for x in rows}) == len(rows) > 100 and min(x[2] for x in rows) >= 4 for rows in found)
+
+
+@pytest.mark.parametrize("held_rows", [400_000, 50])
+def test_hot_runs_of_words_are_divided(spark, monkeypatch, held_rows):
+    """No core has more places than the bound, but a run alone, which is one number: also for words that always stand together."""
+    monkeypatch.setattr(phrases, "HELD_ROWS", held_rows)
+    rng = random.Random(4)
+    texts = [" ".join([*rng.choices("abcdefghi", k=4), "san francisco bay area", *rng.choices("abcdefghi", k=4), f"x{k % 50}, san francisco"]) for k in range(300)] + ["a a a a a a a a a", "b the b the b"] * 60
+    rows, split = [("en", t) for t in texts] + [("de", "san francisco")] * 5, 40
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    words = phrases.word_counts(docs)
+    rare = phrases.rarity(words, 4)
+    known = spark.sparkContext.broadcast(rare)
+    many = phrases.divided_runs(docs, known, words.agg(F.sum("n")).first()[0], 5, split)
+    places, naive = Counter(), Counter()
+    for r in phrases.fragments(docs, known, many, 5, split).collect():
+        for line in r.fragments.split("\n"):
+            core, left, right, *n = line.split("\t")
+            naive.update({(r.lang, p): x for p, x in phrases._phrases_of(Counter([line]), 5).items()})
+            if left or right:
+                places[r.lang, core] += int(n[0]) if n else 1
+    assert max(places.values()) <= split and {len(core.split()) for _, core in places} >= {1, 2, 3, 4}
+    want = Counter()
+    for lang, text in rows:
+        for w in (piece.split() for piece in text.split(",")):
+            want.update((lang, " ".join(w[i : i + m])) for m in range(2, 6) for i in range(len(w) - m + 1))
+    assert {k: n for k, n in naive.items() if n >= 4} == {k: n for k, n in want.items() if n >= 4}
+    assert {tuple(x) for x in phrases.mined(phrases.fragments(docs, known, many, 5, split), 5, 4).collect()} == {(*k, n) for k, n in want.items() if n >= 4}
+
+
 def test_collocations_of_long_texts(monkeypatch):
     """A text is worked on in chunks that end anywhere between words: every phrase is counted once."""
     rng = random.Random(5)
