@@ -134,9 +134,14 @@ def parameters(line: Column, template: Column, pattern_of: Column | None = None)
     return F.when(covered & odd, slow).when(covered, F.split(joined, _MARK, -1)).otherwise(F.array().cast("array<string>"))
 
 
+def constant_tokens(template: Column) -> Column:
+    """What a line must hold to be covered: the pieces of a template between white space and wildcards of any form."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(content(template), "<.{1,5}>", WILDCARD), r"\s+|<\*>"), lambda t: t != ""))
+
+
 def constant_length(template: Column) -> Column:
     """Characters of a template that are no wildcards: what makes it specific."""
     return F.char_length(F.replace(content(template), F.lit(WILDCARD), F.lit("")))
 
 
-__all__ = ["capturing_pattern", "constant_length", "constants", "end_tokens_fit", "is_abstract", "matches", "matches_guarded", "matches_with_constants", "parameters", "pattern", "template_tokens"]
+__all__ = ["capturing_pattern", "constant_length", "constant_tokens", "constants", "end_tokens_fit", "is_abstract", "matches", "matches_guarded", "matches_with_constants", "parameters", "pattern", "template_tokens"]

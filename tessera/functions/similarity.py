@@ -9,6 +9,7 @@ from .sequences import common_subsequence as common_subsequence
 from .sequences import common_subsequence_length as common_subsequence_length
 from .sequences import edit_distance as edit_distance
 from .sequences import longest_common_run as common_run
+from .text import let
 
 SMOOTHING, LENGTH_SCALE = 1e-5, 20
 
@@ -20,8 +21,7 @@ def shared(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of the sets of tokens; 0 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(shared(a, b) / union)
+    return let(F.size(F.array_union(a, b)), lambda union: F.when(union == 0, F.lit(0.0)).otherwise(shared(a, b) / union))
 
 
 def jaccard_to_many(anchor: Column, others: Column) -> Column:

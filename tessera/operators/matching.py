@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.match import constant_length, matches, parameters, pattern
+from ..functions.match import constant_length, constant_tokens, matches, parameters, pattern
 from ..functions.normalize import normalize_legacy
-from ..functions.text import WILDCARD, is_valid_template, tokens
+from ..functions.text import WILDCARD, content, is_valid_template, tokens
+from ..plans.storage import keep
 from .ranks import ordinals
 
 
@@ -23,6 +24,24 @@ def _end(parts: Column, k: int) -> Column:
     return F.coalesce(F.try_element_at(parts, F.lit(k)), F.lit(""))
 
 
+def _ends(first: Column, last: Column) -> Column:
+    """Equal for equal kinds and tokens; a token holds no white space."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), first), F.lit("*")), F.lit(" "), F.coalesce(F.concat(F.lit("="), last), F.lit("*")))
+
+
+def _kinds(words: Column) -> list[Column]:
+    """The four kinds of ends under which a line looks for templates."""
+    none = F.lit(None).cast("string")
+    return [_ends(x, y) for x in (_end(words, 1), none) for y in (_end(words, -1), none)]
+
+
+def _template_ends(parts: Column) -> Column:
+    def constant(k: int) -> Column:
+        return F.when(F.contains(_end(parts, k), F.lit(WILDCARD)), F.lit(None)).otherwise(_end(parts, k))
+
+    return _ends(constant(1), constant(-1))
+
+
 def match_templates(lines: DataFrame, templates: DataFrame, keys: tuple[str, ...] = ("n_tokens",), line_col: str = "content") -> DataFrame:
     """Every line with every template that covers it.
 
@@ -34,20 +53,34 @@ def match_templates(lines: DataFrame, templates: DataFrame, keys: tuple[str, ...
     """
     end, words, shape = (_fresh(x, lines, templates) for x in ("ends", "words", "shape"))
     parts = tokens(F.col("template"))
+    shapes = templates.where(F.size(parts) > 0).withColumn(end, _template_ends(parts)).withColumn(shape, pattern(F.col("template")))
+    named = lines.withColumn(words, tokens(F.col(line_col))).where(F.size(words) > 0).withColumn(end, F.explode(F.array(*_kinds(F.col(words))))).drop(words)
+    return named.join(shapes, [*keys, end]).where(matches(F.col(line_col), F.col("template"), F.col(shape))).drop(end, shape)
 
-    def constant(k: int) -> Column:
-        return F.when(F.contains(_end(parts, k), F.lit(WILDCARD)), F.lit(None)).otherwise(_end(parts, k))
 
-    def ends(first: Column, last: Column) -> Column:
-        """Equal for equal kinds and tokens; a token holds no white space."""
-        return F.concat(F.coalesce(F.concat(F.lit("="), first), F.lit("*")), F.lit(" "), F.coalesce(F.concat(F.lit("="), last), F.lit("*")))
+def first_template(lines: DataFrame, templates: DataFrame, order: str, keys: tuple[str, ...] = ("cid1",), line_col: str = "content") -> DataFrame:
+    """``lines`` with found: of the templates that cover a line, the row (``order`` and the other columns but ``keys``) of the smallest ``order``; null without one.
 
-    none = F.lit(None).cast("string")
-    shapes = templates.where(F.size(parts) > 0).withColumn(end, ends(constant(1), constant(-1))).withColumn(shape, pattern(F.col("template")))
-    first, last = _end(F.col(words), 1), _end(F.col(words), -1)
-    kinds = F.array(*[ends(x, y) for x in (first, none) for y in (last, none)])
-    named = lines.withColumn(words, tokens(F.col(line_col))).where(F.size(words) > 0).withColumn(end, F.explode(kinds)).drop(words)
-    return named.join(shapes, [*keys, end]).where(matches(F.col(line_col), F.col("template"), F.col(shape))).drop(end, shape)
+    The same pairs as in `match_templates` are compared, but the templates that a line may meet are lists: lines stay one row each, and
+    are neither dealt nor gathered again. A template whose constant tokens a line does not hold is passed over before its pattern is made.
+    """
+    parts = tokens(F.col("template"))
+    rest = [c for c in templates.columns if c not in (*keys, order)]
+    shapes = templates.where(F.size(parts) > 0).select(*keys, _template_ends(parts).alias("ends"), F.struct(order, *rest).alias("row"), F.struct(F.col("template").alias("t"), pattern(F.col("template")).alias("shape"), constant_tokens(F.col("template")).alias("must")).alias("test"))
+    lists = keep(shapes.groupBy(*keys, "ends").agg(F.collect_list(F.struct("row", "test")).alias("list")))
+    words, names = _fresh("words", lines, templates), [_fresh(f"list{k}", lines, templates) for k in range(4)]
+    joined = lines.withColumn(words, tokens(F.col(line_col)))
+    ends = [_fresh(f"ends{k}", lines, templates) for k in range(4)]
+    joined = joined.select(*lines.columns, *[F.when(F.size(words) > 0, e).alias(n) for e, n in zip(_kinds(F.col(words)), ends, strict=True)])
+    for end, name in zip(ends, names, strict=True):
+        joined = joined.join(lists.withColumnsRenamed({"ends": end, "list": name}), [*keys, end], "left")
+    text = F.col(line_col)
+
+    def covers(t: Column) -> Column:
+        return F.forall(t["test"]["must"], lambda m: F.contains(content(text), m)) & matches(text, t["test"]["t"], t["test"]["shape"])
+
+    met = F.flatten(F.filter(F.array(*names), lambda x: x.isNotNull()))
+    return joined.select(*lines.columns, F.array_min(F.transform(F.filter(met, covers), lambda t: t["row"])).alias("found"))
 
 
 def unmatched_lines(lines: DataFrame, templates: DataFrame, keys: tuple[str, ...] = ("n_tokens",)) -> DataFrame:

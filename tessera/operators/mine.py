@@ -33,7 +33,7 @@ from ..functions.text import is_valid_template, mask, retry_budget, template_tok
 from ..plans.storage import keep
 from ..sources.presets import PRESETS
 from .cluster import MIN_CLUSTER, TOP_TOKENS, cluster_lines
-from .matching import event_ids, match_templates, most_similar
+from .matching import event_ids, first_template, match_templates, most_similar
 from .sampling import MIN_SIMILARITY, PER_LEVEL, SAMPLE_SIZE, WEIGHT, contrast_samples
 
 #: A connection to a model: chat messages (role, content) and a temperature in, the answer's text out.
@@ -261,7 +261,7 @@ def mine_rounds(
     masked = lines.select("line_id", mask(F.col("content"), patterns).alias("content"))
     clustered = keep(cluster_lines(masked, k, min_size))
     odd = (F.col("n_tokens") == 0) | (wildcard_count(F.col("content")) > 50)
-    labelled = clustered.where(odd).select("content", "cid1", F.col("content").alias("template"), F.lit(None).cast("long").alias("entry"))
+    labelled = clustered.where(odd).select("content", "cid1", "first_line", "weight", F.col("content").alias("template"), F.lit(None).cast("long").alias("entry"))
     pending = clustered.where(~odd)
     known, seq, steps, rounds = None, first_round, [], []
     buckets = clustered.select("cid1", "n_tokens").distinct()
@@ -274,20 +274,22 @@ def mine_rounds(
         final = keep(accepted(first, known).withColumn("entry", (F.lit(seq * (1 << 20)) + F.col("rank")).cast("long")))
         steps.append(first.join(final.select("cid1", "rank"), ["cid1", "rank"], "left_semi"))
         both = final.select("cid1", "rank", "template", "merged", "entry").unionByName(final.where("merged != template").select("cid1", "rank", F.col("merged").alias("template"), "merged", "entry"))
-        found = keep(match_templates(pending, both, ("cid1",)).groupBy("content", "cid1").agg(F.min(F.struct("rank", "merged", "entry")).alias("b")).select("content", "cid1", F.col("b.merged").alias("template"), "b.entry"))
+        seen = keep(first_template(pending, both, "rank"))
+        found = seen.where("found is not null").select("content", "cid1", "first_line", "weight", F.col("found.merged").alias("template"), "found.entry")
         merging = final.where("old is not null")
         if merging.limit(1).count():  # lines of a template that has merged follow it if it covers them
             new = merging.select("cid1", F.col("old").alias("template"), "merged", F.col("entry").alias("next"), pattern(F.col("merged")).alias("shape"))
             moved = labelled.join(new, ["cid1", "template"], "left")
             follows = F.col("merged").isNotNull() & end_tokens_fit(tokens(F.col("content")), tokens(F.col("merged"))) & matches(F.col("content"), F.col("merged"), F.col("shape"))
-            labelled = keep(moved.select("content", "cid1", F.when(follows, F.col("merged")).otherwise(F.col("template")).alias("template"), F.when(follows, F.col("next")).otherwise(F.col("entry")).alias("entry")))
+            label = F.when(follows, F.struct(F.col("merged").alias("template"), F.col("next").alias("entry"))).otherwise(F.struct("template", "entry"))
+            labelled = keep(moved.select("content", "cid1", "first_line", "weight", label.alias("label"))).select("content", "cid1", "first_line", "weight", "label.*")
         labelled = labelled.unionByName(found)
         rest = known.join(merging.select("cid1", F.col("old").alias("template")), ["cid1", "template"], "left_anti") if known is not None else None
         added = final.select("cid1", F.col("merged").alias("template"), F.col("entry").alias("seq"))
         old = known.select("cid1", F.col("template").alias("old"), F.col("seq").alias("replaces")) if known is not None else merging.select("cid1", "old", F.lit(None).cast("long").alias("replaces")).limit(0)
         rounds.append(final.join(old, ["cid1", "old"], "left").select("cid1", "entry", F.col("merged").alias("template"), F.lit(seq).alias("round"), "replaces"))
         known = keep((rest.unionByName(added) if rest is not None else added).groupBy("cid1", "template").agg(F.min("seq").alias("seq")))
-        pending = keep(pending.join(found.select("content", "cid1"), ["content", "cid1"], "left_anti"))
+        pending = seen.where("found is null").drop("found")
         seq += 1
     spark = lines.sparkSession
     trace = spark.createDataFrame([], "iter int, cid1 int, sample array<string>, answer string, template string, queries int, seconds double")
@@ -296,7 +298,9 @@ def mine_rounds(
     entries = spark.createDataFrame([], "cid1 int, entry long, template string, round int, replaces long")
     for added in rounds:
         entries = entries.unionByName(added)
-    return masked.join(labelled.select("content", "template", "entry"), "content").select("line_id", "content", "template", "entry"), trace, keep(entries.join(buckets, "cid1"))
+    repeated = keep(labelled.where("weight > 1").select("content", "template", "entry"))  # the others are their only line
+    named = labelled.where("weight = 1").select(F.col("first_line").alias("line_id"), "content", "template", "entry").unionByName(masked.join(repeated, "content").select("line_id", "content", "template", "entry"))
+    return named, trace, keep(entries.join(buckets, "cid1"))
 
 
 def merge_forest(entries: DataFrame) -> DataFrame:

@@ -97,3 +97,29 @@ def test_ordinals(spark):
     for made in (matching.event_ids(labelled), bucketed):
         windows = re.findall(r"Window \[.*?\], \[([^\]]*)\]", made._jdf.queryExecution().optimizedPlan().toString())
         assert all(w.startswith("range") for w in windows if w) and len(windows) == 2
+
+
+def test_first_template_against_all_matches(spark):
+    rng = random.Random(9)
+    words = ["a", "b", "<*>", "a<*>", "<id>", "<a b>", "c.d", "x"]
+    texts = sorted({" ".join(rng.choice(words[:2] + ["axb", "c.d", "x", "<id>"]) for _ in range(rng.randint(1, 4))) for _ in range(300)}) + ["", " a  b ", "a\tb", "a\nb"]
+    shapes = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(80)}) + [" ", ""]
+    lines = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "line_id long, cid1 int, content string")
+    templates = spark.createDataFrame([(0, rng.randint(0, 9), t) for t in shapes], "cid1 int, rank int, template string")
+    want = {r.line_id: (r.b.rank, r.b.template) for r in matching.match_templates(lines, templates, ("cid1",)).groupBy("line_id").agg(F.min(F.struct("rank", "template")).alias("b")).collect()}
+    got = matching.first_template(lines, templates, "rank")
+    assert len(want) > 50 and {r.line_id: r.found and (r.found.rank, r.found.template) for r in got.collect()} == {k: want.get(k) for k in range(len(texts))}
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()  # lines stay where they are
+
+
+def test_signatures_by_any_list_of_frequent_tokens(spark):
+    rng = random.Random(10)
+    texts = sorted({" ".join(f"tok{min(rng.randint(0, 12), rng.randint(0, 12))}" for _ in range(rng.randint(0, 6))) for _ in range(200)})
+    bucketed = cluster.length_buckets(cluster.distinct_lines(spark.createDataFrame(list(enumerate(texts)), "line_id long, content string"))).cache()
+    counts = {}
+    for r in bucketed.collect():
+        for t in r.content.split():
+            counts[r.cid1, t] = counts.get((r.cid1, t), 0) + r.weight
+    want = {r.first_line: sorted(dict.fromkeys(r.content.split()), key=lambda t: -counts[r.cid1, t])[:3] for r in bucketed.collect()}
+    for listed in (0, 2, 9, 1024):
+        assert {r.first_line: r.sig for r in cluster.signatures(bucketed, 3, listed).collect()} == want
