@@ -34,42 +34,52 @@ def masked_jaccard_to_many(anchor: Column, others: Column, is_masked) -> Column:
     def bare(x: Column) -> Column:
         return F.filter(x, lambda w: ~is_masked(w))
 
-    return F.transform(F.filter(F.transform(others, bare), lambda x: F.size(x) > 0), lambda x: jaccard(bare(anchor), x))
+    return let(bare(anchor), lambda own: F.transform(F.filter(F.transform(others, bare), lambda x: F.size(x) > 0), lambda x: jaccard(own, x)))
 
 
 def pairwise(lines: Column) -> Column:
     """Jaccard similarities of all pairs of an array of token arrays, row by row of the upper triangle."""
-    n = F.size(lines)
-    return F.flatten(F.transform(lines, lambda x, i: F.transform(F.slice(lines, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: jaccard(x, y))))
+
+    def all_pairs(lines: Column) -> Column:
+        n = F.size(lines)
+        return F.flatten(F.transform(lines, lambda x, i: F.transform(F.slice(lines, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: jaccard(x, y))))
+
+    return let(lines, all_pairs)
 
 
 def mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+    return let(values, lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
 
 
 def mean_difference(values: Column) -> Column:
     """Mean absolute difference of all pairs; 0 for a single value."""
-    n = F.size(values)
-    differences = F.flatten(F.transform(values, lambda x, i: F.transform(F.slice(values, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: F.abs(x - y))))
-    return F.when(n < 2, F.lit(0.0)).otherwise(mean(differences))
+
+    def spread(v: Column) -> Column:
+        n = F.size(v)
+        differences = F.flatten(F.transform(v, lambda x, i: F.transform(F.slice(v, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: F.abs(x - y))))
+        return F.when(n < 2, F.lit(0.0)).otherwise(mean(differences))
+
+    return let(values, spread)
 
 
 def contrast_score(lines: Column, weight: float) -> Column:
     """Low for lines that are unlike each other in equal steps: weight x mean + (1 - weight) x spread of all pairs."""
-    s = pairwise(lines)
-    return weight * mean(s) + (1 - weight) * mean_difference(s)
+    return let(pairwise(lines), lambda s: weight * mean(s) + (1 - weight) * mean_difference(s))
+
+
+def _to_first(lines: Column) -> Column:
+    """Similarities of all lines but the first to it."""
+    return let(lines, lambda x: jaccard_to_many(F.get(x, 0), F.slice(x, 2, F.size(x))))
 
 
 def contrast_score_anchor(lines: Column, weight: float) -> Column:
     """As ``contrast_score``, of the similarities to the first line only."""
-    s = jaccard_to_many(F.get(lines, 0), F.slice(lines, 2, F.size(lines)))
-    return weight * mean(s) + (1 - weight) * mean_difference(s)
+    return let(_to_first(lines), lambda s: weight * mean(s) + (1 - weight) * mean_difference(s))
 
 
 def contrast_score_mixed(lines: Column, weight: float) -> Column:
     """The mean of the similarities to the first line, the spread of those of all pairs."""
-    s = jaccard_to_many(F.get(lines, 0), F.slice(lines, 2, F.size(lines)))
-    return weight * mean(s) + (1 - weight) * mean_difference(pairwise(lines))
+    return let(lines, lambda x: weight * mean(_to_first(x)) + (1 - weight) * mean_difference(pairwise(x)))
 
 
 def hamming(a: Column, b: Column) -> Column:

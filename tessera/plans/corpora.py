@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.ranks import following
+
 #: Lines of five kinds of events and four lengths.
 LOG_EVENTS = """
 select event_id as line_id, case event_type
@@ -76,7 +78,9 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "events", LINE_PAIRS)
+    """The rows of `LINE_PAIRS`, without gathering a kind of event in one task."""
+    kinds = view(spark, sf_dir, "events", f"select l.line_id, e.event_type as kind, l.content as x from ({LOG_EVENTS}) l join events e on e.event_id = l.line_id")
+    return following(kinds, "kind", "line_id", "x", ("y", "z")).where("z is not null").select("line_id", "x", "y", "z")
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,10 @@
 """Work that grows with a table's different rows, not with all: seen in the plans of the last steps."""
 
+import random
+
+import pytest
+
+from tessera.operators import ranks
 from tessera.plans import corpora, queries
 
 SF = "/root/testdata/sf0.001"
@@ -13,3 +18,18 @@ def test_equal_pairs_merge_once(spark):
     merged = queries.merge_pairs(spark, SF)
     assert "regexp" not in plan(merged) and "lambda" not in plan(merged)  # lines only look up what their pair has become
     assert merged.count() == corpora.template_pairs(spark, SF).count()
+
+
+def test_neighbours_without_gathering_a_kind(spark):
+    pairs = corpora.line_pairs(spark, SF)
+    assert "hashpartitioning(event_type" not in plan(pairs) and "hashpartitioning(kind" not in plan(pairs)
+    assert sorted(pairs.collect()) == sorted(corpora.view(spark, SF, "events", corpora.LINE_PAIRS).collect())
+
+
+@pytest.mark.parametrize("size", (0, 1, 300))
+def test_following_rows(spark, size):
+    rng = random.Random(size)
+    rows = [(k, rng.choice(["a"] * 9 + ["b", None]), rng.choice([None, f"v{k}"])) for k in range(size)]
+    got = ranks.following(spark.createDataFrame(rows, "k long, g string, v string").repartition(5), "g", "k", "v", ("x", "y", "z")).collect()
+    after = {k: [v for i, h, v in rows if h == g and i > k] + [None] * 3 for k, g, _ in rows}
+    assert len(got) == size and {r.k: (r.x, r.y, r.z) for r in got} == {k: tuple(v[:3]) for k, v in after.items()}
