@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators import ranks
+from tessera.operators import ranks, similar
 from tessera.plans import corpora, queries
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,17 @@ def test_following_rows(spark, size):
     got = ranks.following(spark.createDataFrame(rows, "k long, g string, v string").repartition(5), "g", "k", "v", ("x", "y", "z")).collect()
     after = {k: [v for i, h, v in rows if h == g and i > k] + [None] * 3 for k, g, _ in rows}
     assert len(got) == size and {r.k: (r.x, r.y, r.z) for r in got} == {k: tuple(v[:3]) for k, v in after.items()}
+
+
+def test_similar_pairs_are_not_dealt(spark):
+    """Pairs are judged where they meet; blocks of any size give each pair once."""
+    rng = random.Random(11)
+    texts = sorted({" ".join(rng.choice(["hot", "cold"] + [f"w{k}" for k in range(6)]) for _ in range(rng.randint(1, 7))) for _ in range(300)})
+    sets = similar.token_sets(spark.createDataFrame(list(enumerate(texts)), "line_id long, content string")).cache()
+    held = [(r.set_id, set(r.words)) for r in sets.collect()]
+    want = sorted((min(i, j), max(i, j), len(v & w)) for k, (i, v) in enumerate(held) for j, w in held[:k] if len(v & w) / len(v | w) >= 0.6)
+    for block in (1, 7, 1 << 14):
+        found = similar.similar_sets(sets, 0.6, block=block)
+        assert want and sorted((r.a, r.b, r.common) for r in found.collect()) == want
+        top = plan(found).split("SortMergeJoin")[0].split("HashJoin")[0]
+        assert "Exchange" not in top and "HashAggregate" not in top
