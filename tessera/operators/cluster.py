@@ -61,7 +61,7 @@ def signatures(bucketed: DataFrame, k: int = TOP_TOKENS, listed: int = LISTED) -
     counts = keep(vocabulary(bucketed))
     known, names = _frequent(counts, listed)
     words = bucketed.withColumn("words", F.array_distinct(informative_tokens(F.col("content"))))
-    cut = words.withColumn("cut", F.filter("words", lambda t: t.isin(names))).withColumn("whole", F.size("words") == F.size("cut")).drop("words")
+    cut = keep(words.withColumn("cut", F.filter("words", lambda t: t.isin(names))).withColumn("whole", F.size("words") == F.size("cut")).drop("words"))
     cuts = keep(cut.select("cid1", "cut", "whole").distinct())
     tops = _top(cuts.select("cid1", "cut", "whole", F.posexplode("cut").alias("pos", "token")).join(F.broadcast(known), ["cid1", "token"]), k, "cid1", "cut", "whole")
     decided = (F.coalesce("n", F.lit(0)) >= k) | (F.col("whole") & (F.coalesce("n", F.lit(0)) == F.size("cut")))
@@ -100,7 +100,7 @@ def number_clusters(prefixed: DataFrame) -> DataFrame:
 def cluster_lines(lines: DataFrame, k: int = TOP_TOKENS, min_size: int = MIN_CLUSTER) -> DataFrame:
     """Distinct lines with first_line, weight, n_tokens, cid1, sig, sig_first, level, prefix and cid2."""
     sized = keep(distinct_lines(lines).withColumn("n_tokens", token_count(F.col("content"))))
-    signed = keep(signatures(length_buckets(sized), k))
+    signed = signatures(length_buckets(sized), k)
     return signed.join(keep(number_clusters(keep(prefix_clusters(signed, k, min_size)))), ["cid1", "sig"])
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators import ranks, similar
+from tessera.operators import cluster, ranks, similar
 from tessera.plans import corpora, queries
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +47,9 @@ def test_similar_pairs_are_not_dealt(spark):
         assert want and sorted((r.a, r.b, r.common) for r in found.collect()) == want
         top = plan(found).split("SortMergeJoin")[0].split("HashJoin")[0]
         assert "Exchange" not in top and "HashAggregate" not in top
+
+
+def test_lines_of_frequent_tokens_stay_whole(spark):
+    lines = spark.createDataFrame([(k, f"worker {k} on node n{k % 3} is done") for k in range(300)], "line_id long, content string")
+    signed = cluster.signatures(cluster.length_buckets(cluster.distinct_lines(lines)), listed=5)
+    assert "Generate" not in plan(signed) and {tuple(r.sig) for r in signed.collect()} == {("worker", "node", "done")}
